@@ -48,3 +48,162 @@ def q_lfl_growth(spark, sf_dir):
 @register("lfl_growth_all")
 def q_lfl_growth_all(spark, sf_dir):
     return round_doubles(lfl.lfl_growth(_wf(spark, sf_dir, "all")))
+
+
+# -- aggregates, windows, recent --------------------------------------------
+from ..functions.economics import TABLE_ECONOMICS, economics_columns  # noqa: E402
+from ..operators import backtest, context, monthly, recent, scenario, windows  # noqa: E402
+from ..operators.lfl import trailing_growth  # noqa: E402
+from . import probes  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+
+@register("annual_totals")
+def q_annual_totals(spark, sf_dir):
+    return round_doubles(lfl.annual_totals(_wf(spark, sf_dir)))
+
+
+@register("seasonal_profile")
+def q_seasonal_profile(spark, sf_dir):
+    return round_doubles(scenario.seasonal_profile(_wf(spark, sf_dir)))
+
+
+@register("trailing_growth")
+def q_trailing_growth(spark, sf_dir):
+    return round_doubles(trailing_growth(_wf(spark, sf_dir)))
+
+
+@register("recent_kpis")
+def q_recent_kpis(spark, sf_dir):
+    return round_doubles(recent.recent_kpis(_wf(spark, sf_dir)))
+
+
+@register("channel_signals")
+def q_channel_signals(spark, sf_dir):
+    return round_doubles(recent.channel_signals(_wf(spark, sf_dir)))
+
+
+@register("lfl_elasticity")
+def q_lfl_elasticity(spark, sf_dir):
+    return round_doubles(lfl.lfl_elasticity(_wf(spark, sf_dir)))
+
+
+@register("elasticity_summary")
+def q_elasticity_summary(spark, sf_dir):
+    return round_doubles(lfl.elasticity_summary(_wf(spark, sf_dir, "nation")))
+
+
+@register("suggested_saturation")
+def q_suggested_saturation(spark, sf_dir):
+    return round_doubles(lfl.suggested_saturation(_wf(spark, sf_dir)))
+
+
+@register("weekly_yoy_detail")
+def q_weekly_yoy_detail(spark, sf_dir):
+    return round_doubles(lfl.weekly_yoy_detail(_wf(spark, sf_dir)))
+
+
+@register("yoy_health")
+def q_yoy_health(spark, sf_dir):
+    return round_doubles(lfl.yoy_health(_wf(spark, sf_dir)))
+
+
+@register("common_weeks")
+def q_common_weeks(spark, sf_dir):
+    return lfl.common_weeks(_wf(spark, sf_dir))
+
+
+@register("rolling_return_rate")
+def q_rolling_return_rate(spark, sf_dir):
+    return round_doubles(windows.rolling_return_rate(_wf(spark, sf_dir)))
+
+
+@register("lag_features")
+def q_lag_features(spark, sf_dir):
+    from ..functions.cleaning import week_cos, week_sin
+    wf = windows.origin_lags(windows.lag_features(_wf(spark, sf_dir)))
+    return round_doubles(wf.select("series_id", "week_start", "iso_week", "net_sales", "lag_1", "lag_4",
+                                   "o_lag_1", "o_lag_4", week_sin("iso_week").alias("week_sin"),
+                                   week_cos("iso_week").alias("week_cos")))
+
+
+@register("monthly_fact")
+def q_monthly_fact(spark, sf_dir):
+    m = monthly.monthly_ratios(monthly.monthly_fact(_wf(spark, sf_dir)))
+    return round_doubles(m)
+
+
+@register("health_score")
+def q_health_score(spark, sf_dir):
+    return round_doubles(monthly.health_score(_wf(spark, sf_dir)))
+
+
+@register("break_even")
+def q_break_even(spark, sf_dir):
+    series = _wf(spark, sf_dir).select("series_id").distinct()
+    return round_doubles(series.withColumns(economics_columns(TABLE_ECONOMICS)))
+
+
+@register("strategy")
+def q_strategy(spark, sf_dir):
+    wf = _wf(spark, sf_dir)
+    return round_doubles(scenario.strategy(recent.recent_kpis(wf), trailing_growth(wf)))
+
+
+@register("project_baseline")
+def q_project_baseline(spark, sf_dir):
+    return round_doubles(scenario.project_baseline(_wf(spark, sf_dir)))
+
+
+@register("saturation_curve")
+def q_saturation_curve(spark, sf_dir):
+    return round_doubles(scenario.saturation_curve(_wf(spark, sf_dir)))
+
+
+@register("safe_budget")
+def q_safe_budget(spark, sf_dir):
+    wf = _wf(spark, sf_dir)
+    strat = scenario.strategy(recent.recent_kpis(wf), trailing_growth(wf))
+    return round_doubles(scenario.safe_budget(scenario.project_baseline(wf), strat))
+
+
+@register("month_ledger")
+def q_month_ledger(spark, sf_dir):
+    return round_doubles(context.ledger(_wf(spark, sf_dir)))
+
+
+@register("best_worst_month")
+def q_best_worst_month(spark, sf_dir):
+    return round_doubles(monthly.best_worst_month(context.ledger(_wf(spark, sf_dir))))
+
+
+@register("parse_iso_week")
+def q_parse_iso_week(spark, sf_dir):
+    return probes.parse_iso_week_query(spark, sf_dir)
+
+
+@register("clean_currency")
+def q_clean_currency(spark, sf_dir):
+    return round_doubles(probes.clean_currency_query(spark, sf_dir))
+
+
+@register("origins")
+def q_origins(spark, sf_dir):
+    return round_doubles(backtest.origins(_wf(spark, sf_dir)))
+
+
+@register("seasonal_backtest")
+def q_seasonal_backtest(spark, sf_dir):
+    return round_doubles(backtest.seasonal_backtest(_wf(spark, sf_dir)))
+
+
+@register("weekly_history")
+def q_weekly_history(spark, sf_dir):
+    from ..sources.sinks import weekly_history
+    return round_doubles(weekly_history(_wf(spark, sf_dir)))
+
+
+@register("channel_history")
+def q_channel_history(spark, sf_dir):
+    from ..sources.sinks import channel_history
+    return round_doubles(channel_history(_wf(spark, sf_dir)))
