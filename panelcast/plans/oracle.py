@@ -18,6 +18,12 @@ def d(x: float) -> str:
     return f"CAST({float(x)!r} AS DOUBLE)"
 
 
+def rnd(expr: str, scale: int = 6) -> str:
+    """Round half-up on the shortest decimal form of a double (Spark's
+    ``round`` semantics); DuckDB's own ``round`` works on the binary value."""
+    return f"CAST(round(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38,18)), {scale}) AS DOUBLE)"
+
+
 def econ_sql(e: Economics = TABLE_ECONOMICS) -> dict[str, str]:
     """Break-even expressions with the same operation order as P10."""
     net_aov = f"({d(e.aov)} * ({d(1.0)} - {d(e.return_pct)} / {d(100.0)}) / ({d(1.0)} + {d(e.vat_pct)} / {d(100.0)}))"
@@ -89,26 +95,26 @@ wf_raw AS (
     coalesce(total_sales, 0) AS total_sales, coalesce(gross_sales, 0) AS gross_sales,
     coalesce(discounts, 0) AS discounts, coalesce(returns, 0) AS returns,
     coalesce(orders, 0) AS orders, coalesce(CAST(items AS DOUBLE), 0) AS items,
-    coalesce(round(total_sales / nullif(orders, 0), 6), 0) AS aov,
-    coalesce(round(CAST(n_urgent AS DOUBLE) * {d(100.0)} / nullif(orders, 0), 6), 0) AS returning_rate_pct,
+    coalesce(CAST(round(CAST(CAST((total_sales / nullif(orders, 0)) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), 0) AS aov,
+    coalesce(CAST(round(CAST(CAST((CAST(n_urgent AS DOUBLE) * {d(100.0)} / nullif(orders, 0)) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), 0) AS returning_rate_pct,
     coalesce(conv_value_a, 0) AS conv_value_a, coalesce(conv_value_b, 0) AS conv_value_b,
-    coalesce(round(spend_a / nullif(CAST(lines_a AS DOUBLE), 0), 6), 0) AS cpc_a,
-    coalesce(round(spend_b / nullif(CAST(lines_b AS DOUBLE), 0), 6), 0) AS cpc_b,
-    coalesce(round(spend_b * {d(1000.0)} / nullif(qty_b, 0), 6), 0) AS cpm_b,
+    coalesce(CAST(round(CAST(CAST((spend_a / nullif(CAST(lines_a AS DOUBLE), 0)) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), 0) AS cpc_a,
+    coalesce(CAST(round(CAST(CAST((spend_b / nullif(CAST(lines_b AS DOUBLE), 0)) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), 0) AS cpc_b,
+    coalesce(CAST(round(CAST(CAST((spend_b * {d(1000.0)} / nullif(qty_b, 0)) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), 0) AS cpm_b,
     coalesce(CAST(impressions_a AS DOUBLE), 0) AS impressions_a,
-    coalesce(round(CAST(lines_b AS DOUBLE) * {d(0.6)} / nullif(CAST(cust_b AS DOUBLE), 0), 6), 0) AS frequency_b
+    coalesce(CAST(round(CAST(CAST((CAST(lines_b AS DOUBLE) * {d(0.6)} / nullif(CAST(cust_b AS DOUBLE), 0)) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), 0) AS frequency_b
   FROM wf_week
 ),
 wf AS (
   SELECT *,
     greatest(total_sales, {d(0.0)}) AS net_sales,
     nullif(spend_a + spend_b, {d(0.0)}) AS ad_spend,
-    round(coalesce(total_sales / nullif(spend_a + spend_b, {d(0.0)}), 0), 6) AS mer,
-    round(coalesce(abs(returns) / nullif(total_sales, 0) * {d(100.0)}, 0), 6) AS return_rate_pct,
-    round(coalesce(nullif(spend_a + spend_b, {d(0.0)}) / nullif(greatest(total_sales, {d(0.0)}), 0) * {d(100.0)}, 0), 6) AS cost_of_sales_pct,
-    round(orders * {ppo} - nullif(spend_a + spend_b, {d(0.0)}), 6) AS op_profit,
-    round(conv_value_a / nullif(spend_a, 0), 6) AS roas_a,
-    round(conv_value_b / nullif(spend_b, 0), 6) AS roas_b
+    CAST(round(CAST(CAST((coalesce(total_sales / nullif(spend_a + spend_b, {d(0.0)}), 0)) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS mer,
+    CAST(round(CAST(CAST((coalesce(abs(returns) / nullif(total_sales, 0) * {d(100.0)}, 0)) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS return_rate_pct,
+    CAST(round(CAST(CAST((coalesce(nullif(spend_a + spend_b, {d(0.0)}) / nullif(greatest(total_sales, {d(0.0)}), 0) * {d(100.0)}, 0)) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS cost_of_sales_pct,
+    CAST(round(CAST(CAST((orders * {ppo} - nullif(spend_a + spend_b, {d(0.0)})) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS op_profit,
+    CAST(round(CAST(CAST((conv_value_a / nullif(spend_a, 0)) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS roas_a,
+    CAST(round(CAST(CAST((conv_value_b / nullif(spend_b, 0)) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS roas_b
   FROM wf_raw
 )"""
 
