@@ -607,3 +607,84 @@ UNION ALL
 SELECT series_id, week_start, period_label, 'b' AS channel, {r6('spend_b', 'spend')},
   {r6('conv_value_b', 'conv_value')}, {r6('roas_b', 'roas')}, {r6('cpc_b', 'cpc')},
   {r6('cpm_b', 'cpm')}, {r6('frequency_b', 'frequency')} FROM wf""")
+
+# -- cleaning probes (raw text derived from the given tables) ---------------
+_NUM = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
+
+
+def _strip(e: str) -> str:
+    return f"regexp_replace({e}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _num(s: str) -> str:
+    return f"coalesce(CASE WHEN regexp_full_match({s}, '{_NUM}') THEN TRY_CAST({s} AS DOUBLE) END, {d(0.0)})"
+
+
+def _cur_us(raw: str) -> str:
+    return _num(f"replace({_strip(f'replace({raw}, chr(8364), {chr(39)}{chr(39)})')}, ',', '')")
+
+
+def _cur_eu(raw: str) -> str:
+    s = _strip(f"replace({raw}, chr(8364), '')")
+    return _num(f"replace(replace({s}, '.', ''), ',', '.')")
+
+
+_ISO = "CAST(isoyear(d) AS VARCHAR) || lpad(CAST(week(d) AS VARCHAR), 2, '0')"
+_WEEK_TXT = f"""od AS (SELECT CAST(o_orderdate AS DATE) AS d FROM orders),
+txt AS (
+  SELECT 'iso' AS shape, {_ISO} AS raw FROM od
+  UNION ALL SELECT 'calendar', CAST(year(d) AS VARCHAR) || lpad(CAST(CAST(ceil(dayofyear(d) / 7) AS BIGINT) AS VARCHAR), 2, '0') FROM od
+  UNION ALL SELECT 'padded', ' ' || {_ISO} || ' ' FROM od
+  UNION ALL SELECT 'float', {_ISO} || '.0' FROM od
+  UNION ALL SELECT 'short', substr({_ISO}, 1, 5) FROM od
+  UNION ALL SELECT 'dashed', CAST(year(d) AS VARCHAR) || '-' || lpad(CAST(week(d) AS VARCHAR), 2, '0') FROM od
+  UNION ALL SELECT 'week0', CAST(year(d) AS VARCHAR) || '00' FROM od
+),
+p0 AS (SELECT shape, raw, count(*) AS n FROM txt GROUP BY shape, raw),
+p1 AS (SELECT *, {_strip('raw')} AS s FROM p0),
+p2 AS (
+  SELECT *, length(s) >= 6 AND regexp_full_match(s, '[0-9]+') AS ok,
+         TRY_CAST(substr(s, 1, 4) AS INTEGER) AS y, TRY_CAST(substr(s, 5) AS INTEGER) AS w FROM p1
+),
+p3 AS (
+  SELECT *, CASE WHEN ok AND y >= 1 AND w >= 1 AND w <= 53
+                 THEN CAST(CAST(date_trunc('week', make_date(y, 1, 4)) AS DATE) + 7 * (w - 1) AS DATE) END AS cand
+  FROM p2
+)"""
+SQL["parse_iso_week"] = (f"WITH {_WEEK_TXT}\nSELECT shape, raw, n, CASE WHEN cand IS NOT NULL AND week(cand) = w "
+                         f"AND isoyear(cand) = y THEN cand END AS week_start FROM p3")
+
+_MONEY_TXT = """li AS (
+  SELECT ext, whole, lpad(CAST(CAST((ext - whole) * 100 AS INTEGER) AS VARCHAR), 2, '0') AS cents,
+         whole // 1000 AS th, lpad(CAST(whole % 1000 AS VARCHAR), 3, '0') AS rest, CAST(ext AS VARCHAR) AS plain
+  FROM (SELECT CAST(l_extendedprice AS DECIMAL(18,2)) AS ext,
+               CAST(floor(CAST(l_extendedprice AS DECIMAL(18,2))) AS BIGINT) AS whole FROM lineitem) x
+),
+li2 AS (
+  SELECT *, CASE WHEN th > 0 THEN CAST(th AS VARCHAR) || ',' || rest ELSE CAST(whole AS VARCHAR) END AS us,
+            CASE WHEN th > 0 THEN CAST(th AS VARCHAR) || '.' || rest ELSE CAST(whole AS VARCHAR) END AS eu
+  FROM li
+),
+txt AS (
+  SELECT 'euro_us' AS shape, chr(8364) || ' ' || us || '.' || cents AS raw FROM li2
+  UNION ALL SELECT 'padded', ' ' || plain || ' ' FROM li2
+  UNION ALL SELECT 'signed', '+' || plain FROM li2
+  UNION ALL SELECT 'euro_eu', chr(8364) || ' ' || eu || ',' || cents FROM li2
+  UNION ALL SELECT 'suffix_d', plain || 'd' FROM li2
+  UNION ALL SELECT 'spaced_sign', '- ' || plain FROM li2
+  UNION ALL SELECT 'percent', plain || '%' FROM li2
+)"""
+
+
+def _tot(e: str) -> str:
+    return f"CAST(sum(CAST({e} AS {DEC})) AS DOUBLE)"
+
+
+SQL["clean_currency"] = f"""WITH {_MONEY_TXT}
+SELECT shape, count(*) AS n,
+  {rnd(_tot(_cur_us('raw')))} AS total_us,
+  {rnd(_tot(_cur_eu('raw')))} AS total_eu,
+  {rnd(_tot(_num(_strip("replace(raw, '%', '')"))))} AS total_pct,
+  {rnd(_tot(_num(_strip('raw'))))} AS total_num,
+  count(CASE WHEN {_cur_us('raw')} = 0 THEN 1 END) AS n_zero
+FROM txt GROUP BY shape"""
