@@ -135,3 +135,161 @@ def top_winner(bt_scored: DataFrame) -> DataFrame:
     w = Window.partitionBy("series_id").orderBy(F.desc("n"), F.asc("winner"))
     return c.withColumn("rk", F.row_number().over(w)).filter("rk = 1").select(
         "series_id", F.col("winner").alias("top_winner"), F.col("n").alias("wins"))
+
+
+# -- full walk-forward backtest: forest and additive arms ----------------------
+def _impute_from(train: DataFrame, rows: DataFrame, cols) -> DataFrame:
+    """A20 with training medians: fill ``cols`` of ``rows`` per series."""
+    med = train.groupBy("series_id").agg(*[F.median(c).alias("__m_" + c) for c in cols])
+    out = rows.join(med, "series_id", "left")
+    out = out.withColumns({c: F.coalesce(F.col(c), F.col("__m_" + c), F.lit(0.0)) for c in cols})
+    return out.drop(*["__m_" + c for c in cols])
+
+
+def rf_backtest(spark, df: DataFrame, orig: DataFrame, n_trees: int = 200, max_depth: int = 6,
+                parallelism: int = 4) -> DataFrame:
+    """Forest arm: for each origin week one pooled forest trained on every
+    series' rows strictly before it; the origin row is scored with its actual
+    spends and drivers (lag 1 / lag 4 are then the last training values).
+
+    The origin weeks are at most the Mondays of the backtest window (<= 53),
+    so their list is a bounded collect; fits run concurrently on the
+    cluster.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+    from functools import reduce
+
+    from ..functions.cleaning import week_cos, week_sin
+    from .forecast import BASE_FEATURES, DRIVERS, rf_fit
+    from .windows import lag_features
+
+    cols = list(BASE_FEATURES) + list(DRIVERS)
+    base = lag_features(df).withColumns({"week_sin": week_sin("iso_week"), "week_cos": week_cos("iso_week")})
+    base = base.select("series_id", "week_start", "net_sales", *cols).cache()
+    weeks = sorted(r[0] for r in orig.select("origin_week").distinct().collect())
+
+    def one(o):
+        train = base.filter(F.col("week_start") < F.lit(o))
+        model = rf_fit(_impute_from(train, train, cols), cols, n_trees=n_trees, max_depth=max_depth)
+        test = base.join(orig.filter(F.col("origin_week") == F.lit(o))
+                         .select("series_id", F.col("origin_week").alias("week_start")), ["series_id", "week_start"])
+        test = _impute_from(train, test, cols)
+        return model.transform(test).select("series_id", F.col("week_start").alias("origin_week"),
+                                            F.col("prediction").alias("pred_rf"))
+
+    with ThreadPoolExecutor(max_workers=parallelism) as ex:
+        parts = list(ex.map(one, weeks))
+    if not parts:
+        return spark.createDataFrame([], "series_id string, origin_week date, pred_rf double")
+    return reduce(DataFrame.unionByName, parts)
+
+
+ADD_BT_SCHEMA = "series_id string, origin_week date, pred_additive double"
+
+
+def _additive_bt_group(pdf):
+    import pandas as pd
+
+    from .forecast import _fit_predict
+
+    pdf = pdf.sort_values("week_start").reset_index(drop=True)
+    rows = []
+    for i in pdf.index[pdf["is_origin"]]:
+        train = pdf.iloc[:i]
+        yhat, _, _ = _fit_predict(train, pdf.iloc[i:i + 1])
+        rows.append((pdf.at[i, "series_id"], pdf.at[i, "week_start"], float(yhat[0])))
+    return pd.DataFrame(rows, columns=["series_id", "origin_week", "pred_additive"])
+
+
+def additive_backtest(spark, df: DataFrame, orig: DataFrame) -> DataFrame:
+    """Additive arm: per series (one ``applyInPandas`` group of weekly rows),
+    one ridge fit per origin on the rows before it."""
+    from .forecast import REG_COLS, additive_design
+
+    flag = orig.select("series_id", F.col("origin_week").alias("week_start"), F.lit(True).alias("is_origin"))
+    x = df.select("series_id", "week_start", F.col("net_sales").alias("y"), *REG_COLS)
+    x = x.join(flag, ["series_id", "week_start"], "left").withColumn(
+        "is_origin", F.coalesce(F.col("is_origin"), F.lit(False)))
+    return additive_design(spark, x).groupBy("series_id").applyInPandas(_additive_bt_group, ADD_BT_SCHEMA)
+
+
+def backtest(spark, df: DataFrame, months: int = 12, min_train: int = 20, n_trees: int = 200) -> DataFrame:
+    """F6 + F7 + F8: all four arms at every origin, scored, with the winner."""
+    o = origins(df, months, min_train)
+    seas = seasonal_predictions(df).withColumnRenamed("week_start", "origin_week")
+    rf = rf_backtest(spark, df, o, n_trees=n_trees)
+    add = additive_backtest(spark, df, o)
+    j = (o.join(seas, ["series_id", "origin_week"]).join(rf, ["series_id", "origin_week"], "left")
+         .join(add, ["series_id", "origin_week"], "left"))
+    j = j.withColumn("pred_ensemble", (F.col("pred_rf") + F.col("pred_additive")) / 2.0)
+    return score_models(j).withColumns({"year": F.year("origin_week"), "month_num": F.month("origin_week")})
+
+
+def validate_weeks(spark, df: DataFrame, model, overrides: DataFrame | None = None) -> DataFrame:
+    """F11 + F12: score every historical week with the forest and the
+    additive model (spends / actual optionally overridden), ensemble,
+    accuracy % with tiers (> 92 excellent, > 85 good, else deviation) and
+    anomaly flags for deviating weeks."""
+    from ..functions.cleaning import week_cos, week_sin
+    from .forecast import BASE_FEATURES, DRIVERS, REG_COLS, _fit_predict, additive_design
+
+    w = w_series()
+    n_before = F.row_number().over(w) - 1
+    x = df.select("series_id", "week_start", "iso_week", "net_sales", *REG_COLS, n_before.alias("n_before"),
+                  F.lag("net_sales", 1).over(w).alias("l1"), F.lag("net_sales", 4).over(w).alias("l4"))
+    if overrides is not None:
+        ov = overrides.select("series_id", "week_start", F.col("spend_a").alias("o_a"),
+                              F.col("spend_b").alias("o_b"), F.col("actual").alias("o_y"))
+        x = x.join(ov, ["series_id", "week_start"], "left").withColumns({
+            "spend_a": F.coalesce("o_a", "spend_a"), "spend_b": F.coalesce("o_b", "spend_b"),
+            "actual": F.coalesce("o_y", "net_sales")}).drop("o_a", "o_b", "o_y")
+    else:
+        x = x.withColumn("actual", F.col("net_sales"))
+    x = x.withColumns({
+        "week_sin": week_sin("iso_week"), "week_cos": week_cos("iso_week"),
+        "lag_1": F.when(F.col("n_before") > 0, F.col("l1")).otherwise(F.col("net_sales")),
+        "lag_4": F.when(F.col("n_before") > 3, F.col("l4")).otherwise(F.col("net_sales")),
+    })
+    rf = model.transform(x.select("series_id", "week_start", *BASE_FEATURES, *DRIVERS)).select(
+        "series_id", "week_start", F.col("prediction").alias("pred_rf"))
+    hist = df.select("series_id", "week_start", F.col("net_sales").alias("y"), *REG_COLS).withColumn(
+        "kind", F.lit("hist"))
+    tgt = x.select("series_id", "week_start", F.lit(None).cast("double").alias("y"), *REG_COLS).withColumn(
+        "kind", F.lit("target"))
+
+    def group(pdf):
+        import pandas as pd
+        h = pdf[pdf["kind"] == "hist"].sort_values("week_start")
+        t = pdf[pdf["kind"] == "target"]
+        yhat, _, _ = _fit_predict(h, t)
+        return pd.DataFrame({"series_id": t["series_id"].to_numpy(), "week_start": t["week_start"].to_numpy(),
+                             "pred_additive": yhat})
+
+    add = additive_design(spark, hist.unionByName(tgt)).groupBy("series_id").applyInPandas(
+        group, "series_id string, week_start date, pred_additive double")
+    v = x.select("series_id", "week_start", "actual", "spend_a", "cpc_a").join(rf, ["series_id", "week_start"]) \
+        .join(add, ["series_id", "week_start"])
+    v = v.withColumn("pred_ensemble", (F.col("pred_rf") + F.col("pred_additive")) / 2.0)
+    acc = F.when(F.col("actual") > 0, (F.lit(1.0) - F.abs(F.col("pred_ensemble") - F.col("actual"))
+                                       / F.col("actual")) * 100.0)
+    v = v.withColumn("accuracy_pct", acc)
+    v = v.withColumn("tier", F.when(F.col("accuracy_pct") > 92, "excellent")
+                     .when(F.col("accuracy_pct") > 85, "good")
+                     .when(F.col("accuracy_pct").isNotNull(), "deviation"))
+    ws = Window.partitionBy("series_id")
+    share_mean = (F.avg("spend_a").over(ws) / F.avg("actual").over(ws))
+    dev = F.col("tier") == "deviation"
+    return v.withColumns({
+        "flag_low_spend_share": dev & (F.try_divide(F.col("spend_a"), F.col("actual")) < share_mean * 0.8),
+        "flag_cpc": dev & (F.col("cpc_a") > F.avg("cpc_a").over(ws) * 1.3),
+        "flag_unseen_factors": dev,
+    })
+
+
+def backtest_month_year(bt_scored: DataFrame, measure: str) -> DataFrame:
+    """A15 in long form: mean of ``measure`` per (series, month, year) with its
+    accuracy band (F13); pivot with :func:`backtest_pivot` for display."""
+    x = bt_scored.withColumns({"year": F.year("origin_week"), "month_num": F.month("origin_week"),
+                               "month": F.date_format("origin_week", "MMM")})
+    g = x.groupBy("series_id", "year", "month_num", "month").agg(F.avg(measure).alias("value"))
+    return g.withColumn("band", accuracy_band("value")) if measure.startswith("acc") else g

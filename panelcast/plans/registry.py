@@ -207,3 +207,88 @@ def q_weekly_history(spark, sf_dir):
 def q_channel_history(spark, sf_dir):
     from ..sources.sinks import channel_history
     return round_doubles(channel_history(_wf(spark, sf_dir)))
+
+
+# -- forecasting and backtest (rows-only checks) ------------------------------
+from ..operators import forecast as fc  # noqa: E402
+from .models import backtest_result, forecast_bundle  # noqa: E402
+
+
+@register("rf_forecast")
+def q_rf_forecast(spark, sf_dir):
+    return round_doubles(forecast_bundle(spark, sf_dir).rf)
+
+
+@register("rf_importance")
+def q_rf_importance(spark, sf_dir):
+    b = forecast_bundle(spark, sf_dir)
+    return round_doubles(fc.rf_importance(spark, b.model))
+
+
+@register("additive_forecast")
+def q_additive_forecast(spark, sf_dir):
+    return round_doubles(forecast_bundle(spark, sf_dir).additive)
+
+
+@register("ensemble_forecast")
+def q_ensemble_forecast(spark, sf_dir):
+    b = forecast_bundle(spark, sf_dir)
+    return round_doubles(fc.ensemble(b.rf, b.additive))
+
+
+@register("consensus")
+def q_consensus(spark, sf_dir):
+    b = forecast_bundle(spark, sf_dir)
+    rel = backtest.reliability(backtest_result(spark, sf_dir))
+    return round_doubles(fc.consensus(fc.ensemble(b.rf, b.additive), rel))
+
+
+@register("timeline")
+def q_timeline(spark, sf_dir):
+    b = forecast_bundle(spark, sf_dir)
+    return round_doubles(fc.timeline(b.wf, b.rf, b.additive, b.projection))
+
+
+@register("allocation")
+def q_allocation(spark, sf_dir):
+    b = forecast_bundle(spark, sf_dir)
+    strat = scenario.strategy(recent.recent_kpis(b.wf), trailing_growth(b.wf))
+    budget = scenario.safe_budget(b.projection, strat)
+    return round_doubles(fc.allocate(b.importances, recent.channel_signals(b.wf), budget))
+
+
+@register("validate_weeks")
+def q_validate_weeks(spark, sf_dir):
+    b = forecast_bundle(spark, sf_dir)
+    return round_doubles(backtest.validate_weeks(spark, b.wf, b.model))
+
+
+@register("backtest")
+def q_backtest(spark, sf_dir):
+    return round_doubles(backtest_result(spark, sf_dir))
+
+
+@register("backtest_summary")
+def q_backtest_summary(spark, sf_dir):
+    return round_doubles(backtest.backtest_summary(backtest_result(spark, sf_dir)))
+
+
+@register("reliability")
+def q_reliability(spark, sf_dir):
+    return round_doubles(backtest.reliability(backtest_result(spark, sf_dir)))
+
+
+@register("winner_pivot")
+def q_winner_pivot(spark, sf_dir):
+    return backtest.first_winner(backtest_result(spark, sf_dir))
+
+
+@register("top_winner")
+def q_top_winner(spark, sf_dir):
+    return backtest.top_winner(backtest_result(spark, sf_dir))
+
+
+@register("accuracy_pivot")
+def q_accuracy_pivot(spark, sf_dir):
+    b = backtest_result(spark, sf_dir)
+    return round_doubles(backtest.backtest_month_year(b, "acc_ensemble"))
