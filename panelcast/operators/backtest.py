@@ -147,7 +147,7 @@ def _impute_from(train: DataFrame, rows: DataFrame, cols) -> DataFrame:
 
 
 def rf_backtest(spark, df: DataFrame, orig: DataFrame, n_trees: int = 200, max_depth: int = 6,
-                parallelism: int = 4) -> DataFrame:
+                parallelism: int = 8) -> DataFrame:
     """Forest arm: for each origin week one pooled forest trained on every
     series' rows strictly before it; the origin row is scored with its actual
     spends and drivers (lag 1 / lag 4 are then the last training values).

@@ -68,7 +68,7 @@ def rf_fit(train: DataFrame, features=BASE_FEATURES + DRIVERS, n_trees: int = 30
     va = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     rf = RandomForestRegressor(labelCol="net_sales", featuresCol="features", numTrees=n_trees,
                                maxDepth=max_depth, minInstancesPerNode=min_instances,
-                               featureSubsetStrategy="all", seed=seed)
+                               featureSubsetStrategy="all", seed=seed, maxMemoryInMB=1024)
     return Pipeline(stages=[va, rf]).fit(train)
 
 

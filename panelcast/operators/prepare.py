@@ -45,10 +45,11 @@ def collapse_duplicate_weeks(df: DataFrame) -> DataFrame:
     return df.groupBy(*KEYS).agg(*extra, *aggs)
 
 
-def fill_zero(df: DataFrame) -> DataFrame:
-    """NULL -> 0 in the base measures present in the input."""
-    present = [c for c in BASE_MEASURES if c in df.columns]
-    return df.na.fill(0.0, subset=present)
+def fill_zero(df: DataFrame, present: list[str] | None = None) -> DataFrame:
+    """NULL -> 0 in the base measures present in the input (columns the
+    input never had stay NULL)."""
+    cols = [c for c in (present if present is not None else BASE_MEASURES) if c in df.columns]
+    return df.na.fill(0.0, subset=cols)
 
 
 def derive_metrics(df: DataFrame, econ: Economics = TABLE_ECONOMICS) -> DataFrame:
@@ -58,7 +59,9 @@ def derive_metrics(df: DataFrame, econ: Economics = TABLE_ECONOMICS) -> DataFram
     (ROAS) and 0 where it fills (MER, return rate, cost of sales).
     """
     ppo = economics_columns(econ)["profit_per_order"]
-    orders = F.col("orders") if "orders" in df.columns else F.greatest(F.col("total_sales"), F.lit(0.0)) / F.lit(econ.aov)
+    # without an orders column, orders = net sales / AOV
+    fallback = F.greatest(F.col("total_sales"), F.lit(0.0)) / F.lit(float(econ.aov))
+    orders = F.coalesce(F.col("orders"), fallback) if "orders" in df.columns else fallback
     net_sales = F.greatest(F.col("total_sales"), F.lit(0.0))
     ad_spend = F.nullif(F.col("spend_a") + F.col("spend_b"), F.lit(0.0))
     out = df.withColumns({"net_sales": net_sales, "ad_spend": ad_spend})
