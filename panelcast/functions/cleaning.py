@@ -21,8 +21,12 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Characters removed at both ends of a cell (Python's whitespace).
+STRIP_CHARS = " \t\n\r\x0b\x0c"
+
+
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.trim(c, F.lit(STRIP_CHARS))
 
 
 def _to_number(s: Column) -> Column:

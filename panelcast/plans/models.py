@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import backtest as bt
 from ..operators import forecast as fc
-from ..operators.prepare import weekly_fact
+from ..operators.prepare import weekly_panel
 from ..operators.scenario import project_baseline
 from ..session import checkpoint_dir
 
@@ -39,7 +39,7 @@ def forecast_bundle(spark: SparkSession, sf_dir: str, grain: str = "segment", n_
     k = _key(spark, sf_dir, grain, ("fc", n_trees))
     if k not in _BUNDLES:
         checkpoint_dir(spark)
-        wf = weekly_fact(spark, sf_dir, grain).cache()
+        wf = weekly_panel(spark, sf_dir, grain)
         feats = fc.rf_features(wf).cache()
         model = fc.rf_fit(feats, n_trees=n_trees)
         imp = model.stages[-1].featureImportances.toArray().tolist()
@@ -55,7 +55,7 @@ def backtest_result(spark: SparkSession, sf_dir: str, grain: str = "segment", n_
     k = _key(spark, sf_dir, grain, ("bt", n_trees))
     if k not in _BUNDLES:
         checkpoint_dir(spark)
-        wf = weekly_fact(spark, sf_dir, grain).cache()
+        wf = weekly_panel(spark, sf_dir, grain)
         res = bt.backtest(spark, wf, n_trees=n_trees).checkpoint(eager=True)
         _BUNDLES[k] = res
     return _BUNDLES[k]

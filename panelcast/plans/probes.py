@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import clean_currency, clean_number, clean_percentage, parse_iso_week
 from ..functions.exact import SUM_TYPE
-from ..sources.tables import load
+from ..sources.tables import load, spread
 
 
 def _pad2(c):
@@ -35,7 +35,8 @@ def week_text(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.concat(F.year(d).cast("string"), F.lit("-"), _pad2(F.weekofyear(d))).alias("raw")),
         F.struct(F.lit("week0").alias("shape"), F.concat(F.year(d).cast("string"), F.lit("00")).alias("raw")),
     )
-    return load(spark, sf_dir, "orders").select(F.explode(shapes).alias("s")).select("s.*")
+    return spread(load(spark, sf_dir, "orders").select("o_orderdate")).select(
+        F.explode(shapes).alias("s")).select("s.*")
 
 
 def parse_iso_week_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,38 +47,46 @@ def parse_iso_week_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def money_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line prices rendered as money text in seven shapes."""
+    """Line prices rendered as money text in seven shapes.  The shared pieces
+    (plain text, thousands groups, cents) are projected once per line before
+    the explode."""
     ext = F.col("l_extendedprice").cast("decimal(18,2)")
     whole = F.floor(ext).cast("bigint")
-    cents = F.lpad(((ext - whole) * 100).cast("int").cast("string"), 2, "0")
-    th, rest = (whole / 1000).cast("bigint"), F.lpad((whole % 1000).cast("string"), 3, "0")
-    plain = ext.cast("string")
-    us = F.when(th > 0, F.concat(th.cast("string"), F.lit(","), rest)).otherwise(whole.cast("string"))
-    eu = F.when(th > 0, F.concat(th.cast("string"), F.lit("."), rest)).otherwise(whole.cast("string"))
+    base = spread(load(spark, sf_dir, "lineitem").select(ext.alias("ext"), whole.alias("whole")))
+    th = (F.col("whole") / 1000).cast("bigint")
+    rest = F.lpad((F.col("whole") % 1000).cast("string"), 3, "0")
+    parts = base.select(
+        F.col("ext").cast("string").alias("plain"),
+        F.lpad(((F.col("ext") - F.col("whole")) * 100).cast("int").cast("string"), 2, "0").alias("cents"),
+        F.when(th > 0, F.concat(th.cast("string"), F.lit(","), rest)).otherwise(F.col("whole").cast("string"))
+        .alias("us"),
+        F.when(th > 0, F.concat(th.cast("string"), F.lit("."), rest)).otherwise(F.col("whole").cast("string"))
+        .alias("eu"))
+    plain, cents = F.col("plain"), F.col("cents")
     shapes = F.array(
-        F.struct(F.lit("euro_us").alias("shape"), F.concat(F.lit("€ "), us, F.lit("."), cents).alias("raw")),
+        F.struct(F.lit("euro_us").alias("shape"), F.concat(F.lit("€ "), F.col("us"), F.lit("."), cents).alias("raw")),
         F.struct(F.lit("padded").alias("shape"), F.concat(F.lit(" "), plain, F.lit(" ")).alias("raw")),
         F.struct(F.lit("signed").alias("shape"), F.concat(F.lit("+"), plain).alias("raw")),
-        F.struct(F.lit("euro_eu").alias("shape"), F.concat(F.lit("€ "), eu, F.lit(","), cents).alias("raw")),
+        F.struct(F.lit("euro_eu").alias("shape"), F.concat(F.lit("€ "), F.col("eu"), F.lit(","), cents).alias("raw")),
         F.struct(F.lit("suffix_d").alias("shape"), F.concat(plain, F.lit("d")).alias("raw")),
         F.struct(F.lit("spaced_sign").alias("shape"), F.concat(F.lit("- "), plain).alias("raw")),
         F.struct(F.lit("percent").alias("shape"), F.concat(plain, F.lit("%")).alias("raw")),
     )
-    return load(spark, sf_dir, "lineitem").select(F.explode(shapes).alias("s")).select("s.*")
+    return parts.select(F.explode(shapes).alias("s")).select("s.*")
 
 
 def clean_currency_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P1/P2/P3 over every line price in every shape, totals per shape."""
-    t = money_text(spark, sf_dir)
+    t = money_text(spark, sf_dir).select(
+        "shape", clean_currency("raw").alias("us"), clean_currency("raw", decimal=",").alias("eu"),
+        clean_percentage("raw").alias("pct"), clean_number("raw").alias("num"))
 
     def tot(c):
-        return F.sum(c.cast(SUM_TYPE)).cast("double")
+        return F.sum(F.col(c).cast(SUM_TYPE)).cast("double")
 
     return t.groupBy("shape").agg(
         F.count(F.lit(1)).alias("n"),
-        tot(clean_currency("raw")).alias("total_us"),
-        tot(clean_currency("raw", decimal=",")).alias("total_eu"),
-        tot(clean_percentage("raw")).alias("total_pct"),
-        tot(clean_number("raw")).alias("total_num"),
-        F.count(F.when(clean_currency("raw") == 0, 1)).alias("n_zero"),
+        tot("us").alias("total_us"), tot("eu").alias("total_eu"),
+        tot("pct").alias("total_pct"), tot("num").alias("total_num"),
+        F.count(F.when(F.col("us") == 0, 1)).alias("n_zero"),
     )

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.exact import round_doubles
 from ..operators import lfl
-from ..operators.prepare import weekly_fact
+from ..operators.prepare import weekly_fact, weekly_panel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 GRAIN = "segment"
@@ -27,17 +27,19 @@ def register(name: str):
 
 
 def _wf(spark, sf_dir, grain=GRAIN):
-    return weekly_fact(spark, sf_dir, grain)
+    """The materialised weekly panel every analysis starts from."""
+    return weekly_panel(spark, sf_dir, grain)
 
 
 @register("weekly_fact")
 def q_weekly_fact(spark, sf_dir):
-    return round_doubles(_wf(spark, sf_dir))
+    """The rollup itself, always from the raw tables."""
+    return round_doubles(weekly_fact(spark, sf_dir, GRAIN))
 
 
 @register("weekly_fact_nation")
 def q_weekly_fact_nation(spark, sf_dir):
-    return round_doubles(_wf(spark, sf_dir, "nation"))
+    return round_doubles(weekly_fact(spark, sf_dir, "nation"))
 
 
 @register("lfl_growth")

@@ -613,7 +613,7 @@ _NUM = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
 
 
 def _strip(e: str) -> str:
-    return f"regexp_replace({e}, '^\\s+|\\s+$', '', 'g')"
+    return f"trim({e}, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))"
 
 
 def _num(s: str) -> str:

@@ -49,16 +49,33 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan over the cluster's cores when it arrives in fewer
+    partitions than cores (a small table stored as one row group).  Large
+    inputs already have many splits and are returned unchanged, so this never
+    adds a shuffle at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def _money(c) -> F.Column:
     """Round an exact decimal total to cents, then hand it on as double."""
     return c.cast(MONEY).cast("double")
 
 
+LINE_COLS = ("l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
+             "l_linestatus")
+
+
 def order_line_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-order line aggregates (one row per ``l_orderkey``)."""
-    li = load(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-        "l_returnflag", "l_linestatus")
+    return line_totals(spread(load(spark, sf_dir, "lineitem").select(*LINE_COLS)))
+
+
+def line_totals(li: DataFrame) -> DataFrame:
+    """Per-order aggregates of any set of order lines (batch or micro-batch)."""
     ext = F.col("l_extendedprice").cast(MONEY)
     disc = F.lit(DISCOUNT_FACTOR).cast("decimal(2,1)") * ext * F.col("l_discount").cast(RATE)
     net = ext - disc
@@ -109,13 +126,15 @@ def _series_orders(spark: SparkSession, sf_dir: str, grain: str) -> DataFrame:
     return orders.join(cust, "custkey")
 
 
-def weekly_rollup(spark: SparkSession, sf_dir: str, grain: str = "segment") -> DataFrame:
+def weekly_rollup(spark: SparkSession, sf_dir: str, grain: str = "segment",
+                  lines: DataFrame | None = None) -> DataFrame:
     """Order lines -> raw weekly fact (F-2 base measures, before P8/P9).
 
     Channel measures are stand-ins (see FIXTURES.md): channel ``a`` = open
-    lines, ``b`` = finished lines; spend = k * ext * tax.
+    lines, ``b`` = finished lines; spend = k * ext * tax.  ``lines`` may be
+    given as per-order totals (e.g. merged streaming increments).
     """
-    lines = order_line_totals(spark, sf_dir)
+    lines = order_line_totals(spark, sf_dir) if lines is None else lines
     facts = _series_orders(spark, sf_dir, grain).join(lines, "orderkey")
     k = F.col("k").cast("decimal(4,0)")
     # Stage 1: per (series, week, customer); combines map-side.
