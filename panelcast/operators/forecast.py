@@ -88,42 +88,64 @@ def _stress_map(scenarios):
 
 
 def rf_forecast(spark: SparkSession, model, feats: DataFrame, projection: DataFrame,
-                scenarios=PRESETS + (AUTO,), drivers=DRIVERS) -> DataFrame:
+                scenarios=PRESETS + (AUTO,), drivers=DRIVERS, chunk: int = 1) -> DataFrame:
     """recursive one-week-ahead forecast for every (series, scenario).
 
     Spends come from the projection (D2); drivers are the last-4-week means;
     lag 1 / lag 4 are carried as four state values (true lag 4), seeded with
     the last four actual weeks.  The prediction is multiplied by the
     scenario's stress multiplier and fed back into the lags.
+
+    The state holds one row per (series, scenario) with the whole future
+    path of spends as arrays (bounded by the horizon), so a step is a
+    projection + ``transform`` with no join.  Every ``chunk`` steps the
+    results are written to the shared checkpoint folder and read back, which
+    cuts the lineage: the plan stays bounded and a lost executor recomputes
+    at most one chunk.  Within a chunk a step's prefix is recomputed per
+    output (a few ``transform`` calls on one row per series and scenario).
     """
-    checkpoint_dir(spark)
+    import uuid
+
+    base_dir = f"{checkpoint_dir(spark).rstrip('/')}/panelcast-rf-{uuid.uuid4().hex}"
     r = recency_rank(feats).filter(F.col("rn_desc") <= 4)
     seed = r.groupBy("series_id").agg(
         *[F.max(F.when(F.col("rn_desc") == k, F.col("net_sales"))).alias(f"s{k}") for k in (1, 2, 3, 4)])
     seed = seed.withColumns({"s2": F.coalesce("s2", "s1"), "s3": F.coalesce("s3", "s2", "s1"),
                              "s4": F.coalesce("s4", "s3", "s2", "s1")})
     seed = seed.join(driver_means(feats, 4, drivers), "series_id")
-    proj = projection.select("series_id", "scenario_id", "step", "week_start", "iso_week", "spend_a", "spend_b")
-    stress = _stress_map(scenarios)
+    path = projection.groupBy("series_id", "scenario_id").agg(F.sort_array(F.collect_list(F.struct(
+        "step", "week_start", "iso_week", "spend_a", "spend_b"))).alias("path"))
+    state = path.join(seed, "series_id").withColumn(
+        "stress", _stress_map(scenarios)[F.col("scenario_id")])
     horizon = max(int(s.months * 4.34) for s in scenarios)
-    outs, state = [], None
-    for h in range(1, horizon + 1):
-        p = proj.filter(F.col("step") == h)
-        cur = p.join(seed, "series_id") if state is None else p.join(state, ["series_id", "scenario_id"])
-        cur = cur.withColumns({"week_sin": week_sin("iso_week"), "week_cos": week_cos("iso_week"),
-                               "lag_1": F.col("s1"), "lag_4": F.col("s4")})
-        pred = model.transform(cur).withColumn("pred_rf", F.col("prediction") * stress[F.col("scenario_id")])
-        step = pred.select("series_id", "scenario_id", "step", "week_start", "spend_a", "spend_b", "pred_rf",
+    keep = ["series_id", "scenario_id", "path", "stress", *drivers]
+
+    def advance(st: DataFrame, h: int) -> DataFrame:
+        at = F.element_at("path", h)
+        cur = st.filter(F.size("path") >= h).select(
+            *keep, "s1", "s2", "s3",
+            at["step"].alias("step"), at["week_start"].alias("week_start"),
+            at["spend_a"].alias("spend_a"), at["spend_b"].alias("spend_b"),
+            week_sin(at["iso_week"]).alias("week_sin"), week_cos(at["iso_week"]).alias("week_cos"),
+            F.col("s1").alias("lag_1"), F.col("s4").alias("lag_4"))
+        pred = model.transform(cur).withColumn("pred_rf", F.col("prediction") * F.col("stress"))
+        return pred.select(*keep, "step", "week_start", "pred_rf",
+                           (F.col("spend_a") + F.col("spend_b")).alias("spend_total"),
                            F.col("pred_rf").alias("s1"), F.col("s1").alias("s2"), F.col("s2").alias("s3"),
-                           F.col("s3").alias("s4"), *drivers)
-        # cut the lineage every step: the next step's plan stays constant in
-        # size and a lost executor recomputes at most one step
-        cached = step.persist()
-        step = cached.checkpoint(eager=True)
-        cached.unpersist()
-        outs.append(step.select("series_id", "scenario_id", "step", "week_start", "pred_rf",
-                                (F.col("spend_a") + F.col("spend_b")).alias("spend_total")))
-        state = step.drop("step", "week_start", "spend_a", "spend_b", "pred_rf")
+                           F.col("s3").alias("s4"))
+
+    outs = []
+    for first in range(1, horizon + 1, chunk):
+        last = min(first + chunk - 1, horizon)
+        frames, st = [], state
+        for h in range(first, last + 1):
+            st = advance(st, h)
+            frames.append(st)
+        chunk_path = f"{base_dir}/chunk={first}"
+        reduce(DataFrame.unionByName, frames).write.mode("overwrite").parquet(chunk_path)
+        written = spark.read.parquet(chunk_path)
+        outs.append(written.select("series_id", "scenario_id", "step", "week_start", "pred_rf", "spend_total"))
+        state = written.filter(F.col("step") == last).drop("step", "week_start", "pred_rf", "spend_total")
     return reduce(DataFrame.unionByName, outs)
 
 

@@ -33,8 +33,8 @@ def _wf(spark, sf_dir, grain=GRAIN):
 
 @register("weekly_fact")
 def q_weekly_fact(spark, sf_dir):
-    """The rollup itself, always from the raw tables."""
-    return round_doubles(weekly_fact(spark, sf_dir, GRAIN))
+    """The rollup from the raw tables, materialised as the shared panel."""
+    return round_doubles(weekly_panel(spark, sf_dir, GRAIN))
 
 
 @register("weekly_fact_nation")
