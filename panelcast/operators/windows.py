@@ -78,3 +78,10 @@ def origin_lags(df: DataFrame, col: str = "net_sales") -> DataFrame:
     l1 = F.lag(col, 1).over(w_series())
     l4 = F.lag(col, 4).over(w_series())
     return df.withColumns({"o_lag_1": l1, "o_lag_4": F.when(n_before > 4, l4).otherwise(l1)})
+
+
+def first_per_key(df: DataFrame, keys, order_col: str = "week_start") -> DataFrame:
+    """O3: the first row per key by ``order_col`` (duplicates ignored)."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    w = Window.partitionBy(*keys).orderBy(order_col)
+    return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1).drop("__rn")

@@ -232,8 +232,8 @@ def q_additive_forecast(spark, sf_dir):
     return round_doubles(forecast_bundle(spark, sf_dir).additive)
 
 
-@register("ensemble_forecast")
-def q_ensemble_forecast(spark, sf_dir):
+@register("ensemble")
+def q_ensemble(spark, sf_dir):
     b = forecast_bundle(spark, sf_dir)
     return round_doubles(fc.ensemble(b.rf, b.additive))
 
