@@ -3,8 +3,8 @@
 Each statement recomputes the weekly fact from the raw tables with the same
 arithmetic contract as the Spark plans: decimals until totals are final, one
 double conversion, explicit DOUBLE literals (DuckDB reads ``0.6`` as a
-DECIMAL), ``nullif`` on every divisor, and ``round(…, 6)`` on every double
-output column.
+DECIMAL), ``nullif`` on every divisor, and :func:`rnd` (Spark's half-up
+rounding of the shortest decimal form) on every double output column.
 """
 
 from __future__ import annotations
@@ -95,26 +95,26 @@ wf_raw AS (
     coalesce(total_sales, 0) AS total_sales, coalesce(gross_sales, 0) AS gross_sales,
     coalesce(discounts, 0) AS discounts, coalesce(returns, 0) AS returns,
     coalesce(orders, 0) AS orders, coalesce(CAST(items AS DOUBLE), 0) AS items,
-    coalesce(CAST(round(CAST(CAST((total_sales / nullif(orders, 0)) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), 0) AS aov,
-    coalesce(CAST(round(CAST(CAST((CAST(n_urgent AS DOUBLE) * {d(100.0)} / nullif(orders, 0)) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), 0) AS returning_rate_pct,
+    coalesce({rnd("total_sales / nullif(orders, 0)")}, 0) AS aov,
+    coalesce({rnd(f"CAST(n_urgent AS DOUBLE) * {d(100.0)} / nullif(orders, 0)")}, 0) AS returning_rate_pct,
     coalesce(conv_value_a, 0) AS conv_value_a, coalesce(conv_value_b, 0) AS conv_value_b,
-    coalesce(CAST(round(CAST(CAST((spend_a / nullif(CAST(lines_a AS DOUBLE), 0)) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), 0) AS cpc_a,
-    coalesce(CAST(round(CAST(CAST((spend_b / nullif(CAST(lines_b AS DOUBLE), 0)) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), 0) AS cpc_b,
-    coalesce(CAST(round(CAST(CAST((spend_b * {d(1000.0)} / nullif(qty_b, 0)) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), 0) AS cpm_b,
+    coalesce({rnd("spend_a / nullif(CAST(lines_a AS DOUBLE), 0)")}, 0) AS cpc_a,
+    coalesce({rnd("spend_b / nullif(CAST(lines_b AS DOUBLE), 0)")}, 0) AS cpc_b,
+    coalesce({rnd(f"spend_b * {d(1000.0)} / nullif(qty_b, 0)")}, 0) AS cpm_b,
     coalesce(CAST(impressions_a AS DOUBLE), 0) AS impressions_a,
-    coalesce(CAST(round(CAST(CAST((CAST(lines_b AS DOUBLE) * {d(0.6)} / nullif(CAST(cust_b AS DOUBLE), 0)) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), 0) AS frequency_b
+    coalesce({rnd(f"CAST(lines_b AS DOUBLE) * {d(0.6)} / nullif(CAST(cust_b AS DOUBLE), 0)")}, 0) AS frequency_b
   FROM wf_week
 ),
 wf AS (
   SELECT *,
     greatest(total_sales, {d(0.0)}) AS net_sales,
     nullif(spend_a + spend_b, {d(0.0)}) AS ad_spend,
-    CAST(round(CAST(CAST((coalesce(total_sales / nullif(spend_a + spend_b, {d(0.0)}), 0)) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS mer,
-    CAST(round(CAST(CAST((coalesce(abs(returns) / nullif(total_sales, 0) * {d(100.0)}, 0)) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS return_rate_pct,
-    CAST(round(CAST(CAST((coalesce(nullif(spend_a + spend_b, {d(0.0)}) / nullif(greatest(total_sales, {d(0.0)}), 0) * {d(100.0)}, 0)) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS cost_of_sales_pct,
-    CAST(round(CAST(CAST((orders * {ppo} - nullif(spend_a + spend_b, {d(0.0)})) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS op_profit,
-    CAST(round(CAST(CAST((conv_value_a / nullif(spend_a, 0)) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS roas_a,
-    CAST(round(CAST(CAST((conv_value_b / nullif(spend_b, 0)) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS roas_b
+    {rnd(f"coalesce(total_sales / nullif(spend_a + spend_b, {d(0.0)}), 0)")} AS mer,
+    {rnd(f"coalesce(abs(returns) / nullif(total_sales, 0) * {d(100.0)}, 0)")} AS return_rate_pct,
+    {rnd(f"coalesce(nullif(spend_a + spend_b, {d(0.0)}) / nullif(greatest(total_sales, {d(0.0)}), 0) * {d(100.0)}, 0)")} AS cost_of_sales_pct,
+    {rnd(f"orders * {ppo} - nullif(spend_a + spend_b, {d(0.0)})")} AS op_profit,
+    {rnd("conv_value_a / nullif(spend_a, 0)")} AS roas_a,
+    {rnd("conv_value_b / nullif(spend_b, 0)")} AS roas_b
   FROM wf_raw
 )"""
 

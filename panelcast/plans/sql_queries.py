@@ -6,16 +6,12 @@ from .oracle import d, rnd, with_wf
 
 SQL: dict[str, str] = {}
 
-WF_COLS = """series_id, week_start, iso_year, iso_week, period_label,
-  CAST(round(CAST(CAST((spend_a) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS spend_a, CAST(round(CAST(CAST((spend_b) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS spend_b, CAST(round(CAST(CAST((total_sales) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS total_sales,
-  CAST(round(CAST(CAST((gross_sales) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS gross_sales, CAST(round(CAST(CAST((discounts) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS discounts, CAST(round(CAST(CAST((returns) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS returns,
-  CAST(round(CAST(CAST((orders) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS orders, CAST(round(CAST(CAST((items) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS items, CAST(round(CAST(CAST((aov) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS aov,
-  CAST(round(CAST(CAST((returning_rate_pct) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS returning_rate_pct, CAST(round(CAST(CAST((conv_value_a) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS conv_value_a,
-  CAST(round(CAST(CAST((conv_value_b) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS conv_value_b, CAST(round(CAST(CAST((cpc_a) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS cpc_a, CAST(round(CAST(CAST((cpc_b) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS cpc_b,
-  CAST(round(CAST(CAST((cpm_b) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS cpm_b, CAST(round(CAST(CAST((impressions_a) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS impressions_a, CAST(round(CAST(CAST((frequency_b) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS frequency_b,
-  CAST(round(CAST(CAST((net_sales) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS net_sales, CAST(round(CAST(CAST((ad_spend) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS ad_spend, CAST(round(CAST(CAST((mer) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS mer,
-  CAST(round(CAST(CAST((return_rate_pct) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS return_rate_pct, CAST(round(CAST(CAST((cost_of_sales_pct) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS cost_of_sales_pct,
-  CAST(round(CAST(CAST((op_profit) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS op_profit, CAST(round(CAST(CAST((roas_a) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS roas_a, CAST(round(CAST(CAST((roas_b) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS roas_b"""
+WF_COLS = "series_id, week_start, iso_year, iso_week, period_label, " + ", ".join(
+    f"{rnd(c)} AS {c}" for c in (
+        "spend_a", "spend_b", "total_sales", "gross_sales", "discounts", "returns", "orders", "items", "aov",
+        "returning_rate_pct", "conv_value_a", "conv_value_b", "cpc_a", "cpc_b", "cpm_b", "impressions_a",
+        "frequency_b", "net_sales", "ad_spend", "mer", "return_rate_pct", "cost_of_sales_pct", "op_profit",
+        "roas_a", "roas_b"))
 
 SQL["weekly_fact"] = with_wf(f"SELECT {WF_COLS} FROM wf")
 SQL["weekly_fact_nation"] = with_wf(f"SELECT {WF_COLS} FROM wf", grain="nation")
@@ -61,9 +57,9 @@ g AS (
   LEFT JOIN annual ap ON ap.series_id = p.series_id AND ap.iso_year = p.prev_year
 )"""
 
-LFL_GROWTH_SELECT = """SELECT series_id, year, prev_year, basis, n_common_weeks,
-  CAST(round(CAST(CAST((sales_curr) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS sales_curr, CAST(round(CAST(CAST((sales_prev) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS sales_prev,
-  CAST(round(CAST(CAST((CASE WHEN sales_prev > 0 THEN (sales_curr - sales_prev) / sales_prev END) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS growth,
+LFL_GROWTH_SELECT = f"""SELECT series_id, year, prev_year, basis, n_common_weeks,
+  {rnd('sales_curr')} AS sales_curr, {rnd('sales_prev')} AS sales_prev,
+  {rnd('CASE WHEN sales_prev > 0 THEN (sales_curr - sales_prev) / sales_prev END')} AS growth,
   (basis = 'lfl' AND n_common_weeks < 48) AS is_partial
 FROM g WHERE basis = 'lfl' OR sales_prev > 0"""
 
@@ -252,7 +248,7 @@ SQL["lfl_elasticity"] = body(f"""SELECT series_id, year, prev_year, n_common_wee
   {', '.join(r6(c, c) for c in ['spend_curr', 'spend_prev', 'sales_curr', 'sales_prev', 'delta_spend_pct', 'delta_sales_pct', 'elasticity'])}
 FROM el""", EL)
 
-SQL["elasticity_summary"] = body(f"""SELECT series_id, CAST(round(CAST(CAST((avg_elasticity) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS avg_elasticity, n_pairs,
+SQL["elasticity_summary"] = body(f"""SELECT series_id, {rnd('avg_elasticity')} AS avg_elasticity, n_pairs,
   CASE WHEN avg_elasticity IS NULL THEN NULL WHEN avg_elasticity > {d(0.95)} THEN 'scalable'
        WHEN avg_elasticity > {d(0.75)} THEN 'standard' ELSE 'saturated' END AS verdict
 FROM (SELECT series_id,
@@ -368,8 +364,7 @@ FROM yh""", YH)
 
 SQL["rolling_return_rate"] = body(f"""SELECT series_id, week_start, {r6('ad_spend', 'ad_spend')},
   {r6('return_rate_pct', 'return_rate_pct')},
-  CAST(round(CAST(CAST((CASE WHEN count(return_rate_pct) OVER w = 4
-        THEN CAST(sum(CAST(return_rate_pct AS {DEC})) OVER w AS DOUBLE) / {d(4.0)} END) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS return_rate_roll
+  {rnd(f'CASE WHEN count(return_rate_pct) OVER w = 4 THEN CAST(sum(CAST(return_rate_pct AS {DEC})) OVER w AS DOUBLE) / {d(4.0)} END')} AS return_rate_roll
 FROM wf WINDOW w AS (PARTITION BY series_id ORDER BY week_start ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)""")
 
 TWO_PI = d(2 * 3.141592653589793)
@@ -548,8 +543,8 @@ SQL["month_ledger"] = body(f"""SELECT series_id, month, strftime(month, '%Y-%m')
   events || ' | Infl. ' || macro AS context
 FROM lg""", LEDGER)
 
-SQL["best_worst_month"] = body(f"""SELECT b.series_id, b.month AS best_month, CAST(round(CAST(CAST((b.mer) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS best_mer,
-  w.month AS worst_month, CAST(round(CAST(CAST((w.mer) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS worst_mer
+SQL["best_worst_month"] = body(f"""SELECT b.series_id, b.month AS best_month, {rnd('b.mer')} AS best_mer,
+  w.month AS worst_month, {rnd('w.mer')} AS worst_mer
 FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY mer DESC, month) AS r FROM lg WHERE mer IS NOT NULL) b
 JOIN (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY mer, month) AS r FROM lg WHERE mer IS NOT NULL) w
   ON w.series_id = b.series_id AND w.r = 1
@@ -575,7 +570,7 @@ SP = f"""sp0 AS (
   WINDOW wp AS (PARTITION BY series_id, iso_week ORDER BY week_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
          wu AS (PARTITION BY series_id, iso_week ORDER BY week_start ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 ),
-sp1 AS (SELECT *, CAST(CAST(round(CAST(CAST((CAST(i_sum AS DOUBLE) / i_cnt) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS {DEC}) AS i_mean FROM sp0),
+sp1 AS (SELECT *, CAST({rnd('CAST(i_sum AS DOUBLE) / i_cnt')} AS {DEC}) AS i_mean FROM sp0),
 sp2 AS (
   SELECT *, i_mean - coalesce(lag(i_mean) OVER (PARTITION BY series_id, iso_week ORDER BY week_start), 0) AS delta,
          CASE WHEN p_cnt = 0 THEN 1 ELSE 0 END AS is_new
