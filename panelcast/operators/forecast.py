@@ -142,8 +142,9 @@ def rf_forecast(spark: SparkSession, model, feats: DataFrame, projection: DataFr
             st = advance(st, h)
             frames.append(st)
         chunk_path = f"{base_dir}/chunk={first}"
-        reduce(DataFrame.unionByName, frames).write.mode("overwrite").parquet(chunk_path)
-        written = spark.read.parquet(chunk_path)
+        out = reduce(DataFrame.unionByName, frames)
+        out.write.mode("overwrite").parquet(chunk_path)
+        written = spark.read.schema(out.schema).parquet(chunk_path)
         outs.append(written.select("series_id", "scenario_id", "step", "week_start", "pred_rf", "spend_total"))
         state = written.filter(F.col("step") == last).drop("step", "week_start", "pred_rf", "spend_total")
     return reduce(DataFrame.unionByName, outs)
