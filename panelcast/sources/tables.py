@@ -54,10 +54,12 @@ def spread(df: DataFrame) -> DataFrame:
     partitions than cores (a small table stored as one row group).  Large
     inputs already have many splits and are returned unchanged, so this never
     adds a shuffle at scale."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # remote (Connect) sessions expose no RDDs: leave the scan as is
+        return df
+    return df.repartition(cores) if parts < cores else df
 
 
 def _money(c) -> F.Column:
