@@ -3,10 +3,9 @@ J3 weekly detail, A9 year metrics, A18 elasticity average.
 
 All comparisons are on *common ISO weeks*: a pair (year, prev_year) of
 adjacent available years per series keeps only weeks present in both.  The
-plan never self-joins the whole fact on year: each week row is tagged with the
-(at most two) pairs it belongs to by an equi-join on (series, year) plus a
-semi-join on (series, other year, week); everything after that is one
-conditional aggregation per pair.
+plan never joins the fact to itself: :func:`lfl_rows` finds the common weeks
+and puts both years' values side by side with two window passes, and every
+comparison is then one aggregation per pair.
 """
 
 from __future__ import annotations
@@ -27,35 +26,31 @@ def year_pairs(df: DataFrame) -> DataFrame:
             .filter(F.col("prev_year").isNotNull()))
 
 
-def lfl_frame(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Week rows of each pair restricted to the pair's common weeks.
+def lfl_rows(df: DataFrame, cols: list[str]) -> DataFrame:
+    """J1 without joins: one row per common (series, year, week) with the
+    current and previous-year values side by side (``<col>_curr``,
+    ``<col>_prev``).
 
-    Output: ``series_id, year, prev_year, side ('curr'|'prev'), iso_week, cols``.
+    The previous *available* year of each row is a RANGE-frame max over the
+    series' years; the previous occurrence of the same ISO week is a ``lag``
+    over (series, week).  A week is common to the pair exactly when the two
+    agree.  Two window passes, no self-join; a (series, week) partition
+    holds one row per year.
     """
-    pairs = year_pairs(df)
-    weeks = df.select("series_id", "iso_year", "iso_week").distinct()
-    base = df.select("series_id", "iso_year", "iso_week", *cols)
+    w_week = Window.partitionBy("series_id", "iso_week").orderBy("iso_year")
+    w_years = Window.partitionBy("series_id").orderBy("iso_year").rangeBetween(Window.unboundedPreceding, -1)
+    x = df.select("series_id", "iso_year", "iso_week", *cols,
+                  F.lag("iso_year").over(w_week).alias("__week_prev_year"),
+                  *[F.lag(c).over(w_week).alias(c + "__lag") for c in cols])
+    x = x.withColumn("prev_year", F.max("iso_year").over(w_years))
+    x = x.filter(F.col("__week_prev_year") == F.col("prev_year"))
+    return x.select("series_id", F.col("iso_year").alias("year"), "prev_year", "iso_week",
+                    *[F.col(c).alias(c + "_curr") for c in cols],
+                    *[F.col(c + "__lag").alias(c + "_prev") for c in cols])
 
-    cur = (base.join(pairs, (base.series_id == pairs.series_id) & (base.iso_year == pairs.year))
-           .select(base.series_id, "year", "prev_year", "iso_week", *[base[c] for c in cols]))
-    cur = cur.join(weeks.withColumnRenamed("iso_year", "prev_year"),
-                   ["series_id", "prev_year", "iso_week"], "left_semi")
 
-    prv = (base.join(pairs, (base.series_id == pairs.series_id) & (base.iso_year == pairs.prev_year))
-           .select(base.series_id, "year", "prev_year", "iso_week", *[base[c] for c in cols]))
-    prv = prv.join(weeks.withColumnRenamed("iso_year", "year"),
-                   ["series_id", "year", "iso_week"], "left_semi")
-
-    return (cur.withColumn("side", F.lit("curr"))
-            .unionByName(prv.withColumn("side", F.lit("prev"))))
-
-
-def _side_sum(c: str, side: str):
-    return F.sum(F.when(F.col("side") == side, F.col(c).cast(SUM_TYPE))).cast("double")
-
-
-def _side_avg(c: str, side: str):
-    return _side_sum(c, side) / F.count(F.when(F.col("side") == side, F.col(c)))
+def _xs(c: str):
+    return F.sum(F.col(c).cast(SUM_TYPE)).cast("double")
 
 
 def annual_totals(df: DataFrame) -> DataFrame:
@@ -76,19 +71,18 @@ def lfl_growth(df: DataFrame, partial_weeks: int = 48) -> DataFrame:
     common week falls back to whole-year totals (``basis='whole_year'``) and
     is kept only when the previous year's total is positive.
     """
-    lf = lfl_frame(df, ["net_sales"])
-    common = lf.groupBy(*PAIR).agg(
-        F.coalesce(_side_sum("net_sales", "curr"), F.lit(0.0)).alias("sales_curr"),
-        F.coalesce(_side_sum("net_sales", "prev"), F.lit(0.0)).alias("sales_prev"),
-        F.count(F.when(F.col("side") == "curr", 1)).cast("int").alias("n_common_weeks"),
+    common = lfl_rows(df, ["net_sales"]).groupBy(*PAIR).agg(
+        F.coalesce(_xs("net_sales_curr"), F.lit(0.0)).alias("sales_curr"),
+        F.coalesce(_xs("net_sales_prev"), F.lit(0.0)).alias("sales_prev"),
+        F.count(F.lit(1)).cast("int").alias("n_common_weeks"),
     )
-    pairs = year_pairs(df)
-    annual = annual_totals(df).select("series_id", "iso_year", "net_sales")
-    a_cur = annual.select("series_id", F.col("iso_year").alias("year"), F.col("net_sales").alias("yr_curr"))
-    a_prev = annual.select("series_id", F.col("iso_year").alias("prev_year"), F.col("net_sales").alias("yr_prev"))
-    out = (pairs.join(common, list(PAIR), "left")
-           .join(a_cur, ["series_id", "year"], "left")
-           .join(a_prev, ["series_id", "prev_year"], "left"))
+    # adjacent available years with both whole-year totals: one window pass
+    # over the (series, year) totals instead of pair / total joins
+    w = Window.partitionBy("series_id").orderBy("iso_year")
+    annual = annual_totals(df).select(
+        "series_id", F.col("iso_year").alias("year"), F.col("net_sales").alias("yr_curr"),
+        F.lag("iso_year").over(w).alias("prev_year"), F.lag("net_sales").over(w).alias("yr_prev"))
+    out = annual.filter(F.col("prev_year").isNotNull()).join(common, list(PAIR), "left")
     has_common = F.col("n_common_weeks").isNotNull()
     s_cur = F.when(has_common, F.col("sales_curr")).otherwise(F.col("yr_curr"))
     s_prev = F.when(has_common, F.col("sales_prev")).otherwise(F.col("yr_prev"))
@@ -113,13 +107,12 @@ def lfl_elasticity(df: DataFrame) -> DataFrame:
     Elasticity is 0 unless the spend change exceeds 1 %; pairs without a
     common week are omitted.
     """
-    lf = lfl_frame(df, ["ad_spend", "net_sales"])
-    agg = lf.groupBy(*PAIR).agg(
-        F.coalesce(_side_sum("ad_spend", "curr"), F.lit(0.0)).alias("spend_curr"),
-        F.coalesce(_side_sum("ad_spend", "prev"), F.lit(0.0)).alias("spend_prev"),
-        F.coalesce(_side_sum("net_sales", "curr"), F.lit(0.0)).alias("sales_curr"),
-        F.coalesce(_side_sum("net_sales", "prev"), F.lit(0.0)).alias("sales_prev"),
-        F.count(F.when(F.col("side") == "curr", 1)).cast("int").alias("n_common_weeks"),
+    agg = lfl_rows(df, ["ad_spend", "net_sales"]).groupBy(*PAIR).agg(
+        F.coalesce(_xs("ad_spend_curr"), F.lit(0.0)).alias("spend_curr"),
+        F.coalesce(_xs("ad_spend_prev"), F.lit(0.0)).alias("spend_prev"),
+        F.coalesce(_xs("net_sales_curr"), F.lit(0.0)).alias("sales_curr"),
+        F.coalesce(_xs("net_sales_prev"), F.lit(0.0)).alias("sales_prev"),
+        F.count(F.lit(1)).cast("int").alias("n_common_weeks"),
     )
     d_spend = F.when(F.col("spend_prev") > 0,
                      (F.col("spend_curr") - F.col("spend_prev")) / F.col("spend_prev")).otherwise(F.lit(0.0))
@@ -228,9 +221,9 @@ _YEAR_AVGS = ("returning_rate_pct", "cpc_a", "cpc_b", "cpm_b", "frequency_b")
 
 def _year_block(side: str) -> list:
     sfx = "_" + side
-    cols = [F.coalesce(_side_sum(c, side), F.lit(0.0)).alias(c + sfx) for c in _YEAR_SUMS]
-    cols += [F.coalesce(_side_avg(c, side), F.lit(0.0)).alias(c + sfx) for c in _YEAR_AVGS]
-    ret_abs = F.sum(F.when(F.col("side") == side, F.abs(F.col("returns")).cast(SUM_TYPE))).cast("double")
+    cols = [F.coalesce(_xs(c + sfx), F.lit(0.0)).alias(c + sfx) for c in _YEAR_SUMS]
+    cols += [F.coalesce(_xs(c + sfx) / F.count(c + sfx), F.lit(0.0)).alias(c + sfx) for c in _YEAR_AVGS]
+    ret_abs = F.sum(F.abs(F.col("returns" + sfx)).cast(SUM_TYPE)).cast("double")
     cols.append(F.coalesce(ret_abs, F.lit(0.0)).alias("returns_abs" + sfx))
     return cols
 
@@ -261,11 +254,10 @@ def yoy_health(df: DataFrame) -> DataFrame:
     without common weeks has no like-for-like basis and is omitted).
     """
     cols = list(_YEAR_SUMS) + list(_YEAR_AVGS) + ["returns"]
-    lf = lfl_frame(df, cols)
-    agg = lf.groupBy(*PAIR).agg(
+    agg = lfl_rows(df, cols).groupBy(*PAIR).agg(
         *_year_block("curr"), *_year_block("prev"),
-        F.count(F.when(F.col("side") == "curr", 1)).cast("int").alias("n_common_weeks"),
-        F.sort_array(F.collect_list(F.when(F.col("side") == "curr", F.col("iso_week")))).alias("week_arr"),
+        F.count(F.lit(1)).cast("int").alias("n_common_weeks"),
+        F.sort_array(F.collect_list("iso_week")).alias("week_arr"),
     )
     out = agg.withColumns(_year_metrics("curr")).withColumns(_year_metrics("prev"))
     for side in ("curr", "prev"):
@@ -310,4 +302,4 @@ def yoy_health(df: DataFrame) -> DataFrame:
 
 def common_weeks(df: DataFrame) -> DataFrame:
     """The common ISO weeks of each adjacent pair, one row per week."""
-    return lfl_frame(df, []).filter(F.col("side") == "curr").select(*PAIR, "iso_week")
+    return lfl_rows(df, []).select(*PAIR, "iso_week")
