@@ -65,3 +65,11 @@ def test_recent_kpis_short_series(spark):
     assert k["sales"] == 400.0 and k["mer"] == 10.0
     assert k["d_sales"] is None and k["d_mer"] is None
     assert k["season_context"] == "winter_sales"
+
+
+def test_year_pairs_adjacent_available(spark):
+    rows = _weeks(2019, [1], 1.0, 1.0) + _weeks(2021, [1], 1.0, 1.0) + _weeks(2022, [1], 1.0, 1.0)
+    got = sorted((r.year, r.prev_year) for r in lfl.year_pairs(_weekly(spark, rows)).collect())
+    assert got == [(2021, 2019), (2022, 2021)]
+    common = sorted((r.year, r.prev_year, r.iso_week) for r in lfl.common_weeks(_weekly(spark, rows)).collect())
+    assert common == [(2021, 2019, 1), (2022, 2021, 1)]
