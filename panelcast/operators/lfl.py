@@ -191,7 +191,7 @@ def weekly_yoy_detail(df: DataFrame) -> DataFrame:
     """Week spine 1..53 for every pair with common weeks; both years'
     spend and sales (missing -> 0), per-week changes and elasticity; weeks
     with spend in either year, newest week first."""
-    pairs = lfl_elasticity(df).select(*PAIR)
+    pairs = lfl_rows(df, []).select(*PAIR).distinct()
     spine = pairs.select(*PAIR, F.explode(F.sequence(F.lit(1), F.lit(53))).alias("iso_week"))
     base = df.select("series_id", "iso_year", "iso_week", "ad_spend", "net_sales", "period_label")
     cur = base.select("series_id", F.col("iso_year").alias("year"), "iso_week",
