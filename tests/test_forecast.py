@@ -58,3 +58,19 @@ def test_additive_interval_contains_point(bundle):
     a = bundle.additive
     assert a.filter((F.col("yhat_lower") > F.col("yhat")) | (F.col("yhat_upper") < F.col("yhat"))).count() == 0
     assert a.filter("kind = 'forecast'").count() == 5 * 5 * 26
+
+
+def test_validate_weeks_overrides(spark, bundle):
+    from panelcast.operators import backtest as bt
+
+    wk = bundle.wf.filter("series_id = 'BUILDING'").orderBy(F.desc("week_start")).first()
+    over = spark.createDataFrame([("BUILDING", wk.week_start, wk.spend_a, wk.spend_b, wk.net_sales * 3.0)],
+                                 "series_id string, week_start date, spend_a double, spend_b double, actual double")
+    base = bt.validate_weeks(spark, bundle.wf, bundle.model).filter(
+        (F.col("series_id") == "BUILDING") & (F.col("week_start") == wk.week_start)).first()
+    moved = bt.validate_weeks(spark, bundle.wf, bundle.model, over).filter(
+        (F.col("series_id") == "BUILDING") & (F.col("week_start") == wk.week_start)).first()
+    assert moved.actual == pytest.approx(wk.net_sales * 3.0)
+    assert moved.pred_rf == pytest.approx(base.pred_rf)          # same spends -> same forest input
+    assert moved.accuracy_pct < base.accuracy_pct
+    assert moved.tier == "deviation" and moved.flag_unseen_factors is True
