@@ -57,7 +57,6 @@ from ..functions.economics import TABLE_ECONOMICS, economics_columns  # noqa: E4
 from ..operators import backtest, context, monthly, recent, scenario, windows  # noqa: E402
 from ..operators.lfl import trailing_growth  # noqa: E402
 from . import probes  # noqa: E402
-from pyspark.sql import functions as F  # noqa: E402
 
 
 @register("annual_totals")

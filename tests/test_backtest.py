@@ -4,7 +4,6 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from panelcast.functions.cleaning import iso_week
 from panelcast.operators import backtest as bt

@@ -1,7 +1,6 @@
 """Decision rules on literal frames: allocation (D11), strategy (D9),
 safe budget / EBITDA (D10, D12), consensus (F10), reliability (F9)."""
 
-import datetime as dt
 
 import pytest
 
