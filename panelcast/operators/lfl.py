@@ -188,20 +188,43 @@ def trailing_growth(df: DataFrame) -> DataFrame:
 
 
 def weekly_yoy_detail(df: DataFrame) -> DataFrame:
-    """Week spine 1..53 for every pair with common weeks; both years'
-    spend and sales (missing -> 0), per-week changes and elasticity; weeks
-    with spend in either year, newest week first."""
-    pairs = lfl_rows(df, []).select(*PAIR).distinct()
-    spine = pairs.select(*PAIR, F.explode(F.sequence(F.lit(1), F.lit(53))).alias("iso_week"))
-    base = df.select("series_id", "iso_year", "iso_week", "ad_spend", "net_sales", "period_label")
-    cur = base.select("series_id", F.col("iso_year").alias("year"), "iso_week",
-                      F.col("ad_spend").alias("spend_curr"), F.col("net_sales").alias("sales_curr"),
-                      "period_label")
-    prv = base.select("series_id", F.col("iso_year").alias("prev_year"), "iso_week",
-                      F.col("ad_spend").alias("spend_prev"), F.col("net_sales").alias("sales_prev"))
-    j = (spine.join(cur, ["series_id", "year", "iso_week"], "left")
-         .join(prv, ["series_id", "prev_year", "iso_week"], "left"))
-    j = j.na.fill(0.0, subset=["spend_curr", "sales_curr", "spend_prev", "sales_prev"])
+    """For every pair with common weeks, each ISO week present in either
+    year with both years' spend and sales (missing -> 0), per-week changes and
+    elasticity; weeks with spend in either year.
+
+    Window passes only: weeks of the current year take last year's values
+    from a same-week ``lag``; weeks present only in the previous year are
+    emitted from that year's rows (a same-week ``lead`` that misses the next
+    available year).
+    """
+    w_week = Window.partitionBy("series_id", "iso_week").orderBy("iso_year")
+    w_series = Window.partitionBy("series_id").orderBy("iso_year")
+    x = df.select(
+        "series_id", "iso_year", "iso_week", "period_label",
+        F.coalesce(F.col("ad_spend"), F.lit(0.0)).alias("spend"), F.coalesce(F.col("net_sales"), F.lit(0.0)).alias("sales"),
+        F.lag("iso_year").over(w_week).alias("wk_prev_year"), F.lead("iso_year").over(w_week).alias("wk_next_year"),
+        F.coalesce(F.lag("ad_spend").over(w_week), F.lit(0.0)).alias("lag_spend"),
+        F.coalesce(F.lag("net_sales").over(w_week), F.lit(0.0)).alias("lag_sales"))
+    x = x.withColumns({
+        "prev_year": F.max("iso_year").over(w_series.rangeBetween(Window.unboundedPreceding, -1)),
+        "next_year": F.min("iso_year").over(w_series.rangeBetween(1, Window.unboundedFollowing)),
+    })
+    common = F.col("wk_prev_year") == F.col("prev_year")
+    cur = x.filter(F.col("prev_year").isNotNull()).select(
+        "series_id", F.col("iso_year").alias("year"), "prev_year", "iso_week", "period_label",
+        F.col("spend").alias("spend_curr"), F.col("sales").alias("sales_curr"),
+        F.when(common, F.col("lag_spend")).otherwise(F.lit(0.0)).alias("spend_prev"),
+        F.when(common, F.col("lag_sales")).otherwise(F.lit(0.0)).alias("sales_prev"),
+        common.alias("is_common"))
+    only_prev = x.filter(F.col("next_year").isNotNull()
+                         & ~F.coalesce(F.col("wk_next_year") == F.col("next_year"), F.lit(False))).select(
+        "series_id", F.col("next_year").alias("year"), F.col("iso_year").alias("prev_year"), "iso_week",
+        F.lit(None).cast("string").alias("period_label"),
+        F.lit(0.0).alias("spend_curr"), F.lit(0.0).alias("sales_curr"),
+        F.col("spend").alias("spend_prev"), F.col("sales").alias("sales_prev"), F.lit(False).alias("is_common"))
+    j = cur.unionByName(only_prev)
+    j = j.withColumn("has_common", F.max(F.col("is_common").cast("int")).over(Window.partitionBy(*PAIR)))
+    j = j.filter(F.col("has_common") == 1)
     d_spend = F.when(F.col("spend_prev") > 0, (F.col("spend_curr") - F.col("spend_prev"))
                      / F.col("spend_prev") * 100.0).otherwise(F.lit(0.0))
     d_rev = F.when(F.col("sales_prev") > 0, (F.col("sales_curr") - F.col("sales_prev"))
