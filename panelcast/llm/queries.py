@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing
+from . import lang_id, line_dedup, mixing, near_dedup, packing, toxicity
 from .common import load
 
 
@@ -16,7 +16,12 @@ def _on(table: str, operator: Callable[[DataFrame], DataFrame]):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": _on("documents", mixing.op2_mixing),
+    "op3_packing": _on("documents", packing.op3_packing),
+    "op5_lang_id": _on("documents", lang_id.op5_lang_id),
+    "op6_toxicity": lambda spark, sf_dir: toxicity.op6_toxicity(
+        load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")),
     "op7_line_dedup": _on("documents", line_dedup.op7_line_dedup),
+    "op9_near_dedup": _on("documents", near_dedup.op9_near_dedup),
 }
 
 SQL: dict[str, str] = {
