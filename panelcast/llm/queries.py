@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_id, line_dedup, mixing, near_dedup, packing, toxicity
+from . import lang_id, line_dedup, mixing, near_dedup, packing, quality, toxicity, url_filter
 from .common import load
 
 
@@ -21,7 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": lambda spark, sf_dir: toxicity.op6_toxicity(
         load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")),
     "op7_line_dedup": _on("documents", line_dedup.op7_line_dedup),
+    "op8_url_filter": _on("pages", url_filter.op8_url_filter),
     "op9_near_dedup": _on("documents", near_dedup.op9_near_dedup),
+    "op10_quality": _on("documents", quality.op10_quality),
 }
 
 SQL: dict[str, str] = {
