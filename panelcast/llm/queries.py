@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_id, line_dedup, mixing, near_dedup, packing, quality, toxicity, url_filter
+from . import ann, lang_id, line_dedup, mixing, near_dedup, packing, quality, toxicity, url_filter
 from .common import load
 
 
@@ -15,6 +15,7 @@ def _on(table: str, operator: Callable[[DataFrame], DataFrame]):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": _on("embeddings", ann.op1_ann),
     "op2_mixing": _on("documents", mixing.op2_mixing),
     "op3_packing": _on("documents", packing.op3_packing),
     "op5_lang_id": _on("documents", lang_id.op5_lang_id),
@@ -27,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_ann": ann.SQL,
     "op2_mixing": mixing.SQL,
     "op7_line_dedup": line_dedup.SQL,
 }
