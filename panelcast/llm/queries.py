@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, lang_id, line_dedup, mixing, near_dedup, packing, quality, toxicity, url_filter
+from . import ann, lang_id, line_dedup, mixing, near_dedup, packing, quality, substring_dedup, toxicity, url_filter
 from .common import load
 
 
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": _on("embeddings", ann.op1_ann),
     "op2_mixing": _on("documents", mixing.op2_mixing),
     "op3_packing": _on("documents", packing.op3_packing),
+    "op4_substring_dedup": _on("documents", substring_dedup.op4_substring_dedup),
     "op5_lang_id": _on("documents", lang_id.op5_lang_id),
     "op6_toxicity": lambda spark, sf_dir: toxicity.op6_toxicity(
         load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")),
