@@ -1,15 +1,49 @@
-"""Corpus preparation: language ID, line dedup, near-duplicate removal, mixing, packing."""
+"""Corpus preparation: language ID, line dedup, near-duplicate removal, mixing, packing.
+
+Each stage reads what the one before it wrote.  The first four return the
+columns of ``documents``; the last returns the pieces of what is left with
+their place in the training sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcast.llm import line_dedup, mixing
+from panelcast.llm import lang_id, line_dedup, mixing, near_dedup, packing
 from panelcast.llm.common import load, shared_path
 
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; texts without letters and below the calibrated threshold go."""
+    return lang_id.lang_id_stage(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the lines that a later one repeats."""
+    return line_dedup.line_dedup_stage(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near_dedup.near_dedup_stage(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.mixing_stage(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their sequence and offset."""
+    return packing.pack(docs.select("doc_id", "text"))
+
+
 STAGES = [
-    ("line_dedup", lambda spark, docs, sf_dir: line_dedup.line_dedup_stage(docs)),
-    ("mixing", lambda spark, docs, sf_dir: mixing.mixing_stage(docs)),
+    ("language_id", language_id),
+    ("line_dedup", lines),
+    ("near_dedup", near_duplicates),
+    ("mixing", mixed),
+    ("packing", packed),
 ]
 
 #: Learned models and packing are not SQL; tests hold the stages against brute force.

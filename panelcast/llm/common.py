@@ -15,7 +15,7 @@ BLANK = r"[\x20\x09-\x0D]"
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands for a null id wherever ids are compared, below every real one.
-NULL_ID = -(2**63)
+NULL_ID = -(2**63) + 1
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

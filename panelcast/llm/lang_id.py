@@ -43,7 +43,8 @@ def _bag(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bucket, count / count.sum()
 
 
-def train(texts: list[np.ndarray], labels: list[str], epochs: int = 6, batch: int = 32, seed: int = 7) -> LangModel | None:
+def train(texts: list[np.ndarray], labels: list[str], epochs: int = 6, batch: int = 32, least_steps: int = 300, most_rejecting: float = 0.4,
+          seed: int = 7) -> LangModel | None:
     """Fit on codes of texts; every fifth text only calibrates."""
     known = [(c, y) for c, y in zip(texts, labels) if len(c)]
     if not known:
@@ -54,21 +55,23 @@ def train(texts: list[np.ndarray], labels: list[str], epochs: int = 6, batch: in
     model, rng = S.SubwordSoftmax(len(langs), seed=seed), np.random.default_rng(seed)
     calibrate = np.arange(len(known)) % 5 == 4
     fit = np.flatnonzero(~calibrate)
+    epochs = max(epochs, -(-least_steps * batch // len(fit)))
     for epoch in range(epochs):
         for part in np.array_split(rng.permutation(fit), max(1, len(fit) // batch)):
-            model.step([bags[k] for k in part], label[part], 0.1 / (1 + epoch))
+            model.step([bags[k] for k in part], label[part], 0.1 / (1 + 6 * epoch / epochs))
     table = model.table()
     logits = np.array([table[b].T @ s for b, s in bags]) + model.b
     judged = np.flatnonzero(calibrate) if calibrate.sum() >= 20 else np.arange(len(known))
     temperature = min((0.1, 0.2, 0.5, 1, 2, 5), key=lambda t: -np.log(
         np.maximum(S.softmax(logits[judged] / t)[np.arange(len(judged)), label[judged]], 1e-9)).mean())
     # short cuts of the set-aside texts, judged like whole texts, set the threshold: a text is rejected
-    # if its score is lower than what all but one in a thousand rightly recognised cuts of 20 letters reach
+    # if its score is lower than what all but one in a thousand rightly recognised cuts of 20 letters reach, and
+    # never above `most_rejecting`: a text that is short or holds two languages is no junk
     cuts = [(c[k:k + 20], y) for c, y in (known[k] for k in judged) for k in range(0, min(len(c), 400), 20)]
     cuts = [(_bag(np.r_[np.uint64(0), c, np.uint64(0)]), langs.index(y)) for c, y in cuts if c.any()]
     scores = S.softmax((np.array([table[b].T @ s for (b, s), _ in cuts]) + model.b) / temperature)
     right = scores.argmax(axis=1) == np.array([y for _, y in cuts])
-    threshold = float(np.quantile(scores.max(axis=1)[right], 0.001)) if right.any() else 0.0
+    threshold = min(most_rejecting, float(np.quantile(scores.max(axis=1)[right], 0.001))) if right.any() else 0.0
     return LangModel(langs, table, model.b, float(temperature), threshold)
 
 

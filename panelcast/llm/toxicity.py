@@ -84,7 +84,7 @@ class Words:
 
 
 def train(texts: list[np.ndarray], labels: list[int], rounds: int = 4, per_doc: int = 3, batch: int = 256,
-          seed: int = 7) -> ToxicModel:
+          least_steps: int = 60, seed: int = 7) -> ToxicModel:
     """Fit on codes of texts; every fifth of each label only calibrates."""
     label = np.array(labels, int)
     base = float(label.mean()) if len(label) else 0.0
@@ -129,8 +129,8 @@ def train(texts: list[np.ndarray], labels: list[int], rounds: int = 4, per_doc:
         plain = [(words.texts[k][at:at + WINDOW], 0) for k in np.r_[clean, clean]
                  for at in [int(rng.integers(max(1, len(words.texts[k]) - WINDOW + 1)))]]
         every = picked * max(1, len(hard) // max(1, 2 * len(picked))) + hard + plain
-        order = rng.permutation(len(every))
-        for part in np.array_split(order, max(1, len(order) // batch)):
+        parts = max(1, len(every) // batch)
+        for part in (x for _ in range(-(-least_steps // parts)) for x in np.array_split(rng.permutation(len(every)), parts)):
             model.step([words.bag(every[k][0]) for k in part], np.array([every[k][1] for k in part]), 0.2 / (1 + r))
         table = model.table()
         scores = by_word(table[:, 1] - table[:, 0])
