@@ -22,7 +22,8 @@ def _c(c) -> Column:
 
 
 # Characters removed at both ends of a cell (Python's whitespace).
-STRIP_CHARS = " \t\n\r\x0b\x0c"
+STRIP_CHARS = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+               "\u2028\u2029\u202f\u205f\u3000")
 
 
 def _strip(c: Column) -> Column:
@@ -30,7 +31,9 @@ def _strip(c: Column) -> Column:
 
 
 def _to_number(s: Column) -> Column:
-    return F.coalesce(F.when(s.rlike(NUMBER_PATTERN), s.try_cast("double")), F.lit(0.0))
+    v = s.try_cast("double")
+    # a number too large for a double is unparseable, not infinite
+    return F.coalesce(F.when(s.rlike(NUMBER_PATTERN) & (F.abs(v) < float("inf")), v), F.lit(0.0))
 
 
 def clean_currency(c, decimal: str = ".") -> Column:

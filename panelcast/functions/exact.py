@@ -28,7 +28,7 @@ def xsum(c) -> Column:
 
 def xavg(c) -> Column:
     """Mean of non-NULL values from the exact sum."""
-    return xsum(c) / F.count(_c(c))
+    return F.try_divide(xsum(c), F.count(_c(c)))
 
 
 def xsum_if(cond: Column, c) -> Column:

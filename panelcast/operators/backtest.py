@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exact import SUM_TYPE
+from ..functions.exact import SUM_TYPE, xavg
 from .windows import w_series
 
 MODELS = ("seasonal", "rf", "additive", "ensemble")  # tie order for the winner
@@ -99,7 +99,7 @@ def accuracy_band(c) -> F.Column:
 
 def reliability(bt_scored: DataFrame) -> DataFrame:
     """mean ensemble accuracy per series -> high (>= .85) / medium (>= .70) / low."""
-    s = bt_scored.groupBy("series_id").agg(F.avg("acc_ensemble").alias("avg_accuracy"),
+    s = bt_scored.groupBy("series_id").agg(xavg("acc_ensemble").alias("avg_accuracy"),
                                            F.count(F.lit(1)).alias("n_origins"))
     return s.withColumn("reliability", F.when(F.col("avg_accuracy") >= 0.85, "high")
                         .when(F.col("avg_accuracy") >= 0.70, "medium").otherwise("low"))
@@ -110,16 +110,19 @@ def backtest_summary(bt_scored: DataFrame) -> DataFrame:
     long = bt_scored.select("series_id", F.explode(F.array(*[
         F.struct(F.lit(m).alias("model"), F.col("acc_" + m).alias("acc"), F.col("err_" + m).alias("err"))
         for m in MODELS])).alias("r")).select("series_id", "r.*")
-    return long.groupBy("series_id", "model").agg(F.avg("acc").alias("mean_accuracy"),
-                                                  F.avg("err").alias("mean_abs_error"))
+    return long.groupBy("series_id", "model").agg(xavg("acc").alias("mean_accuracy"),
+                                                  xavg("err").alias("mean_abs_error"))
 
 
-def backtest_pivot(bt_scored: DataFrame, measure: str, years: list[int]) -> DataFrame:
-    """Month x year matrix of the mean of ``measure`` (explicit year list
-    keeps the pivot bounded and avoids a distinct pass)."""
-    x = bt_scored.withColumns({"year": F.year("origin_week"), "month_num": F.month("origin_week"),
-                               "month": F.date_format("origin_week", "MMM")})
-    return (x.groupBy("series_id", "month_num", "month").pivot("year", years).agg(F.avg(measure)))
+MONTH_COLS = tuple(f"m{k:02d}" for k in range(1, 13))
+
+
+def accuracy_matrix(bt_scored: DataFrame, measure: str = "acc_ensemble") -> DataFrame:
+    """Matrix of the mean of ``measure``, one row per (series, year) and one
+    column per month; the twelve columns are fixed, so no pass collects values."""
+    month = F.month("origin_week")
+    return bt_scored.groupBy("series_id", F.year("origin_week").alias("year")).agg(
+        *[xavg(F.when(month == k, F.col(measure))).alias(c) for k, c in enumerate(MONTH_COLS, 1)])
 
 
 def first_winner(bt_scored: DataFrame) -> DataFrame:
@@ -129,6 +132,13 @@ def first_winner(bt_scored: DataFrame) -> DataFrame:
         F.min_by("winner", "origin_week").alias("first_winner"))
 
 
+def winner_matrix(bt_scored: DataFrame) -> DataFrame:
+    """Matrix of the first winner, one row per (series, year) and one column per month."""
+    x = first_winner(bt_scored)
+    return x.groupBy("series_id", "year").agg(
+        *[F.max(F.when(F.col("month_num") == k, F.col("first_winner"))).alias(c) for k, c in enumerate(MONTH_COLS, 1)])
+
+
 def top_winner(bt_scored: DataFrame) -> DataFrame:
     """Most frequent winner per series; ties -> alphabetical first."""
     c = bt_scored.groupBy("series_id", "winner").agg(F.count(F.lit(1)).alias("n"))
@@ -288,8 +298,8 @@ def validate_weeks(spark, df: DataFrame, model, overrides: DataFrame | None = No
 
 def backtest_month_year(bt_scored: DataFrame, measure: str) -> DataFrame:
     """A15 in long form: mean of ``measure`` per (series, month, year) with its
-    accuracy band (F13); pivot with :func:`backtest_pivot` for display."""
+    accuracy band (F13); :func:`accuracy_matrix` is the matrix form."""
     x = bt_scored.withColumns({"year": F.year("origin_week"), "month_num": F.month("origin_week"),
                                "month": F.date_format("origin_week", "MMM")})
-    g = x.groupBy("series_id", "year", "month_num", "month").agg(F.avg(measure).alias("value"))
+    g = x.groupBy("series_id", "year", "month_num", "month").agg(xavg(measure).alias("value"))
     return g.withColumn("band", accuracy_band("value")) if measure.startswith("acc") else g

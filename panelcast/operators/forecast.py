@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import week_cos, week_sin
 from ..functions.economics import AUTO, PRESETS, stress_multiplier
-from ..functions.exact import SUM_TYPE
+from ..functions.exact import SUM_TYPE, xsum
 from ..session import checkpoint_dir
-from ..sources.calendar import holiday_weeks
+from ..sources.calendar import HOLIDAY_COLS, holidays_in_week
 from .scenario import scenario_grid, seasonal_lookup, seasonal_profile
 from .windows import lag_features, recency_rank
 
@@ -38,7 +38,6 @@ BASE_FEATURES = ("week_sin", "week_cos", "spend_a", "spend_b", "lag_1", "lag_4")
 DRIVERS = ("aov", "returning_rate_pct", "discounts", "cpc_a", "cpc_b", "cpm_b", "frequency_b")
 FOURIER_ORDER = 10
 Z80 = 1.2815515655446004  # two-sided 80 % normal quantile
-HOLIDAY_YEARS = (1990, 2040)
 
 
 # -- F1 / A19 / A20 -----------------------------------------------------------
@@ -162,13 +161,11 @@ def _fourier_cols(t_days: F.Column) -> dict:
 
 def additive_design(spark: SparkSession, frame: DataFrame) -> DataFrame:
     """Regressors computed in Spark: days since epoch, yearly Fourier terms and
-    the number of national holidays in the week (broadcast join on a
-    rule-generated holiday table of known size)."""
-    hol = holiday_weeks(spark, *HOLIDAY_YEARS)
+    one 0/1 column per named national holiday that falls in the week (computed
+    from the week's year, so any year has its holidays and nothing is joined)."""
     t_days = F.datediff(F.col("week_start"), F.lit("1970-01-01").cast("date")).cast("double")
     x = frame.withColumn("t_days", t_days).withColumns(_fourier_cols(F.col("t_days")))
-    x = x.join(F.broadcast(hol), "week_start", "left")
-    return x.withColumn("n_holidays", F.coalesce(F.col("n_holidays"), F.lit(0.0)))
+    return x.withColumns(holidays_in_week(F.col("week_start")))
 
 
 REG_COLS = ("spend_a", "spend_b") + DRIVERS
@@ -199,8 +196,9 @@ def _design_matrix(rows: pd.DataFrame, ref: pd.DataFrame, n_cp: int = 25, cp_ran
     for c in SEAS_COLS:
         cols.append(rows[c].to_numpy(float))
         pen.append(noise / seas_scale ** 2)
-    cols.append(rows["n_holidays"].to_numpy(float))
-    pen.append(noise / seas_scale ** 2)
+    for c in HOLIDAY_COLS:
+        cols.append(rows[c].to_numpy(float))
+        pen.append(noise / seas_scale ** 2)
     for c in REG_COLS:
         mu, sd = float(ref[c].mean()), float(ref[c].std(ddof=0))
         v = rows[c].to_numpy(float)
@@ -277,16 +275,19 @@ def ensemble(rf: DataFrame, additive: DataFrame) -> DataFrame:
 
 
 def consensus(ens: DataFrame, reliability: DataFrame | None = None) -> DataFrame:
-    """horizon totals, ensemble total, relative gap = |rf - add| / min;
+    """horizon totals, ensemble total, relative gap = |rf - add| / min
+    (NULL, and the verdict divergent, where a total is zero or negative);
     < .15 high (fragile if backtest accuracy < .70), < .35 moderate, else
     divergent; which model is the optimistic one."""
     t = ens.groupBy("series_id", "scenario_id").agg(
-        F.sum("pred_rf").alias("rf_total"), F.sum("pred_additive").alias("additive_total"))
+        xsum("pred_rf").alias("rf_total"), xsum("pred_additive").alias("additive_total"))
     if reliability is not None:
         t = t.join(reliability.select("series_id", "avg_accuracy"), "series_id", "left")
     else:
         t = t.withColumn("avg_accuracy", F.lit(None).cast("double"))
-    gap = F.abs(F.col("rf_total") - F.col("additive_total")) / F.least("rf_total", "additive_total")
+    # a gap has no base where a total is not positive: the models do not agree on a sale at all
+    low = F.least("rf_total", "additive_total")
+    gap = F.when(low > 0, F.try_divide(F.abs(F.col("rf_total") - F.col("additive_total")), low))
     t = t.withColumns({"ensemble_total": (F.col("rf_total") + F.col("additive_total")) / 2.0, "gap": gap})
     unstable = F.coalesce(F.col("avg_accuracy") < 0.70, F.lit(False))
     return t.withColumns({

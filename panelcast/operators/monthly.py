@@ -40,7 +40,7 @@ def monthly_ratios(m: DataFrame, ltv_cap: float = 0.90) -> DataFrame:
         "discount_rate": sdiv(F.abs(F.col("discounts")), F.col("gross_sales")) * 100.0,
         "roas_a": sdiv("conv_value_a", "spend_a"),
         "roas_b": sdiv("conv_value_b", "spend_b"),
-        "seasonality": F.col("net_sales") / mean_sales,
+        "seasonality": sdiv("net_sales", mean_sales),
     })
 
 

@@ -3,11 +3,14 @@ P16 last-n-days, duplicate-week collapse and the canonical weekly fact."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.economics import TABLE_ECONOMICS, Economics, economics_columns
 from ..functions.exact import SUM_TYPE, sdiv
+from ..sources.sinks import write_weekly_fact
 
 # Base measures of the weekly fact (F-2), in canonical order.
 BASE_MEASURES = (
@@ -55,8 +58,7 @@ def fill_zero(df: DataFrame, present: list[str] | None = None) -> DataFrame:
 def derive_metrics(df: DataFrame, econ: Economics = TABLE_ECONOMICS) -> DataFrame:
     """Net sales, ad spend, MER, rates, operating profit, channel ROAS.
 
-    Ratios with a zero base are NULL where the reference would produce inf
-    (ROAS) and 0 where it fills (MER, return rate, cost of sales).
+    Ratios with a zero base are NULL for ROAS and 0 for the rates that are filled (MER, return rate, cost of sales).
     """
     ppo = economics_columns(econ)["profit_per_order"]
     # without an orders column, orders = net sales / AOV
@@ -107,35 +109,38 @@ def last_n_days(df: DataFrame, days: int = 365) -> DataFrame:
 _PANELS: dict = {}
 
 
-def _source_stamp(sf_dir: str) -> tuple:
-    """Sizes and modification times of the source tables (cache key part)."""
-    import os
-
+def source_stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Name, size and modification time of every source file, asked of the
+    file system that holds them (any that Spark can read)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     stamp = []
     for t in ("lineitem", "orders", "customer", "nation"):
-        p = f"{sf_dir.rstrip('/')}/{t}.parquet"
-        try:
-            st = os.stat(p)
-            stamp.append((t, st.st_size, int(st.st_mtime)))
-        except OSError:  # remote storage: key on the path only
-            stamp.append((t, None, None))
-    return tuple(stamp)
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
+        files = path.getFileSystem(conf).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            stamp.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(stamp))
 
 
 def weekly_panel(spark: SparkSession, sf_dir: str, grain: str = "segment",
                  econ: Economics = TABLE_ECONOMICS) -> DataFrame:
     """The weekly fact, materialised once per (application, source, grain).
 
-    Like the reference's cleaned weekly frame that every analysis reads, the
-    panel is computed from the raw tables once and checkpointed to the shared
-    checkpoint folder (reliable storage, lineage cut); every analysis query
-    then starts from it.  The key includes the source files' sizes and
-    modification times, so changed inputs are re-rolled.
+    The panel is computed from the raw tables once and written as Parquet,
+    partitioned by ISO year, in the shared checkpoint folder; every analysis
+    reads the columns and years it needs from there.  The sources' files,
+    sizes and modification times are kept with it, so changed inputs are
+    re-rolled, and the panel they replace is forgotten.
     """
     from ..session import checkpoint_dir
 
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), grain, econ, _source_stamp(sf_dir))
-    if key not in _PANELS:
-        checkpoint_dir(spark)
-        _PANELS[key] = weekly_fact(spark, sf_dir, grain, econ).checkpoint(eager=True)
-    return _PANELS[key]
+    key, stamp = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), grain, econ), source_stamp(spark, sf_dir)
+    if _PANELS.get(key, (None,))[0] != stamp:
+        fact = weekly_fact(spark, sf_dir, grain, econ)
+        path = f"{checkpoint_dir(spark).rstrip('/')}/panel-{grain}-{uuid.uuid4().hex}"
+        write_weekly_fact(fact, path)
+        for k in [k for k in _PANELS if k[0] != key[0]]:  # of applications that have ended
+            del _PANELS[k]
+        _PANELS[key] = (stamp, spark.read.schema(fact.schema).parquet(path).select(*fact.columns))
+    return _PANELS[key][1]

@@ -58,8 +58,8 @@ wf_lines AS (
          {k_case} AS k,
          CAST(l.l_extendedprice AS {money}) AS ext,
          CAST({DISCOUNT_FACTOR} AS DECIMAL(2,1)) * CAST(l.l_extendedprice AS {money})
-           * CAST(l.l_discount AS DECIMAL(4,2)) AS disc,
-         CAST(l.l_tax AS DECIMAL(4,2)) AS tax,
+           * CAST(l.l_discount AS DECIMAL(9,6)) AS disc,
+         CAST(l.l_tax AS DECIMAL(9,6)) AS tax,
          l.l_quantity AS qty, l.l_returnflag AS rf, l.l_linestatus AS ls
   FROM lineitem l
   JOIN orders o ON o.o_orderkey = l.l_orderkey

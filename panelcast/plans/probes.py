@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import clean_currency, clean_number, clean_percentage, parse_iso_week
 from ..functions.exact import SUM_TYPE
-from ..sources.tables import load, spread
+from ..sources.tables import load
 
 
 def _pad2(c):
@@ -21,7 +21,7 @@ def _pad2(c):
 
 
 def week_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order dates rendered as 'YYYYWW' text in seven shapes."""
+    """Order dates rendered as 'YYYYWW' text in eight shapes."""
     d = F.col("o_orderdate").cast("date")
     iso = F.concat(F.extract(F.lit("YEAROFWEEK"), d).cast("string"), _pad2(F.weekofyear(d)))
     cal = F.concat(F.year(d).cast("string"), _pad2(F.ceil(F.dayofyear(d) / 7)))
@@ -33,9 +33,10 @@ def week_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("short").alias("shape"), F.substring(iso, 1, 5).alias("raw")),
         F.struct(F.lit("dashed").alias("shape"),
                  F.concat(F.year(d).cast("string"), F.lit("-"), _pad2(F.weekofyear(d))).alias("raw")),
+        F.struct(F.lit("nbsp").alias("shape"), F.concat(iso, F.lit("\u00a0\u2009")).alias("raw")),
         F.struct(F.lit("week0").alias("shape"), F.concat(F.year(d).cast("string"), F.lit("00")).alias("raw")),
     )
-    return spread(load(spark, sf_dir, "orders").select("o_orderdate")).select(
+    return load(spark, sf_dir, "orders").select(
         F.explode(shapes).alias("s")).select("s.*")
 
 
@@ -47,12 +48,12 @@ def parse_iso_week_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def money_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line prices rendered as money text in seven shapes.  The shared pieces
+    """Line prices rendered as money text in nine shapes.  The shared pieces
     (plain text, thousands groups, cents) are projected once per line before
     the explode."""
     ext = F.col("l_extendedprice").cast("decimal(18,2)")
     whole = F.floor(ext).cast("bigint")
-    base = spread(load(spark, sf_dir, "lineitem").select(ext.alias("ext"), whole.alias("whole")))
+    base = load(spark, sf_dir, "lineitem").select(ext.alias("ext"), whole.alias("whole"))
     th = (F.col("whole") / 1000).cast("bigint")
     rest = F.lpad((F.col("whole") % 1000).cast("string"), 3, "0")
     parts = base.select(
@@ -70,6 +71,8 @@ def money_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("euro_eu").alias("shape"), F.concat(F.lit("€ "), F.col("eu"), F.lit(","), cents).alias("raw")),
         F.struct(F.lit("suffix_d").alias("shape"), F.concat(plain, F.lit("d")).alias("raw")),
         F.struct(F.lit("spaced_sign").alias("shape"), F.concat(F.lit("- "), plain).alias("raw")),
+        F.struct(F.lit("nbsp").alias("shape"), F.concat(F.lit("€\u00a0"), F.col("us"), F.lit("."), cents, F.lit("\u2009")).alias("raw")),
+        F.struct(F.lit("overflow").alias("shape"), F.concat(F.col("plain"), F.lit("e999")).alias("raw")),
         F.struct(F.lit("percent").alias("shape"), F.concat(plain, F.lit("%")).alias("raw")),
     )
     return parts.select(F.explode(shapes).alias("s")).select("s.*")

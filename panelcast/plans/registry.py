@@ -281,7 +281,7 @@ def q_reliability(spark, sf_dir):
 
 @register("winner_pivot")
 def q_winner_pivot(spark, sf_dir):
-    return backtest.first_winner(backtest_result(spark, sf_dir))
+    return backtest.winner_matrix(backtest_result(spark, sf_dir))
 
 
 @register("top_winner")
@@ -293,3 +293,7 @@ def q_top_winner(spark, sf_dir):
 def q_accuracy_pivot(spark, sf_dir):
     b = backtest_result(spark, sf_dir)
     return round_doubles(backtest.backtest_month_year(b, "acc_ensemble"))
+
+
+# -- scoring of a fixed prediction table ----------------------------------------
+from . import scoring  # noqa: E402, F401

@@ -608,11 +608,13 @@ _NUM = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
 
 
 def _strip(e: str) -> str:
-    return f"trim({e}, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))"
+    codes = [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
+    return f"trim({e}, {' || '.join(f'chr({c})' for c in codes)})"
 
 
 def _num(s: str) -> str:
-    return f"coalesce(CASE WHEN regexp_full_match({s}, '{_NUM}') THEN TRY_CAST({s} AS DOUBLE) END, {d(0.0)})"
+    number = f"CASE WHEN regexp_full_match({s}, '{_NUM}') THEN TRY_CAST({s} AS DOUBLE) END"
+    return f"coalesce(CASE WHEN isfinite({number}) THEN {number} END, {d(0.0)})"
 
 
 def _cur_us(raw: str) -> str:
@@ -630,6 +632,7 @@ txt AS (
   SELECT 'iso' AS shape, {_ISO} AS raw FROM od
   UNION ALL SELECT 'calendar', CAST(year(d) AS VARCHAR) || lpad(CAST(CAST(ceil(dayofyear(d) / 7) AS BIGINT) AS VARCHAR), 2, '0') FROM od
   UNION ALL SELECT 'padded', ' ' || {_ISO} || ' ' FROM od
+  UNION ALL SELECT 'nbsp', {_ISO} || chr(160) || chr(8201) FROM od
   UNION ALL SELECT 'float', {_ISO} || '.0' FROM od
   UNION ALL SELECT 'short', substr({_ISO}, 1, 5) FROM od
   UNION ALL SELECT 'dashed', CAST(year(d) AS VARCHAR) || '-' || lpad(CAST(week(d) AS VARCHAR), 2, '0') FROM od
@@ -667,6 +670,8 @@ txt AS (
   UNION ALL SELECT 'euro_eu', chr(8364) || ' ' || eu || ',' || cents FROM li2
   UNION ALL SELECT 'suffix_d', plain || 'd' FROM li2
   UNION ALL SELECT 'spaced_sign', '- ' || plain FROM li2
+  UNION ALL SELECT 'nbsp', chr(8364) || chr(160) || us || '.' || cents || chr(8201) FROM li2
+  UNION ALL SELECT 'overflow', plain || 'e999' FROM li2
   UNION ALL SELECT 'percent', plain || '%' FROM li2
 )"""
 
@@ -683,3 +688,100 @@ SELECT shape, count(*) AS n,
   {rnd(_tot(_num(_strip('raw'))))} AS total_num,
   count(CASE WHEN {_cur_us('raw')} = 0 THEN 1 END) AS n_zero
 FROM txt GROUP BY shape"""
+
+# -- scoring of a fixed prediction table -----------------------------------------
+_MODELS = ("seasonal", "rf", "additive", "ensemble")
+_ACC = "CASE WHEN actual > 0 THEN greatest({zero}, {one} - abs({p} - actual) / actual) ELSE {zero} END"
+SCORED = f"""lg AS (
+  SELECT series_id, week_start AS origin_week, net_sales AS actual, lag(net_sales, 52) OVER w AS pred_seasonal,
+         lag(net_sales, 1) OVER w AS pred_rf, lag(net_sales, 4) OVER w AS pred_additive
+  FROM wf WINDOW w AS (PARTITION BY series_id ORDER BY week_start)),
+lg1 AS (SELECT *, (pred_rf + pred_additive) / {d(2.0)} AS pred_ensemble FROM lg WHERE pred_seasonal IS NOT NULL),
+sc0 AS (
+  SELECT series_id, origin_week, {r6('actual', 'actual')}, {', '.join(r6(f'pred_{m}', f'pred_{m}') for m in _MODELS)},
+    {', '.join(r6(f'abs(pred_{m} - actual)', f'err_{m}') for m in _MODELS)},
+    {', '.join(r6(_ACC.format(p=f'pred_{m}', zero=d(0.0), one=d(1.0)), f'acc_{m}') for m in _MODELS)}
+  FROM lg1),
+scored AS (
+  SELECT *, CASE least({', '.join(f'err_{m}' for m in _MODELS)}) {' '.join(f"WHEN err_{m} THEN '{m}'" for m in _MODELS)} END AS winner
+  FROM sc0)"""
+
+
+def _band(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN NULL WHEN {c} > {d(0.9)} THEN 'high' WHEN {c} > {d(0.8)} THEN 'medium' ELSE 'low' END"
+
+
+SQL["scored_weeks"] = body(f"SELECT *, {_band('acc_ensemble')} AS band FROM scored", SCORED)
+SQL["scored_summary"] = body("\nUNION ALL ".join(
+    f"SELECT series_id, '{m}' AS model, {r6(xa(f'acc_{m}'), 'mean_accuracy')}, {r6(xa(f'err_{m}'), 'mean_abs_error')} FROM scored GROUP BY series_id"
+    for m in _MODELS), SCORED)
+REL = SCORED + f""",
+rel0 AS (SELECT series_id, {xa('acc_ensemble')} AS a, count(*) AS n_origins FROM scored GROUP BY series_id),
+rel AS (SELECT series_id, {r6('a', 'avg_accuracy')}, n_origins,
+  CASE WHEN a >= {d(0.85)} THEN 'high' WHEN a >= {d(0.70)} THEN 'medium' ELSE 'low' END AS reliability FROM rel0)"""
+SQL["scored_reliability"] = body("SELECT * FROM rel", REL)
+_MY = f"""my AS (SELECT series_id, CAST(year(origin_week) AS INTEGER) AS year, CAST(month(origin_week) AS INTEGER) AS month_num,
+  strftime(origin_week, '%b') AS month, {xa('acc_ensemble')} AS v FROM scored GROUP BY ALL)"""
+SQL["scored_month_year"] = body(f"SELECT series_id, year, month_num, month, {r6('v', 'value')}, {_band('v')} AS band FROM my", SCORED + ",\n" + _MY)
+SQL["scored_accuracy_matrix"] = body(f"""SELECT series_id, year,
+  {', '.join(r6(f'max(CASE WHEN month_num = {k} THEN v END)', f'm{k:02d}') for k in range(1, 13))}
+FROM my GROUP BY series_id, year""", SCORED + ",\n" + _MY)
+SQL["scored_winner_matrix"] = body(f"""SELECT series_id, year,
+  {', '.join(f'max(CASE WHEN month_num = {k} THEN w END) AS m{k:02d}' for k in range(1, 13))}
+FROM (SELECT series_id, CAST(year(origin_week) AS INTEGER) AS year, month(origin_week) AS month_num,
+             first(winner ORDER BY origin_week) AS w FROM scored GROUP BY ALL) t
+GROUP BY series_id, year""", SCORED)
+SQL["scored_top_winner"] = body("""SELECT series_id, winner AS top_winner, n AS wins FROM (
+  SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY n DESC, winner) AS rk
+  FROM (SELECT series_id, winner, count(*) AS n FROM scored GROUP BY series_id, winner) c) t WHERE rk = 1""", SCORED)
+ARMS = f"""ar0 AS (
+  SELECT series_id, week_start, spend_a + spend_b AS spend_total, lag(net_sales, 1) OVER w AS l1, lag(net_sales, 4) OVER w AS l4,
+         row_number() OVER (PARTITION BY series_id ORDER BY week_start DESC) AS rn
+  FROM wf WINDOW w AS (PARTITION BY series_id ORDER BY week_start)),
+ar1 AS (
+  SELECT ar0.*, s.scenario_id, s.m FROM ar0 CROSS JOIN (
+    SELECT 'base' AS scenario_id, {d(1.0)} AS m UNION ALL
+    SELECT 'stress', ({d(1.0)} / ({d(1.0)} + {d(20.0)} / {d(100.0)})) * ({d(1.0)} - {d(10.0)} / {d(100.0)})) s
+  WHERE rn <= 26),
+ens AS (
+  SELECT *, {r6(f'(pred_rf + pred_additive) / {d(2.0)}', 'pred_ensemble')} FROM (
+    SELECT series_id, scenario_id, week_start, CAST(27 - rn AS INTEGER) AS step, {r6('l1 * m', 'pred_rf')},
+           {r6('spend_total', 'spend_total')}, {r6('l4 * m', 'pred_additive')}, {r6(f'l4 * m * {d(0.5)}', 'yhat_lower')},
+           {r6(f'l4 * m * {d(1.5)}', 'yhat_upper')} FROM ar1) t)"""
+SQL["scored_ensemble"] = body("SELECT * FROM ens", ARMS)
+SQL["scored_consensus"] = body(f"""SELECT series_id, scenario_id, {r6('rf', 'rf_total')}, {r6('ad', 'additive_total')}, avg_accuracy,
+  {r6(f'(rf + ad) / {d(2.0)}', 'ensemble_total')}, {r6('gap', 'gap')},
+  CASE WHEN gap < {d(0.15)} THEN CASE WHEN avg_accuracy < {d(0.70)} THEN 'fragile' ELSE 'high' END
+       WHEN gap < {d(0.35)} THEN 'moderate' ELSE 'divergent' END AS consensus,
+  CASE WHEN rf > ad THEN 'rf' ELSE 'additive' END AS optimistic_model
+FROM (SELECT *, CASE WHEN least(rf, ad) > 0 THEN abs(rf - ad) / least(rf, ad) END AS gap FROM (
+  SELECT e.series_id, e.scenario_id, {xs('e.pred_rf')} AS rf, {xs('e.pred_additive')} AS ad, any_value(rel.avg_accuracy) AS avg_accuracy
+  FROM ens e LEFT JOIN rel ON rel.series_id = e.series_id GROUP BY e.series_id, e.scenario_id) t) u""", ARMS + ",\n" + REL)
+_SB = f"""sb AS (
+  SELECT h.series_id, s.rec_scale, h.next_sales / s.be_roas AS safe_budget
+  FROM (SELECT series_id, {xs('sales')} AS next_sales FROM pb WHERE scenario_id = 'base' AND step <= 4 GROUP BY series_id) h
+  JOIN strat s ON s.series_id = h.series_id),
+al AS (
+  SELECT sb.*, cs.best_channel AS roas_channel, cs.best_channel = 'a' AS agree FROM sb JOIN cs ON cs.series_id = sb.series_id)"""
+SQL["scored_allocation"] = body(f"""SELECT series_id, {r6('safe_budget', 'safe_budget')}, {r6('rec_scale', 'rec_scale')}, roas_channel,
+  'a' AS engine_channel, CASE WHEN agree THEN {d(0.65)} ELSE {d(0.55)} END AS split_best, 'a' AS best_channel,
+  {r6(f'safe_budget * rec_scale * CASE WHEN agree THEN {d(0.65)} ELSE {d(0.55)} END', 'budget_best')},
+  {r6(f'safe_budget * rec_scale - safe_budget * rec_scale * CASE WHEN agree THEN {d(0.65)} ELSE {d(0.55)} END', 'budget_other')}
+FROM al""", PB + ",\n" + ST.replace(TG + ",\n", "") + ",\n" + CS + ",\n" + _SB)
+
+_DRIVERS = ("aov", "returning_rate_pct", "discounts", "cpc_a", "cpc_b", "cpm_b", "frequency_b")
+_FEATURES = ("week_sin", "week_cos", "spend_a", "spend_b", "lag_1", "lag_4", *_DRIVERS)
+SQL["rf_features"] = body(f"""SELECT f.series_id, f.week_start,
+  {', '.join(r6(f'coalesce(f.{c}, m.{c}, {d(0.0)})', c) for c in _FEATURES)}
+FROM f JOIN (SELECT series_id, {', '.join(f'median({c}) AS {c}' for c in _FEATURES)} FROM f GROUP BY series_id) m
+  ON m.series_id = f.series_id""", f"""f AS (
+  SELECT *, lag(net_sales, 1) OVER w AS lag_1, lag(net_sales, 4) OVER w AS lag_4,
+         sin({TWO_PI} * iso_week / {d(53.0)}) AS week_sin, cos({TWO_PI} * iso_week / {d(53.0)}) AS week_cos
+  FROM wf WINDOW w AS (PARTITION BY series_id ORDER BY week_start))""")
+SQL["driver_means"] = body(f"""SELECT series_id, {', '.join(r6(xa(c), c) for c in _DRIVERS)}
+FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY week_start DESC) AS rn FROM wf) t WHERE rn <= 4 GROUP BY series_id""")
+_STRESS = f"({d(1.0)} / ({d(1.0)} + cpm / {d(100.0)})) * ({d(1.0)} - cr / {d(100.0)})"
+SQL["stressed_sales"] = body(f"""SELECT series_id, iso_year, scenario_id, {r6(_STRESS, 'stress')}, {r6(f'ns * ({_STRESS})', 'stressed_sales')}
+FROM (SELECT series_id, iso_year, coalesce({xs('net_sales')}, 0) AS ns FROM wf GROUP BY series_id, iso_year) t
+CROSS JOIN (SELECT scenario_id, CAST(cpm AS DOUBLE) AS cpm, CAST(cr AS DOUBLE) AS cr
+  FROM (VALUES ('base', 0, 0), ('prudent', 0, 0), ('aggressive', 0, 0), ('stress', 20, 10), ('auto', 0, 0)) v(scenario_id, cpm, cr)) s""")

@@ -3,9 +3,7 @@ national holiday calendar used by the additive model."""
 
 from __future__ import annotations
 
-import datetime as dt
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Commercial / cultural event calendar (month, first day, last
@@ -63,35 +61,30 @@ def city_rank_map():
     return F.create_map(*kv)
 
 
-def easter_sunday(year: int) -> dt.date:
-    """Gregorian Easter Sunday (anonymous Gregorian computus)."""
-    a = year % 19
-    b, c = divmod(year, 100)
-    d, e = divmod(b, 4)
-    f = (b + 8) // 25
-    g = (b - f + 1) // 3
-    h = (19 * a + b - d - g + 15) % 30
-    i, k = divmod(c, 4)
-    ell = (32 + 2 * e + 2 * i - h - k) % 7
-    m = (a + 11 * h + 22 * ell) // 451
-    month, day = divmod(h + ell - 7 * m + 114, 31)
-    return dt.date(year, month, day + 1)
-
-
-def holiday_rows(first_year: int, last_year: int) -> list[tuple[dt.date, str]]:
-    rows = []
-    for y in range(first_year, last_year + 1):
-        for mo, d, name in FIXED_HOLIDAYS:
-            rows.append((dt.date(y, mo, d), name))
-        es = easter_sunday(y)
-        rows.append((es, "Easter Sunday"))
-        rows.append((es + dt.timedelta(days=1), "Easter Monday"))
-    return rows
-
-
-def holiday_weeks(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
-    """Holiday dimension by week: Monday of each week holding a holiday and
-    the number of holidays in it (about 12 rows per year)."""
-    df = spark.createDataFrame(holiday_rows(first_year, last_year), "date date, holiday string")
-    return (df.withColumn("week_start", F.date_trunc("week", F.col("date")).cast("date"))
-            .groupBy("week_start").agg(F.count(F.lit(1)).cast("double").alias("n_holidays")))
+def easter_sunday(year: Column) -> Column:
+    """Gregorian Easter Sunday of a year (anonymous Gregorian computus), as a Column."""
+    div = lambda x, n: F.floor(x / F.lit(n)).cast("int")
+    a, b, c = year % 19, div(year, 100), year % 100
+    h = (19 * a + b - div(b, 4) - div(b - div(b + 8, 25) + 1, 3) + 15) % 30
+    ell = (32 + 2 * (b % 4) + 2 * div(c, 4) - h - c % 4) % 7
+    month_day = h + ell - 7 * div(a + 11 * h + 22 * ell, 451) + 114
+    return F.make_date(year, div(month_day, 31), month_day % 31 + 1)
+
+
+def holidays(year: Column) -> dict[str, Column]:
+    """Date of each named holiday in a year."""
+    fixed = {name: F.make_date(year, F.lit(month), F.lit(day)) for month, day, name in FIXED_HOLIDAYS}
+    easter = easter_sunday(year)
+    return {**fixed, "Easter Sunday": easter, "Easter Monday": F.date_add(easter, 1)}
+
+
+HOLIDAYS = tuple(name for _, _, name in FIXED_HOLIDAYS) + ("Easter Sunday", "Easter Monday")
+HOLIDAY_COLS = tuple("holiday_" + name.lower().replace(" ", "_") for name in HOLIDAYS)
+
+
+def holidays_in_week(week_start: Column) -> dict[str, Column]:
+    """For each named holiday, 1.0 if it falls in the seven days from ``week_start``, else 0.0."""
+    last = F.date_add(week_start, 6)
+    first_year, last_year = holidays(F.year(week_start)), holidays(F.year(last))
+    return {c: F.when(first_year[n].between(week_start, last) | last_year[n].between(week_start, last), 1.0).otherwise(0.0)
+            for c, n in zip(HOLIDAY_COLS, HOLIDAYS)}

@@ -42,26 +42,14 @@ RETURNING_PRIORITY = "1-URGENT"
 GRAINS = ("all", "segment", "nation")
 
 MONEY = "decimal(18,2)"
-RATE = "decimal(4,2)"
+#: Holds rates to a millionth (8.25 % is 0.0825).
+RATE = "decimal(9,6)"
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan over the cluster's cores when it arrives in fewer
-    partitions than cores (a small table stored as one row group).  Large
-    inputs already have many splits and are returned unchanged, so this never
-    adds a shuffle at scale."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # remote (Connect) sessions expose no RDDs: leave the scan as is
-        return df
-    return df.repartition(cores) if parts < cores else df
-
-
 def _money(c) -> F.Column:
     """Round an exact decimal total to cents, then hand it on as double."""
     return c.cast(MONEY).cast("double")
@@ -73,7 +61,7 @@ LINE_COLS = ("l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax
 
 def order_line_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-order line aggregates (one row per ``l_orderkey``)."""
-    return line_totals(spread(load(spark, sf_dir, "lineitem").select(*LINE_COLS)))
+    return line_totals(load(spark, sf_dir, "lineitem").select(*LINE_COLS))
 
 
 def line_totals(li: DataFrame) -> DataFrame:
@@ -102,7 +90,18 @@ def line_totals(li: DataFrame) -> DataFrame:
     )
 
 
-def _series_orders(spark: SparkSession, sf_dir: str, grain: str) -> DataFrame:
+def spend_multiplier(segment, multipliers: dict[str, int] = SEGMENT_K, default: int | None = None) -> F.Column:
+    """The multiplier of a customer segment.  A segment without one takes
+    ``default``; without a default the job fails and names the segment, since
+    its spend would otherwise vanish from every ratio."""
+    segment = F.col(segment) if isinstance(segment, str) else segment
+    known = F.create_map(*[F.lit(x) for kv in multipliers.items() for x in kv])[segment]
+    missing = F.raise_error(F.concat(F.lit("no spend multiplier for segment "), F.coalesce(segment, F.lit("NULL"))))
+    return F.coalesce(known, missing.cast("int") if default is None else F.lit(default))
+
+
+def _series_orders(spark: SparkSession, sf_dir: str, grain: str, multipliers: dict[str, int] = SEGMENT_K,
+                   default_multiplier: int | None = None) -> DataFrame:
     """Orders with week, priority flag, customer and series key."""
     if grain not in GRAINS:
         raise ValueError(f"grain must be one of {GRAINS}")
@@ -112,10 +111,9 @@ def _series_orders(spark: SparkSession, sf_dir: str, grain: str) -> DataFrame:
         F.date_trunc("week", F.col("o_orderdate").cast("date")).cast("date").alias("week_start"),
         (F.col("o_orderpriority") == RETURNING_PRIORITY).alias("urgent"),
     )
-    k_map = F.create_map(*[x for kv in SEGMENT_K.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
     cust = load(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("custkey"),
-        k_map[F.col("c_mktsegment")].alias("k"),
+        spend_multiplier("c_mktsegment", multipliers, default_multiplier).alias("k"),
         "c_mktsegment", "c_nationkey")
     if grain == "all":
         cust = cust.select("custkey", "k", F.lit("ALL").alias("series_id"))
@@ -129,7 +127,8 @@ def _series_orders(spark: SparkSession, sf_dir: str, grain: str) -> DataFrame:
 
 
 def weekly_rollup(spark: SparkSession, sf_dir: str, grain: str = "segment",
-                  lines: DataFrame | None = None) -> DataFrame:
+                  lines: DataFrame | None = None, multipliers: dict[str, int] = SEGMENT_K,
+                  default_multiplier: int | None = None) -> DataFrame:
     """Order lines -> raw weekly fact (F-2 base measures, before P8/P9).
 
     Channel measures are stand-ins (see FIXTURES.md): channel ``a`` = open
@@ -137,7 +136,7 @@ def weekly_rollup(spark: SparkSession, sf_dir: str, grain: str = "segment",
     given as per-order totals (e.g. merged streaming increments).
     """
     lines = order_line_totals(spark, sf_dir) if lines is None else lines
-    facts = _series_orders(spark, sf_dir, grain).join(lines, "orderkey")
+    facts = _series_orders(spark, sf_dir, grain, multipliers, default_multiplier).join(lines, "orderkey")
     k = F.col("k").cast("decimal(4,0)")
     # Stage 1: per (series, week, customer); combines map-side.
     per_cust = facts.groupBy("series_id", "week_start", "custkey").agg(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF001
 from panelcast.operators import forecast as fc
+from panelcast.sources.calendar import HOLIDAY_COLS
 
 
 def test_additive_recovers_noiseless_trend_and_regressor():
@@ -15,7 +16,7 @@ def test_additive_recovers_noiseless_trend_and_regressor():
     spend = np.sin(np.arange(n) / 5.0) * 10 + 50
     y = 1000 + 2.0 * np.arange(n) + 30.0 * spend
     cols = {f"f{s}{k}": np.zeros(n) for k in range(1, fc.FOURIER_ORDER + 1) for s in ("s", "c")}
-    base = pd.DataFrame({"t_days": t_days, "y": y, "n_holidays": 0.0, "spend_a": spend, "spend_b": 0.0,
+    base = pd.DataFrame({"t_days": t_days, "y": y, **{c: 0.0 for c in HOLIDAY_COLS}, "spend_a": spend, "spend_b": 0.0,
                          **{d: 0.0 for d in fc.DRIVERS}, **cols})
     train, test = base.iloc[:150], base.iloc[150:]
     yhat, sigma, fitted = fc._fit_predict(train, test)
