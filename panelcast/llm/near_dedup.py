@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every = staged(sketches(base, width), "sketches")
     classes = staged(every.filter("n > 0").groupBy("f1", "f2").agg(
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
-    keyed = classes.select("id", "n", F.explode("bands").alias("key"))
+    keyed = classes.select("id", "n", F.posexplode("bands").alias("band", "key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     members = staged(keyed.join(sizes, "key"), "members")
     met = members.groupBy("id").agg(F.sum("size").alias("met"))
@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # buckets that still hold more than one component
     labelled = members.join(found, members["id"] == found["node"], "left").select(
-        "key", "id", "n", F.coalesce("component", "id").alias("component"))
+        "key", "band", "id", "n", F.coalesce("component", "id").alias("component"))
     split = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(
         "low <> high").select("key")
     left = staged(labelled.join(split, "key"), "left")
@@ -215,20 +215,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = sets.join(left.select("id").distinct(), "id").select("id", F.explode("shingles").alias("s"))
     common = held.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1").select("s")
     can = held.join(common, "s").groupBy("id").agg(F.count("*").alias("can"))
-    left = staged(left.join(can, "id").filter(100 * F.col("can") >= percent * F.col("n")), "left")
+    left = left.join(can, "id").filter(100 * F.col("can") >= percent * F.col("n"))
+    # a pair is made in the first band it shares only: no earlier key is the same
+    left = left.join(classes.select("id", "bands"), "id").withColumn("earlier", F.slice("bands", F.lit(1), F.col("band")))
+    left = staged(left.drop("bands", "band"), "left")
     # a pair of sizes n and m shares at least percent / (100 + percent) of n + m
-    step = math.log(1.03)
+    step = math.log(1.08)
     size_class = lambda c: F.floor(F.log(c.cast("double")) / F.lit(step))
     most = F.least(100 * F.col("n") / percent, (100 + percent) * F.col("can") / percent - F.col("n"))
     least = percent * F.col("n") / 100
     probes = left.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("can").alias("can_a"),
-                         F.col("component").alias("in_a"),
+                         F.col("component").alias("in_a"), F.col("earlier").alias("earlier_a"),
                          F.explode(F.sequence(size_class(least) - 1, F.greatest(size_class(least) - 1, size_class(most) + 1))).alias("class"))
     targets = left.withColumn("class", size_class(F.col("n")))
     pairs = probes.join(targets, ["key", "class"]).filter(
         (F.col("a") < F.col("id")) & (F.col("in_a") != F.col("component")) & sizes_agree("n", "n_a")
         & ((100 + percent) * F.least("can", "can_a") >= percent * (F.col("n") + F.col("n_a")))
-    ).select("a", F.col("id").alias("b")).distinct()
+        & ~F.arrays_overlap("earlier", "earlier_a")).select("a", F.col("id").alias("b")).distinct()
     more = staged(confirmed(pairs, sets, percent), "links")
     found = components(links.unionByName(more))
 
