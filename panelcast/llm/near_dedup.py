@@ -193,7 +193,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = members.groupBy("id").agg(F.sum("size").alias("met"))
     members = staged(members.drop("size").join(met, "id"), "members")
     # sets of the documents that share a bucket
-    sets = staged(shingle_sets(base.join(met.select("id"), "id", "left_semi"), width), "sets")
+    # the ids grow with the documents: the same plan at every size
+    sets = staged(shingle_sets(base.join(met.select("id").hint("merge"), "id", "left_semi"), width), "sets")
 
     def sizes_agree(a: str, b: str) -> Column:
         return 100 * F.least(a, b) >= percent * F.greatest(a, b)
