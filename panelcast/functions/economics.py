@@ -81,15 +81,15 @@ def economics_columns(econ: Economics) -> dict[str, Column]:
     return {**lits, **derived}
 
 
-def with_economics(df, econ: Economics = TABLE_ECONOMICS, keep: tuple[str, ...] | None = None):
-    """Attach economics as literal columns (one value set for every series).
-
-    A per-series economics table is applied with :func:`join_economics`.
-    """
+def with_economics(df, econ=TABLE_ECONOMICS, keep: tuple[str, ...] | None = None):
+    """Attach economics and their break-even values: the same literals for every
+    series, or, if ``econ`` is a table keyed by ``series_id``, each series' own."""
+    if not isinstance(econ, Economics):
+        out = join_economics(df, econ)
+        added = [*(f.name for f in fields(Economics)), *economics_columns(TABLE_ECONOMICS)]
+        return out if keep is None else out.drop(*[c for c in added if c not in keep])
     cols = economics_columns(econ)
-    if keep is not None:
-        cols = {k: v for k, v in cols.items() if k in keep}
-    return df.withColumns(cols)
+    return df.withColumns({k: v for k, v in cols.items() if keep is None or k in keep})
 
 
 def join_economics(df, econ_df, default: Economics = TABLE_ECONOMICS):

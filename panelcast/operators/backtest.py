@@ -162,13 +162,16 @@ def rf_backtest(spark, df: DataFrame, orig: DataFrame, n_trees: int = 200, max_d
     series' rows strictly before it; the origin row is scored with its actual
     spends and drivers (lag 1 / lag 4 are then the last training values).
 
-    The origin weeks are at most the Mondays of the backtest window (<= 53),
-    so their list is a bounded collect; fits run concurrently on the
-    cluster.
+    Every origin is kept.  Each series has its own last months, so the distinct
+    origin weeks are bounded by the weeks of the whole history (53 where all
+    series end together), and so is the list that is collected.  Fits run
+    concurrently; each writes its predictions to the shared checkpoint folder
+    as it finishes, and the folder is read once.
     """
+    import uuid
     from concurrent.futures import ThreadPoolExecutor
-    from functools import reduce
 
+    from ..session import checkpoint_dir
     from ..functions.cleaning import week_cos, week_sin
     from .forecast import BASE_FEATURES, DRIVERS, rf_fit
     from .windows import lag_features
@@ -178,20 +181,25 @@ def rf_backtest(spark, df: DataFrame, orig: DataFrame, n_trees: int = 200, max_d
     base = base.select("series_id", "week_start", "net_sales", *cols).cache()
     weeks = sorted(r[0] for r in orig.select("origin_week").distinct().collect())
 
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/panelcast-rf-backtest-{uuid.uuid4().hex}"
+
     def one(o):
         train = base.filter(F.col("week_start") < F.lit(o))
         model = rf_fit(_impute_from(train, train, cols), cols, n_trees=n_trees, max_depth=max_depth)
         test = base.join(orig.filter(F.col("origin_week") == F.lit(o))
                          .select("series_id", F.col("origin_week").alias("week_start")), ["series_id", "week_start"])
         test = _impute_from(train, test, cols)
-        return model.transform(test).select("series_id", F.col("week_start").alias("origin_week"),
-                                            F.col("prediction").alias("pred_rf"))
+        out = model.transform(test).select("series_id", F.col("week_start").alias("origin_week"),
+                                           F.col("prediction").alias("pred_rf"))
+        out.write.parquet(f"{folder}/origin={o.isoformat()}")
 
+    schema = "series_id string, origin_week date, pred_rf double"
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
-        parts = list(ex.map(one, weeks))
-    if not parts:
-        return spark.createDataFrame([], "series_id string, origin_week date, pred_rf double")
-    return reduce(DataFrame.unionByName, parts)
+        list(ex.map(one, weeks))
+    base.unpersist()
+    if not weeks:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{folder}/origin={o.isoformat()}" for o in weeks])
 
 
 ADD_BT_SCHEMA = "series_id string, origin_week date, pred_additive double"

@@ -16,6 +16,7 @@ F10 consensus, F11/F12 week validation, F14 timeline, D11 allocation.
 from __future__ import annotations
 
 import math
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -87,7 +88,7 @@ def _stress_map(scenarios):
 
 
 def rf_forecast(spark: SparkSession, model, feats: DataFrame, projection: DataFrame,
-                scenarios=PRESETS + (AUTO,), drivers=DRIVERS, chunk: int = 1) -> DataFrame:
+                scenarios=PRESETS + (AUTO,), drivers=DRIVERS, chunk: int = 9) -> DataFrame:
     """recursive one-week-ahead forecast for every (series, scenario).
 
     Spends come from the projection (D2); drivers are the last-4-week means;
@@ -96,15 +97,12 @@ def rf_forecast(spark: SparkSession, model, feats: DataFrame, projection: DataFr
     scenario's stress multiplier and fed back into the lags.
 
     The state holds one row per (series, scenario) with the whole future
-    path of spends as arrays (bounded by the horizon), so a step is a
-    projection + ``transform`` with no join.  Every ``chunk`` steps the
-    results are written to the shared checkpoint folder and read back, which
-    cuts the lineage: the plan stays bounded and a lost executor recomputes
-    at most one chunk.  Within a chunk a step's prefix is recomputed per
-    output (a few ``transform`` calls on one row per series and scenario).
+    path of spends as an array (bounded by the horizon), so a step is a
+    projection + ``transform`` with no join, and appends its prediction to an
+    array.  A chunk of steps is one chain of projections, each evaluated once;
+    its state is written to the shared checkpoint folder and read back, so the
+    plan stays bounded and a lost executor recomputes at most one chunk.
     """
-    import uuid
-
     base_dir = f"{checkpoint_dir(spark).rstrip('/')}/panelcast-rf-{uuid.uuid4().hex}"
     r = recency_rank(feats).filter(F.col("rn_desc") <= 4)
     seed = r.groupBy("series_id").agg(
@@ -114,39 +112,31 @@ def rf_forecast(spark: SparkSession, model, feats: DataFrame, projection: DataFr
     seed = seed.join(driver_means(feats, 4, drivers), "series_id")
     path = projection.groupBy("series_id", "scenario_id").agg(F.sort_array(F.collect_list(F.struct(
         "step", "week_start", "iso_week", "spend_a", "spend_b"))).alias("path"))
-    state = path.join(seed, "series_id").withColumn(
-        "stress", _stress_map(scenarios)[F.col("scenario_id")])
+    state = path.join(seed, "series_id").withColumns({
+        "stress": _stress_map(scenarios)[F.col("scenario_id")], "preds": F.array().cast("array<double>")})
     horizon = max(int(s.months * 4.34) for s in scenarios)
-    keep = ["series_id", "scenario_id", "path", "stress", *drivers]
+    keep = ("series_id", "scenario_id", "path", "stress", "preds", *drivers)
 
     def advance(st: DataFrame, h: int) -> DataFrame:
-        at = F.element_at("path", h)
-        cur = st.filter(F.size("path") >= h).select(
-            *keep, "s1", "s2", "s3",
-            at["step"].alias("step"), at["week_start"].alias("week_start"),
-            at["spend_a"].alias("spend_a"), at["spend_b"].alias("spend_b"),
-            week_sin(at["iso_week"]).alias("week_sin"), week_cos(at["iso_week"]).alias("week_cos"),
-            F.col("s1").alias("lag_1"), F.col("s4").alias("lag_4"))
-        pred = model.transform(cur).withColumn("pred_rf", F.col("prediction") * F.col("stress"))
-        return pred.select(*keep, "step", "week_start", "pred_rf",
-                           (F.col("spend_a") + F.col("spend_b")).alias("spend_total"),
-                           F.col("pred_rf").alias("s1"), F.col("s1").alias("s2"), F.col("s2").alias("s3"),
-                           F.col("s3").alias("s4"))
-
-    outs = []
+        # past the end of a shorter path the step is computed on its last week and not kept
+        at = F.element_at("path", F.least(F.lit(h), F.size("path")))
+        cur = st.select(*keep, "s1", "s2", "s3", at["spend_a"].alias("spend_a"), at["spend_b"].alias("spend_b"),
+                        week_sin(at["iso_week"]).alias("week_sin"), week_cos(at["iso_week"]).alias("week_cos"),
+                        F.col("s1").alias("lag_1"), F.col("s4").alias("lag_4"))
+        out = model.transform(cur).withColumn("pred_rf", F.col("prediction") * F.col("stress"))
+        return out.select(*[c for c in keep if c != "preds"], F.concat("preds", F.array("pred_rf")).alias("preds"),
+                          F.col("pred_rf").alias("s1"), F.col("s1").alias("s2"), F.col("s2").alias("s3"), F.col("s3").alias("s4"))
+
     for first in range(1, horizon + 1, chunk):
-        last = min(first + chunk - 1, horizon)
-        frames, st = [], state
-        for h in range(first, last + 1):
-            st = advance(st, h)
-            frames.append(st)
-        chunk_path = f"{base_dir}/chunk={first}"
-        out = reduce(DataFrame.unionByName, frames)
-        out.write.mode("overwrite").parquet(chunk_path)
-        written = spark.read.schema(out.schema).parquet(chunk_path)
-        outs.append(written.select("series_id", "scenario_id", "step", "week_start", "pred_rf", "spend_total"))
-        state = written.filter(F.col("step") == last).drop("step", "week_start", "pred_rf", "spend_total")
-    return reduce(DataFrame.unionByName, outs)
+        for h in range(first, min(first + chunk, horizon + 1)):
+            state = advance(state, h)
+        folder, schema = f"{base_dir}/steps-{first}", state.schema
+        state.write.parquet(folder)
+        state = spark.read.schema(schema).parquet(folder)
+    steps = F.transform("path", lambda x, k: F.struct(x.alias("at"), F.get("preds", k).alias("pred_rf")))
+    return state.select("series_id", "scenario_id", F.explode(steps).alias("x")).select(
+        "series_id", "scenario_id", "x.at.step", "x.at.week_start", "x.pred_rf",
+        (F.col("x.at.spend_a") + F.col("x.at.spend_b")).alias("spend_total"))
 
 
 # -- F5 additive model ----------------------------------------------------------

@@ -3,12 +3,12 @@ health score (D7) with tags and alerts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.economics import TABLE_ECONOMICS, Economics, economics_columns
-from ..functions.exact import SUM_TYPE, sdiv, xavg, xsum
-from .windows import last_periods
+from ..functions.economics import TABLE_ECONOMICS, Economics, with_economics
+from ..functions.exact import sdiv, xavg, xsum
+from .windows import last_periods, share_of_mean
 
 MONTH_SUMS = ("ad_spend", "net_sales", "orders", "returns", "discounts", "spend_a", "spend_b",
               "conv_value_a", "conv_value_b", "gross_sales", "op_profit")
@@ -33,18 +33,15 @@ def monthly_ratios(m: DataFrame, ltv_cap: float = 0.90) -> DataFrame:
         "ret_rate": F.col("returning_rate_pct") / 100.0,
     })
     out = out.withColumn("ltv", F.col("aov") / (F.lit(1.0) - F.least(F.col("ret_rate"), F.lit(ltv_cap))))
-    w = Window.partitionBy("series_id")
-    mean_sales = F.sum(F.col("net_sales").cast(SUM_TYPE)).over(w).cast("double") / F.count("net_sales").over(w)
-    return out.withColumns({
+    return share_of_mean(out, "net_sales", "seasonality").withColumns({
         "ltv_cpa": sdiv("ltv", "cpa"),
         "discount_rate": sdiv(F.abs(F.col("discounts")), F.col("gross_sales")) * 100.0,
         "roas_a": sdiv("conv_value_a", "spend_a"),
         "roas_b": sdiv("conv_value_b", "spend_b"),
-        "seasonality": sdiv("net_sales", mean_sales),
     })
 
 
-def health_score(df: DataFrame, econ: Economics = TABLE_ECONOMICS, n_months: int = 12) -> DataFrame:
+def health_score(df: DataFrame, econ: Economics | DataFrame = TABLE_ECONOMICS, n_months: int = 12) -> DataFrame:
     """Score of the ``n_months`` newest months per series.
 
     50 points; +15 if MER >= break-even ROAS else -15; +20 if LTV/CPA > 3.5,
@@ -52,9 +49,9 @@ def health_score(df: DataFrame, econ: Economics = TABLE_ECONOMICS, n_months: int
     at 100; band high >= 70, medium >= 50, else low.  Tags and alerts are
     comma-separated codes (numbers are in their own columns).
     """
-    be = economics_columns(econ)["be_roas"]
     m = monthly_ratios(monthly_fact(df))
-    m = last_periods(m, "month", n_months).withColumn("be_roas", be)
+    m = last_periods(m, "month", n_months).withColumnRenamed("aov", "month_aov")
+    m = with_economics(m, econ, keep=("be_roas",)).withColumnRenamed("month_aov", "aov")
     mer_ok = F.coalesce(F.col("mer") >= F.col("be_roas"), F.lit(False))
     ltv_hi = F.coalesce(F.col("ltv_cpa") > 3.5, F.lit(False))
     ltv_lo = F.coalesce(F.col("ltv_cpa") < 2.0, F.lit(False))

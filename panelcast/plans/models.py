@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import backtest as bt
 from ..operators import forecast as fc
-from ..operators.prepare import weekly_panel
+from ..operators.prepare import source_stamp, weekly_panel
 from ..operators.scenario import project_baseline
 from ..session import checkpoint_dir
 
@@ -32,7 +32,17 @@ class ForecastBundle:
 
 
 def _key(spark, sf_dir, grain, kind):
-    return (id(spark), sf_dir.rstrip("/"), grain, kind)
+    """By application and source files; what an ended application or older files made is forgotten."""
+    app, stamp = spark.sparkContext.applicationId, source_stamp(spark, sf_dir)
+    for k in [k for k in _BUNDLES if k[0] != app or (k[1] == sf_dir.rstrip("/") and k[4] != stamp)]:
+        _release(_BUNDLES.pop(k), k[0] == app)
+    return (app, sf_dir.rstrip("/"), grain, kind, stamp)
+
+
+def _release(bundle, alive: bool) -> None:
+    if alive and isinstance(bundle, ForecastBundle):
+        for df in (bundle.feats, bundle.projection, bundle.rf, bundle.additive):
+            df.unpersist()
 
 
 def forecast_bundle(spark: SparkSession, sf_dir: str, grain: str = "segment", n_trees: int = 300) -> ForecastBundle:

@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.economics import AUTO, PRESETS, stress_multiplier
-from ..functions.exact import round_doubles
-from ..operators import backtest, recent, scenario, windows
+from ..functions.economics import AUTO, PRESETS, TABLE_ECONOMICS, join_economics, stress_multiplier
+from ..functions.exact import round_doubles, sdiv, xavg, xsum
+from ..operators import backtest, monthly, recent, scenario, windows
 from ..operators import forecast as fc
 from ..operators.lfl import trailing_growth
 from ..operators.prepare import weekly_panel
@@ -131,3 +131,27 @@ def q_stressed_sales(spark, sf_dir):
     stress = stress_multiplier(F.col("s.cpm"), F.col("s.cr"))
     return round_doubles(x.select("series_id", "iso_year", "s.scenario_id", stress.alias("stress"),
                                   (F.col("net_sales") * stress).alias("stressed_sales")))
+
+
+def series_economics(wf: DataFrame) -> DataFrame:
+    """Economics of each series as its own panel shows them: mean order value,
+    share of returns and of returning customers; the rest are the defaults."""
+    e = TABLE_ECONOMICS
+    rate = lambda a, b: F.round(F.coalesce(sdiv(a, b), F.lit(0.0)), 6)
+    return wf.groupBy("series_id").agg(
+        rate(xsum("total_sales"), xsum("orders")).alias("aov"), F.lit(e.vat_pct).alias("vat_pct"),
+        rate(xsum(F.abs(F.col("returns"))) * 50.0, xsum("total_sales")).alias("return_pct"), F.lit(e.margin_pct).alias("margin_pct"),
+        F.lit(e.fulfilment).alias("fulfilment"), F.round(xavg("returning_rate_pct"), 6).alias("returning_pct"),
+        F.lit(e.repeat_rate).alias("repeat_rate"))
+
+
+@register("series_break_even")
+def q_series_break_even(spark, sf_dir):
+    econ = series_economics(weekly_panel(spark, sf_dir, GRAIN))
+    return round_doubles(join_economics(econ.select("series_id"), econ))
+
+
+@register("series_health_score")
+def q_series_health_score(spark, sf_dir):
+    wf = weekly_panel(spark, sf_dir, GRAIN)
+    return round_doubles(monthly.health_score(wf, series_economics(wf)))

@@ -785,3 +785,22 @@ SQL["stressed_sales"] = body(f"""SELECT series_id, iso_year, scenario_id, {r6(_S
 FROM (SELECT series_id, iso_year, coalesce({xs('net_sales')}, 0) AS ns FROM wf GROUP BY series_id, iso_year) t
 CROSS JOIN (SELECT scenario_id, CAST(cpm AS DOUBLE) AS cpm, CAST(cr AS DOUBLE) AS cr
   FROM (VALUES ('base', 0, 0), ('prudent', 0, 0), ('aggressive', 0, 0), ('stress', 20, 10), ('auto', 0, 0)) v(scenario_id, cpm, cr)) s""")
+
+# -- economics of each series ------------------------------------------------------
+SERIES_ECON = f"""ec0 AS (
+  SELECT series_id, {r6(f"coalesce({xs('total_sales')} / nullif({xs('orders')}, 0), 0)", 'aov')}, {d(22.0)} AS vat_pct,
+         {r6(f"coalesce({xs('abs(returns)')} * {d(50.0)} / nullif({xs('total_sales')}, 0), 0)", 'return_pct')}, {d(45.0)} AS margin_pct,
+         {d(6500.0)} AS fulfilment, {r6(xa('returning_rate_pct'), 'returning_pct')}, {d(1.0)} AS repeat_rate
+  FROM wf GROUP BY series_id),
+ec1 AS (SELECT *, aov * ({d(1.0)} - return_pct / {d(100.0)}) / ({d(1.0)} + vat_pct / {d(100.0)}) AS net_aov FROM ec0),
+ec2 AS (SELECT *, net_aov * (margin_pct / {d(100.0)}) - fulfilment AS profit_per_order FROM ec1),
+ec3 AS (SELECT *, profit_per_order + profit_per_order * (returning_pct / {d(100.0)}) * repeat_rate AS profit_per_customer FROM ec2),
+ec AS (SELECT *, profit_per_customer AS be_cpa,
+  CASE WHEN profit_per_customer > 0 THEN aov / profit_per_customer ELSE {d(99.9)} END AS be_roas FROM ec3)"""
+_ECON_COLS = ("aov", "vat_pct", "return_pct", "margin_pct", "fulfilment", "returning_pct", "repeat_rate", "net_aov",
+              "profit_per_order", "profit_per_customer", "be_cpa", "be_roas")
+SQL["series_break_even"] = body(f"SELECT series_id, {', '.join(r6(c, c) for c in _ECON_COLS)} FROM ec", SERIES_ECON)
+SQL["series_health_score"] = SQL["health_score"].replace(
+    f"SELECT *, {BE} AS be_roas, row_number()", "SELECT mf.*, ec.be_roas, row_number()").replace(
+    "OVER (PARTITION BY series_id ORDER BY month DESC) AS rn FROM mf", "OVER (PARTITION BY mf.series_id ORDER BY month DESC) AS rn "
+    "FROM mf JOIN ec ON ec.series_id = mf.series_id").replace("mf0 AS (", SERIES_ECON + ",\nmf0 AS (")
