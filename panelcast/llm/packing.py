@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,8 +40,8 @@ from .common import staged
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-CACHED_WORDS = 400_000
-CACHED_BYTES = 48
+CACHED_WORDS = 800_000
+CACHED_CHARS = 48
 _CACHES: dict[str, tuple] = {}
 
 
@@ -51,61 +52,88 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 # -- pieces ---------------------------------------------------------------------
-def _encoder(path: str):
-    """bytes of a text -> its ids as little-endian unsigned 32-bit bytes.
-
-    The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its words in turn; each distinct word is encoded once.
-    """
+def _tokens(path: str, words: list[str]) -> list[bytes]:
+    """Ids of each word as little-endian unsigned 32-bit bytes; each distinct word is encoded once."""
     if path not in _CACHES:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         _CACHES[path] = (Tokenizer.from_file(path), {})
     tokenizer, cache = _CACHES[path]
+    out = list(map(cache.get, words))
+    new = [w for w, ids in zip(words, out) if ids is None]
+    if new:
+        own = {}
+        for k in range(0, len(new), 2000):  # encoded in one string, cut where the words end
+            part = new[k:k + 2000]
+            coded = tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(coded.ids, "<u4").tobytes()
+            begin = np.array(coded.offsets, np.int64).reshape(-1, 2)[:, 0]
+            cut = 4 * np.searchsorted(begin, np.cumsum([len(w) + 1 for w in part]))
+            own.update((w, ids[a:b]) for w, a, b in zip(part, np.r_[0, cut[:-1]].tolist(), cut.tolist()))
+        out = [own[w] if ids is None else ids for w, ids in zip(words, out)]
+        if len(cache) + len(own) > CACHED_WORDS:
+            cache.clear()
+        if len(own) <= CACHED_WORDS:
+            cache.update(x for x in own.items() if len(x[0]) <= CACHED_CHARS)
+    return out
 
-    def encode(text: bytes) -> bytes:
-        words = text.split()
-        new = list({w for w in words if w not in cache})
-        if new:
-            if len(cache) + len(new) > CACHED_WORDS:
-                cache.clear()
-                new = list(set(words))
-            coded = tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-            cache.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(new, coded))
-        ids = b"".join([cache[w] for w in words])
-        if new and (len(new) > CACHED_WORDS or max(map(len, new)) > CACHED_BYTES):
-            for w in new:
-                if len(w) > CACHED_BYTES or len(new) > CACHED_WORDS:
-                    del cache[w]
-        return ids
-
-    return encode
+
+def encoded(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of some texts, and where each text's begin (and the end).
+
+    The tokenizer drops white space, lower-cases, never joins across white
+    space and always parts a letter or digit from a full stop or comma, so
+    lower-casing and a space before such a mark change no id; the distinct
+    words are then few.  Special tokens are matched before lower-casing, so a
+    text with their opening is left as it is.
+    """
+    texts = pc.fill_null(texts, "")
+    texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+    lists = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, r"([a-z0-9])([.,])(\s|$)", r"\1 \2\3"))
+    words = lists.flatten().dictionary_encode()
+    parts = _tokens(path, words.dictionary.to_pylist())
+    flat = np.frombuffer(b"".join(parts), "<u4")
+    size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    word = words.indices.to_numpy(zero_copy_only=False)
+    first = (np.cumsum(size) - size)[word]
+    size = size[word]
+    end = np.r_[0, np.cumsum(size)]
+    ids = flat[np.repeat(first - end[:-1], size) + np.arange(end[-1])]
+    offsets = lists.offsets.to_numpy()
+    return ids, end[offsets - offsets[0]]
+
+
+def _slices(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``most`` bytes of text each."""
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(size) - size) // most
+    cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, batch.num_rows]
+    return (batch.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:]) if b > a)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID,
            with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document."""
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
               ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids
     schema = pa.schema(fields)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path)
-        for batch in batches:
+        for batch in (x for whole in batches for x in _slices(whole)):
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = (encode(text.as_py()) if text.is_valid else b"") + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at:at + 4 * capacity]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))
-                                + ((np.frombuffer(part, "<i4"),) if with_ids else ()))
+            every, first = encoded(path, batch.column(1))
+            for doc_id, a, b in zip(batch.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist()):
+                ids = np.concatenate([every[a:b], end])
+                for k, at in enumerate(range(0, len(ids), capacity)):
+                    part = ids[at:at + capacity]
+                    rows.append((doc_id, k, at, len(part), zlib.crc32(part.tobytes())) + ((part.astype("<i4"),) if with_ids else ()))
             columns = list(zip(*rows)) if rows else [()] * len(fields)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(cut, kinds)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, kinds)
 
 
 # -- plan -----------------------------------------------------------------------
