@@ -31,10 +31,6 @@ def xavg(c) -> Column:
     return F.try_divide(xsum(c), F.count(_c(c)))
 
 
-def xsum_if(cond: Column, c) -> Column:
-    return F.sum(F.when(cond, _c(c).cast(SUM_TYPE))).cast("double")
-
-
 def sdiv(a, b) -> Column:
     """``a / b`` with NULL for a zero or NULL divisor (ANSI-safe)."""
     return F.try_divide(_c(a), _c(b))

@@ -22,8 +22,8 @@ WEATHER_FALLBACK_RAIN = 40.0
 def month_events_map():
     """Month number -> comma-joined event titles (calendar order)."""
     by_month: dict[int, list[str]] = {}
-    for e in EVENTS:
-        by_month.setdefault(e["month"], []).append(e["title"])
+    for month, title in EVENTS:
+        by_month.setdefault(month, []).append(title)
     kv = []
     for m in sorted(by_month):
         kv += [F.lit(m), F.lit(", ".join(by_month[m]))]

@@ -45,19 +45,6 @@ def recency_rank(df: DataFrame, name: str = "rn_desc") -> DataFrame:
     return df.withColumn(name, F.row_number().over(w_series_desc()))
 
 
-def last_n(df: DataFrame, n: int = 4) -> DataFrame:
-    """Newest ``n`` rows per series."""
-    return recency_rank(df).filter(F.col("rn_desc") <= n).drop("rn_desc")
-
-
-def prior_n(df: DataFrame, n: int = 4) -> DataFrame:
-    """Rows ``n+1 .. 2n`` from the end, only for series with >= 2n rows."""
-    cnt = F.count(F.lit(1)).over(Window.partitionBy("series_id"))
-    r = recency_rank(df).withColumn("__n", cnt)
-    return (r.filter((F.col("rn_desc") > n) & (F.col("rn_desc") <= 2 * n) & (F.col("__n") >= 2 * n))
-            .drop("rn_desc", "__n"))
-
-
 def last_periods(df: DataFrame, order_col: str, n: int = 12) -> DataFrame:
     """The ``n`` newest periods per series by ``order_col``."""
     w = Window.partitionBy("series_id").orderBy(F.desc(order_col))

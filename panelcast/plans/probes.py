@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import clean_currency, clean_number, clean_percentage, parse_iso_week
 from ..functions.exact import SUM_TYPE
+from ..operators.prepare import BASE_MEASURES, RATIO_MEASURES, weekly_panel
 from ..sources.tables import load
+from ..sources.weekly_csv import HEADER_MAP, MONEY, PERCENT, REQUIRED, weekly_from_text
 
 
 def _pad2(c):
@@ -93,3 +95,39 @@ def clean_currency_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         tot("pct").alias("total_pct"), tot("num").alias("total_num"),
         F.count(F.when(F.col("us") == 0, 1)).alias("n_zero"),
     )
+
+
+def weekly_text(spark: SparkSession, sf_dir: str, headers: tuple[str, ...] | None = None) -> DataFrame:
+    """The weekly panel as a raw file: text cells under the original headers,
+    every third week split into two rows, and one undated row per series."""
+    wf = weekly_panel(spark, sf_dir, "segment")
+    split = (F.col("iso_week") % 3 == 0)
+    parts = wf.withColumn("part", F.explode(F.when(split, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0)))))
+    parts = parts.withColumn("week", F.concat(F.col("iso_year").cast("string"), _pad2(F.col("iso_week"))))
+    undated = wf.groupBy("series_id").agg(*[F.max(c).alias(c) for c in BASE_MEASURES]).withColumns(
+        {"part": F.lit(0), "week": F.lit(" ")})
+    parts = parts.select("series_id", "week", "part", *BASE_MEASURES).unionByName(undated, allowMissingColumns=True)
+
+    def cell(c: str) -> F.Column:
+        if c in RATIO_MEASURES:  # a split week repeats its ratios
+            text = F.col(c).cast("decimal(28,6)").cast("string")
+            return F.concat(text, F.lit("%")) if c in PERCENT else text
+        whole = F.col(c).cast("decimal(18,2)")
+        first = F.floor(whole * 60).cast("decimal(20,0)") / 100 if c in MONEY else F.floor(whole * F.lit(0.6)).cast("decimal(20,0)")
+        first = first.cast("decimal(18,2)")
+        amount = F.when(F.col("part") == 0, whole).when(F.col("part") == 1, first).otherwise(whole - first)
+        return F.concat(F.lit("€ "), F.format_number(amount, 2)) if c in MONEY else amount.cast("string")
+
+    return parts.select(F.col("series_id").alias("Series"), F.col("week").alias("Year Week"),
+                        *[cell(c).alias(h) for h, c in HEADER_MAP.items() if headers is None or h in headers])
+
+
+def weekly_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2, P1-P9 and the collapse of split weeks: the text must give the panel back."""
+    return weekly_from_text(weekly_text(spark, sf_dir), series_col="Series")
+
+
+def weekly_text_no_orders_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a file with the required columns only: orders fall back to sales / AOV."""
+    return weekly_from_text(weekly_text(spark, sf_dir, REQUIRED), series_col="Series").select(
+        "series_id", "week_start", "orders", "net_sales", "ad_spend", "mer", "op_profit", "aov")

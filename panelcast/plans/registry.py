@@ -188,6 +188,22 @@ def q_clean_currency(spark, sf_dir):
     return round_doubles(probes.clean_currency_query(spark, sf_dir))
 
 
+@register("weekly_text")
+def q_weekly_text(spark, sf_dir):
+    return round_doubles(probes.weekly_text_query(spark, sf_dir))
+
+
+@register("weekly_text_no_orders")
+def q_weekly_text_no_orders(spark, sf_dir):
+    return round_doubles(probes.weekly_text_no_orders_query(spark, sf_dir))
+
+
+@register("first_week_of_year")
+def q_first_week_of_year(spark, sf_dir):
+    x = windows.first_per_key(_wf(spark, sf_dir), ["series_id", "iso_year"])
+    return round_doubles(x.select("series_id", "iso_year", "week_start", "net_sales"))
+
+
 @register("origins")
 def q_origins(spark, sf_dir):
     return round_doubles(backtest.origins(_wf(spark, sf_dir)))
@@ -200,14 +216,14 @@ def q_seasonal_backtest(spark, sf_dir):
 
 @register("weekly_history")
 def q_weekly_history(spark, sf_dir):
-    from ..sources.sinks import weekly_history
-    return round_doubles(weekly_history(_wf(spark, sf_dir)))
+    from ..sources.sinks import newest_first, weekly_history
+    return newest_first(round_doubles(weekly_history(_wf(spark, sf_dir))))
 
 
 @register("channel_history")
 def q_channel_history(spark, sf_dir):
-    from ..sources.sinks import channel_history
-    return round_doubles(channel_history(_wf(spark, sf_dir)))
+    from ..sources.sinks import channel_history, newest_first
+    return newest_first(round_doubles(channel_history(_wf(spark, sf_dir))))
 
 
 # -- forecasting and backtest (rows-only checks) ------------------------------

@@ -804,3 +804,12 @@ SQL["series_health_score"] = SQL["health_score"].replace(
     f"SELECT *, {BE} AS be_roas, row_number()", "SELECT mf.*, ec.be_roas, row_number()").replace(
     "OVER (PARTITION BY series_id ORDER BY month DESC) AS rn FROM mf", "OVER (PARTITION BY mf.series_id ORDER BY month DESC) AS rn "
     "FROM mf JOIN ec ON ec.series_id = mf.series_id").replace("mf0 AS (", SERIES_ECON + ",\nmf0 AS (")
+
+# -- the weekly text file ------------------------------------------------------------
+SQL["weekly_text"] = SQL["weekly_fact"]
+_FALLBACK = f"(greatest(total_sales, {d(0.0)}) / {d(188500.0)})"
+SQL["weekly_text_no_orders"] = body(f"""SELECT series_id, week_start, {r6(_FALLBACK, 'orders')}, {r6('net_sales', 'net_sales')},
+  {r6('ad_spend', 'ad_spend')}, {r6('mer', 'mer')},
+  {r6(f"{_FALLBACK} * {_E['profit_per_order']} - ad_spend", 'op_profit')}, CAST(NULL AS DOUBLE) AS aov FROM wf""")
+SQL["first_week_of_year"] = body(f"""SELECT series_id, iso_year, min(week_start) AS week_start,
+  {r6('first(net_sales ORDER BY week_start)', 'net_sales')} FROM wf GROUP BY series_id, iso_year""")

@@ -3,39 +3,20 @@ national holiday calendar used by the additive model."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Commercial / cultural event calendar (month, first day, last
-# day, title, type, description).  Events match on month only.
+# Commercial / cultural events by month, in calendar order.
+# Events match on month only.
 EVENTS = (
-    {"month": 1, "day_start": 3, "day_end": 31, "title": "Winter sales", "type": "Commercial",
-     "desc": "Large seasonal discounts."},
-    {"month": 2, "day_start": 5, "day_end": 12, "title": "Sanremo festival", "type": "Cultural",
-     "desc": "Peak TV and social attention."},
-    {"month": 2, "day_start": 10, "day_end": 14, "title": "Valentine's Day", "type": "Commercial",
-     "desc": "Gifting focus."},
-    {"month": 4, "day_start": 1, "day_end": 15, "title": "Easter", "type": "Cultural",
-     "desc": "National holidays."},
-    {"month": 5, "day_start": 1, "day_end": 12, "title": "Mother's Day", "type": "Commercial",
-     "desc": "Lifestyle gifting."},
-    {"month": 7, "day_start": 1, "day_end": 31, "title": "Summer sales", "type": "Commercial",
-     "desc": "Inventory clearance."},
-    {"month": 11, "day_start": 20, "day_end": 30, "title": "Black Friday", "type": "Commercial",
-     "desc": "Yearly advertising peak."},
-    {"month": 12, "day_start": 1, "day_end": 24, "title": "Christmas", "type": "Commercial",
-     "desc": "Highest order volume."},
+    (1, "Winter sales"), (2, "Sanremo festival"), (2, "Valentine's Day"), (4, "Easter"), (5, "Mother's Day"),
+    (7, "Summer sales"), (11, "Black Friday"), (12, "Christmas"),
 )
 
-# Weather cities in payload order with latitude / longitude.
+# Weather cities in payload order.
 CITIES = (
-    ("Milano", 45.46, 9.19), ("Torino", 45.07, 7.68), ("Venezia", 45.44, 12.31),
-    ("Bologna", 44.49, 11.34), ("Genova", 44.40, 8.94), ("Firenze", 43.76, 11.25),
-    ("Ancona", 43.61, 13.51), ("Perugia", 43.11, 12.38), ("Roma", 41.90, 12.49),
-    ("Pescara", 42.46, 14.21), ("Napoli", 40.85, 14.26), ("Bari", 41.11, 16.87),
-    ("Potenza", 40.64, 15.80), ("Catanzaro", 38.90, 16.58), ("Palermo", 38.11, 13.36),
-    ("Catania", 37.50, 15.08), ("Cagliari", 39.22, 9.12), ("Sassari", 40.72, 8.56),
-    ("Trento", 46.06, 11.12), ("Trieste", 45.64, 13.77),
+    "Milano", "Torino", "Venezia", "Bologna", "Genova", "Firenze", "Ancona", "Perugia", "Roma", "Pescara", "Napoli",
+    "Bari", "Potenza", "Catanzaro", "Palermo", "Catania", "Cagliari", "Sassari", "Trento", "Trieste",
 )
 
 # National public holidays on fixed dates (month, day, name);
@@ -47,16 +28,9 @@ FIXED_HOLIDAYS = (
 )
 
 
-def event_calendar(spark: SparkSession) -> DataFrame:
-    """The event dimension (8 rows)."""
-    return spark.createDataFrame(
-        [tuple(e[k] for k in ("month", "day_start", "day_end", "title", "type", "desc")) for e in EVENTS],
-        "month int, day_start int, day_end int, title string, type string, desc string")
-
-
 def city_rank_map():
     kv = []
-    for i, (name, _, _) in enumerate(CITIES):
+    for i, name in enumerate(CITIES):
         kv += [F.lit(name), F.lit(i)]
     return F.create_map(*kv)
 

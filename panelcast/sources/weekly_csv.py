@@ -92,7 +92,12 @@ def resolve_columns(df: DataFrame, series_id: str | None = "ALL", series_col: st
 def weekly_from_csv(spark: SparkSession, path: str, sep: str = ",", econ: Economics = TABLE_ECONOMICS,
                     **kw) -> DataFrame:
     """S1 -> S2 -> P5 -> duplicate-week collapse -> P8 -> P9."""
-    df, present = resolve_columns(read_weekly_csv(spark, path, sep), **kw)
+    return weekly_from_text(read_weekly_csv(spark, path, sep), econ, **kw)
+
+
+def weekly_from_text(raw: DataFrame, econ: Economics = TABLE_ECONOMICS, **kw) -> DataFrame:
+    """The same from text columns with the original headers, wherever they come from."""
+    df, present = resolve_columns(raw, **kw)
     df = collapse_duplicate_weeks(drop_undated(df))
     df = df.withColumns({"iso_year": iso_year("week_start"), "iso_week": iso_week("week_start"),
                          "period_label": week_range_label("week_start")})
