@@ -55,24 +55,34 @@ def fill_zero(df: DataFrame, present: list[str] | None = None) -> DataFrame:
     return df.na.fill(0.0, subset=cols)
 
 
+def orders_or_fallback(df: DataFrame, econ: Economics = TABLE_ECONOMICS):
+    """Orders, or net sales / AOV where a file has no orders."""
+    fallback = F.greatest(F.col("total_sales"), F.lit(0.0)) / F.lit(float(econ.aov))
+    return F.coalesce(F.col("orders"), fallback) if "orders" in df.columns else fallback
+
+
+def with_orders(df: DataFrame, econ: Economics = TABLE_ECONOMICS) -> DataFrame:
+    """The frame with the fallback in ``orders``, for the operators that divide by
+    orders (AOV, CPA, LTV); without it an absent column stays NULL."""
+    return df.withColumn("orders", orders_or_fallback(df, econ))
+
+
 def derive_metrics(df: DataFrame, econ: Economics = TABLE_ECONOMICS) -> DataFrame:
     """Net sales, ad spend, MER, rates, operating profit, channel ROAS.
 
     Ratios with a zero base are NULL for ROAS and 0 for the rates that are filled (MER, return rate, cost of sales).
     """
     ppo = economics_columns(econ)["profit_per_order"]
-    # files without an orders column: orders = net sales / AOV, here for every operator
-    fallback = F.greatest(F.col("total_sales"), F.lit(0.0)) / F.lit(float(econ.aov))
-    orders = F.coalesce(F.col("orders"), fallback) if "orders" in df.columns else fallback
+    orders = orders_or_fallback(df, econ)
     net_sales = F.greatest(F.col("total_sales"), F.lit(0.0))
     ad_spend = F.nullif(F.col("spend_a") + F.col("spend_b"), F.lit(0.0))
-    out = df.withColumns({"net_sales": net_sales, "ad_spend": ad_spend, "orders": orders})
+    out = df.withColumns({"net_sales": net_sales, "ad_spend": ad_spend})
     return out.withColumns({
         "mer": F.round(F.coalesce(sdiv("total_sales", "ad_spend"), F.lit(0.0)), 6),
         "return_rate_pct": F.round(F.coalesce(
             sdiv(F.abs(F.col("returns")), F.col("total_sales")) * 100.0, F.lit(0.0)), 6),
         "cost_of_sales_pct": F.round(F.coalesce(sdiv("ad_spend", "net_sales") * 100.0, F.lit(0.0)), 6),
-        "op_profit": F.round(F.col("orders") * ppo - F.col("ad_spend"), 6),
+        "op_profit": F.round(orders * ppo - F.col("ad_spend"), 6),
         "roas_a": F.round(sdiv("conv_value_a", "spend_a"), 6),
         "roas_b": F.round(sdiv("conv_value_b", "spend_b"), 6),
     })

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import clean_currency, clean_number, clean_percentage, parse_iso_week
 from ..functions.exact import SUM_TYPE
-from ..operators.prepare import BASE_MEASURES, RATIO_MEASURES, weekly_panel
+from ..operators.prepare import BASE_MEASURES, RATIO_MEASURES, weekly_panel, with_orders
 from ..sources.tables import load
 from ..sources.weekly_csv import HEADER_MAP, MONEY, PERCENT, REQUIRED, weekly_from_text
 
@@ -129,5 +129,5 @@ def weekly_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def weekly_text_no_orders_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from a file with the required columns only: orders fall back to sales / AOV."""
-    return weekly_from_text(weekly_text(spark, sf_dir, REQUIRED), series_col="Series").select(
+    return with_orders(weekly_from_text(weekly_text(spark, sf_dir, REQUIRED), series_col="Series")).select(
         "series_id", "week_start", "orders", "net_sales", "ad_spend", "mer", "op_profit", "aov")
