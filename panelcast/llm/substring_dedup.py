@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, shared_path, staged
 
 SPAN, GRAM, LONGEST = 50, 24, 32
+CHUNKS = 64
 PRIME, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -128,10 +129,19 @@ def repeated_names(texts: DataFrame, slices: int, bits: int) -> np.ndarray:
 
     sent = texts.select("id", "text").mapInArrow(send, "part long, once binary, more binary")
     words = sent.groupBy("part").applyInPandas(meet, "word long, mask long")
-    # at most bits / 64 rows, whatever the input
-    got = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    words = words.groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    chunk = bits // 64 // CHUNKS
+
+    def fill(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        part = np.zeros(chunk, np.uint64)
+        part[x["word"].to_numpy() % chunk] = x["mask"].to_numpy().view(np.uint64)
+        return pd.DataFrame({"chunk": [key[0]], "part": [part.tobytes()]})
+
+    # CHUNKS rows, bits / 8 bytes in all, whatever the input
+    got = words.groupBy(F.floor(F.col("word") / chunk).alias("chunk")).applyInPandas(fill, "chunk long, part binary").collect()
     bloom = np.zeros(bits // 64, np.uint64)
-    bloom[got["word"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64).view(np.uint64)
+    for r in got:
+        bloom[r["chunk"] * chunk:(r["chunk"] + 1) * chunk] = np.frombuffer(r["part"], np.uint64)
     return bloom
 
 
