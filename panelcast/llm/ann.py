@@ -93,14 +93,16 @@ def search_block(query_id: np.ndarray, q: np.ndarray, vec_id: np.ndarray, x: np.
     low, high = bounds(q, code, norm, fit, centre, rotate)
     own = query_id[:, None] == vec_id[None, :]
     low[own], high[own] = -np.inf, -np.inf
+    bar = least
     if low.shape[1] > k:
-        least = np.maximum(least, np.partition(low, low.shape[1] - k, axis=1)[:, -k])
-    keep = (high >= least[:, None]) & ~own
+        bar = np.maximum(least, np.partition(low, low.shape[1] - k, axis=1)[:, -k])
+    keep = (high >= bar[:, None]) & ~own
     out = []
     for i in np.flatnonzero(keep.any(axis=1)):
         at = np.flatnonzero(keep[i])
         score = exact(x[at], q[i][None, :])
         best = np.lexsort((vec_id[at], -score))[:k]
+        best = best[score[best] >= least[i]]  # the rest cannot be among the best k
         out.append((np.full(len(best), query_id[i]), vec_id[at][best], score[best]))
     empty = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
     return tuple(np.concatenate(c) for c in zip(empty, *out))
