@@ -16,8 +16,8 @@ norm of the list, lies below it; the second pass probes all others, where that
 score also limits what is reranked.  Vectors in dense clusters stop after a few
 lists, vectors far from all others look at every code.  Rows of a list and
 queries that probe it meet in blocks of bounded size, (list, row block, query block), so a third of all rows being one
-vector, or all queries probing one list, only makes more blocks.  Each block
-hands on at most k rows a query.
+vector or one id, or all queries probing one list, only makes more blocks.  Each
+block hands on at most k distinct ids a query, with their best scores.
 
 Defined results: a vector that is null, zero, or holds a null or non-finite
 component takes no part, nor does a row with a null id or with another length
@@ -89,11 +89,16 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def search_block(query_id: np.ndarray, q: np.ndarray, vec_id: np.ndarray, x: np.ndarray, code: np.ndarray, norm: np.ndarray,
                  fit: np.ndarray, centre: np.ndarray, rotate: np.ndarray, k: int, least: np.ndarray):
-    """(query_id, vec_id, score) of the best k rows of a block for each query that score at least ``least``."""
+    """(query_id, vec_id, score) of the best k distinct ids of a block for each query, those that score at least ``least``."""
+    order = np.argsort(vec_id, kind="stable")  # rows of one id side by side
+    vec_id, x, code, norm, fit = vec_id[order], x[order], code[order], norm[order], fit[order]
+    first = np.flatnonzero(np.r_[True, vec_id[1:] != vec_id[:-1]])
     low, high = bounds(q, code, norm, fit, centre, rotate)
     own = query_id[:, None] == vec_id[None, :]
     low[own], high[own] = -np.inf, -np.inf
     bar = least
+    if len(first) < len(vec_id):
+        low = np.maximum.reduceat(low, first, axis=1)  # an id reaches what its best row reaches
     if low.shape[1] > k:
         bar = np.maximum(least, np.partition(low, low.shape[1] - k, axis=1)[:, -k])
     keep = (high >= bar[:, None]) & ~own
@@ -101,7 +106,9 @@ def search_block(query_id: np.ndarray, q: np.ndarray, vec_id: np.ndarray, x: np.
     for i in np.flatnonzero(keep.any(axis=1)):
         at = np.flatnonzero(keep[i])
         score = exact(x[at], q[i][None, :])
-        best = np.lexsort((vec_id[at], -score))[:k]
+        best = np.lexsort((-score, vec_id[at]))
+        best = best[np.r_[True, vec_id[at][best][1:] != vec_id[at][best][:-1]]]  # the best row of each id
+        best = best[np.lexsort((vec_id[at][best], -score[best]))][:k]
         best = best[score[best] >= least[i]]  # the rest cannot be among the best k
         out.append((np.full(len(best), query_id[i]), vec_id[at][best], score[best]))
     empty = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
@@ -126,10 +133,10 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, count = sizes[0]["dim"], sizes[0]["n"]
     rows = rows.filter(F.size("embedding") == dim)
-    asked = valid(queries).filter(F.size("embedding") == dim)
+    asked = valid(queries).filter(F.size("embedding") == dim).distinct()
     share = min(1.0, sample_rows / count)
     drawn = rows.filter(F.pmod(F.xxhash64(F.lit("sample"), "vec_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    drawn = sorted((r["vec_id"], r["embedding"]) for r in drawn.limit(2 * sample_rows).collect())
+    drawn = sorted((r["vec_id"], r["embedding"]) for r in drawn.distinct().limit(2 * sample_rows).collect())
     sample = np.array([e for _, e in drawn], float) if drawn else np.zeros((1, dim))
     centres = kmeans(sample, min(max_lists, max(1, count // list_rows)))
     shared = spark.sparkContext.broadcast((centres, rotation(dim)))
@@ -146,7 +153,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int
                 [b.column(0), b.column(1), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary()),
                  pa.array(norm), pa.array(fit)], names=["vec_id", "embedding", "list", "code", "norm", "fit"])
 
-    index = staged(rows.mapInArrow(coded, "vec_id long, embedding array<double>, list int, code binary, norm double, fit double"), "codes")
+    index = staged(rows.distinct().mapInArrow(coded, "vec_id long, embedding array<double>, list int, code binary, norm double, fit double"), "codes")
     # at most max_lists rows, one per list
     lists = index.groupBy("list").agg(F.count("*").alias("n"), F.max("norm").alias("norm")).collect()
     reach = np.full(len(centres), -1.0)
@@ -184,13 +191,13 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*parts)))))
 
     def searched(ask: DataFrame, first: bool) -> DataFrame:
-        """(query_id, vec_id, score): at most k rows of each block for each query."""
+        """(query_id, vec_id, score): at most k distinct ids of each block for each query."""
         ask = ask.mapInArrow(asking(first), "vec_id long, embedding array<double>, least double, lists array<int>")
         ask = staged(ask.select("vec_id", "embedding", "least", F.explode("lists").alias("list")), "queries")
         blocks = staged(ask.groupBy("list").agg(F.ceil(F.count("*") / query_block).cast("int").alias("query_blocks"))
                         .join(row_blocks, "list"), "blocks")  # at most max_lists rows
         own, asked = (x.join(F.broadcast(blocks), "list") for x in (index, ask))
-        deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+        deal = lambda n: F.pmod(F.xxhash64("vec_id", "embedding"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         dealt = ("row_blocks", "query_blocks")
         own = own.withColumn("rb", deal("row_blocks")).withColumn("qb", every("query_blocks")).drop(*dealt)

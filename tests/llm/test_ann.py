@@ -71,3 +71,31 @@ def test_odd_rows(spark):
     assert got == {0: [(1, 6, 1.0), (2, 20, 0.0), (3, 9, -1.0)], 20: [(1, 6, 1.0), (2, 0, 0.0), (3, 9, 0.0)]}
     assert A.op1_ann(frame(spark, [])).collect() == []
     assert A.op1_ann(frame(spark, [(0, [1.0])])).collect() == []
+
+
+@pytest.mark.parametrize("kind", ["every row twice", "two vectors an id", "one hot id"])
+def test_rows_that_share_an_id(spark, kind):
+    """k distinct ids come back, each with the best score of its rows."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 16)).astype(np.float32).astype(float)
+    rows = list(enumerate(x))
+    if kind == "every row twice":
+        rows += rows
+    if kind == "two vectors an id":
+        rows += list(enumerate(x + rng.normal(size=x.shape).astype(np.float32)))
+    if kind == "one hot id":
+        rows += [(7, v) for v in 2 * rng.normal(size=(400, 16)).astype(np.float32).astype(float)] + [(8, x[8])] * 400
+    rows = [(i, np.asarray(v, np.float32).astype(float)) for i, v in rows]
+    df = frame(spark, [(i, v.tolist()) for i, v in rows]).repartition(3)
+    ids, every = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
+    want = {}
+    for q in range(0, 600, 20):
+        score = {}
+        for v in every[ids == q]:
+            for i, s in zip(ids.tolist(), np.add.accumulate(every * v, axis=1)[:, -1].tolist()):
+                if i != q:
+                    score[i] = max(s, score.get(i, -np.inf))
+        want[q] = [(r + 1, i, s) for r, (i, s) in enumerate(sorted(score.items(), key=lambda e: (-e[1], e[0]))[:20])]
+    assert digest(A.op1_ann(df).collect()) == want
+    asked = df.filter("vec_id % 20 = 0")
+    assert digest(A.neighbours(df, asked, probes=1, list_rows=100, row_block=64, query_block=16).collect()) == want
