@@ -19,7 +19,8 @@
 5. Components by alternating large-star and small-star steps, each written.
 
 With 26 bands of 5 values, two sets of similarity 0.85 share no bucket with
-probability (1 - 0.85**5)**26, about 2.4e-7.
+probability (1 - 0.85**5)**26, about 2.4e-7; at 0.80, the threshold of the
+pipeline's stage, with probability 3.3e-5.
 
 Defined results: a document without words has an empty set, is linked with
 nothing and is its own component; a null id stands below every other id; rows
@@ -41,6 +42,8 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, fresh, staged
 
 ROWS, BANDS = 5, 26
+#: Similarity at which the pipeline's stage links documents; the query op9 links at 85.
+STAGE_PERCENT = 80
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 CACHED_WORDS = 400_000
 _WORDS: dict[bytes, int] = {}
@@ -253,8 +256,8 @@ def op9_near_dedup(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup_stage(docs: DataFrame) -> DataFrame:
-    """The documents whose id is the least of their group, with all columns."""
+    """The documents whose id is the least of their group, with all columns; groups link at ``STAGE_PERCENT``."""
     rid, = fresh(docs, "r_id")
-    out = near_duplicates(docs)
+    out = near_duplicates(docs, percent=STAGE_PERCENT)
     kept = out.filter(F.col("id") == F.col("component")).select(F.col("id").alias(rid)).distinct()
     return docs.join(kept, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == kept[rid], "left_semi")

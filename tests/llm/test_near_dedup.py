@@ -102,3 +102,22 @@ def test_components(spark):
     got = {r.node: r.component for r in N.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert {got.get(k, k) for k in range(41)} == {0} and got[100] == got[95] == 90
     assert N.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_stage_links_at_80(spark):
+    """Pairs of similarity 0.80 to 0.85 go in the stage and stay in the query."""
+    words = [[f"w{k}x{n}" for n in range(104)] for k in range(12)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(words)]
+    for k, w in enumerate(words):
+        # 100 shingles; new words at the end replace 5 + k of them
+        rows.append((100 + k, " ".join(w[:99 - k] + [f"new{k}x{n}" for n in range(5 + k)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(d for d, _, c in brute(rows, 80) if d == c)
+    assert len(want) < len([d for d, _, c in brute(rows, 85) if d == c])
+    assert sorted(r.doc_id for r in N.near_dedup_stage(df).collect()) == want
+    assert digest(df) == brute(rows, 85)
+
+
+def test_stage_on_documents(documents):
+    want = sorted(d for d, _, c in brute(rows_of(documents), 80) if d == c)
+    assert sorted(r.doc_id for r in N.near_dedup_stage(documents).collect()) == want
