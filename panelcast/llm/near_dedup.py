@@ -34,6 +34,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -255,9 +256,39 @@ def op9_near_dedup(docs: DataFrame) -> DataFrame:
                       (F.col("id") == F.col("component")).alias("kept"))
 
 
+def _one_row_a_set(rows: DataFrame, rid: str) -> DataFrame:
+    """One row, the one with the least hash, of each id (``rid``) and set; all rows with a null id and no words."""
+    @F.pandas_udf("struct<n long, f1 long, f2 long>")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(None if t is None else bytes(t)) for t in texts]
+        marks = [np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), "<i8") for x in sets]
+        return pd.DataFrame({"n": np.array([len(x) for x in sets], np.int64), "f1": np.array([m[0] for m in marks], np.int64),
+                             "f2": np.array([m[1] for m in marks], np.int64)})
+
+    columns = [F.col(f"`{c}`") for c in rows.columns if c != rid]
+    found, salt, row = fresh(rows, "r_found", "r_salt", "r_row")
+    alone = F.col("doc_id").isNull() & (F.col(f"{found}.n") == 0)
+    x = rows.withColumn(found, sketch(F.col("text").cast("binary")))
+    x = x.withColumn(salt, F.when(alone, F.monotonically_increasing_id()))
+    return x.groupBy(rid, found, salt).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(row)).select(f"{row}.*")
+
+
 def near_dedup_stage(docs: DataFrame) -> DataFrame:
-    """The documents whose id is the least of their group, with all columns; groups link at ``STAGE_PERCENT``."""
-    rid, = fresh(docs, "r_id")
-    out = near_duplicates(docs, percent=STAGE_PERCENT)
-    kept = out.filter(F.col("id") == F.col("component")).select(F.col("id").alias(rid)).distinct()
-    return docs.join(kept, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == kept[rid], "left_semi")
+    """The documents whose id is the least of their group, with all columns; groups link at ``STAGE_PERCENT``.
+
+    Rows with a null id are documents of their own, told apart by their text and
+    below every other id (numbers under -2**62 stand for them).  Of rows that
+    share an id and a set one stays; rows of one id with different sets all
+    stay, and so do rows with a null id and no words.
+    """
+    rid, of, times = fresh(docs, "r_id", "r_of", "r_times")
+    unnamed = F.lit(NULL_ID) + F.shiftrightunsigned(F.xxhash64("text"), 2)
+    named = docs.withColumn(rid, F.coalesce(F.col("doc_id").cast("long"), unnamed))
+    out = near_duplicates(named, id_col=rid, percent=STAGE_PERCENT)
+    kept = out.groupBy(F.col("id").alias(of)).agg(F.max(F.col("id") == F.col("component")).alias("kept"), F.count("*").alias(times))
+    kept = staged(kept.filter("kept").drop("kept"), "kept")
+
+    def among(which: Column) -> DataFrame:
+        return named.join(kept.filter(which), F.col(rid) == F.col(of), "left_semi")
+
+    return among(F.col(times) == 1).drop(rid).unionByName(_one_row_a_set(among(F.col(times) > 1), rid))

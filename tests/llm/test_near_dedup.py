@@ -121,3 +121,22 @@ def test_stage_links_at_80(spark):
 def test_stage_on_documents(documents):
     want = sorted(d for d, _, c in brute(rows_of(documents), 80) if d == c)
     assert sorted(r.doc_id for r in N.near_dedup_stage(documents).collect()) == want
+
+
+def test_stage_keeps_one_row_of_copies(spark):
+    """Repeated rows and copies without ids go like any other; nothing unlike goes with them."""
+    text = [" ".join(f"t{k}w{n}" for n in range(60)) for k in range(8)]
+    rows = [(1, text[0]), (1, text[0]), (1, text[0].upper()), (2, text[0])]  # repeated rows, one set
+    rows += [(3, text[1]), (3, text[2])]  # one id, two sets
+    rows += [(None, text[3])] * 3 + [(None, text[3] + " more"), (4, text[3])]  # copies and near copies without ids
+    rows += [(None, text[4]), (None, text[5]), (5, text[5])]
+    rows += [(None, None), (None, ""), (None, ""), (6, ""), (6, ""), (7, text[6])]
+    out = N.near_dedup_stage(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    shape = lambda x: (x is None, x or 0)
+    got = sorted(((r.doc_id, (r.text or "").lower()) for r in out if r.text not in (None, "")), key=lambda r: (shape(r[0]), r[1]))
+    some = [r for r in got if r != (None, text[3]) and r != (None, text[3] + " more")]
+    assert some == sorted([(1, text[0]), (3, text[1]), (3, text[2]), (7, text[6]), (None, text[4]), (None, text[5])],
+                          key=lambda r: (shape(r[0]), r[1]))
+    assert len(got) == len(some) + 1
+    assert [shape(r.doc_id) for r in out if r.text in (None, "")].count((True, 0)) == 3
+    assert [r.doc_id for r in out].count(6) == 1
