@@ -1,8 +1,11 @@
 """Language ID: averaged hashed subword embeddings, linear softmax, calibrated rejection.
 
 The classifier is fitted on the driver from at most ``sample_rows`` labelled
-documents (a documented bound; the least hashes of the ids), each represented
-by its letters, evenly thinned to about ``sample_chars``.  A fifth of them is
+documents (a documented bound on all languages together), each represented by
+its letters, evenly thinned to about ``sample_chars``.  Every language gives the
+same number of documents, those with the least hashes of their ids, or all it
+has if they are fewer, so that a rare one is learned too; of more than
+``sample_rows`` languages the most frequent ones are learned.  A fifth is
 set aside to fit the temperature that makes the scores probabilities and the
 threshold below which a document is rejected.  Prediction reads every whole
 text, in Arrow batches.
@@ -19,11 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import subwords as S
-from .common import fresh
+from .common import fresh, staged
 
 LOW, HIGH = 1, 4
 NONE = "und"
@@ -75,11 +78,41 @@ def train(texts: list[np.ndarray], labels: list[str], epochs: int = 6, batch: in
     return LangModel(langs, table, model.b, float(temperature), threshold)
 
 
+def water_level(counts: list[int], total: int) -> int:
+    """The largest bound on each count that keeps the sum within ``total``; at least 1."""
+    left = total
+    for k, n in enumerate(sorted(counts)):
+        level = left // (len(counts) - k)
+        if n > level:
+            return max(1, level)
+        left -= n
+    return max(counts, default=1)
+
+
+def sample_of_languages(rows: DataFrame, sample_rows: int) -> DataFrame:
+    """(doc_id, lang): the least hashes of each language, at most ``sample_rows`` in all.
+
+    The counts give each language a bar that a few more than its share pass, so
+    only those rows, however many a language has, meet to be ranked.
+    """
+    spark = rows.sparkSession
+    ids = staged(rows.select("doc_id", "lang", F.xxhash64(F.lit("sample"), "doc_id").alias("order")).distinct(), "lang-ids")
+    # at most sample_rows rows, one per language
+    counts = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample_rows).collect()
+    level = water_level([r["n"] for r in counts], sample_rows)
+    some = level + 8 * level**0.5 + 50
+    bars = [(r["lang"], 2**63 - 1 if some >= r["n"] else int(some / r["n"] * 2**64) - 2**63) for r in counts]
+    bars = spark.createDataFrame(bars, "of string, bar long")
+    few = ids.join(F.broadcast(bars), (F.col("lang") == F.col("of")) & (F.col("order") <= F.col("bar")))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))
+    return few.withColumn("rank", rank).filter(F.col("rank") <= level).select("doc_id", "lang")
+
+
 def fit(docs: DataFrame, sample_rows: int = 2000, sample_chars: int = 4000) -> LangModel | None:
     """Learn from text and non-null lang of the documents that may be learned from."""
     rows = docs.select("doc_id", "text", "lang").filter(
         S.learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = S.bounded_sample(rows, "doc_id", sample_rows)
+    ids = sample_of_languages(rows, sample_rows)
 
     def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -87,7 +120,7 @@ def fit(docs: DataFrame, sample_rows: int = 2000, sample_chars: int = 4000) -> L
                                 "codes": [S.thinned(S.codes(t), sample_chars).astype("int32") for t in x["text"]]})
 
     # at most sample_rows ids are broadcast
-    sample = (rows.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang", "order")
+    sample = (rows.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "text", "lang")
               .mapInPandas(thin, "doc_id long, lang string, codes array<int>").orderBy("doc_id").limit(sample_rows))
     got = sorted((r["doc_id"], r["lang"], r["codes"]) for r in sample.collect())
     order = np.random.default_rng(11).permutation(len(got))

@@ -69,3 +69,24 @@ def test_subwords():
 def test_very_long(spark, text):
     df = spark.createDataFrame([(k, text, "en") for k in range(4)], "doc_id long, text string, lang string")
     assert {r.lang_pred for r in L.op5_lang_id(df).collect()} == {"en"}
+
+
+def test_a_rare_language_is_learned(spark):
+    """Far rarer than one in ``sample_rows``, and still known on its held-out documents."""
+    rng = np.random.default_rng(6)
+    letters = {"aa": "abcdefgh", "bb": "ijklmnop", "cc": "qrstuvwx"}
+    text = lambda lang: " ".join("".join(rng.choice(list(letters[lang]), 5)) for _ in range(20))
+    rows = [(k, "cc" if k % 300 == 5 else "aa" if k % 3 else "bb") for k in range(9000)]
+    df = spark.createDataFrame([(k, text(y), y) for k, y in rows], "doc_id long, text string, lang string")
+    ids = L.sample_of_languages(df, 120).collect()
+    assert [sum(r.lang == y for r in ids) for y in ("aa", "bb", "cc")] == [45, 45, 30]
+    model = L.fit(df, sample_rows=120)
+    assert model.langs == ["aa", "bb", "cc"]
+    out = L.with_language(df.filter("lang = 'cc'"), model).filter(S.held_out(df["doc_id"])).collect()
+    assert out and all(r.lang_pred == "cc" and not r.rejected for r in out)
+
+
+@pytest.mark.parametrize("counts, level", [([], 1), ([5], 5), ([5, 5], 5), ([3, 100, 100], 28), ([50, 100, 100], 20), ([1] * 90, 1)])
+def test_water_level(counts, level):
+    assert L.water_level(counts, 60) == level
+    assert sum(min(n, level) for n in counts) <= max(60, len(counts))
