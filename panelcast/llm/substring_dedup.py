@@ -1,11 +1,10 @@
-"""Suffix-array dedup: distributed prefix doubling, to a threshold of ``SPAN`` bytes.
-
-Positions are ranked by the string that starts there, and a rank of twice the
-length is a pair of ranks.  A string only has to be told apart up to ``SPAN``
-bytes, so the doubling starts at ``GRAM`` bytes and ends at ``SPAN``; ranks are
-64-bit names of equal strings, given by Spark's grouping, not numbers in order.
-Most positions are unique at once and must not be shuffled at all, so the first
-round looks at sampled positions: in each stretch of ``SPAN`` bytes, the
+"""Repeated strings of ``SPAN`` bytes, by grouping content-sampled segments.
+
+This replaces distributed prefix doubling: no rank of one round feeds the next
+and nothing is reranked.  Strings of ``GRAM`` and ``SPAN`` bytes have 64-bit
+names, hashes taken in numpy; Spark groups them.  What doubling would cost here
+was not measured.  Most positions are unique and must not be shuffled at all, so
+the first round looks at sampled positions: in each stretch of ``SPAN`` bytes, the
 position whose ``GRAM``-byte name is least.  Equal stretches sample the same
 position, so a stretch can only repeat if the name of its sampled position does.
 
