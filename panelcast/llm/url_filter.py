@@ -3,9 +3,10 @@
 Rules name a host and a path; a rule fits its host and all subdomains of it if
 the path starts with the rule's, and the longest rule that fits decides.  The
 URLs that rules decide are the labelled ones.  Boosted trees learn from a
-sample of them (about ``sample_rows``, a documented bound, by the hash of the
-URL) and judge the rest by length, depth, digit ratio, character entropy,
-parameter counts and statistics of the host's suffixes.  Suffix statistics are
+sample of them (about ``sample_rows``, a documented bound, by the hash of id
+and URL, so that pages of one URL are drawn each on their own; only rows that
+repeat both go together) and judge the rest by length, depth, digit ratio,
+character entropy, parameter counts and statistics of the host's suffixes.  Suffix statistics are
 counted over all pages, one row per suffix, and joined back; the planner
 broadcasts that table only if its written size is under its threshold.
 
@@ -96,6 +97,12 @@ def with_suffix_statistics(x: DataFrame) -> DataFrame:
     return x
 
 
+def in_sample(share: float, seed: int) -> Column:
+    """Whether a row (page_id, url) is drawn, by the hash of both."""
+    h = F.xxhash64(F.lit(seed), F.coalesce("url", F.lit("")), "page_id")
+    return F.pmod(h, F.lit(1_000_000)) < int(share * 1_000_000)
+
+
 def judge_urls(pages: DataFrame, rules=RULES, sample_rows: int = 20_000, trees: int = 20, depth: int = 4,
                seed: int = 7) -> DataFrame:
     """Each row of ``pages`` (page_id, url) with ``host``, ``path``, ``rule``, ``verdict``
@@ -111,11 +118,10 @@ def judge_urls(pages: DataFrame, rules=RULES, sample_rows: int = 20_000, trees:
         only = next(iter(counts), "allow")
         return x.select("page_id", "url", "host", "path", "rule", F.coalesce("rule_verdict", F.lit(only)).alias("verdict"),
                         F.lit(None).cast("double").alias("score"))
-    # the same share of every verdict, chosen by the hash of the URL
+    # the same share of every verdict and of the copies of a URL
     share = min(1.0, sample_rows / sum(counts.values()))
-    in_sample = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("url", F.lit(""))), F.lit(1_000_000)) < int(share * 1_000_000)
     assemble = VectorAssembler(inputCols=[*LEXICAL, *SUFFIX], outputCol="features")
-    sample = known.filter(in_sample).withColumn("label", (F.col("rule_verdict") == "block").cast("double"))
+    sample = known.filter(in_sample(share, seed)).withColumn("label", (F.col("rule_verdict") == "block").cast("double"))
     sample = staged(assemble.transform(sample).select("features", "label").coalesce(4), "sample")
     if sample.select("label").distinct().count() < 2:
         sample = assemble.transform(known.withColumn("label", (F.col("rule_verdict") == "block").cast("double")))

@@ -82,3 +82,9 @@ def test_entropy(spark, text):
 def test_plan_is_native(spark):
     plan = U.op8_url_filter(spark.read.parquet(f"{SF001}/pages.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_pages_of_one_url_are_drawn_each_on_their_own(spark, seed):
+    df = spark.range(4000).select(F.col("id").alias("page_id"), F.lit("http://a.com/hot").alias("url"))
+    assert 300 < df.filter(U.in_sample(0.1, seed)).count() < 500
