@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, lang_id, line_dedup, mixing, near_dedup, packing, quality, substring_dedup, toxicity, url_filter
+from . import (ann, lang_id, line_dedup, mixing, near_dedup, packing, quality, simhash, spelling, substring_dedup, toxicity,
+               url_filter, whitening)
 from .common import load
 
 
@@ -26,10 +27,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": _on("pages", url_filter.op8_url_filter),
     "op9_near_dedup": _on("documents", near_dedup.op9_near_dedup),
     "op10_quality": _on("documents", quality.op10_quality),
+    "op11_simhash": _on("documents", simhash.op11_simhash),
+    "op12_spelling": _on("documents", spelling.op12_spelling),
+    "op13_whitening": _on("embeddings", whitening.op13_whitening),
 }
 
 SQL: dict[str, str] = {
     "op1_ann": ann.SQL,
     "op2_mixing": mixing.SQL,
     "op7_line_dedup": line_dedup.SQL,
+    "op12_spelling": spelling.SQL,
 }
