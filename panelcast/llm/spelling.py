@@ -162,15 +162,14 @@ def neighbourhoods(groups: DataFrame, symbols: int) -> DataFrame:
 
 
 def deletion_keys(words: DataFrame) -> DataFrame:
-    """(word, key): the key of each word and those of its one-letter deletions."""
+    """(of, key): the key of each word, and with it that key and those of its one-letter deletions."""
     def edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, w in _batches(batches, 0):
+        for _, w in _batches(batches, 0):
+            own = w.keys()
             of, near = w.deletions()
-            at = np.r_[np.arange(part.num_rows), of]
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), _long(np.r_[w.keys(), near])],
-                                             names=["word", "key"])
+            yield pa.RecordBatch.from_arrays([_long(np.r_[own, own[of]]), _long(np.r_[own, near])], names=["of", "key"])
 
-    return words.select("word").mapInArrow(edits, "word string, key long")
+    return words.select("word").mapInArrow(edits, "of long, key long")
 
 
 # -- vocabulary and near words ----------------------------------------------------------
@@ -208,11 +207,14 @@ def near_pairs(words: DataFrame, symbols: int = SYMBOLS, group: int = GROUP) ->
     # words of large groups, and of the groups next to them
     many = found.filter(F.greatest("size", "near_size") > group)
     of = many.select("key").unionByName(many.select(F.col("near").alias("key"))).distinct()
-    edits = staged(deletion_keys(keyed.join(of, "key", "left_semi").select("word")), "edits")
-    shared = edits.select("key", F.col("word").alias("a")).join(edits.select("key", F.col("word").alias("b")), "key")
-    shared = shared.filter("a < b").select("a", "b")
-
-    pairs = few.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(shared)
+    large = staged(with_key(keyed.join(of, "key", "left_semi").select("word"), "word"), "large")
+    edits = staged(deletion_keys(large), "edits")
+    shared = edits.select("key", F.col("of").alias("x")).join(edits.select("key", F.col("of").alias("y")), "key")
+    shared = shared.filter("x <= y").select("x", "y").distinct()
+    shared = shared.join(large.select(F.col("key").alias("x"), F.col("word").alias("a")), "x")
+    shared = shared.join(large.select(F.col("key").alias("y"), F.col("word").alias("b")), "y").filter("a <> b").select("a", "b")
+
+    pairs = few.unionByName(shared).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs.filter(F.levenshtein("a", "b", 1) == 1).distinct()
 
 
