@@ -1,28 +1,30 @@
-"""Repeated strings of ``SPAN`` bytes, by grouping content-sampled segments.
-
-This replaces distributed prefix doubling: no rank of one round feeds the next
-and nothing is reranked.  Strings of ``GRAM`` and ``SPAN`` bytes have 64-bit
-names, hashes taken in numpy; Spark groups them.  What doubling would cost here
-was not measured.  Most positions are unique and must not be shuffled at all, so
-the first round looks at sampled positions: in each stretch of ``SPAN`` bytes, the
-position whose ``GRAM``-byte name is least.  Equal stretches sample the same
-position, so a stretch can only repeat if the name of its sampled position does.
-
-1. Texts that occur more than once are collapsed to the smallest id; texts are
-   written once, bucketed by id, and read from there without a further shuffle.
-2. Round one: names of sampled positions, four bytes each, grouped by slices of
-   the name; names of one document alone drop out.  The others go into a Bloom
-   filter of fixed size, which the next pass reads.
-3. Consecutive positions that share their sampled position are one segment.
-   Round two groups the surviving segments by (name of the sampled position,
-   pair of the names at both ends).  All occurrences outside the smallest id of
-   such a group repeat it there: their positions are settled.
-4. Round three: what is left are groups whose sampled position occurs in several
-   groups, as at the ends of repeats.  One text of each is compared position by
-   position, at the full ``SPAN`` bytes, within slices of whole sampled
-   positions; a sampled position with more than ``slice_rows`` groups is ranked
-   by a grouping of its single positions instead, which no hot one can fill.
-5. Covered bytes are cut from each document.
+"""Repeated strings of ``SPAN`` bytes, by distributed prefix doubling.
+
+The table is cut into slices of about ``slice_bytes``, one row each, written once in
+buckets; a slice keeps its texts in one array, and every round works on whole slices.
+In each round a slice sends the distinct ranks of its live positions, dealt by value
+over the slices of the names; Spark brings equal ones together, a task sorts them, and
+what it found goes back to the slice that asked.  A string that a third of all rows
+share is therefore one number per slice of the table, never a row per position.
+
+1. Round of 24 bytes, for pruning.  In each stretch of ``SPAN`` bytes the position whose
+   24-byte name is least stands for the stretch: equal stretches choose alike, so a
+   stretch can only repeat if that name does.  All positions of other stretches drop
+   out before anything is sent for them.
+2. Round of 48 bytes.  The pair of the 24-byte names at a position and 24 bytes on is
+   sorted; a pair found in one document drops its positions out, the others get its
+   place in the order as their new rank.
+3. Round of 50 bytes.  The pair of the ranks that round two gave to a position and to
+   the one 2 bytes on is sorted; a position whose partner dropped out does so too.  The
+   least id of each pair comes back: positions of larger ids begin a repeat.
+4. Covered bytes are cut from each text.
+
+Rounds two and three run for ``ranges`` ranges of first-round names in turn, and their
+shuffles and answers are released before the next range, so that the disk in use is
+bounded by one range whatever share of the corpus repeats.
+
+Names and ranks of strings over 24 bytes are 64-bit hashes of pairs: two different
+strings that meet in a round agree with a probability of 2**-64 per pair.
 
 Defined results: a null text is empty; a null id stands below every other id;
 rows that share an id are one document for the comparison (none repeats the
@@ -33,18 +35,24 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, shared_path, staged
+from .common import NULL_ID, release, shared_path, staged
 
-SPAN, GRAM, LONGEST = 50, 24, 32
-CHUNKS = 64
+SPAN, GRAM = 50, 24
+REST = SPAN - 2 * GRAM
 PRIME, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+LOW = np.uint64(0xFFFFFFFF)
+#: Ends the executors' hold on shuffle files when the query that made them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -66,197 +74,319 @@ def names(b: np.ndarray, n: int) -> np.ndarray:
         size *= 2
 
 
-def segments(b: np.ndarray):
-    """(sampled name, pair name, start, run) of runs of positions with one sampled position."""
-    gram, full = names(b, GRAM), names(b, SPAN)
-    width, least, size = SPAN - GRAM + 1, gram, 1
-    while 2 * size <= width:
-        least = np.minimum(least[:-size], least[size:])
-        size *= 2
-    least = np.minimum(least[:len(full)], least[width - size:][:len(full)])
-    at = np.arange(len(full))
-    new = np.r_[True, least[1:] != least[:-1]]
-    begin = np.maximum.accumulate(np.where(new, at, 0))
-    start = np.flatnonzero((at - begin) % LONGEST == 0)
-    run = np.diff(np.r_[start, len(full)])
-    pair = _mix(_mix(full[start] * PRIME + full[start + run - 1]) + run.astype(np.uint64))
-    return least[start], pair, start, run, full
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _mix(_mix(a) * PRIME + b)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]):
-    for batch in batches:
-        yield batch, batch.column(0).to_pylist(), batch.column(1)
-
-
-def _bytes(text: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(text.as_py() or b"", np.uint8)
-
-
-def _key(sampled: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray]:
-    return ((sampled >> np.uint64(32)) % np.uint64(slices)).astype(np.int64), (sampled & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-
-
-def _probes(part: np.ndarray | int, low: np.ndarray, bits: int) -> list[np.ndarray]:
-    x = _mix((low.astype(np.uint64) + np.uint64(1)) * PRIME + np.asarray(part, np.uint64))
-    return [x % np.uint64(bits), _mix(x) % np.uint64(bits)]
-
-
-def repeated_names(texts: DataFrame, slices: int, bits: int) -> np.ndarray:
-    """Bloom filter of the sampled names that two documents hold."""
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, column in _texts(batches):
-            held = [np.unique(segments(b)[0]) for b in map(_bytes, column) if len(b) >= SPAN]
-            if not held:
-                continue
-            every, n = np.unique(np.concatenate(held), return_counts=True)
-            part, low = _key(every, slices)
-            order = np.argsort(part, kind="stable")
-            cuts = np.flatnonzero(np.diff(part[order])) + 1
-            rows = [(int(part[g[0]]), low[g[n[g] == 1]].tobytes(), low[g[n[g] > 1]].tobytes()) for g in np.split(order, cuts)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))],
-                                             names=["part", "once", "more"])
-
-    def meet(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        read = lambda c: np.frombuffer(b"".join(x[c]), np.uint32)
-        low, n = np.unique(read("once"), return_counts=True)
-        both, many = low[n > 1], np.unique(read("more"))
-        low = np.union1d(np.union1d(both, many), np.intersect1d(low, many))
-        at = np.unique(np.concatenate(_probes(key[0], low, bits))).astype(np.int64)
-        word, first = np.unique(at >> 6, return_index=True)
-        mask = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.empty(0, np.uint64)
-        return pd.DataFrame({"word": word, "mask": mask.view(np.int64)})
-
-    sent = texts.select("id", "text").mapInArrow(send, "part long, once binary, more binary")
-    words = sent.groupBy("part").applyInPandas(meet, "word long, mask long")
-    words = words.groupBy("word").agg(F.bit_or("mask").alias("mask"))
-    chunk = bits // 64 // CHUNKS
-
-    def fill(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        part = np.zeros(chunk, np.uint64)
-        part[x["word"].to_numpy() % chunk] = x["mask"].to_numpy().view(np.uint64)
-        return pd.DataFrame({"chunk": [key[0]], "part": [part.tobytes()]})
-
-    # CHUNKS rows, bits / 8 bytes in all, whatever the input
-    got = words.groupBy(F.floor(F.col("word") / chunk).alias("chunk")).applyInPandas(fill, "chunk long, part binary").collect()
-    bloom = np.zeros(bits // 64, np.uint64)
-    for r in got:
-        bloom[r["chunk"] * chunk:(r["chunk"] + 1) * chunk] = np.frombuffer(r["part"], np.uint64)
-    return bloom
-
-
-def surviving(texts: DataFrame, bloom, slices: int, bits: int) -> DataFrame:
-    """(h, c, id, start, run, tag): segments whose sampled name may be held twice; the
-    tag tells texts of one id apart."""
-    fields = [("h", pa.int64()), ("c", pa.int64()), ("id", pa.int64()), ("start", pa.int32()), ("run", pa.int32()), ("tag", pa.int32())]
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = bloom.value
-        for batch, ids, column in _texts(batches):
-            tags = batch.column(2).to_pylist()
-            for low_row in range(0, len(ids), 500):
-                parts = []
-                for k in range(low_row, min(low_row + 500, len(ids))):
-                    b = _bytes(column[k])
-                    if len(b) < SPAN:
-                        continue
-                    h, c, start, run, _ = segments(b)
-                    in_filter = np.ones(len(h), bool)
-                    for p in _probes(*_key(h, slices), bits):
-                        in_filter &= (words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
-                    if in_filter.any():
-                        s = np.flatnonzero(in_filter)
-                        parts.append((h[s].view(np.int64), c[s].view(np.int64), np.full(len(s), ids[k]), start[s].astype(np.int32), run[s].astype(np.int32), np.full(len(s), tags[k])))
-                if parts:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, (_, t) in zip(zip(*parts), fields)],
-                                                     names=[n for n, _ in fields])
-
-    return texts.select("id", "text", "tag").mapInArrow(send, "h long, c long, id long, start int, run int, tag int")
-
-
-def _content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, c, id, bytes) of the listed segments of each document."""
+# -- slices of the table ------------------------------------------------------------------
+def sliced(docs: DataFrame, slice_bytes: int, slice_rows: int) -> DataFrame:
+    """(slice, ids, ends, body): texts of consecutive rows in one array, with their ids and ends."""
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, number, ids, texts, size = TaskContext.get().partitionId() << 32, 0, [], [], 0
+
+        def out() -> pa.RecordBatch:
+            ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([first + number], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([ends.tobytes()]),
+                 pa.array([b"".join(texts)], pa.binary())], names=["slice", "ids", "ends", "body"])
+
+        for batch in batches:
+            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids.append(ident)
+                texts.append(text.as_py())
+                size += len(texts[-1])
+                if size >= slice_bytes or len(ids) >= slice_rows:
+                    yield out()
+                    number, ids, texts, size = number + 1, [], [], 0
+        if ids:
+            yield out()
+
+    return docs.select("id", "text").mapInArrow(gather, "slice long, ids binary, ends binary, body binary")
+
+
+class Slice:
+    """The texts of a slice: 24-byte names and, for each position, its document and its stretch's least name."""
+
+    def __init__(self, ids: bytes, ends: bytes, body: bytes):
+        self.ids, self.ends = np.frombuffer(ids, np.int64), np.frombuffer(ends, np.int64)
+        self.bytes = np.frombuffer(body, np.uint8)
+        self.gram = names(self.bytes, GRAM) if len(self.bytes) >= SPAN else np.empty(0, np.uint64)
+        starts = max(len(self.bytes) - SPAN + 1, 0)
+        size = np.diff(np.r_[0, self.ends])
+        self.doc = np.repeat(np.arange(len(size)), size)[:starts]
+        self.whole = np.arange(starts) + SPAN <= self.ends[self.doc] if starts else np.empty(0, bool)
+        width, least, step = SPAN - GRAM + 1, self.gram, 1
+        while 2 * step <= width:
+            least = np.minimum(least[:-step], least[step:]) if len(least) > step else least
+            step *= 2
+        self.least = np.minimum(least[:starts], least[width - step:][:starts]) if starts else least[:0]
+
+    def sampled(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct least names, and whether two documents of the slice hold them."""
+        at = np.flatnonzero(self.whole)
+        new = np.r_[True, (self.least[at][1:] != self.least[at][:-1]) | (self.doc[at][1:] != self.doc[at][:-1])][:len(at)]
+        name, ident = self.least[at][new], self.ids[self.doc[at][new]]
+        order = np.lexsort((ident, name))
+        name, ident = name[order], ident[order]
+        first = np.r_[True, name[1:] != name[:-1]][:len(name)]
+        begin = np.flatnonzero(first)
+        last = np.r_[begin[1:] - 1, len(name) - 1][:len(begin)]
+        return name[begin], ident[begin] != ident[last]
+
+    def live(self, name: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """Positions whose least name is among the chosen ones of the (sorted) names."""
+        at = np.flatnonzero(self.whole)
+        return at[chosen[np.searchsorted(name, self.least[at])]] if len(name) else at[:0]
+
+
+def _slot(name: np.ndarray, slots: int) -> np.ndarray:
+    """Which slice of the names a name belongs to; by its low bits, as least names are small numbers."""
+    return ((name & LOW) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
+
+
+class Dealt:
+    """Sorted distinct names, dealt over the slices of the names."""
+
+    def __init__(self, name: np.ndarray, slots: int):
+        slot = _slot(name, slots)
+        self.order = np.argsort(slot, kind="stable")
+        used, begin = np.unique(slot[self.order], return_index=True)
+        self.parts = list(zip(used.tolist(), begin.tolist(), [*begin[1:].tolist(), len(name)]))
+
+    def sent(self, of: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        columns = [c[self.order] for c in columns]
+        if self.parts:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([s for s, _, _ in self.parts], pa.int32()), pa.array([of] * len(self.parts), pa.int64())]
+                + [pa.array([np.ascontiguousarray(c[a:b]).tobytes() for _, a, b in self.parts], pa.binary()) for c in columns],
+                names=["slot", "slice", "name", "more"][:2 + len(columns)])
+
+    def answers(self, got: list[dict] | None, kind: type) -> np.ndarray:
+        """What came back for each name, in their order (0 where nothing did)."""
+        out, by = np.zeros(len(self.order), kind), {x["slot"]: x["answer"] for x in got or ()}
+        for s, a, b in self.parts:
+            if s in by:
+                out[self.order[a:b]] = np.frombuffer(by[s], kind)
+        return out
+
+
+SENT = "slot int, slice long, name binary, more binary"
+ANSWER = "slot int, slice long, answer binary"
+
+
+def _meeting(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Names of all slices of the table in order: the order, where each name's group begins, the group of each, row ends."""
+    name = np.frombuffer(b"".join(x["name"]), np.uint64)
+    order = np.argsort(name, kind="stable")
+    first = np.r_[True, name[order][1:] != name[order][:-1]][:len(name)]
+    group = np.empty(len(name), np.int64)
+    group[order] = np.cumsum(first) - 1
+    return order, np.flatnonzero(first), group, np.cumsum([len(b) // 8 for b in x["name"]])
+
+
+def _back(x: pd.DataFrame, answer: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+    parts = np.split(answer, ends[:-1]) if len(ends) else []
+    some = [k for k, p in enumerate(parts) if p.any()]
+    return pd.DataFrame({"slot": x["slot"].to_numpy()[some], "slice": x["slice"].to_numpy()[some],
+                         "answer": [np.ascontiguousarray(parts[k]).tobytes() for k in some]})
+
+
+def _repeated(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group of each name, whether two slices or two documents of one hold the group, row ends."""
+    order, begin, group, ends = _meeting(x)
+    several = np.frombuffer(b"".join(x["more"]), bool)
+    live = (np.diff(np.r_[begin, len(order)]) > 1) | (np.bincount(group[several], minlength=len(begin)) > 0)
+    return group, live, ends
+
+
+def _keep_repeated(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+    group, live, ends = _repeated(x)
+    return _back(x, live[group], ends)
+
+
+def _rank(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+    """The place of each repeated pair among those of its slice of the names, from 1."""
+    group, live, ends = _repeated(x)
+    return _back(x, np.where(live, np.cumsum(live), 0).astype(np.uint32)[group], ends)
+
+
+def _least_ids(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+    """Whether another slice of the table holds the pair under a smaller id."""
+    order, begin, group, ends = _meeting(x)
+    ident = np.frombuffer(b"".join(x["more"]), np.int64)
+    least = np.minimum.reduceat(ident[order], begin) if len(begin) else ident[:0]
+    return _back(x, least[group] < ident, ends)
+
+
+# -- rounds --------------------------------------------------------------------------------
+@dataclass(frozen=True)
+class Positions:
+    """What the tasks of all rounds work out alike: live positions of a slice, their pairs, and the pairs of their ranks."""
+
+    slots: int
+    ranges: int
+
+    def positions(self, s: Slice, live: list[dict] | None, at: int) -> np.ndarray:
+        """Live positions of the slice whose first-round name is in range ``at``."""
+        name, _ = s.sampled()
+        chosen = Dealt(name, self.slots).answers(live, bool) & (_slot(name, self.slots) % self.ranges == at)
+        return s.live(name, chosen)
+
+    def pairs(self, s: Slice, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions that round two ranks (the live ones and their partners of round three), distinct pairs, pair of each."""
+        q = np.union1d(p, p + REST)
+        pair, of = np.unique(_pair(s.gram[q], s.gram[q + GRAM]), return_inverse=True)
+        return q, pair, of
+
+    def ranked(self, s: Slice, p: np.ndarray, ranks: list[dict] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Positions still live, distinct pairs of their ranks, pair of each, least id of each pair in the slice."""
+        q, pair, number = self.pairs(s, p)
+        place = Dealt(pair, self.slots).answers(ranks, np.uint32).astype(np.uint64)
+        rank = np.where(place > 0, (_slot(pair, self.slots).astype(np.uint64) << np.uint64(32)) | place, np.uint64(0))[number]
+        a, b = rank[np.searchsorted(q, p)], rank[np.searchsorted(q, p + REST)]
+        on = (a > 0) & (b > 0)
+        p = p[on]
+        name, of = np.unique(_pair(a[on], b[on]), return_inverse=True)
+        least = np.full(len(name), 2**63 - 1)
+        np.minimum.at(least, of, s.ids[s.doc[p]])
+        return p, name, of, least
+
+
+class Rounds:
+    """The slices of a table and what the rounds gave back to them."""
+
+    def __init__(self, table: DataFrame, slots: int, ranges: int):
+        self.table, self.at = table, Positions(slots, ranges)
+
+    def exchange(self, sent: DataFrame, meet, name: str) -> DataFrame:
+        return staged(sent.groupBy("slot").applyInPandas(meet, ANSWER), name)
+
+    def with_answers(self, **answers: DataFrame) -> DataFrame:
+        """Each slice with the answers it got: only these are moved, the slices stay in their buckets."""
+        x = self.table
+        for name, df in answers.items():
+            x = x.join(df.groupBy("slice").agg(F.collect_list(F.struct("slot", "answer")).alias(name)), "slice", "left")
+        return x
+
+    def first(self) -> DataFrame:
+        slots = self.at.slots
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for of, s, _ in _slices(batches):
+                name, several = s.sampled()
+                yield from Dealt(name, slots).sent(of, name, several)
+
+        return self.exchange(self.table.mapInArrow(send, SENT), _keep_repeated, "live")
+
+    def second(self, live: DataFrame, at: int) -> DataFrame:
+        own = self.at
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for of, s, (found,) in _slices(batches):
+                q, pair, number = own.pairs(s, own.positions(s, found, at))
+                if len(pair):
+                    ident = s.ids[np.searchsorted(s.ends, q, "right")]
+                    low, high = np.full(len(pair), 2**63 - 1), np.full(len(pair), -2**63)
+                    np.minimum.at(low, number, ident)
+                    np.maximum.at(high, number, ident)
+                    yield from Dealt(pair, own.slots).sent(of, pair, low != high)
+
+        return self.exchange(self.with_answers(live=live).mapInArrow(send, SENT), _rank, "ranks")
+
+    def third(self, live: DataFrame, ranks: DataFrame, at: int) -> DataFrame:
+        own = self.at
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for of, s, (found, places) in _slices(batches):
+                _, name, _, least = own.ranked(s, own.positions(s, found, at), places)
+                yield from Dealt(name, own.slots).sent(of, name, least)
+
+        return self.exchange(self.with_answers(live=live, ranks=ranks).mapInArrow(send, SENT), _least_ids, "earlier")
+
+    def covered(self, live: DataFrame, ranks: DataFrame, earlier: DataFrame, at: int) -> DataFrame:
+        """(slice, low, high): the runs of bytes that repeats of this range cover."""
+        own = self.at
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for of, s, (found, places, early) in _slices(batches):
+                p, name, number, least = own.ranked(s, own.positions(s, found, at), places)
+                if len(p):
+                    p = p[(s.ids[s.doc[p]] > least[number]) | Dealt(name, own.slots).answers(early, bool)[number]]
+                if len(p):
+                    low, high = _runs(p, p + SPAN)
+                    yield pa.RecordBatch.from_arrays([pa.array([of], pa.int64()), pa.array([low.tobytes()]), pa.array([high.tobytes()])],
+                                                     names=["slice", "low", "high"])
+
+        x = self.with_answers(live=live, ranks=ranks, earlier=earlier).mapInArrow(find, "slice long, low binary, high binary")
+        return staged(x, "covered")
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Slice, list]]:
+    """Number, texts and answers of the slices of a batch, one at a time."""
     for batch in batches:
-        for ident, text, tag, found in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in (1, 2, 3))):
-            b = text.as_py()
-            found = [x for x in found.as_py() if x["tag"] == tag.as_py()]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([x["h"] for x in found], pa.int64()), pa.array([x["c"] for x in found], pa.int64()),
-                pa.array([ident] * len(found), pa.int64()),
-                pa.array([b[x["start"]:x["start"] + x["run"] + SPAN - 1] for x in found], pa.binary())],
-                names=["h", "c", "id", "piece"])
-
-
-def _windows(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Name, piece number and offset of each ``SPAN``-byte string of the pieces."""
-    size = np.array([len(p) for p in pieces])
-    name = names(np.frombuffer(b"".join(pieces), np.uint8), SPAN)
-    first = np.r_[0, np.cumsum(size)[:-1]]
-    n = size - SPAN + 1
-    piece = np.repeat(np.arange(len(pieces)), n)
-    offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    return name[first[piece] + offset], piece, offset
-
-
-def _rank_slice(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-    """Of each group of a slice, the offsets whose string a smaller id holds."""
-    name, piece, offset = _windows(list(x["piece"]))
-    h, ident = x["h"].to_numpy()[piece], x["id"].to_numpy()[piece]
-    order = np.lexsort((ident, name, h))
-    new = np.r_[True, (name[order][1:] != name[order][:-1]) | (h[order][1:] != h[order][:-1])]
-    least = ident[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    early = order[least < ident[order]]
-    mask = np.zeros(len(x), np.int64)
-    np.bitwise_or.at(mask, piece[early], np.int64(1) << offset[early])
-    some = np.flatnonzero(mask)
-    return pd.DataFrame({"h": x["h"].to_numpy()[some], "c": x["c"].to_numpy()[some], "mask": mask[some]})
-
-
-def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k in range(batch.num_rows):
+            of, ids, ends, body, *more = (c[k].as_py() for c in batch.columns)
+            yield of, Slice(ids, ends, body), more
+
+
+def _runs(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of a union of intervals sorted by their beginnings."""
+    high = np.maximum.accumulate(high)
+    new = np.r_[True, low[1:] > high[:-1]]
+    return low[new], high[np.r_[np.flatnonzero(new)[1:] - 1, len(low) - 1]]
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, n_bytes, n_removed, n_spans, kept) of each text of a slice with the runs found for it."""
     for batch in batches:
-        if batch.num_rows:
-            name, piece, offset = _windows(batch.column(3).to_pylist())
-            take = [batch.column(k).to_numpy(zero_copy_only=False)[piece] for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, take), pa.array(name.view(np.int64)), pa.array(offset.astype(np.int32))],
-                                             names=["h", "c", "id", "name", "offset"])
-
-
-def early_offsets(pieces: DataFrame, slice_rows: int) -> DataFrame:
-    """(h, c, mask): offsets of a group's text that a smaller id holds, as bits."""
-    sizes = staged(pieces.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    of = F.pmod(F.xxhash64("h"), F.lit(max(1, -(-total // slice_rows)))).alias("slice")
-    usual = pieces.join(sizes.filter(F.col("n") <= slice_rows).select("h"), "h").withColumn("slice", of)
-    masks = usual.groupBy("slice").applyInPandas(_rank_slice, "h long, c long, mask long")
-    hot = pieces.join(sizes.filter(F.col("n") > slice_rows).select("h"), "h").select("h", "c", "id", "piece")
-    single = hot.mapInArrow(_single, "h long, c long, id long, name long, offset int")
-    least = single.groupBy("h", "name").agg(F.min("id").alias("least"))
-    single = single.join(least, ["h", "name"]).filter("least < id")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("offset"))
-    return masks.unionByName(single.groupBy("h", "c").agg(F.bit_or(bit).alias("mask")))
-
-
-def _cut(text: bytes, found: list[dict]) -> tuple[int, int, bytes]:
-    """Removed bytes, runs of them, and the rest, of a text with its repeated segments."""
-    if not found:
-        return 0, 0, text
-    b = np.frombuffer(text, np.uint8)
-    at = []
-    for x in found:
-        if x["mask"] is None:
-            at.append((x["start"], x["start"] + x["run"] + SPAN - 1))
-        else:
-            at += [(x["start"] + k, x["start"] + k + SPAN) for k in range(x["run"]) if x["mask"] >> k & 1]
-    at = np.array(at)
-    step = np.zeros(len(b) + 1, np.int64)
-    np.add.at(step, at[:, 0], 1)
-    np.add.at(step, at[:, 1], -1)
-    gone = np.cumsum(step)[:-1] > 0
-    runs = int((np.diff(np.r_[0, gone.astype(np.int8)]) == 1).sum())
-    return int(gone.sum()), runs, b[~gone].tobytes()
+        for k in range(batch.num_rows):
+            ids, ends, body, found = (c[k].as_py() for c in batch.columns[1:])
+            ids, ends, b = np.frombuffer(ids, np.int64), np.frombuffer(ends, np.int64), np.frombuffer(body, np.uint8)
+            gone = np.zeros(len(b) + 1, np.int64)
+            for x in found or ():
+                np.add.at(gone, np.frombuffer(x["low"], np.int64), 1)
+                np.add.at(gone, np.frombuffer(x["high"], np.int64), -1)
+            gone = np.cumsum(gone)[:-1] > 0
+            starts = np.r_[0, ends[:-1]]
+            # a run that ends with its text is a run of its own, whatever the next text begins with
+            begins = gone & ~np.r_[False, gone[:-1]]
+            begins[starts[starts < len(b)]] = gone[starts[starts < len(b)]]
+            count = lambda x: np.diff(np.r_[0, np.cumsum(x)][np.r_[0, ends]])
+            kept = b[~gone].tobytes()
+            at = np.r_[0, np.cumsum(~gone)][np.r_[0, ends]].tolist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids), pa.array(np.diff(np.r_[0, ends])), pa.array(count(gone).astype(np.int64)), pa.array(count(begins).astype(np.int64)),
+                 pa.array([kept[x:y] for x, y in zip(at[:-1], at[1:])], pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+
+@contextmanager
+def shuffles_released(spark: SparkSession):
+    """Queries run inside give up their shuffle files when they end."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+@contextmanager
+def _bucketed(df: DataFrame, buckets: int):
+    """``df`` written once in buckets of its slices, without a shuffle; table and files go afterwards."""
+    spark = df.sparkSession
+    path = shared_path(spark, "slices")
+    table = f"panelcast_{path.rpartition('-')[2]}"
+    df.write.bucketBy(buckets, "slice").format("parquet").option("path", path).option("compression", "zstd").saveAsTable(table)
+    try:
+        yield spark.table(table)
+    finally:
+        files = spark.table(table)
+        release(spark, files)
+        spark.sql(f"DROP TABLE {table}")
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_rows: int = 50_000,
-                     names_per_slice: int = 2_000_000, bloom_bits: int = 1 << 27) -> DataFrame:
+                     slice_bytes: int = 1 << 20, names_per_slice: int = 1_000_000, ranges: int = 3) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept) of each row; ``kept`` is what is left, as bytes.
 
     A null id is ``NULL_ID`` here.
@@ -264,55 +394,28 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b"").cast("binary"))
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), text.alias("text"))
-    base = base.withColumns({"n_bytes": F.octet_length("text").cast("long"), "t1": F.xxhash64("text"),
-                             "t2": F.xxhash64(F.lit(SPAN), "text")})
-    same = ["t1", "t2", "n_bytes"]
-    copied = base.filter(F.col("n_bytes") >= SPAN).select("id", *same).groupBy(*same).agg(
-        F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    copied = staged(copied.drop("n"), "copied")
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    slices = max(1, int(total / 16 / names_per_slice))
-
-    later = base.drop("text").join(copied, same).filter("id > first").select("id", *same)
-    texts = _bucketed(spark, base.join(later, ["id", *same], "left_anti").select(
-        "id", "text", "n_bytes", F.col("t1").bitwiseAND(0x7FFFFFFF).cast("int").alias("tag")))
-    bloom = spark.sparkContext.broadcast(repeated_names(texts, slices, bloom_bits))
-    found = staged(surviving(texts, bloom, slices, bloom_bits), "segments")
-    groups = staged(found.groupBy("h", "c").agg(F.min(F.struct("id", "tag", "start", "run")).alias("first"), F.max("id").alias("last")), "groups")
-    # a sampled position whose groups are all one document's repeats nothing
-    several = groups.groupBy("h").agg(F.count("*").alias("n"), F.min("first.id").alias("low"), F.max("last").alias("high")).filter(
-        "n > 1 and low < high").select("h")
-    listed = groups.join(several, "h").select("h", "c", "first.*").groupBy("id").agg(
-        F.collect_list(F.struct("h", "c", "tag", "start", "run")).alias("found"))
-    pieces = texts.select("id", "text", "tag").join(listed, "id").mapInArrow(_content, "h long, c long, id long, piece binary")
-    masks = staged(early_offsets(staged(pieces, "pieces"), slice_rows), "masks")
-    x = found.join(groups.select("h", "c", F.col("first.id").alias("first")), ["h", "c"])
-    settled = x.filter("id > first").select("id", "tag", "start", "run", F.lit(None).cast("long").alias("mask"))
-    partly = x.filter("id = first").join(masks, ["h", "c"]).select("id", "tag", "start", "run", "mask")
-    cuts = settled.unionByName(partly).groupBy("id").agg(F.collect_list(F.struct("tag", "start", "run", "mask")).alias("found"))
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = [_cut(t.as_py(), [x for x in f.as_py() or () if x["tag"] == tag.as_py()])
-                    for t, tag, f in zip(batch.column(1), batch.column(3), batch.column(4))]
-            removed, spans, kept = zip(*done) if done else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(removed, pa.int64()),
-                                              pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
-                                             names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    out = texts.join(cuts, "id", "left").select("id", "text", "n_bytes", "tag", "found").mapInArrow(
-        apply, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.unionByName(later.select("id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"),
-                                        F.lit(b"").cast("binary").alias("kept")))
-
-
-def _bucketed(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """``df`` written in the shared folder in buckets of ``id``: joins on it move only the other side."""
-    path = shared_path(spark, "texts")
-    table = f"panelcast_{path.rpartition('-')[2]}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(buckets, "id").write.bucketBy(buckets, "id").format("parquet").option("path", path).saveAsTable(table)
-    return spark.table(table)
+    slots = ranges * max(1, -(-total // (8 * names_per_slice * ranges)))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-total // (16 * slice_bytes)), 100_000))
+    with shuffles_released(spark), _bucketed(sliced(base, slice_bytes, slice_rows), buckets) as table:
+        rounds = Rounds(table, slots, ranges)
+        live, covered = rounds.first(), []
+        for at in range(ranges):
+            ranks = rounds.second(live, at)
+            earlier = rounds.third(live, ranks, at)
+            covered.append(rounds.covered(live, ranks, earlier, at))
+            for df in (ranks, earlier):
+                release(spark, df)
+        release(spark, live)
+        every = covered[0]
+        for df in covered[1:]:
+            every = every.unionByName(df)
+        runs = every.groupBy("slice").agg(F.collect_list(F.struct("low", "high")).alias("found"))
+        out = staged(table.join(runs, "slice", "left").mapInArrow(
+            _cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary"), "kept")
+        for df in covered:
+            release(spark, df)
+    return out
 
 
 def op4_substring_dedup(docs: DataFrame) -> DataFrame:
