@@ -99,7 +99,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     low, high = docs.agg(F.min(F.col(id_col).cast("long")), F.max(F.col(id_col).cast("long"))).first()
     low, high = low or 0, high or 0
     width = (high - low) // batches + 1
-    batch_no = F.greatest(F.lit(0), F.floor((F.lit(high) - F.col("id")) / F.lit(width))).cast("int")
+    # the differences of ids need not fit into a long: ids are compared with the batches' bounds instead
+    bounds = [high - k * width for k in range(1, batches)]
+    batch_no = reduce(lambda a, b: a + b, [(F.col("id") <= b).cast("int") for b in bounds if b >= -2**63], F.lit(0))
     batch_no = F.when(F.col("id") == NULL_ID, batches - 1).otherwise(batch_no)
     occurrences = (doc.select("id", F.explode(F.array_distinct("keys")).alias("key"))
                    .filter(F.char_length("key") >= min_chars)

@@ -74,3 +74,13 @@ def test_stage_keeps_rows_and_columns(odd):
 def test_plan_is_native(documents):
     plan = D.op7_line_dedup(documents)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_ids_at_both_ends_of_long(spark):
+    """Differences of such ids do not fit into a long."""
+    shared = "a line that every one of these documents holds"
+    ids = [-(2**63) + 5, -9 * 10**18, -1, 0, 1, 9 * 10**18, 2**63 - 1]
+    rows = [(k, f"{shared}\nown line of document {k}") for k in ids] + [(None, shared)]
+    assert digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute(rows)
+    two = [(-(2**63), shared), (2**63 - 1, shared)]
+    assert digest(spark.createDataFrame(two, "doc_id long, text string")) == brute(two)
