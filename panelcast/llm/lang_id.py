@@ -116,13 +116,12 @@ def fit(docs: DataFrame, sample_rows: int = 2000, sample_chars: int = 4000) -> L
 
     def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            yield pd.DataFrame({"doc_id": x["doc_id"], "lang": x["lang"],
-                                "codes": [S.thinned(S.codes(t), sample_chars).astype("int32") for t in x["text"]]})
+            yield pd.DataFrame({"doc_id": x["doc_id"], "lang": x["lang"], "codes": S.packed(x["text"], sample_chars)})
 
-    # at most sample_rows ids are broadcast
+    # at most sample_rows ids are broadcast; rows that share one are one row of the sample
     sample = (rows.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "text", "lang")
-              .mapInPandas(thin, "doc_id long, lang string, codes array<int>").orderBy("doc_id").limit(sample_rows))
-    got = sorted((r["doc_id"], r["lang"], r["codes"]) for r in sample.collect())
+              .mapInPandas(thin, "doc_id long, lang string, codes binary").groupBy("doc_id", "lang").agg(F.min("codes").alias("codes")))
+    got = sorted((r["doc_id"], r["lang"], S.unpacked(r["codes"])) for r in sample.collect())
     order = np.random.default_rng(11).permutation(len(got))
     return train([np.array(got[k][2], np.uint64) for k in order], [got[k][1] for k in order])
 

@@ -10,6 +10,7 @@ bucket.  Everything per text is a few numpy operations on its code points.
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -38,6 +39,15 @@ def codes(text: str | None) -> np.ndarray:
     return np.r_[0, c].astype(np.uint64) if c[0] else c.astype(np.uint64)
 
 
+def packed(texts: Iterable[str | None], most: int) -> list[bytes]:
+    """The thinned codes of each text as bytes."""
+    return [thinned(codes(t), most).astype("<u4").tobytes() for t in texts]
+
+
+def unpacked(b: bytes) -> list[int]:
+    return np.frombuffer(b, "<u4").tolist()
+
+
 def grams(c: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and run number of each n-gram that does not cross the end of a run."""
     ends = np.cumsum(c == 0)

@@ -171,14 +171,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 1500, sample_char
 
     def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            yield pd.DataFrame({"doc_id": x["doc_id"], "toxic": x["toxic"],
-                                "codes": [S.thinned(S.codes(t), sample_chars).astype("int32") for t in x["text"]]})
+            yield pd.DataFrame({"doc_id": x["doc_id"], "toxic": x["toxic"], "codes": S.packed(x["text"], sample_chars)})
 
-    # at most 2 * sample_rows ids are broadcast
+    # at most 2 * sample_rows ids are broadcast; rows that share one are one row of the sample
     chosen = F.broadcast(ids[0].unionByName(ids[1]))
     sample = (texts.join(chosen, "doc_id").select("doc_id", "text", "toxic")
-              .mapInPandas(thin, "doc_id long, toxic int, codes array<int>").orderBy("doc_id").limit(2 * sample_rows))
-    got = sorted((r["doc_id"], r["toxic"], r["codes"]) for r in sample.collect())
+              .mapInPandas(thin, "doc_id long, toxic int, codes binary").groupBy("doc_id", "toxic").agg(F.min("codes").alias("codes")))
+    got = sorted((r["doc_id"], r["toxic"], S.unpacked(r["codes"])) for r in sample.collect())
     order = np.random.default_rng(11).permutation(len(got))
     return train([np.array(got[k][2], np.uint64) for k in order], [got[k][1] for k in order])
 

@@ -90,3 +90,49 @@ def test_a_rare_language_is_learned(spark):
 def test_water_level(counts, level):
     assert L.water_level(counts, 60) == level
     assert sum(min(n, level) for n in counts) <= max(60, len(counts))
+
+
+def test_rows_that_share_an_id_leave_room_for_every_language(spark, documents):
+    """One `it` id, 3,000 times, counts as one document of the sample."""
+    from pyspark.sql import functions as F
+
+    rows = documents.select("doc_id", "text", "lang")
+    hot = spark.range(3000).select(F.lit(6).cast("long").alias("doc_id"), F.lit("una frase sola ripetuta qui").alias("text"), F.lit("it").alias("lang"))
+    model = L.fit(rows.filter("doc_id <> 6").unionByName(hot), sample_rows=150)
+    known = {r.lang for r in rows.select("lang").distinct().collect() if r.lang}
+    assert set(model.langs) == known | {"it"}
+    out = L.with_language(rows, model).filter(S.held_out(F.col("doc_id"))).collect()
+    assert np.mean([r.lang == r.lang_pred for r in out]) > 0.95
+
+
+def plain_prediction(model, text):
+    """Language and score of a text by loops over its n-grams."""
+    letters, c = [], []
+    for ch in f" {(text or '').lower()} ":
+        c.append(ord(ch) if ch.isalpha() else 0)
+    for k in c:
+        if k or (letters and letters[-1]) or not letters:
+            letters.append(k)
+    if not any(letters):
+        return "und", 0.0
+    rows = []
+    for n in range(L.LOW, L.HIGH + 1):
+        for k in range(len(letters) - n + 1):
+            g = letters[k:k + n]
+            if 0 in (g if n == 1 else g[1:-1]):
+                continue
+            h = g[0] + 1
+            for x in g[1:]:
+                h = (h * 0x100000001B3 + x) % 2**64
+            rows.append(model.table[((h ^ n) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - S.BITS)])
+    z = (np.mean(rows, axis=0, dtype=np.float64) + model.bias) / model.temperature
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    return model.langs[int(p.argmax())], float(p.max())
+
+
+def test_every_document_against_loops(documents, odd):
+    model = L.fit(documents)
+    for df in (documents, odd):
+        for r in L.with_language(df.select("doc_id", "text"), model).collect():
+            lang, score = plain_prediction(model, r.text)
+            assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-6)

@@ -69,3 +69,49 @@ def test_labels_of_held_out_rows_do_not_matter(corpus):
     docs, labels = corpus
     flipped = labels.withColumn("toxic", F.when(held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert sorted(T.op6_toxicity(docs, flipped).collect()) == sorted(T.op6_toxicity(docs, labels).collect())
+
+
+def test_rows_that_share_an_id_leave_room_for_others(spark, corpus):
+    """One clean id, 3,200 times, counts as one document of the sample."""
+    from pyspark.sql import functions as F
+
+    docs, labels = corpus
+    hot = spark.range(3200).select(F.lit(3).cast("long").alias("doc_id"), F.lit("the same clean text").alias("text"))
+    rows = T.op6_toxicity(docs.filter("doc_id <> 3").unionByName(hot), labels).filter("held_out").collect()
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    caught = [r.predicted for r in rows if truth[r.doc_id]]
+    assert len(caught) > 30 and np.mean(caught) > 0.97
+
+
+def plain_score(model, text):
+    """Score of a text by loops over its words, their n-grams and all windows."""
+    words, word = [], ""
+    for ch in f"{(text or '').lower()} ":
+        if ch.isalpha():
+            word += ch
+        elif word:
+            words.append([0, *map(ord, word), 0])
+            word = ""
+    scores = []
+    for w in words:
+        got = []
+        for n in range(T.LOW, T.HIGH + 1):
+            for k in range(len(w) - n + 1):
+                h = w[k] + 1
+                for x in w[k + 1:k + n]:
+                    h = (h * 0x100000001B3 + x) % 2**64
+                got.append(float(model.table[((h ^ n) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - T.S.BITS), 0]))
+        scores.append(sum(got) / len(got))
+    n = min(T.WINDOW, len(scores))
+    worst = max((sum(scores[k:k + n]) / n for k in range(len(scores) - n + 1)), default=0.0) if n else 0.0
+    return 1 / (1 + np.exp(-np.clip(model.scale * (worst + model.bias) + model.shift, -30, 30)))
+
+
+def test_every_document_against_loops(corpus, odd):
+    model = T.fit(*corpus)
+    for df in (corpus[0].filter("doc_id < 200"), odd.filter("doc_id not in (8, 9)")):
+        texts = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+        want = sorted((str(d), float(plain_score(model, t))) for d, t in texts)
+        got = sorted((str(r.doc_id), r.score) for r in T.scored(df, model).collect())
+        assert [d for d, _ in got] == [d for d, _ in want]
+        assert np.allclose([s for _, s in got], [s for _, s in want], atol=1e-5)
