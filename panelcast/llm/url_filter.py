@@ -19,6 +19,8 @@ result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -84,29 +86,55 @@ def suffix(host: Column, labels: int) -> Column:
 
 def with_suffix_statistics(x: DataFrame) -> DataFrame:
     """Adds, for the last one and two labels of the host, the logarithm of their
-    pages and the smoothed share of blocked ones among those that rules decide."""
+    pages and the smoothed share of blocked ones among those that rules decide.
+
+    A row's own verdict is left out of its share: trees that saw it would learn
+    to read the answer off the feature."""
     block = (F.col("rule_verdict") == "block").cast("int")
+    own = F.col("rule_verdict").isNotNull().cast("int")
     for k in (1, 2):
         x = x.withColumn("suffix", suffix(F.col("host"), k))
         table = x.groupBy("suffix").agg(F.count("*").alias("pages"), F.count("rule_verdict").alias("known"),
                                         F.sum(block).alias("blocked"))
-        table = staged(table.select(
-            F.col("suffix").alias("of"), F.log1p("pages").alias(f"f_pages{k}"),
-            ((F.coalesce("blocked", F.lit(0)) + 1.0) / (F.col("known") + 2.0)).alias(f"f_blocked{k}")), f"suffix{k}")
-        x = x.join(table, x["suffix"] == table["of"]).drop("suffix", "of")
+        table = staged(table.select(F.col("suffix").alias("of"), F.log1p("pages").alias(f"f_pages{k}"), "known",
+                                    F.coalesce("blocked", F.lit(0)).alias("blocked")), f"suffix{k}")
+        x = x.join(table, x["suffix"] == table["of"]).withColumn(
+            f"f_blocked{k}", (F.col("blocked") - F.coalesce(block, F.lit(0)) + 1.0) / (F.col("known") - own + 2.0))
+        x = x.drop("suffix", "of", "known", "blocked")
     return x
 
 
+def draw(seed: int) -> Column:
+    """A number under a million for a row (page_id, url), the same in every run."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.coalesce("url", F.lit("")), "page_id"), F.lit(1_000_000))
+
+
 def in_sample(share: float, seed: int) -> Column:
     """Whether a row (page_id, url) is drawn, by the hash of both."""
-    h = F.xxhash64(F.lit(seed), F.coalesce("url", F.lit("")), "page_id")
-    return F.pmod(h, F.lit(1_000_000)) < int(share * 1_000_000)
+    return draw(seed) < int(share * 1_000_000)
+
+
+def labelled_sample(known: DataFrame, counts: dict[str, int], sample_rows: int, least: int, seed: int) -> DataFrame:
+    """About ``sample_rows`` of the rows that rules decide, the same share of each
+    verdict, but about ``least`` rows of one that is rarer (all, if it has fewer).
+
+    Copies of one page are drawn together; a verdict of which none is drawn gives
+    its ``least`` first rows instead, so the sample stays bounded and two-sided.
+    """
+    share = sample_rows / sum(counts.values())
+    of = {v: known.filter(F.col("rule_verdict") == v) for v in sorted(counts)}
+    drawn = [x.filter(in_sample(min(1.0, max(share, least / counts[v])), seed)) for v, x in of.items()]
+    drawn = staged(reduce(DataFrame.unionByName, drawn).coalesce(4), "sample")
+    found = {r["rule_verdict"] for r in drawn.select("rule_verdict").distinct().collect()}
+    first = [x.orderBy(draw(seed), "page_id", "url").limit(least) for v, x in of.items() if v not in found]
+    return reduce(DataFrame.unionByName, first, drawn)
 
 
 def judge_urls(pages: DataFrame, rules=RULES, sample_rows: int = 20_000, trees: int = 20, depth: int = 4,
-               seed: int = 7) -> DataFrame:
-    """Each row of ``pages`` (page_id, url) with ``host``, ``path``, ``rule``, ``verdict``
-    and ``score`` (the trees' probability of block; null where a rule decides)."""
+               seed: int = 7, least: int = 1000) -> DataFrame:
+    """Each row of ``pages`` (page_id, url) with ``host``, ``path``, ``rule``, ``verdict``,
+    ``score`` (the trees' probability of block; null where a rule decides) and
+    ``by_trees`` (what the trees say of any row; null if there are none)."""
     host, path = host_and_path(F.col("url"))
     x = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = decide(F.col("host"), F.col("path"), rules)
@@ -117,14 +145,10 @@ def judge_urls(pages: DataFrame, rules=RULES, sample_rows: int = 20_000, trees:
     if len(counts) < 2:
         only = next(iter(counts), "allow")
         return x.select("page_id", "url", "host", "path", "rule", F.coalesce("rule_verdict", F.lit(only)).alias("verdict"),
-                        F.lit(None).cast("double").alias("score"))
-    # the same share of every verdict and of the copies of a URL
-    share = min(1.0, sample_rows / sum(counts.values()))
+                        F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("by_trees"))
     assemble = VectorAssembler(inputCols=[*LEXICAL, *SUFFIX], outputCol="features")
-    sample = known.filter(in_sample(share, seed)).withColumn("label", (F.col("rule_verdict") == "block").cast("double"))
-    sample = staged(assemble.transform(sample).select("features", "label").coalesce(4), "sample")
-    if sample.select("label").distinct().count() < 2:
-        sample = assemble.transform(known.withColumn("label", (F.col("rule_verdict") == "block").cast("double")))
+    sample = labelled_sample(known, counts, sample_rows, least, seed)
+    sample = assemble.transform(sample.withColumn("label", (F.col("rule_verdict") == "block").cast("double")))
     model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, seed=seed,
                           cacheNodeIds=False, minInstancesPerNode=2).fit(sample.select("features", "label"))
     names = fresh(x, "rawPrediction", "probability", "prediction")
@@ -135,7 +159,7 @@ def judge_urls(pages: DataFrame, rules=RULES, sample_rows: int = 20_000, trees:
     score = F.when(F.col("rule_verdict").isNull(), F.get(vector_to_array(F.col(names[1])), F.lit(1)))
     by_trees = F.when(F.col(names[2]) == 1.0, "block").otherwise("allow")
     return out.select("page_id", "url", "host", "path", "rule", F.coalesce("rule_verdict", by_trees).alias("verdict"),
-                      score.alias("score"))
+                      score.alias("score"), by_trees.alias("by_trees"))
 
 
 def op8_url_filter(pages: DataFrame) -> DataFrame:

@@ -88,3 +88,39 @@ def test_plan_is_native(spark):
 def test_pages_of_one_url_are_drawn_each_on_their_own(spark, seed):
     df = spark.range(4000).select(F.col("id").alias("page_id"), F.lit("http://a.com/hot").alias("url"))
     assert 300 < df.filter(U.in_sample(0.1, seed)).count() < 500
+
+
+def test_a_rare_verdict_is_drawn_and_the_sample_stays_bounded(spark):
+    """3 of 30,000 labelled pages are blocked, a sample of 100: they are in it, and nothing else is added."""
+    known = spark.range(30_000).select(F.col("id").alias("page_id"), F.concat(F.lit("x://h.com/"), F.col("id")).alias("url"),
+                                       F.when(F.col("id") < 3, "block").otherwise("allow").alias("rule_verdict"))
+    got = {r["rule_verdict"]: r["count"] for r in U.labelled_sample(known, {"allow": 29_997, "block": 3}, 100, 20, 7)
+           .groupBy("rule_verdict").count().collect()}
+    assert got["block"] == 3 and 60 < got["allow"] < 150
+    # many copies of one blocked page that is not drawn: the first ones are taken
+    same = spark.range(20_000).select(
+        F.lit(1).cast("long").alias("page_id"), F.lit("x://z.net/es/0").alias("url"), F.lit("block").alias("rule_verdict"))
+    both = known.filter("rule_verdict = 'allow'").unionByName(same)
+    seed = next(s for s in range(50) if not same.limit(1).filter(U.in_sample(0.01, s)).count())
+    got = {r["rule_verdict"]: r["count"] for r in U.labelled_sample(both, {"allow": 29_997, "block": 20_000}, 100, 20, seed)
+           .groupBy("rule_verdict").count().collect()}
+    assert got["block"] == 20 and 20 < got["allow"] < 150
+
+
+def test_held_out_rows_of_the_rules(spark):
+    """The trees, fitted on a fifth of the rows that rules decide, agree with the rules on the others; a row's own
+    verdict is not among its features."""
+    df = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    n = df.count()
+    out = U.judge_urls(df, sample_rows=n // 10, least=50)
+    known = out.filter("rule is not null").withColumn("verdict", F.expr("verdict"))
+    held = known.filter(~U.in_sample(0.5, 7))
+    rows = held.select("verdict", "by_trees").collect()
+    assert len(rows) > 100 and sum(r.verdict == r.by_trees for r in rows) / len(rows) > 0.9
+
+
+def test_own_verdict_is_left_out(spark):
+    rows = [(1, "a.zz", "block"), (2, "b.zz", None), (3, "c.yy", "allow"), (4, "d.yy", "block")]
+    df = spark.createDataFrame(rows, "page_id long, host string, rule_verdict string")
+    got = {r.page_id: r.f_blocked1 for r in U.with_suffix_statistics(df).collect()}
+    assert got == {1: 1 / 2, 2: 2 / 3, 3: 2 / 3, 4: 1 / 3}
