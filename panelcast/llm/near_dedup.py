@@ -46,7 +46,8 @@ ROWS, BANDS = 5, 26
 #: Similarity at which the pipeline's stage links documents; the query op9 links at 85.
 STAGE_PERCENT = 80
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-CACHED_WORDS = 400_000
+#: Hashes of words that a Python worker keeps, about 10 MB.
+CACHED_WORDS = 50_000
 _WORDS: dict[bytes, int] = {}
 
 

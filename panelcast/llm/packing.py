@@ -40,7 +40,8 @@ from .common import staged
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-CACHED_WORDS = 800_000
+#: Words whose ids a Python worker keeps, about 30 MB.
+CACHED_WORDS = 150_000
 CACHED_CHARS = 48
 _CACHES: dict[str, tuple] = {}
 
@@ -104,7 +105,7 @@ def encoded(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ids, end[offsets - offsets[0]]
 
 
-def _slices(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text each."""
     size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = (np.cumsum(size) - size) // most
