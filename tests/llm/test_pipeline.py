@@ -5,14 +5,14 @@ from test_line_dedup import brute as lines_brute
 from test_near_dedup import brute as near_brute
 from test_packing import check_places
 
-from panelcast.llm import queries
+from panelcast.llm import near_dedup, queries
 
 SF001 = "/root/testdata/sf0.001"
 
 
 def test_names():
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11))
-    assert len(queries.QUERIES) == 10 and set(queries.SQL) <= set(queries.QUERIES)
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 14))
+    assert len(queries.QUERIES) == 13 and set(queries.SQL) <= set(queries.QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "mixing", "packing"]
 
 
@@ -34,7 +34,7 @@ def test_each_stage_on_its_own_input(spark, documents):
             want = {d: h for d, _, _, h in lines_brute(before)}
             assert {d: hashlib.sha256((t or "").encode()).hexdigest() for d, t in after} == want
         if name == "near_dedup":
-            assert sorted(d for d, _ in after) == sorted(d for d, _, c in near_brute(before) if d == c)
+            assert sorted(d for d, _ in after) == sorted(d for d, _, c in near_brute(before, near_dedup.STAGE_PERCENT) if d == c)
         if name == "mixing":
             assert set(after) <= set(before) and 1.0 < len(after) / len(before) < 2.0
         docs = out
