@@ -27,13 +27,20 @@ STRIP_CHARS = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\
 
 
 def _strip(c: Column) -> Column:
-    return F.trim(c, F.lit(STRIP_CHARS))
+    """Without white space at both ends.  Few cells have any, and looking a
+    character up among all kinds of it is slow: cells that begin and end with a
+    visible ASCII character are handed on as they are."""
+    first, last = F.substring(c, 1, 1), F.substring(c, -1, 1)
+    visible = (first > " ") & (first <= "~") & (last > " ") & (last <= "~")
+    return F.when(visible, c).otherwise(F.trim(c, F.lit(STRIP_CHARS)))
 
 
 def _to_number(s: Column) -> Column:
     v = s.try_cast("double")
-    # a number too large for a double is unparseable, not infinite
-    return F.coalesce(F.when(s.rlike(NUMBER_PATTERN) & (F.abs(v) < float("inf")), v), F.lit(0.0))
+    # a number too large for a double is unparseable, not infinite; as a product both tests are
+    # always evaluated, so that generated code computes the text and its value once
+    is_number = s.rlike(NUMBER_PATTERN).cast("int") * (F.abs(v) < float("inf")).cast("int")
+    return F.coalesce(F.when(is_number == 1, v), F.lit(0.0))
 
 
 def clean_currency(c, decimal: str = ".") -> Column:

@@ -148,57 +148,74 @@ def top_winner(bt_scored: DataFrame) -> DataFrame:
 
 
 # -- full walk-forward backtest: forest and additive arms ----------------------
-def _impute_from(train: DataFrame, rows: DataFrame, cols) -> DataFrame:
-    """A20 with training medians: fill ``cols`` of ``rows`` per series."""
-    med = train.groupBy("series_id").agg(*[F.median(c).alias("__m_" + c) for c in cols])
-    out = rows.join(med, "series_id", "left")
-    out = out.withColumns({c: F.coalesce(F.col(c), F.col("__m_" + c), F.lit(0.0)) for c in cols})
-    return out.drop(*["__m_" + c for c in cols])
+def training_medians(df: DataFrame, weeks: list, cols) -> DataFrame:
+    """(series_id, origin, m_<col> ...): the median of each column over a series' rows
+    strictly before each origin week.
+
+    One ordered pass for all origins: every series gets a marker per origin that stands
+    before the row of that week and holds no values, and the medians expand over the rows
+    before it.
+    """
+    marks = df.select("series_id").distinct().select(
+        "series_id", F.explode(F.array(*[F.lit(w) for w in weeks])).alias("week_start"), F.lit(0).alias("is_row"))
+    rows = df.select("series_id", "week_start", F.lit(1).alias("is_row"), *cols)
+    w = Window.partitionBy("series_id").orderBy("week_start", "is_row").rowsBetween(Window.unboundedPreceding, -1)
+    x = rows.unionByName(marks, allowMissingColumns=True)
+    x = x.select("series_id", F.col("week_start").alias("origin"), "is_row",
+                 *[F.percentile(c, F.lit(0.5)).over(w).alias(f"m_{c}") for c in cols])
+    return x.filter("is_row = 0").drop("is_row")
+
+
+def filled(rows: DataFrame, medians: DataFrame, cols) -> DataFrame:
+    """``rows`` with missing values of ``cols`` filled by the medians of their series (0 if it has none)."""
+    out = rows.join(medians.drop("origin"), "series_id", "left")
+    out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"m_{c}"), F.lit(0.0)) for c in cols})
+    return out.drop(*[f"m_{c}" for c in cols])
 
 
 def rf_backtest(spark, df: DataFrame, orig: DataFrame, n_trees: int = 200, max_depth: int = 6,
-                parallelism: int = 8) -> DataFrame:
+                parallelism: int | None = None) -> DataFrame:
     """Forest arm: for each origin week one pooled forest trained on every
     series' rows strictly before it; the origin row is scored with its actual
     spends and drivers (lag 1 / lag 4 are then the last training values).
 
     Every origin is kept.  Each series has its own last months, so the distinct
     origin weeks are bounded by the weeks of the whole history (53 where all
-    series end together), and so is the list that is collected.  Fits run
-    concurrently; each writes its predictions to the shared checkpoint folder
-    as it finishes, and the folder is read once.
+    series end together), and so is the list that is collected.  ``parallelism``
+    fits run at once (default: as many as the cluster has cores, 32 at most); each
+    writes its predictions to the shared checkpoint folder as it finishes, and the
+    folder is read once.
     """
     import uuid
     from concurrent.futures import ThreadPoolExecutor
 
-    from ..session import checkpoint_dir
+    from ..session import checkpoint_dir, materialised
     from ..functions.cleaning import week_cos, week_sin
     from .forecast import BASE_FEATURES, DRIVERS, rf_fit
     from .windows import lag_features
 
+    schema = "series_id string, origin_week date, pred_rf double"
+    weeks = sorted(r[0] for r in orig.select("origin_week").distinct().collect())
+    if not weeks:
+        return spark.createDataFrame([], schema)
     cols = list(BASE_FEATURES) + list(DRIVERS)
     base = lag_features(df).withColumns({"week_sin": week_sin("iso_week"), "week_cos": week_cos("iso_week")})
-    base = base.select("series_id", "week_start", "net_sales", *cols).cache()
-    weeks = sorted(r[0] for r in orig.select("origin_week").distinct().collect())
-
+    base = materialised(base.select("series_id", "week_start", "net_sales", *cols), "backtest-rows")
+    medians = materialised(training_medians(base, weeks, cols), "backtest-medians")
     folder = f"{checkpoint_dir(spark).rstrip('/')}/panelcast-rf-backtest-{uuid.uuid4().hex}"
 
     def one(o):
-        train = base.filter(F.col("week_start") < F.lit(o))
-        model = rf_fit(_impute_from(train, train, cols), cols, n_trees=n_trees, max_depth=max_depth)
+        at = medians.filter(F.col("origin") == F.lit(o))
+        train = filled(base.filter(F.col("week_start") < F.lit(o)), at, cols)
+        model = rf_fit(train, cols, n_trees=n_trees, max_depth=max_depth)
         test = base.join(orig.filter(F.col("origin_week") == F.lit(o))
                          .select("series_id", F.col("origin_week").alias("week_start")), ["series_id", "week_start"])
-        test = _impute_from(train, test, cols)
-        out = model.transform(test).select("series_id", F.col("week_start").alias("origin_week"),
-                                           F.col("prediction").alias("pred_rf"))
+        out = model.transform(filled(test, at, cols)).select("series_id", F.col("week_start").alias("origin_week"),
+                                                             F.col("prediction").alias("pred_rf"))
         out.write.parquet(f"{folder}/origin={o.isoformat()}")
 
-    schema = "series_id string, origin_week date, pred_rf double"
-    with ThreadPoolExecutor(max_workers=parallelism) as ex:
+    with ThreadPoolExecutor(max_workers=parallelism or max(1, min(32, spark.sparkContext.defaultParallelism))) as ex:
         list(ex.map(one, weeks))
-    base.unpersist()
-    if not weeks:
-        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(*[f"{folder}/origin={o.isoformat()}" for o in weeks])
 
 
@@ -255,14 +272,7 @@ def validate_weeks(spark, df: DataFrame, model, overrides: DataFrame | None = No
     n_before = F.row_number().over(w) - 1
     x = df.select("series_id", "week_start", "iso_week", "net_sales", *REG_COLS, n_before.alias("n_before"),
                   F.lag("net_sales", 1).over(w).alias("l1"), F.lag("net_sales", 4).over(w).alias("l4"))
-    if overrides is not None:
-        ov = overrides.select("series_id", "week_start", F.col("spend_a").alias("o_a"),
-                              F.col("spend_b").alias("o_b"), F.col("actual").alias("o_y"))
-        x = x.join(ov, ["series_id", "week_start"], "left").withColumns({
-            "spend_a": F.coalesce("o_a", "spend_a"), "spend_b": F.coalesce("o_b", "spend_b"),
-            "actual": F.coalesce("o_y", "net_sales")}).drop("o_a", "o_b", "o_y")
-    else:
-        x = x.withColumn("actual", F.col("net_sales"))
+    x = overridden(x, overrides)
     x = x.withColumns({
         "week_sin": week_sin("iso_week"), "week_cos": week_cos("iso_week"),
         "lag_1": F.when(F.col("n_before") > 0, F.col("l1")).otherwise(F.col("net_sales")),
@@ -287,6 +297,24 @@ def validate_weeks(spark, df: DataFrame, model, overrides: DataFrame | None = No
         group, "series_id string, week_start date, pred_additive double")
     v = x.select("series_id", "week_start", "actual", "spend_a", "cpc_a").join(rf, ["series_id", "week_start"]) \
         .join(add, ["series_id", "week_start"])
+    return judge_weeks(v)
+
+
+def overridden(x: DataFrame, overrides: DataFrame | None) -> DataFrame:
+    """weeks with ``actual`` (their net sales), and spends and actual replaced where a row of
+    ``overrides`` (series_id, week_start, spend_a, spend_b, actual) gives them."""
+    if overrides is None:
+        return x.withColumn("actual", F.col("net_sales"))
+    ov = overrides.select("series_id", "week_start", F.col("spend_a").alias("o_a"),
+                          F.col("spend_b").alias("o_b"), F.col("actual").alias("o_y"))
+    return x.join(ov, ["series_id", "week_start"], "left").withColumns({
+        "spend_a": F.coalesce("o_a", "spend_a"), "spend_b": F.coalesce("o_b", "spend_b"),
+        "actual": F.coalesce("o_y", "net_sales")}).drop("o_a", "o_b", "o_y")
+
+
+def judge_weeks(v: DataFrame) -> DataFrame:
+    """F11 + F12 on weeks with ``actual``, ``spend_a``, ``cpc_a`` and both predictions: ensemble,
+    accuracy %, tier, and the flags of deviating weeks against the means of their series."""
     v = v.withColumn("pred_ensemble", (F.col("pred_rf") + F.col("pred_additive")) / 2.0)
     acc = F.when(F.col("actual") > 0, (F.lit(1.0) - F.abs(F.col("pred_ensemble") - F.col("actual"))
                                        / F.col("actual")) * 100.0)
@@ -295,11 +323,11 @@ def validate_weeks(spark, df: DataFrame, model, overrides: DataFrame | None = No
                      .when(F.col("accuracy_pct") > 85, "good")
                      .when(F.col("accuracy_pct").isNotNull(), "deviation"))
     ws = Window.partitionBy("series_id")
-    share_mean = (F.avg("spend_a").over(ws) / F.avg("actual").over(ws))
+    mean = lambda c: F.sum(F.col(c).cast(SUM_TYPE)).over(ws).cast("double") / F.count(c).over(ws)
     dev = F.col("tier") == "deviation"
     return v.withColumns({
-        "flag_low_spend_share": dev & (F.try_divide(F.col("spend_a"), F.col("actual")) < share_mean * 0.8),
-        "flag_cpc": dev & (F.col("cpc_a") > F.avg("cpc_a").over(ws) * 1.3),
+        "flag_low_spend_share": dev & (F.try_divide(F.col("spend_a"), F.col("actual")) < F.try_divide(mean("spend_a"), mean("actual")) * 0.8),
+        "flag_cpc": dev & (F.col("cpc_a") > mean("cpc_a") * 1.3),
         "flag_unseen_factors": dev,
     })
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exact import xsum
+from ..functions.exact import xavg, xsum
 from ..sources.calendar import EVENTS, city_rank_map
 from .prepare import last_n_days
 
@@ -44,9 +44,9 @@ def day_weather(weather: DataFrame) -> DataFrame:
     rank = city_rank_map()[F.col("city")]
     w = weather.withColumn("__rank", F.coalesce(rank, F.lit(10 ** 6)))
     return w.groupBy("date").agg(
-        F.avg("temp").alias("avg_temp"),
+        xavg("temp").alias("avg_temp"),
         F.max("rain").alias("max_rain"),
-        F.sum("rain").alias("total_rain"),
+        xsum("rain").alias("total_rain"),
         F.min_by("city", F.when(F.col("temp").isNotNull(),
                                 F.struct(-F.col("temp"), F.col("__rank"), F.col("city")))).alias("hottest_city"),
         F.count("temp").alias("n_cities"),
@@ -56,7 +56,7 @@ def day_weather(weather: DataFrame) -> DataFrame:
 def month_weather(weather: DataFrame) -> DataFrame:
     """Mean temperature and mean daily rain per month (all cities)."""
     return weather.groupBy(F.trunc("date", "MM").alias("month")).agg(
-        F.avg("temp").alias("avg_temp"), F.avg("rain").alias("avg_daily_rain_mm"))
+        xavg("temp").alias("avg_temp"), xavg("rain").alias("avg_daily_rain_mm"))
 
 
 def business_on_day(df: DataFrame, weather_days: DataFrame) -> DataFrame:

@@ -4,12 +4,12 @@ F10 consensus, F11/F12 week validation, F14 timeline, D11 allocation.
 
 * The forest is one pooled MLlib model over all series (lags carry each
   series' level), so a fit is one distributed job however many series exist.
-* The recursive forecast is sequential only in the horizon: each step is one
-  ``transform`` over every (series, scenario) at once; each step's output is
-  checkpointed to the shared checkpoint folder, which cuts the lineage.
+* The recursive forecast is sequential only in the horizon: one fold per
+  (series, scenario) over its future weeks, with the fitted trees as a value of
+  the query, so the whole horizon is one stage.
 * The additive model (trend with changepoints + yearly Fourier terms +
-  holidays + spend/driver regressors, ridge-penalised) is fitted per series
-  with ``groupBy('series_id').applyInPandas``: a group is one series' weekly
+  holidays + spend/driver regressors, normal priors, a Laplace prior on the
+  changes of the trend) is fitted per series with ``groupBy('series_id').applyInPandas``: a group is one series' weekly
   rows (bounded by the number of weeks, not by the raw data volume).
 """
 
@@ -36,7 +36,7 @@ from .scenario import scenario_grid, seasonal_lookup, seasonal_profile
 from .windows import lag_features, recency_rank
 
 BASE_FEATURES = ("week_sin", "week_cos", "spend_a", "spend_b", "lag_1", "lag_4")
-DRIVERS = ("aov", "returning_rate_pct", "discounts", "cpc_a", "cpc_b", "cpm_b", "frequency_b")
+DRIVERS = ("aov", "returning_rate_pct", "discounts", "cpc_a", "cpc_b", "cpm_b", "sessions", "frequency_b")
 FOURIER_ORDER = 10
 Z80 = 1.2815515655446004  # two-sided 80 % normal quantile
 
@@ -87,8 +87,40 @@ def _stress_map(scenarios):
     return F.create_map(*kv)
 
 
+def forest(spark: SparkSession, model) -> F.Column:
+    """The fitted trees as one value, read where a query needs it: an array with the nodes of
+    each tree (numbered as the fit numbers them, so that a node's place is its number).
+
+    Its size is that of the model (trees x nodes), whatever the panel holds.
+    """
+    path = f"{checkpoint_dir(spark).rstrip('/')}/panelcast-forest-{uuid.uuid4().hex}"
+    model.stages[-1].write().save(path)
+    node = F.struct("nodeData.id", F.col("nodeData.split.featureIndex").alias("feature"),
+                    F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
+                    F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
+                    F.col("nodeData.prediction").alias("value"))
+    nodes = spark.read.parquet(f"{path}/data").filter("nodeData.id >= 0")
+    trees = nodes.groupBy("treeID").agg(F.sort_array(F.collect_list(node)).alias("nodes"))
+    return trees.agg(F.sort_array(F.collect_list(F.struct("treeID", "nodes"))).alias("trees")).scalar()
+
+
+def forest_value(trees: F.Column, features: F.Column, depth: int) -> F.Column:
+    """Mean over the trees of the value of the leaf that the features (an array) lead to."""
+    def value(tree):
+        nodes = tree["nodes"]
+
+        def child(at):
+            node = F.get(nodes, at)
+            down = F.when(F.get(features, node["feature"]) <= node["threshold"], node["left"]).otherwise(node["right"])
+            return F.when(node["left"] < 0, at).otherwise(down)
+
+        return F.get(nodes, F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), lambda at, _: child(at)))["value"]
+
+    return F.aggregate(trees, F.lit(0.0), lambda total, tree: total + value(tree)) / F.size(trees)
+
+
 def rf_forecast(spark: SparkSession, model, feats: DataFrame, projection: DataFrame,
-                scenarios=PRESETS + (AUTO,), drivers=DRIVERS, chunk: int = 9) -> DataFrame:
+                scenarios=PRESETS + (AUTO,), drivers=DRIVERS) -> DataFrame:
     """recursive one-week-ahead forecast for every (series, scenario).
 
     Spends come from the projection (D2); drivers are the last-4-week means;
@@ -96,14 +128,12 @@ def rf_forecast(spark: SparkSession, model, feats: DataFrame, projection: DataFr
     the last four actual weeks.  The prediction is multiplied by the
     scenario's stress multiplier and fed back into the lags.
 
-    The state holds one row per (series, scenario) with the whole future
-    path of spends as an array (bounded by the horizon), so a step is a
-    projection + ``transform`` with no join, and appends its prediction to an
-    array.  A chunk of steps is one chain of projections, each evaluated once;
-    its state is written to the shared checkpoint folder and read back, so the
-    plan stays bounded and a lost executor recomputes at most one chunk.
+    One row per (series, scenario) holds the whole future path of spends as an
+    array (bounded by the horizon).  The horizon is one fold over that path: each
+    step walks the trees, which are a value of the query, and hands its four last
+    predictions on.  So the forecast is one stage of independent rows, with no
+    join, write or broadcast per step, however long the horizon is.
     """
-    base_dir = f"{checkpoint_dir(spark).rstrip('/')}/panelcast-rf-{uuid.uuid4().hex}"
     r = recency_rank(feats).filter(F.col("rn_desc") <= 4)
     seed = r.groupBy("series_id").agg(
         *[F.max(F.when(F.col("rn_desc") == k, F.col("net_sales"))).alias(f"s{k}") for k in (1, 2, 3, 4)])
@@ -112,31 +142,30 @@ def rf_forecast(spark: SparkSession, model, feats: DataFrame, projection: DataFr
     seed = seed.join(driver_means(feats, 4, drivers), "series_id")
     path = projection.groupBy("series_id", "scenario_id").agg(F.sort_array(F.collect_list(F.struct(
         "step", "week_start", "iso_week", "spend_a", "spend_b"))).alias("path"))
-    state = path.join(seed, "series_id").withColumns({
-        "stress": _stress_map(scenarios)[F.col("scenario_id")], "preds": F.array().cast("array<double>")})
-    horizon = max(int(s.months * 4.34) for s in scenarios)
-    keep = ("series_id", "scenario_id", "path", "stress", "preds", *drivers)
-
-    def advance(st: DataFrame, h: int) -> DataFrame:
-        # past the end of a shorter path the step is computed on its last week and not kept
-        at = F.element_at("path", F.least(F.lit(h), F.size("path")))
-        cur = st.select(*keep, "s1", "s2", "s3", at["spend_a"].alias("spend_a"), at["spend_b"].alias("spend_b"),
-                        week_sin(at["iso_week"]).alias("week_sin"), week_cos(at["iso_week"]).alias("week_cos"),
-                        F.col("s1").alias("lag_1"), F.col("s4").alias("lag_4"))
-        out = model.transform(cur).withColumn("pred_rf", F.col("prediction") * F.col("stress"))
-        return out.select(*[c for c in keep if c != "preds"], F.concat("preds", F.array("pred_rf")).alias("preds"),
-                          F.col("pred_rf").alias("s1"), F.col("s1").alias("s2"), F.col("s2").alias("s3"), F.col("s3").alias("s4"))
-
-    for first in range(1, horizon + 1, chunk):
-        for h in range(first, min(first + chunk, horizon + 1)):
-            state = advance(state, h)
-        folder, schema = f"{base_dir}/steps-{first}", state.schema
-        state.write.parquet(folder)
-        state = spark.read.schema(schema).parquet(folder)
-    steps = F.transform("path", lambda x, k: F.struct(x.alias("at"), F.get("preds", k).alias("pred_rf")))
-    return state.select("series_id", "scenario_id", F.explode(steps).alias("x")).select(
-        "series_id", "scenario_id", "x.at.step", "x.at.week_start", "x.pred_rf",
-        (F.col("x.at.spend_a") + F.col("x.at.spend_b")).alias("spend_total"))
+    state = path.join(seed, "series_id").withColumn("stress", _stress_map(scenarios)[F.col("scenario_id")])
+    state = state.withColumn("trees", forest(spark, model))
+    trees, depth = F.col("trees"), max(t.depth for t in model.stages[-1].trees)
+    # a missing value goes right at every split, as in the fit
+    known = {d: F.coalesce(F.col(d), F.lit(float("nan"))) for d in drivers}
+
+    def lags(now, *last):
+        return F.struct(now.alias("s1"), *[x.alias(f"s{k}") for k, x in enumerate(last, 2)])
+
+    def step(s, at):
+        given = {"week_sin": week_sin(at["iso_week"]), "week_cos": week_cos(at["iso_week"]), "spend_a": at["spend_a"],
+                 "spend_b": at["spend_b"], "lag_1": s["last"]["s1"], "lag_4": s["last"]["s4"], **known}
+        # folds over one value each, so that the features and the prediction are worked out once
+        features = F.array(F.array(*[given[f] for f in BASE_FEATURES + tuple(drivers)]))
+        pred = F.aggregate(features, F.lit(0.0), lambda _, v: forest_value(trees, v, depth)) * F.col("stress")
+        return F.aggregate(F.array(pred), s, lambda old, p: F.struct(
+            lags(p, old["last"]["s1"], old["last"]["s2"], old["last"]["s3"]).alias("last"),
+            F.concat(old["preds"], F.array(p)).alias("preds")))
+
+    start = F.struct(lags(*[F.col(f"s{k}") for k in (1, 2, 3, 4)]).alias("last"), F.array().cast("array<double>").alias("preds"))
+    preds = F.aggregate("path", start, step, lambda s: s["preds"])
+    out = state.select("series_id", "scenario_id", F.explode(F.arrays_zip(F.col("path").alias("at"), preds.alias("pred_rf"))).alias("x"))
+    return out.select("series_id", "scenario_id", "x.at.step", "x.at.week_start", "x.pred_rf",
+                      (F.col("x.at.spend_a") + F.col("x.at.spend_b")).alias("spend_total"))
 
 
 # -- F5 additive model ----------------------------------------------------------
@@ -162,56 +191,130 @@ REG_COLS = ("spend_a", "spend_b") + DRIVERS
 SEAS_COLS = tuple(f"f{s}{k}" for k in range(1, FOURIER_ORDER + 1) for s in ("s", "c"))
 
 
-def _design_matrix(rows: pd.DataFrame, ref: pd.DataFrame, n_cp: int = 25, cp_range: float = 0.8,
-                   cp_scale: float = 0.08, seas_scale: float = 10.0, reg_scale: float = 10.0,
-                   noise: float = 0.01):
-    """Design matrix for ``rows`` with scaling taken from the training ``ref``.
+CHANGEPOINTS, CHANGE_RANGE = 25, 0.8
+#: Prior scales: Laplace for changes of the trend, normal for seasons, holidays and regressors.
+CHANGE_SCALE, SEASON_SCALE, REGRESSOR_SCALE = 0.08, 10.0, 10.0
+#: Residual variance (of the series scaled to 1) that the fit starts from, and the least it assumes.
+FIRST_NOISE, LEAST_NOISE = 0.01, 1e-6
 
-    Columns: intercept, trend, changepoint hinges, Fourier terms, holidays,
-    standardised regressors.  Returns (X, penalty) - ridge penalties
-    noise / prior_scale**2 stand in for the Laplace / normal priors.
+
+class AdditiveFit:
+    """The additive model of one series: intercept, trend with changepoints, seasons, holidays, regressors.
+
+    The most probable coefficients under normal priors, and a Laplace prior on the changes of the
+    trend: it keeps most of them at exactly zero, so that a series gets the breaks that it has.
+    Everything is fitted from the Gram matrix of the design.  The other coefficients are
+    eliminated from it, and the changes are solved for on what is left; the residual variance,
+    which weighs the priors, is estimated in turn.
     """
-    t0, t1 = float(ref["t_days"].min()), float(ref["t_days"].max())
-    span = max(t1 - t0, 1.0)
-    t = (rows["t_days"].to_numpy(float) - t0) / span
-    t_ref = (ref["t_days"].to_numpy(float) - t0) / span
-    n_hist = len(ref)
-    k = min(n_cp, max(int(math.floor(n_hist * cp_range)) - 1, 0))
-    cps = np.quantile(t_ref[: max(int(math.ceil(n_hist * cp_range)), 1)], np.linspace(0, 1, k + 2)[1:-1]) if k > 0 else []
-    cols = [np.ones_like(t), t]
-    pen = [0.0, 1e-6]
-    for c in cps:
-        cols.append(np.maximum(t - c, 0.0))
-        pen.append(noise / cp_scale ** 2)
-    for c in SEAS_COLS:
-        cols.append(rows[c].to_numpy(float))
-        pen.append(noise / seas_scale ** 2)
-    for c in HOLIDAY_COLS:
-        cols.append(rows[c].to_numpy(float))
-        pen.append(noise / seas_scale ** 2)
-    for c in REG_COLS:
-        mu, sd = float(ref[c].mean()), float(ref[c].std(ddof=0))
-        v = rows[c].to_numpy(float)
-        cols.append((v - mu) / sd if sd > 0 else np.zeros_like(v))
-        pen.append(noise / reg_scale ** 2)
-    return np.column_stack(cols), np.asarray(pen)
-
-
-def _ridge(X: np.ndarray, y: np.ndarray, pen: np.ndarray) -> np.ndarray:
-    A = X.T @ X + np.diag(pen)
-    return np.linalg.lstsq(A, X.T @ y, rcond=None)[0]
+
+    def __init__(self, train: pd.DataFrame):
+        y = train["y"].to_numpy(float)
+        self.ref = train
+        self.scale = float(np.max(np.abs(y))) if len(y) and np.max(np.abs(y)) > 0 else 1.0
+        t = train["t_days"].to_numpy(float)
+        self.t0, self.span = float(t.min()), max(float(t.max() - t.min()), 1.0)
+        past = ((t - self.t0) / self.span)[: max(int(math.ceil(len(t) * CHANGE_RANGE)), 1)]
+        k = min(CHANGEPOINTS, max(int(math.floor(len(t) * CHANGE_RANGE)) - 1, 0))
+        self.points = np.quantile(past, np.linspace(0, 1, k + 2)[1:-1]) if k else np.empty(0)
+        stats = [(float(train[c].mean()), float(train[c].std(ddof=0))) for c in REG_COLS]
+        self.centre, self.spread = np.array([m for m, _ in stats]), np.array([s for _, s in stats])
+        plain, hinges = self.design(train)
+        self.fit(plain, hinges, y / self.scale)
+        self.fitted = self.predict(train)
+        self.sigma = float(np.sqrt(np.mean((self.fitted - y) ** 2))) if len(y) else 0.0
+
+    def design(self, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Columns without the changes of the trend, and those."""
+        t = (rows["t_days"].to_numpy(float) - self.t0) / self.span
+        regressors = rows[list(REG_COLS)].to_numpy(float)
+        regressors = np.where(self.spread > 0, (regressors - self.centre) / np.where(self.spread > 0, self.spread, 1.0), 0.0)
+        plain = np.column_stack([np.ones_like(t), t, rows[list(SEAS_COLS + HOLIDAY_COLS)].to_numpy(float), regressors])
+        return plain, np.maximum(t[:, None] - self.points, 0.0)
+
+    def fit(self, plain: np.ndarray, hinges: np.ndarray, y: np.ndarray, rounds: int = 4) -> None:
+        n_season = len(SEAS_COLS) + len(HOLIDAY_COLS)
+        prior = np.r_[0.0, 1e-6, np.full(n_season, SEASON_SCALE ** -2), np.full(len(REG_COLS), REGRESSOR_SCALE ** -2)]
+        g_zz, g_zh, c_z = plain.T @ plain, plain.T @ hinges, plain.T @ y
+        g_hh, c_h, noise = hinges.T @ hinges, hinges.T @ y, FIRST_NOISE
+        self.changes = np.zeros(hinges.shape[1])
+        for _ in range(rounds):
+            a = g_zz + np.diag(np.r_[0.0, 1e-6, noise * prior[2:]])
+            both = np.linalg.lstsq(a, np.column_stack([g_zh, c_z]), rcond=None)[0]
+            if len(self.changes):
+                left = both[:, :-1]
+                self.changes = _sparse_solution(g_hh - g_zh.T @ left, c_h - left.T @ c_z, noise / CHANGE_SCALE)
+            self.others = both[:, -1] - both[:, :-1] @ self.changes
+            residual = y - plain @ self.others - hinges @ self.changes
+            noise = max(float(np.mean(residual ** 2)), LEAST_NOISE) if len(y) else FIRST_NOISE
+
+    def predict(self, rows: pd.DataFrame) -> np.ndarray:
+        plain, hinges = self.design(rows)
+        return (plain @ self.others + hinges @ self.changes) * self.scale
+
+    def interval(self, rows: pd.DataFrame) -> np.ndarray:
+        """Half-width of the 80 % interval of each row: the deviation, by the factor that makes it
+        cover 80 % of the weeks after three earlier ends of the history (where that is long enough)."""
+        ahead, n = 26, len(self.ref)
+        ratios = []
+        for end in (n - ahead, n - 2 * ahead, n - 3 * ahead):
+            if end >= 2 * ahead:
+                past, after = AdditiveFit(self.ref.iloc[:end]), self.ref.iloc[end:end + ahead]
+                ratios.append(np.abs(past.predict(after) - after["y"].to_numpy(float)) / np.maximum(past.deviation(after), 1e-9 * self.scale))
+        factor = float(np.quantile(np.concatenate(ratios), 0.8)) if ratios else Z80
+        return max(factor, Z80) * self.deviation(rows)
+
+    def deviation(self, rows: pd.DataFrame) -> np.ndarray:
+        """Standard deviation of each row: residuals, and beyond the last week the trend's own.
+
+        The trend goes on changing as often as there are changepoints in the history, by Laplace
+        steps of the mean size fitted; steps at even times up to a distance h have the variance
+        rate * h * 2 size**2 * h**2 / 3 by then.
+        """
+        ahead = np.maximum((rows["t_days"].to_numpy(float) - self.t0) / self.span - 1.0, 0.0)
+        size = float(np.abs(self.changes).mean()) if len(self.changes) else 0.0
+        trend = len(self.points) * 2.0 * size ** 2 * ahead ** 3 / 3.0
+        return np.sqrt(self.sigma ** 2 + trend * self.scale ** 2)
+
+
+def _sparse_solution(g: np.ndarray, c: np.ndarray, weight: float, rounds: int = 400) -> np.ndarray:
+    """The x with the least x'gx / 2 - c'x + weight * sum(abs(x)), by growing the set of coefficients
+    that are not zero: with their signs given they solve a linear system, and one whose sign the
+    solution turns goes back to zero on the way there."""
+    x, sign = np.zeros(len(c)), np.zeros(len(c))
+
+    def cost(v: np.ndarray) -> float:
+        return float(v @ g @ v / 2 - c @ v + weight * np.abs(v).sum())
+
+    for _ in range(rounds):
+        pull = np.where(sign == 0, np.abs(c - g @ x), 0.0)
+        k = int(pull.argmax())
+        if pull[k] <= weight + 1e-9:
+            break
+        sign[k] = np.sign((c - g @ x)[k])
+        while sign.any():
+            on = np.flatnonzero(sign)
+            goal = np.zeros(len(c))
+            goal[on] = np.linalg.lstsq(g[np.ix_(on, on)], c[on] - weight * sign[on], rcond=None)[0]
+            step = goal - x
+            cross = [-x[j] / step[j] for j in on if x[j] * step[j] < 0 and abs(step[j]) > abs(x[j])]
+            stops = [x + s * step for s in sorted(cross)] + [goal]
+            best = min(range(len(stops)), key=lambda i: cost(stops[i]))
+            new = np.where(np.abs(stops[best]) < 1e-12, 0.0, stops[best])
+            consistent = best == len(stops) - 1 and (np.sign(new[on]) == sign[on]).all()
+            stuck = cost(new) >= cost(x) - 1e-15
+            x, sign = (x, np.sign(x)) if stuck and not consistent else (new, np.sign(new))
+            if consistent or stuck:
+                break
+        if stuck and not consistent:
+            break
+    return x
 
 
 def _fit_predict(train: pd.DataFrame, target: pd.DataFrame):
-    """Fit on ``train`` (needs y), predict ``target``; returns (yhat, sigma)."""
-    y = train["y"].to_numpy(float)
-    scale = float(np.max(np.abs(y))) if len(y) and np.max(np.abs(y)) > 0 else 1.0
-    X, pen = _design_matrix(train, train)
-    beta = _ridge(X, y / scale, pen)
-    resid = y / scale - X @ beta
-    sigma = float(np.sqrt(np.mean(resid ** 2))) * scale if len(resid) else 0.0
-    Xt, _ = _design_matrix(target, train)
-    return (Xt @ beta) * scale, sigma, (X @ beta) * scale
+    """Fit on ``train`` (needs y), predict ``target``; (predictions, residual deviation, fitted values)."""
+    model = AdditiveFit(train)
+    return model.predict(target), model.sigma, model.fitted
 
 
 ADDITIVE_SCHEMA = ("series_id string, scenario_id string, kind string, week_start date, "
@@ -221,14 +324,15 @@ ADDITIVE_SCHEMA = ("series_id string, scenario_id string, kind string, week_star
 def _additive_group(pdf: pd.DataFrame) -> pd.DataFrame:
     hist = pdf[pdf["kind"] == "hist"].sort_values("week_start")
     fut = pdf[pdf["kind"] == "future"]
-    yhat, sigma, fitted = _fit_predict(hist, fut)
+    model = AdditiveFit(hist)
     out_f = pd.DataFrame({"series_id": fut["series_id"].to_numpy(), "scenario_id": fut["scenario_id"].to_numpy(),
-                          "kind": "forecast", "week_start": fut["week_start"].to_numpy(), "yhat": yhat})
+                          "kind": "forecast", "week_start": fut["week_start"].to_numpy(), "yhat": model.predict(fut)})
     out_h = pd.DataFrame({"series_id": hist["series_id"].to_numpy(), "scenario_id": None, "kind": "fit",
-                          "week_start": hist["week_start"].to_numpy(), "yhat": fitted})
+                          "week_start": hist["week_start"].to_numpy(), "yhat": model.fitted})
     out = pd.concat([out_h, out_f], ignore_index=True)
-    out["yhat_lower"] = out["yhat"] - Z80 * sigma
-    out["yhat_upper"] = out["yhat"] + Z80 * sigma
+    width = np.r_[np.full(len(hist), Z80 * model.sigma), model.interval(fut)]
+    out["yhat_lower"] = out["yhat"] - width
+    out["yhat_upper"] = out["yhat"] + width
     return out
 
 

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions.economics import TABLE_ECONOMICS, Economics, economics_columns
 from ..functions.exact import SUM_TYPE, sdiv
-from ..sources.sinks import write_weekly_fact
+from ..sources.sinks import write_bucketed_fact, write_weekly_fact
 
 # Base measures of the weekly fact (F-2), in canonical order.
 BASE_MEASURES = (
     "spend_a", "spend_b", "total_sales", "gross_sales", "discounts", "returns", "orders", "items",
     "aov", "returning_rate_pct", "conv_value_a", "conv_value_b", "cpc_a", "cpc_b", "cpm_b",
-    "impressions_a", "frequency_b",
+    "impressions_a", "frequency_b", "sessions",
 )
 # Measures that are ratios; duplicates of a week are averaged, not summed.
 RATIO_MEASURES = ("aov", "returning_rate_pct", "cpc_a", "cpc_b", "cpm_b", "frequency_b")
@@ -101,11 +101,20 @@ def weekly_fact(spark: SparkSession, sf_dir: str, grain: str = "segment",
     """Canonical weekly fact from the given tables (S7 -> P8 -> P9).
 
     The rollup already yields one row per (series, week), so no duplicate
-    collapse is needed here.
+    collapse is needed here.  The sessions of a week come from ``events``; weeks
+    without sales are no weeks of the fact, whatever sessions they have.
     """
     from ..sources.tables import weekly_rollup
 
-    return derive_metrics(fill_zero(weekly_rollup(spark, sf_dir, grain)), econ)
+    return derive_metrics(fill_zero(with_sessions(spark, sf_dir, weekly_rollup(spark, sf_dir, grain), grain)), econ)
+
+
+def with_sessions(spark: SparkSession, sf_dir: str, weeks: DataFrame, grain: str) -> DataFrame:
+    """The raw weekly fact with the ``sessions`` of each series and week."""
+    from .sessions import weekly_sessions
+
+    found = weekly_sessions(spark, sf_dir, grain).select(*KEYS, F.col("sessions").cast("double").alias("sessions"))
+    return weeks.join(found, list(KEYS), "left")
 
 
 def last_n_days(df: DataFrame, days: int = 365) -> DataFrame:
@@ -117,29 +126,43 @@ def last_n_days(df: DataFrame, days: int = 365) -> DataFrame:
 
 
 _PANELS: dict = {}
+#: Grains with so many series that windows and joins by series should find their rows in place.
+BUCKETED_GRAINS = ("customer",)
 
 
 def source_stamp(spark: SparkSession, sf_dir: str) -> tuple:
     """Name, size and modification time of every source file, asked of the
     file system that holds them (any that Spark can read)."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     stamp = []
-    for t in ("lineitem", "orders", "customer", "nation"):
-        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
-        files = path.getFileSystem(conf).listFiles(path, True)
-        while files.hasNext():
-            f = files.next()
-            stamp.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    for t in ("lineitem", "orders", "customer", "nation", "events"):
+        stamp += table_files(spark, f"{sf_dir.rstrip('/')}/{t}.parquet")
     return tuple(sorted(stamp))
 
 
+def table_files(spark: SparkSession, folder: str) -> list[tuple[str, int, int]]:
+    """(path, size, modification time) of the data files of a table; none if it does not exist."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(conf)
+    if not system.exists(path):
+        return []
+    files, out = system.listFiles(path, True), []
+    while files.hasNext():
+        f = files.next()
+        if not f.getPath().getName().startswith(("_", ".")):
+            out.append((f.getPath().toUri().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(out)
+
+
 def weekly_panel(spark: SparkSession, sf_dir: str, grain: str = "segment",
                  econ: Economics = TABLE_ECONOMICS) -> DataFrame:
     """The weekly fact, materialised once per (application, source, grain).
 
     The panel is computed from the raw tables once and written as Parquet,
     partitioned by ISO year, in the shared checkpoint folder; every analysis
-    reads the columns and years it needs from there.  The sources' files,
+    reads the columns and years it needs from there.  With a series per customer
+    it is bucketed and sorted by series instead, so that windows by series need no
+    shuffle.  The sources' files,
     sizes and modification times are kept with it, so changed inputs are
     re-rolled, and the panel they replace is forgotten.
     """
@@ -148,9 +171,14 @@ def weekly_panel(spark: SparkSession, sf_dir: str, grain: str = "segment",
     key, stamp = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), grain, econ), source_stamp(spark, sf_dir)
     if _PANELS.get(key, (None,))[0] != stamp:
         fact = weekly_fact(spark, sf_dir, grain, econ)
-        path = f"{checkpoint_dir(spark).rstrip('/')}/panel-{grain}-{uuid.uuid4().hex}"
-        write_weekly_fact(fact, path)
+        name = uuid.uuid4().hex
+        path = f"{checkpoint_dir(spark).rstrip('/')}/panel-{grain}-{name}"
+        if grain in BUCKETED_GRAINS:
+            panel = write_bucketed_fact(fact, path, f"panelcast_panel_{name}")
+        else:
+            write_weekly_fact(fact, path)
+            panel = spark.read.schema(fact.schema).parquet(path).select(*fact.columns)
         for k in [k for k in _PANELS if k[0] != key[0]]:  # of applications that have ended
             del _PANELS[k]
-        _PANELS[key] = (stamp, spark.read.schema(fact.schema).parquet(path).select(*fact.columns))
+        _PANELS[key] = (stamp, panel)
     return _PANELS[key][1]

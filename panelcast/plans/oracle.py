@@ -34,9 +34,33 @@ def econ_sql(e: Economics = TABLE_ECONOMICS) -> dict[str, str]:
             "be_cpa": ppc, "be_roas": be_roas}
 
 
+def sessions_ctes(grain: str = "segment") -> str:
+    """CTEs ``se_ev, se_no, se_one, se``: sessions by the event before, event by event."""
+    series, nation_join = _series_expr(grain)
+    return f"""
+se_ev AS (
+  SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, event_id
+  FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL
+),
+se_no AS (
+  SELECT user_id, ts, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END)
+    OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS no FROM se_ev
+),
+se_one AS (SELECT user_id, no, min(ts) AS t0, max(ts) AS t1, count(*) AS n FROM se_no GROUP BY user_id, no),
+se AS (
+  SELECT {series} AS series_id, CAST(date_trunc('week', t0) AS DATE) AS week_start, count(*) AS sessions,
+    count(DISTINCT user_id) AS users, CAST(sum(n) AS BIGINT) AS events,
+    CAST(sum(epoch_us(t1) - epoch_us(t0)) AS DOUBLE) / count(*) / {d(60e6)} AS minutes
+  FROM se_one JOIN customer c ON c.c_custkey = user_id {nation_join}
+  GROUP BY ALL
+)"""
+
+
 def _series_expr(grain: str) -> tuple[str, str]:
     if grain == "all":
         return "'ALL'", ""
+    if grain == "customer":
+        return "CAST(c.c_custkey AS VARCHAR)", ""
     if grain == "segment":
         return "c.c_mktsegment", ""
     return "n.n_name", "JOIN nation n ON n.n_nationkey = c.c_nationkey"
@@ -86,6 +110,7 @@ wf_week AS (
     count(DISTINCT CASE WHEN urgent THEN orderkey END) AS n_urgent
   FROM wf_lines GROUP BY series_id, week_start
 ),
+{sessions_ctes(grain)},
 wf_raw AS (
   SELECT series_id, week_start,
     CAST(isoyear(week_start) AS INTEGER) AS iso_year,
@@ -102,8 +127,9 @@ wf_raw AS (
     coalesce({rnd("spend_b / nullif(CAST(lines_b AS DOUBLE), 0)")}, 0) AS cpc_b,
     coalesce({rnd(f"spend_b * {d(1000.0)} / nullif(qty_b, 0)")}, 0) AS cpm_b,
     coalesce(CAST(impressions_a AS DOUBLE), 0) AS impressions_a,
-    coalesce({rnd(f"CAST(lines_b AS DOUBLE) * {d(0.6)} / nullif(CAST(cust_b AS DOUBLE), 0)")}, 0) AS frequency_b
-  FROM wf_week
+    coalesce({rnd(f"CAST(lines_b AS DOUBLE) * {d(0.6)} / nullif(CAST(cust_b AS DOUBLE), 0)")}, 0) AS frequency_b,
+    coalesce(CAST(se.sessions AS DOUBLE), 0) AS sessions
+  FROM wf_week LEFT JOIN se USING (series_id, week_start)
 ),
 wf AS (
   SELECT *,

@@ -8,14 +8,17 @@ tables: each row yields one string per shape (a literal array exploded).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import clean_currency, clean_number, clean_percentage, parse_iso_week
 from ..functions.exact import SUM_TYPE
 from ..operators.prepare import BASE_MEASURES, RATIO_MEASURES, weekly_panel, with_orders
+from ..session import checkpoint_dir
 from ..sources.tables import load
-from ..sources.weekly_csv import HEADER_MAP, MONEY, PERCENT, REQUIRED, weekly_from_text
+from ..sources.weekly_csv import HEADER_MAP, MONEY, PERCENT, REQUIRED, weekly_csv_rejects, weekly_from_csv, weekly_from_text
 
 
 def _pad2(c):
@@ -127,6 +130,34 @@ def weekly_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weekly_from_text(weekly_text(spark, sf_dir), series_col="Series")
 
 
+BAD_FIELDS = 40
+
+
+def weekly_csv(spark: SparkSession, sf_dir: str) -> str:
+    """The weekly text as CSV files in the shared folder, among them one with malformed lines:
+    per series one with two fields and one with ``BAD_FIELDS``."""
+    text = weekly_text(spark, sf_dir)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/panelcast-weekly-csv-{uuid.uuid4().hex}"
+    text.write.csv(path, header=True)
+    head = ",".join(f'"{c}"' for c in text.columns)
+    series = text.select(F.col("Series").alias("s")).distinct()
+    bad = series.select(F.explode(F.array(F.concat(F.col("s"), F.lit(",half a line")),
+                                          F.concat("s", F.lit(",x" * (BAD_FIELDS - 1))))).alias("line"))
+    # one row for one small file: two lines per series under the header
+    bad.agg(F.concat(F.lit(f"{head}\n"), F.array_join(F.sort_array(F.collect_list("line")), "\n"))).write.mode("append").text(path)
+    return path
+
+
+def weekly_csv_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 on real files: written, read back and cleaned, they must give the panel back."""
+    return weekly_from_csv(spark, weekly_csv(spark, sf_dir), series_col="Series")
+
+
+def weekly_csv_rejects_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every malformed line of those files, and no other."""
+    return weekly_csv_rejects(spark, weekly_csv(spark, sf_dir))
+
+
 def weekly_text_no_orders_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from a file with the required columns only: orders fall back to sales / AOV."""
     return with_orders(weekly_from_text(weekly_text(spark, sf_dir, REQUIRED), series_col="Series")).select(

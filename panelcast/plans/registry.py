@@ -193,6 +193,22 @@ def q_weekly_text(spark, sf_dir):
     return round_doubles(probes.weekly_text_query(spark, sf_dir))
 
 
+@register("weekly_csv")
+def q_weekly_csv(spark, sf_dir):
+    return round_doubles(probes.weekly_csv_query(spark, sf_dir))
+
+
+@register("weekly_csv_rejects")
+def q_weekly_csv_rejects(spark, sf_dir):
+    return probes.weekly_csv_rejects_query(spark, sf_dir)
+
+
+@register("weekly_sessions")
+def q_weekly_sessions(spark, sf_dir):
+    from ..operators.sessions import weekly_sessions
+    return round_doubles(weekly_sessions(spark, sf_dir, GRAIN))
+
+
 @register("weekly_text_no_orders")
 def q_weekly_text_no_orders(spark, sf_dir):
     return round_doubles(probes.weekly_text_no_orders_query(spark, sf_dir))
@@ -214,6 +230,26 @@ def q_seasonal_backtest(spark, sf_dir):
     return round_doubles(backtest.seasonal_backtest(_wf(spark, sf_dir)))
 
 
+@register("weekly_fact_incremental")
+def q_weekly_fact_incremental(spark, sf_dir):
+    """The same fact from the states of the source files (kept per application; only changed files are read again)."""
+    import hashlib
+
+    from ..session import checkpoint_dir
+    from ..sources.incremental import IncrementalPanel
+
+    name = hashlib.sha1(f"{spark.sparkContext.applicationId} {sf_dir.rstrip('/')} {GRAIN}".encode()).hexdigest()
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/panelcast-states-{name}"
+    return round_doubles(IncrementalPanel(spark, sf_dir, folder, GRAIN).refresh().panel)
+
+
+@register("lag_features_customer")
+def q_lag_features_customer(spark, sf_dir):
+    """W1 for every customer: the panel is bucketed by series, so no row moves."""
+    x = windows.lag_features(weekly_panel(spark, sf_dir, "customer"))
+    return round_doubles(x.select("series_id", "week_start", "net_sales", "lag_1", "lag_4"))
+
+
 @register("weekly_history")
 def q_weekly_history(spark, sf_dir):
     from ..sources.sinks import newest_first, weekly_history
@@ -311,5 +347,5 @@ def q_accuracy_pivot(spark, sf_dir):
     return round_doubles(backtest.backtest_month_year(b, "acc_ensemble"))
 
 
-# -- scoring of a fixed prediction table ----------------------------------------
-from . import scoring  # noqa: E402, F401
+# -- scoring of a fixed prediction table, weather ----------------------------------
+from . import scoring, weather_queries  # noqa: E402, F401

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.cleaning import compact_money
 from ..functions.economics import AUTO, PRESETS, TABLE_ECONOMICS, join_economics, stress_multiplier
 from ..functions.exact import round_doubles, sdiv, xavg, xsum
 from ..operators import backtest, monthly, recent, scenario, windows
@@ -109,6 +110,32 @@ def q_scored_allocation(spark, sf_dir):
     return round_doubles(fc.allocate(IMPORTANCES, recent.channel_signals(wf), budget))
 
 
+def overrides(wf: DataFrame) -> DataFrame:
+    """An override for every tenth ISO week: half the spend of channel a, the same of b, half as much again in sales."""
+    return wf.filter(F.col("iso_week") % 10 == 0).select(
+        "series_id", "week_start", (F.col("spend_a") * 0.5).alias("spend_a"), F.lit(None).cast("double").alias("spend_b"),
+        (F.col("net_sales") * 1.5).alias("actual"))
+
+
+@register("scored_validation")
+def q_scored_validation(spark, sf_dir):
+    """F11 + F12: the weeks that have both lags, with overrides, judged."""
+    wf = weekly_panel(spark, sf_dir, GRAIN)
+    x = backtest.overridden(windows.lag_features(wf).filter(F.col("lag_4").isNotNull()), overrides(wf))
+    x = x.select("series_id", "week_start", "actual", "spend_a", "spend_b", "cpc_a", F.col("lag_1").alias("pred_rf"),
+                 F.col("lag_4").alias("pred_additive"))
+    return round_doubles(backtest.judge_weeks(x))
+
+
+@register("scored_timeline")
+def q_scored_timeline(spark, sf_dir):
+    """history, projection and both forecasts of the base scenario in long form, values as compact money (P14) too."""
+    wf = weekly_panel(spark, sf_dir, GRAIN)
+    rf, additive = arms(wf)
+    x = round_doubles(fc.timeline(wf, rf, additive, scenario.project_baseline(wf)))
+    return x.withColumn("label", compact_money("value"))
+
+
 @register("rf_features")
 def q_rf_features(spark, sf_dir):
     x = fc.rf_features(weekly_panel(spark, sf_dir, GRAIN))

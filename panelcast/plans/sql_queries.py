@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle import d, rnd, with_wf
+from .oracle import d, rnd, sessions_ctes, with_wf
 
 SQL: dict[str, str] = {}
 
@@ -10,7 +10,7 @@ WF_COLS = "series_id, week_start, iso_year, iso_week, period_label, " + ", ".joi
     f"{rnd(c)} AS {c}" for c in (
         "spend_a", "spend_b", "total_sales", "gross_sales", "discounts", "returns", "orders", "items", "aov",
         "returning_rate_pct", "conv_value_a", "conv_value_b", "cpc_a", "cpc_b", "cpm_b", "impressions_a",
-        "frequency_b", "net_sales", "ad_spend", "mer", "return_rate_pct", "cost_of_sales_pct", "op_profit",
+        "frequency_b", "sessions", "net_sales", "ad_spend", "mer", "return_rate_pct", "cost_of_sales_pct", "op_profit",
         "roas_a", "roas_b"))
 
 SQL["weekly_fact"] = with_wf(f"SELECT {WF_COLS} FROM wf")
@@ -769,7 +769,7 @@ SQL["scored_allocation"] = body(f"""SELECT series_id, {r6('safe_budget', 'safe_b
   {r6(f'safe_budget * rec_scale - safe_budget * rec_scale * CASE WHEN agree THEN {d(0.65)} ELSE {d(0.55)} END', 'budget_other')}
 FROM al""", PB + ",\n" + ST.replace(TG + ",\n", "") + ",\n" + CS + ",\n" + _SB)
 
-_DRIVERS = ("aov", "returning_rate_pct", "discounts", "cpc_a", "cpc_b", "cpm_b", "frequency_b")
+_DRIVERS = ("aov", "returning_rate_pct", "discounts", "cpc_a", "cpc_b", "cpm_b", "sessions", "frequency_b")
 _FEATURES = ("week_sin", "week_cos", "spend_a", "spend_b", "lag_1", "lag_4", *_DRIVERS)
 SQL["rf_features"] = body(f"""SELECT f.series_id, f.week_start,
   {', '.join(r6(f'coalesce(f.{c}, m.{c}, {d(0.0)})', c) for c in _FEATURES)}
@@ -808,8 +808,77 @@ SQL["series_health_score"] = SQL["health_score"].replace(
 # -- the weekly text file ------------------------------------------------------------
 SQL["weekly_text"] = SQL["weekly_fact"]
 _FALLBACK = f"(greatest(total_sales, {d(0.0)}) / {d(188500.0)})"
+SQL["weekly_csv"] = SQL["weekly_fact_incremental"] = SQL["weekly_fact"]
+SQL["weekly_csv_rejects"] = body("""SELECT series_id AS first_field, series_id || ',half a line' AS line FROM (SELECT DISTINCT series_id FROM wf) s
+UNION ALL SELECT series_id, series_id || repeat(',x', 39) FROM (SELECT DISTINCT series_id FROM wf) s""")
+SQL["weekly_sessions"] = f"WITH {sessions_ctes()}\nSELECT series_id, week_start, sessions, users, events, {r6('minutes', 'minutes')} FROM se"
+SQL["lag_features_customer"] = body(f"""SELECT series_id, week_start, {r6('net_sales', 'net_sales')}, {r6('l1', 'lag_1')}, {r6('l4', 'lag_4')}
+FROM (SELECT *, lag(net_sales, 1) OVER w AS l1, lag(net_sales, 4) OVER w AS l4 FROM wf
+      WINDOW w AS (PARTITION BY series_id ORDER BY week_start)) t""", grain="customer")
 SQL["weekly_text_no_orders"] = body(f"""SELECT series_id, week_start, {r6(_FALLBACK, 'orders')}, {r6('net_sales', 'net_sales')},
   {r6('ad_spend', 'ad_spend')}, {r6('mer', 'mer')},
   {r6(f"{_FALLBACK} * {_E['profit_per_order']} - ad_spend", 'op_profit')}, CAST(NULL AS DOUBLE) AS aov FROM wf""")
 SQL["first_week_of_year"] = body(f"""SELECT series_id, iso_year, min(week_start) AS week_start,
   {r6('first(net_sales ORDER BY week_start)', 'net_sales')} FROM wf GROUP BY series_id, iso_year""")
+
+# -- weather ---------------------------------------------------------------------------
+WEATHER = f"""we0 AS (
+  SELECT upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)) AS city, CAST(n_nationkey AS BIGINT) AS k, dt.date,
+         CAST(dt.date - DATE '1970-01-01' AS BIGINT) AS day
+  FROM nation CROSS JOIN (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders) dt),
+we AS (
+  SELECT city, date, CASE WHEN (k + day) % 19 <> 0 THEN CAST((37 * k + 13 * day) % 430 - 60 AS DOUBLE) / {d(10.0)} END AS temp,
+         CASE WHEN (k + 2 * day) % 23 <> 0 THEN CAST((11 * k + 7 * day) % 90 AS DOUBLE) / {d(10.0)} END AS rain FROM we0),
+hot AS (SELECT date, city FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY temp DESC, city) AS r FROM we WHERE temp IS NOT NULL) t
+  WHERE r = 1),
+wd AS (
+  SELECT w.date, {xa('temp')} AS avg_temp, max(rain) AS max_rain, {xs('rain')} AS total_rain, any_value(hot.city) AS hottest_city,
+         count(temp) AS n_cities
+  FROM we w LEFT JOIN hot ON hot.date = w.date GROUP BY w.date),
+wm AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month, {xa('temp')} AS avg_temp, {xa('rain')} AS avg_daily_rain_mm FROM we GROUP BY 1)"""
+SQL["weather_cities"] = f"""WITH {WEATHER}
+SELECT city, CASE WHEN temp < 5 THEN 'freezing' WHEN temp < 12 THEN 'cold' WHEN temp < 20 THEN 'mild' WHEN temp < 28 THEN 'warm'
+  WHEN temp >= 28 THEN 'hot' END AS band, count(*) AS days,
+  {r6(xa(f'({d(6000.0)} + coalesce(rain, 0) * {d(400.0)})'), 'mean_marker_size')}, min(date) AS first_day, max(date) AS last_day
+FROM we GROUP BY 1, 2"""
+_WD = ", ".join(r6(c, c) for c in ("avg_temp", "max_rain", "total_rain"))
+SQL["weather_days"] = f"WITH {WEATHER}\nSELECT date, {_WD}, hottest_city, n_cities FROM wd"
+SQL["weather_months"] = f"WITH {WEATHER}\nSELECT month, {r6('avg_temp', 'avg_temp')}, {r6('avg_daily_rain_mm', 'avg_daily_rain_mm')} FROM wm"
+SQL["business_on_day"] = body(f"""SELECT wf.week_start, series_id, {r6('net_sales', 'net_sales')}, {r6('ad_spend', 'ad_spend')}, {_WD}, hottest_city,
+  n_cities, {r6(f'CASE WHEN ad_spend > 0 THEN net_sales / ad_spend ELSE {d(0.0)} END', 'mer')}
+FROM wf JOIN wd ON wd.date = wf.week_start""", WEATHER)
+SQL["month_ledger_weather"] = body(f"""SELECT series_id, lg.month, strftime(lg.month, '%Y-%m') AS month_label, first_week,
+  {r6('net_sales', 'net_sales')}, {r6('ad_spend', 'ad_spend')}, {r6('mer', 'mer')},
+  {r6(f'coalesce(avg_temp, {d(15.0)})', 'avg_temp')}, {r6(f'coalesce(avg_daily_rain_mm, {d(40.0)})', 'avg_daily_rain_mm')}, events, macro,
+  events || ' | Infl. ' || macro AS context
+FROM lg LEFT JOIN wm ON wm.month = lg.month AND month(lg.month) % 4 <> 0""", LEDGER.replace("month(month)", "month(lg1.month)") + ",\n" + WEATHER)
+
+# -- validation and timeline of fixed predictions -----------------------------------------
+_VAL = f"""va0 AS (
+  SELECT *, lag(net_sales, 1) OVER w AS pred_rf, lag(net_sales, 4) OVER w AS pred_additive
+  FROM wf WINDOW w AS (PARTITION BY series_id ORDER BY week_start)),
+va1 AS (
+  SELECT series_id, week_start, CASE WHEN iso_week % 10 = 0 THEN net_sales * {d(1.5)} ELSE net_sales END AS actual,
+    CASE WHEN iso_week % 10 = 0 THEN spend_a * {d(0.5)} ELSE spend_a END AS spend_a, spend_b, cpc_a, pred_rf, pred_additive,
+    (pred_rf + pred_additive) / {d(2.0)} AS pred_ensemble FROM va0 WHERE pred_additive IS NOT NULL),
+va2 AS (
+  SELECT *, CASE WHEN actual > 0 THEN ({d(1.0)} - abs(pred_ensemble - actual) / actual) * {d(100.0)} END AS accuracy_pct FROM va1),
+va3 AS (SELECT series_id, {xa('spend_a')} AS m_a, {xa('actual')} AS m_y, {xa('cpc_a')} AS m_c FROM va1 GROUP BY series_id),
+va4 AS (
+  SELECT va2.*, m_a / nullif(m_y, 0) AS share, m_c, CASE WHEN accuracy_pct > 92 THEN 'excellent' WHEN accuracy_pct > 85 THEN 'good'
+    WHEN accuracy_pct IS NOT NULL THEN 'deviation' END AS tier
+  FROM va2 JOIN va3 ON va3.series_id = va2.series_id)"""
+SQL["scored_validation"] = body(f"""SELECT series_id, week_start,
+  {', '.join(r6(c, c) for c in ('actual', 'spend_a', 'spend_b', 'cpc_a', 'pred_rf', 'pred_additive', 'pred_ensemble', 'accuracy_pct'))}, tier,
+  tier = 'deviation' AND spend_a / nullif(actual, 0) < share * {d(0.8)} AS flag_low_spend_share,
+  tier = 'deviation' AND cpc_a > m_c * {d(1.3)} AS flag_cpc, tier = 'deviation' AS flag_unseen_factors FROM va4""", _VAL)
+_LABEL = f"""CASE WHEN value >= 1000000 THEN printf('€ %.1fM', value / {d(1e6)}) ELSE printf('€ %.0fk', value / {d(1e3)}) END"""
+_TL = """tl AS (
+  SELECT series_id, week_start, 'actual' AS measure, net_sales AS value FROM wf
+  UNION ALL SELECT series_id, week_start, 'heuristic', sales FROM pb WHERE scenario_id = 'base'
+  UNION ALL SELECT series_id, week_start, 'rf', pred_rf FROM ens WHERE scenario_id = 'base'
+  UNION ALL SELECT series_id, week_start, 'additive_yhat', pred_additive FROM ens WHERE scenario_id = 'base'
+  UNION ALL SELECT series_id, week_start, 'additive_yhat_lower', yhat_lower FROM ens WHERE scenario_id = 'base'
+  UNION ALL SELECT series_id, week_start, 'additive_yhat_upper', yhat_upper FROM ens WHERE scenario_id = 'base')"""
+SQL["scored_timeline"] = body(f"SELECT *, {_LABEL} AS label FROM (SELECT series_id, week_start, measure, {r6('value', 'value')} FROM tl) t",
+                              PB + ",\n" + ARMS + ",\n" + _TL)

@@ -2,17 +2,17 @@
 
 On a cluster the session is created by the platform; :func:`configure`
 only fills in SQL settings the library relies on.  The checkpoint folder is
-read from ``spark.checkpoint.dir``; a private folder is created only when the
-setting is absent (local runs and tests).
+read from ``spark.checkpoint.dir``; a folder of its own under the warehouse is
+set only when that is absent (local runs and tests).
 """
 
 from __future__ import annotations
 
 import os
 import re
-import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every panelcast job expects.  AQE re-plans joins and coalesces
 # shuffle partitions at runtime; skew-join splits hot partitions.
@@ -55,12 +55,12 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only if unset.
+    """Return the shared checkpoint folder, setting one only if unset.
 
     The cluster names its shared folder in ``spark.checkpoint.dir``; that value
-    is always used when present.  Without it a local session gets a private
-    folder under the system temp dir; any other session is refused, because
-    its executors could not read such a folder.
+    is always used when present.  Without it a local session gets a folder under
+    its warehouse; any other session is refused, because its executors might not
+    reach such a folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
@@ -70,6 +70,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not conf_dir:
         if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        conf_dir = tempfile.mkdtemp(prefix="panelcast-ckpt-")
+        conf_dir = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/panelcast-{uuid.uuid4().hex}"
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once in the shared folder and read back: a lost executor reads
+    files again instead of computing the chain behind them anew."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/panelcast-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no later step reads."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

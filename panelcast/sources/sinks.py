@@ -35,6 +35,19 @@ def newest_first(df: DataFrame, col: str = "week_start") -> DataFrame:
     return df.orderBy(F.col("series_id"), F.desc(col))
 
 
+def write_bucketed_fact(df: DataFrame, path: str, table: str) -> DataFrame:
+    """Durable weekly table in buckets of series, each sorted by series and week; the table read back.
+
+    As many buckets as shuffles have partitions: what is joined with it by series moves
+    only the other side, and windows by series move nothing.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.repartition(buckets, "series_id").write.bucketBy(buckets, "series_id").sortBy("series_id", "week_start")
+     .format("parquet").option("path", path).saveAsTable(table))
+    return spark.table(table)
+
+
 def write_weekly_fact(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Durable weekly table partitioned by ISO year (later reads prune years)."""
     df.write.mode(mode).partitionBy("iso_year").parquet(path)

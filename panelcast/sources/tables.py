@@ -39,17 +39,29 @@ SEGMENT_K = {
 DISCOUNT_FACTOR = Decimal("2.7")
 RETURNING_PRIORITY = "1-URGENT"
 
-GRAINS = ("all", "segment", "nation")
+GRAINS = ("all", "segment", "nation", "customer")
 
 MONEY = "decimal(18,2)"
 #: Holds rates to a millionth (8.25 % is 0.0825).
 RATE = "decimal(9,6)"
+#: How far a value may lie from its decimal form: the noise of binary fractions, not a further digit.
+NOISE = 1e-9
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def held(name: str, kind: str) -> F.Column:
+    """The column as a decimal of ``kind``, never rounded on the way: a value with
+    more digits than that fails the job and is named."""
+    c = F.col(name)
+    short = c.try_cast(kind)
+    lost = c.isNotNull() & (short.isNull() | (F.abs(short.cast("double") - c.cast("double")) > NOISE * F.greatest(F.abs(c.cast("double")), F.lit(1.0))))
+    fail = F.raise_error(F.concat(F.lit(f"{name} does not fit {kind}: "), c.cast("string")))
+    return F.when(lost, fail.cast(kind)).otherwise(short)
+
+
 def _money(c) -> F.Column:
     """Round an exact decimal total to cents, then hand it on as double."""
     return c.cast(MONEY).cast("double")
@@ -64,16 +76,18 @@ def order_line_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_totals(load(spark, sf_dir, "lineitem").select(*LINE_COLS))
 
 
-def line_totals(li: DataFrame) -> DataFrame:
-    """Per-order aggregates of any set of order lines (batch or micro-batch)."""
-    ext = F.col("l_extendedprice").cast(MONEY)
-    disc = F.lit(DISCOUNT_FACTOR).cast("decimal(2,1)") * ext * F.col("l_discount").cast(RATE)
+def line_totals(li: DataFrame, *also: str) -> DataFrame:
+    """Per-order aggregates of any set of order lines (batch or micro-batch), per order and ``also``."""
+    li = li.withColumns({"l_extendedprice": held("l_extendedprice", MONEY), "l_discount": held("l_discount", RATE),
+                         "l_tax": held("l_tax", RATE)})
+    ext = F.col("l_extendedprice")
+    disc = F.lit(DISCOUNT_FACTOR).cast("decimal(2,1)") * ext * F.col("l_discount")
     net = ext - disc
-    tax_base = ext * F.col("l_tax").cast(RATE)
+    tax_base = ext * F.col("l_tax")
     is_a = F.col("l_linestatus") == "O"
     is_b = F.col("l_linestatus") == "F"
     qty = F.col("l_quantity")
-    return li.groupBy(F.col("l_orderkey").alias("orderkey")).agg(
+    return li.groupBy(*also, F.col("l_orderkey").alias("orderkey")).agg(
         F.sum(ext).alias("ext"),
         F.sum(disc).alias("disc"),
         F.sum(net).alias("net"),
@@ -111,19 +125,23 @@ def _series_orders(spark: SparkSession, sf_dir: str, grain: str, multipliers: di
         F.date_trunc("week", F.col("o_orderdate").cast("date")).cast("date").alias("week_start"),
         (F.col("o_orderpriority") == RETURNING_PRIORITY).alias("urgent"),
     )
+    # the multiplier is looked up after the join: only segments of customers with orders must be known
+    return orders.join(series_of_customers(spark, sf_dir, grain), "custkey").withColumn(
+        "k", spend_multiplier("segment", multipliers, default_multiplier))
+
+
+def series_of_customers(spark: SparkSession, sf_dir: str, grain: str) -> DataFrame:
+    """(custkey, segment, series_id): the series that each customer's orders and sessions count for."""
+    if grain not in GRAINS:
+        raise ValueError(f"grain must be one of {GRAINS}")
     cust = load(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("custkey"),
-        spend_multiplier("c_mktsegment", multipliers, default_multiplier).alias("k"),
-        "c_mktsegment", "c_nationkey")
-    if grain == "all":
-        cust = cust.select("custkey", "k", F.lit("ALL").alias("series_id"))
-    elif grain == "segment":
-        cust = cust.select("custkey", "k", F.col("c_mktsegment").alias("series_id"))
-    else:
+        F.col("c_custkey").alias("custkey"), F.col("c_mktsegment").alias("segment"), "c_nationkey")
+    if grain == "nation":
         nation = load(spark, sf_dir, "nation").select(
             F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("series_id"))
-        cust = cust.join(nation, "c_nationkey").select("custkey", "k", "series_id")
-    return orders.join(cust, "custkey")
+        return cust.join(nation, "c_nationkey").select("custkey", "segment", "series_id")
+    series = {"all": F.lit("ALL"), "segment": F.col("segment"), "customer": F.col("custkey").cast("string")}[grain]
+    return cust.select("custkey", "segment", series.alias("series_id"))
 
 
 def weekly_rollup(spark: SparkSession, sf_dir: str, grain: str = "segment",
@@ -136,7 +154,11 @@ def weekly_rollup(spark: SparkSession, sf_dir: str, grain: str = "segment",
     given as per-order totals (e.g. merged streaming increments).
     """
     lines = order_line_totals(spark, sf_dir) if lines is None else lines
-    facts = _series_orders(spark, sf_dir, grain, multipliers, default_multiplier).join(lines, "orderkey")
+    return weekly_from_orders(_series_orders(spark, sf_dir, grain, multipliers, default_multiplier).join(lines, "orderkey"))
+
+
+def weekly_from_orders(facts: DataFrame) -> DataFrame:
+    """The weekly fact of orders with their series, week, customer, flag, multiplier and line totals."""
     k = F.col("k").cast("decimal(4,0)")
     # Stage 1: per (series, week, customer); combines map-side.
     per_cust = facts.groupBy("series_id", "week_start", "custkey").agg(

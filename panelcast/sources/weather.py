@@ -23,6 +23,11 @@ def flatten_weather(raw: DataFrame) -> DataFrame:
     return out.withColumns({"band": weather_band("temp"), "marker_size": weather_marker_size("rain")})
 
 
+def parse_weather(text: DataFrame, column: str = "value") -> DataFrame:
+    """S3 from JSON text, one record a row; text that is no record gives no rows."""
+    return flatten_weather(text.select(F.from_json(column, WEATHER_SCHEMA).alias("r")).filter("r.daily is not null").select("r.*"))
+
+
 def read_weather(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """S3: read the weather JSON with an explicit schema and flatten it."""
     raw = spark.read.schema(WEATHER_SCHEMA).option("multiLine", multiline).json(path)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.cleaning import (clean_currency, clean_number, clean_percentage, iso_week, iso_year,
                                   parse_iso_week, week_range_label)
@@ -35,22 +36,47 @@ HEADER_MAP = {
     "Frequency": "frequency_b",
     "Items": "items",
     "Returning customer rate": "returning_rate_pct",
+    "sessions": "sessions",
 }
 REQUIRED = ("Cost", "Amount Spent", "Total sales")
 MONEY = ("spend_a", "spend_b", "total_sales", "returns", "aov", "gross_sales", "discounts", "conv_value_a",
          "conv_value_b", "cpc_a", "cpc_b", "cpm_b")
-NUMBERS = ("impressions_a", "frequency_b", "items", "orders")
+NUMBERS = ("impressions_a", "frequency_b", "items", "orders", "sessions")
 PERCENT = ("returning_rate_pct",)
 
 
+REJECTED = "_rejected"
+
+
+def _read_lines(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    """Every line of the file(s) as strings under stripped headers; a line with too many or
+    too few fields is kept whole in ``REJECTED``."""
+    header = spark.read.csv(path, header=True, sep=sep, inferSchema=False).schema
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(header))] + [T.StructField(REJECTED, T.StringType())])
+    # without pruning a line's fields are counted whatever columns a query asks for
+    raw = spark.read.schema(schema).option("columnPruning", "false").csv(
+        path, header=True, sep=sep, mode="PERMISSIVE", columnNameOfCorruptRecord=REJECTED, enforceSchema=True)
+    return raw.toDF(*[f.name.strip() for f in header], REJECTED)
+
+
 def read_weekly_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """CSV as strings, stripped headers, all-empty rows dropped."""
-    raw = spark.read.csv(path, header=True, sep=sep, inferSchema=False)
-    raw = raw.toDF(*[c.strip() for c in raw.columns])
+    """CSV as strings, stripped headers; rejected lines and all-empty rows dropped.
+
+    ``path`` is a file or a folder of files with one header each.  What is dropped as
+    malformed is what :func:`weekly_csv_rejects` lists.
+    """
+    raw = _read_lines(spark, path, sep)
+    raw = raw.filter(F.col(REJECTED).isNull()).drop(REJECTED)
     # drop rows where every field is empty (headers may hold dots: quote them)
     return raw.filter(F.coalesce(*[F.col(f"`{c}`") for c in raw.columns]).isNotNull())
 
 
+def weekly_csv_rejects(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """(first_field, line): each line with too many or too few fields, as it stands in the file."""
+    raw = _read_lines(spark, path, sep)
+    return raw.filter(F.col(REJECTED).isNotNull()).select(F.col(f"`{raw.columns[0]}`").alias("first_field"), F.col(REJECTED).alias("line"))
+
+
 def resolve_columns(df: DataFrame, series_id: str | None = "ALL", series_col: str | None = None,
                     mapping: dict | None = None, decimal: str = ".") -> tuple[DataFrame, list[str]]:
     """S2 + P1-P4, P6, P7: canonical columns from raw headers.

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.prepare import derive_metrics, fill_zero
+from ..operators.prepare import derive_metrics, fill_zero, with_sessions
 from ..sources.tables import LINE_COLS, line_totals, weekly_rollup
 
 TOTAL_SUMS = ("ext", "disc", "net", "ret_net", "qty", "tax_a", "tax_b", "net_a", "net_b", "lines_a", "lines_b",
@@ -47,4 +47,4 @@ def merged_line_totals(spark: SparkSession, out_path: str) -> DataFrame:
 def weekly_from_stream_totals(spark: SparkSession, out_path: str, sf_dir: str, grain: str = "segment") -> DataFrame:
     """Weekly fact from the streamed totals (orders / customers from ``sf_dir``)."""
     raw = weekly_rollup(spark, sf_dir, grain, lines=merged_line_totals(spark, out_path))
-    return derive_metrics(fill_zero(raw))
+    return derive_metrics(fill_zero(with_sessions(spark, sf_dir, raw, grain)))

@@ -75,3 +75,42 @@ def test_top_winner_alphabetical_tie(spark):
     df = spark.createDataFrame([("S", "rf"), ("S", "additive"), ("S", "rf"), ("S", "additive")],
                                "series_id string, winner string")
     assert bt.top_winner(df).first()["top_winner"] == "additive"
+
+
+def test_training_medians_in_one_pass(spark):
+    """At every origin the median of each series' rows strictly before it, series without rows at the origin included."""
+    import statistics
+
+    rnd = random.Random(9)
+    rows = []
+    for sid, every in (("A", 1), ("B", 2), ("C", 1)):
+        for k in range(0, 60 if sid != "C" else 5, every):
+            rows.append((sid, dt.date(2021, 1, 4) + dt.timedelta(weeks=k), float(rnd.randint(1, 50)) if rnd.random() < 0.7 else None,
+                         float(rnd.randint(1, 9))))
+    df = spark.createDataFrame(rows, "series_id string, week_start date, x double, z double")
+    weeks = sorted({r[1] for r in rows})[10:40]
+    got = {(r.series_id, r.origin): (r.m_x, r.m_z) for r in bt.training_medians(df, weeks, ["x", "z"]).collect()}
+    assert len(got) == 3 * len(weeks)
+    for sid in "ABC":
+        for w in weeks:
+            before = [r for r in rows if r[0] == sid and r[1] < w]
+            for k, value in enumerate(got[sid, w]):
+                known = [r[2 + k] for r in before if r[2 + k] is not None]
+                assert value == (pytest.approx(statistics.median(known)) if known else None)
+
+
+def test_forest_arm_imputes_from_the_past_only(spark):
+    rows = []
+    for sid in ("A", "B"):
+        for k in range(40):
+            rows.append((sid, dt.date(2021, 1, 4) + dt.timedelta(weeks=k), 100.0 + k % 7, 10.0 + k % 3))
+    df = spark.createDataFrame(rows, "series_id string, week_start date, net_sales double, spend_a double").withColumn(
+        "iso_week", iso_week("week_start"))
+    from pyspark.sql import functions as F
+
+    from panelcast.operators.forecast import DRIVERS
+    df = df.withColumns({"spend_b": F.lit(1.0), **{d: F.lit(None).cast("double") for d in DRIVERS}})
+    o = bt.origins(df, months=1)
+    out = bt.rf_backtest(spark, df, o, n_trees=3, parallelism=2).collect()
+    assert len(out) == o.count() > 0 and all(100 <= r.pred_rf <= 106 for r in out)
+    assert bt.rf_backtest(spark, df, o.limit(0), n_trees=3).collect() == []

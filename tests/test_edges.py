@@ -70,6 +70,16 @@ def test_rates_keep_their_decimals(spark):
     assert float(out.disc) == pytest.approx(2.7 * 8.25) and float(out.tax_a) == pytest.approx(12.5)
 
 
+@pytest.mark.parametrize("column, value", [("l_discount", 1 / 3), ("l_tax", 0.0000001), ("l_extendedprice", 10.005), ("l_extendedprice", 1e17)])
+def test_digits_that_do_not_fit_fail_instead_of_being_rounded(spark, column, value):
+    row = {"l_orderkey": 1, "l_quantity": 1.0, "l_extendedprice": 100.0, "l_discount": 0.1, "l_tax": 0.1, "l_returnflag": "N", "l_linestatus": "O"}
+    cols = "l_orderkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    with pytest.raises(Exception, match=f"{column} does not fit"):
+        tables.line_totals(spark.createDataFrame([tuple({**row, column: value}.values())], cols)).collect()
+    noise = tables.line_totals(spark.createDataFrame([tuple({**row, "l_discount": 0.1 + 0.2, "l_tax": None}.values())], cols)).first()
+    assert float(noise.disc) == pytest.approx(81.0) and noise.tax_a is None
+
+
 def test_unknown_segment_is_named_or_defaulted(spark):
     df = spark.createDataFrame([("BUILDING",), ("SPACE",)], "s string")
     assert [r[0] for r in df.select(tables.spend_multiplier("s", default=1)).collect()] == [7, 1]

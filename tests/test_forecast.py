@@ -75,3 +75,96 @@ def test_validate_weeks_overrides(spark, bundle):
     assert moved.pred_rf == pytest.approx(base.pred_rf)          # same spends -> same forest input
     assert moved.accuracy_pct < base.accuracy_pct
     assert moved.tier == "deviation" and moved.flag_unseen_factors is True
+
+
+def test_fold_over_trees_is_the_fitted_forest(spark, bundle):
+    """The tree walk as a Column gives what MLlib predicts, missing values included."""
+    feats = bundle.feats.withColumn("cpc_a", F.when(F.col("iso_week") % 5 != 0, F.col("cpc_a")))
+    names = fc.BASE_FEATURES + fc.DRIVERS
+    depth = max(t.depth for t in bundle.model.stages[-1].trees)
+    v = F.array(F.array(*[F.coalesce(F.col(c), F.lit(float("nan"))) for c in names]))
+    own = F.aggregate(v, F.lit(0.0), lambda _, x: fc.forest_value(F.col("trees"), x, depth))
+    rows = bundle.model.transform(feats).withColumn("trees", fc.forest(spark, bundle.model)).withColumn("own", own).select("prediction", "own").collect()
+    assert len(rows) > 500 and max(abs(r.prediction - r.own) / abs(r.prediction) for r in rows) < 1e-12
+
+
+def test_forecast_is_the_recursion_step_by_step(spark, bundle):
+    """One series and scenario, predicted week by week with the model itself."""
+    import math
+
+    got = {r.step: r.pred_rf for r in bundle.rf.filter("series_id = 'BUILDING' and scenario_id = 'stress'").collect()}
+    path = bundle.projection.filter("series_id = 'BUILDING' and scenario_id = 'stress'").orderBy("step").collect()
+    last = [r.net_sales for r in bundle.feats.filter("series_id = 'BUILDING'").orderBy(F.desc("week_start")).limit(4).collect()]
+    means = fc.driver_means(bundle.feats, 4).filter("series_id = 'BUILDING'").first()
+    stress = 1 / 1.2 * 0.9
+    for r in path[:6]:
+        row = {"week_sin": math.sin(2 * math.pi * r.iso_week / 53), "week_cos": math.cos(2 * math.pi * r.iso_week / 53),
+               "spend_a": r.spend_a, "spend_b": r.spend_b, "lag_1": last[0], "lag_4": last[3], **{d: means[d] for d in fc.DRIVERS}}
+        x = spark.createDataFrame([tuple(row.values())], ", ".join(f"{c} double" for c in row))
+        pred = bundle.model.transform(x).first().prediction * stress
+        assert got[r.step] == pytest.approx(pred, rel=1e-9)
+        last = [pred, *last[:3]]
+
+
+def test_forecast_is_one_stage_of_rows(spark, bundle):
+    """The plan does not grow with the horizon: no join, write or broadcast per step."""
+    plan = fc.rf_forecast(spark, bundle.model, bundle.feats, bundle.projection)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") < 12 and "transform" not in plan.lower().replace("transformwith", "")
+
+
+def additive_frame(y):
+    t = np.arange(len(y)) * 7.0 + 10000
+    waves = {f"f{s}{k}": f(2 * np.pi * k / 365.25 * t) for k in range(1, fc.FOURIER_ORDER + 1) for s, f in (("s", np.sin), ("c", np.cos))}
+    return pd.DataFrame({"t_days": t, "y": y, **{c: 0.0 for c in HOLIDAY_COLS}, "spend_a": 0.0, "spend_b": 0.0,
+                         **{d: 0.0 for d in fc.DRIVERS}, **waves})
+
+
+def test_one_break_gets_one_changepoint():
+    n = 260
+    at = fc.AdditiveFit(additive_frame(np.ones(n))).points[12]
+    t = np.arange(n) / (n - 1)
+    y = 500 + 200 * t + 900 * np.maximum(t - at, 0)
+    model = fc.AdditiveFit(additive_frame(y))
+    change = np.abs(model.changes * model.scale)
+    assert change.argmax() == 12 and change[12] == pytest.approx(900, rel=0.01) and np.delete(change, 12).sum() < 1
+    straight = fc.AdditiveFit(additive_frame(500 + 200 * t))
+    assert (straight.changes == 0).all()
+    # with noise the break stays where it is, within its neighbours
+    noisy = fc.AdditiveFit(additive_frame(y + np.random.default_rng(1).normal(size=n) * 20))
+    change = noisy.changes * noisy.scale
+    assert change[11:14].sum() == pytest.approx(900, rel=0.1) and np.abs(np.delete(change, [11, 12, 13])).sum() < 200
+
+
+def test_sparse_solution_meets_its_conditions():
+    """Optimality of the absolute-value penalty: the pull on a zero stays within the weight, on others it is the weight."""
+    rng = np.random.default_rng(3)
+    for size in (1, 5, 25):
+        for _ in range(20):
+            a = rng.normal(size=(size + 4, size))
+            a[:, size // 2] = a[:, 0]  # two alike
+            g, c, weight = a.T @ a, rng.normal(size=size) * 4, abs(rng.normal())
+            c[size // 2] = c[0]
+            x = fc._sparse_solution(g, c, weight)
+            pull = c - g @ x
+            assert (np.abs(pull[x == 0]) <= weight + 1e-6).all()
+            assert np.abs(pull[x != 0] - weight * np.sign(x[x != 0])).max(initial=0) < 1e-6
+
+
+def test_interval_widens_and_covers():
+    """80 % intervals, 26 weeks ahead, of series whose trend keeps changing as in their history."""
+    rng, hit, total = np.random.default_rng(11), 0, 0
+    n, ahead = 208, 26
+    for _ in range(60):
+        t = np.arange(n + ahead) / (n - 1)
+        rate = np.zeros(n + ahead)
+        for _ in range(rng.poisson(25 * t[-1])):
+            rate += rng.laplace(scale=0.6) * (t >= rng.uniform(0, t[-1]))
+        y = 1000 + 200 * np.cumsum(rate) / (n - 1) + rng.normal(size=n + ahead) * 10
+        frame = additive_frame(y)
+        model = fc.AdditiveFit(frame.iloc[:n])
+        new = frame.iloc[n:]
+        width = model.interval(new)
+        assert (np.diff(width) >= 0).all()
+        hit += (np.abs(model.predict(new) - new["y"].to_numpy()) <= width).sum()
+        total += ahead
+    assert width[-1] > width[0] and 0.6 < hit / total < 0.95

@@ -110,3 +110,27 @@ def test_ledger_with_and_without_weather(spark):
     assert nov["events"] == "Black Friday"
     bod = context.business_on_day(df, context.day_weather(w)).collect()
     assert len(bod) == 1 and bod[0]["mer"] == 2.0
+
+
+def test_bad_lines_are_rejected_and_none_is_lost(spark):
+    from panelcast.sources.weekly_csv import weekly_csv_rejects
+
+    good = "2024%02d,100,50,1000,0,0,10,100,5%%,100,100,1.0,1.0,10,1.0,1000,10,1000"
+    bad = ["202409,1,2", "202410" + ",1" * 30, "only text"]
+    lines = [good % k for k in range(1, 6)]
+    p = _csv(lines[:2] + bad[:2] + lines[2:] + bad[2:] + [",,,,,,,,,,,,,,,,,"])
+    rejects = weekly_csv_rejects(spark, p).collect()
+    assert sorted(r.line for r in rejects) == sorted(bad) and {r.first_field for r in rejects} == {"202409", "202410", "only text"}
+    assert read_weekly_csv(spark, p).count() == 5
+    assert {r["week_start"] for r in weekly_from_csv(spark, p).collect()} == {dt.date(2024, 1, 1) + dt.timedelta(weeks=k) for k in range(5)}
+
+
+def test_weather_text_with_gaps_and_no_records(spark):
+    from panelcast.sources.weather import parse_weather
+
+    record = json.dumps({"city": "X", "lat": 1.0, "lon": 2.0, "daily": {"time": ["2024-01-01", "2024-01-02"],
+                         "temperature_2m_max": [None, 20.5], "precipitation_sum": [1.5, None]}})
+    df = spark.createDataFrame([(record,), ("no json",), (None,), ("{}",)], "value string")
+    rows = sorted(parse_weather(df).collect())
+    assert [(r.date.isoformat(), r.temp, r.rain, r.band, r.marker_size) for r in rows] == [
+        ("2024-01-01", None, 1.5, None, 6600.0), ("2024-01-02", 20.5, None, "warm", 6000.0)]
