@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, fresh, staged
+from .common import NULL_ID, fresh, shuffles_released, staged
 
 ROWS, BANDS = 5, 26
 #: Similarity at which the pipeline's stage links documents; the query op9 links at 85.
@@ -186,7 +186,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
                     percent: int = 85) -> DataFrame:
-    """(id, n, component) of each row of ``docs``; a null id is ``NULL_ID`` here."""
+    """(id, n, component) of each row of ``docs``; a null id is ``NULL_ID`` here.
+
+    Every step is written and read back, and gives its shuffle files up at once: the disk in
+    use is that of the largest step, not of all of them.
+    """
+    with shuffles_released(docs.sparkSession):
+        return _near_duplicates(docs, id_col, text_col, width, percent)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"),
                        F.col(text_col).alias("text"))
     every = staged(sketches(base, width), "sketches")

@@ -7,6 +7,8 @@ over the slices of the names; Spark brings equal ones together, a task sorts the
 what it found goes back to the slice that asked.  A string that a third of all rows
 share is therefore one number per slice of the table, never a row per position.
 
+Whole copies of a text but the one of the least id are cut beforehand.
+
 1. Round of 24 bytes, for pruning.  In each stretch of ``SPAN`` bytes the position whose
    24-byte name is least stands for the stretch: equal stretches choose alike, so a
    stretch can only repeat if that name does.  All positions of other stretches drop
@@ -45,14 +47,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, release, shared_path, staged
+from .common import NULL_ID, release, shared_path, shuffles_released, staged
 
 SPAN, GRAM = 50, 24
 REST = SPAN - 2 * GRAM
 PRIME, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 LOW = np.uint64(0xFFFFFFFF)
-#: Ends the executors' hold on shuffle files when the query that made them ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Positions named at once: what fits into a core's cache.
+AT_ONCE = 1 << 14
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -60,18 +62,39 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _words(b: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number (zeros after the end)."""
+    padded = np.concatenate([b, np.zeros(15 + -len(b) % 8, np.uint8)])
+    out = np.empty(len(b) + 8, np.uint64)
+    for k in range(8):
+        part = padded[k:k + (len(padded) - k) // 8 * 8].view(np.uint64)
+        out[k::8] = part[:len(out[k::8])]
+    return out[:len(b)]
+
+
 def names(b: np.ndarray, n: int) -> np.ndarray:
-    """64-bit names of the n-byte strings at each position, by doubling."""
-    cur, size, out, done = b.astype(np.uint64) + np.uint64(1), 1, None, 0
-    while True:
-        if n & size:
-            part = cur[done:]
-            out = part if out is None else _mix(out[:len(part)] * PRIME + part)
-            done += size
-        if 2 * size > n:
-            return out[:len(b) - n + 1]
-        cur = _mix(cur[:-size] * PRIME + cur[size:])
-        size *= 2
+    """64-bit names of the n-byte strings at each position."""
+    words, size = _words(b), max(len(b) - n + 1, 0)
+    out = np.empty(size, np.uint64)
+    for low in range(0, size, AT_ONCE):
+        high, name = min(low + AT_ONCE, size), None
+        for k in range(0, n, 8):
+            part = words[low + k:high + k]
+            if n - k < 8:
+                part = part & np.uint64(2 ** (8 * (n - k)) - 1)
+            name = _mix(part * PRIME + np.uint64(n)) if name is None else _mix(name * PRIME + part)
+        out[low:high] = name
+    return out
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in order, and the place of each number among them."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.r_[True, x[1:] != x[:-1]][:len(x)]
+    place = np.empty(len(x), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return x[new], place
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -105,38 +128,47 @@ def sliced(docs: DataFrame, slice_bytes: int, slice_rows: int) -> DataFrame:
 
 
 class Slice:
-    """The texts of a slice: 24-byte names and, for each position, its document and its stretch's least name."""
+    """The texts of a slice: 24-byte names, and the runs of positions whose stretches have one least name."""
 
     def __init__(self, ids: bytes, ends: bytes, body: bytes):
         self.ids, self.ends = np.frombuffer(ids, np.int64), np.frombuffer(ends, np.int64)
         self.bytes = np.frombuffer(body, np.uint8)
         self.gram = names(self.bytes, GRAM) if len(self.bytes) >= SPAN else np.empty(0, np.uint64)
         starts = max(len(self.bytes) - SPAN + 1, 0)
-        size = np.diff(np.r_[0, self.ends])
-        self.doc = np.repeat(np.arange(len(size)), size)[:starts]
-        self.whole = np.arange(starts) + SPAN <= self.ends[self.doc] if starts else np.empty(0, bool)
+        whole = np.ones(starts, bool)
+        for low, high in zip([0, *self.ends[:-1].tolist()], self.ends.tolist()):
+            whole[max(high - SPAN + 1, low):high] = False
         width, least, step = SPAN - GRAM + 1, self.gram, 1
         while 2 * step <= width:
             least = np.minimum(least[:-step], least[step:]) if len(least) > step else least
             step *= 2
-        self.least = np.minimum(least[:starts], least[width - step:][:starts]) if starts else least[:0]
+        least = np.minimum(least[:starts], least[width - step:][:starts]) if starts else least[:0]
+        # a stretch ends with its text, so that runs of two texts never touch
+        other = least[1:] != least[:-1]
+        begin, finish = whole.copy(), whole.copy()
+        begin[1:] &= other | ~whole[:-1]
+        finish[:-1] &= other | ~whole[1:]
+        self.start = np.flatnonzero(begin)
+        self.size = np.flatnonzero(finish) - self.start + 1
+        self.name, self.of_run = _distinct(least[self.start])
+
+    def of(self, p: np.ndarray) -> np.ndarray:
+        """The id of the document of each position."""
+        return self.ids[np.searchsorted(self.ends, p, "right")]
 
     def sampled(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct least names, and whether two documents of the slice hold them."""
-        at = np.flatnonzero(self.whole)
-        new = np.r_[True, (self.least[at][1:] != self.least[at][:-1]) | (self.doc[at][1:] != self.doc[at][:-1])][:len(at)]
-        name, ident = self.least[at][new], self.ids[self.doc[at][new]]
-        order = np.lexsort((ident, name))
-        name, ident = name[order], ident[order]
-        first = np.r_[True, name[1:] != name[:-1]][:len(name)]
-        begin = np.flatnonzero(first)
-        last = np.r_[begin[1:] - 1, len(name) - 1][:len(begin)]
-        return name[begin], ident[begin] != ident[last]
-
-    def live(self, name: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-        """Positions whose least name is among the chosen ones of the (sorted) names."""
-        at = np.flatnonzero(self.whole)
-        return at[chosen[np.searchsorted(name, self.least[at])]] if len(name) else at[:0]
+        ident = self.of(self.start)
+        low, high = np.full(len(self.name), 2**63 - 1), np.full(len(self.name), -2**63)
+        np.minimum.at(low, self.of_run, ident)
+        np.maximum.at(high, self.of_run, ident)
+        return self.name, low != high
+
+    def live(self, chosen: np.ndarray) -> np.ndarray:
+        """Positions whose least name is among the chosen ones."""
+        runs = chosen[self.of_run]
+        start, size = self.start[runs], self.size[runs]
+        return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 def _slot(name: np.ndarray, slots: int) -> np.ndarray:
@@ -149,17 +181,18 @@ class Dealt:
 
     def __init__(self, name: np.ndarray, slots: int):
         slot = _slot(name, slots)
-        self.order = np.argsort(slot, kind="stable")
+        self.order = np.argsort(slot.astype(np.uint16) if slots < 65_536 else slot, kind="stable")
         used, begin = np.unique(slot[self.order], return_index=True)
         self.parts = list(zip(used.tolist(), begin.tolist(), [*begin[1:].tolist(), len(name)]))
 
-    def sent(self, of: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        columns = [c[self.order] for c in columns]
+    def sent(self, of: int, name: np.ndarray, more: np.ndarray, key: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        """A row per slice of the names: names, what goes with each, and what that refers to (whole in every row)."""
         if self.parts:
+            cut = lambda c: pa.array([c[self.order[a:b]].tobytes() for _, a, b in self.parts], pa.binary())
+            key = b"" if key is None else key.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([s for s, _, _ in self.parts], pa.int32()), pa.array([of] * len(self.parts), pa.int64())]
-                + [pa.array([np.ascontiguousarray(c[a:b]).tobytes() for _, a, b in self.parts], pa.binary()) for c in columns],
-                names=["slot", "slice", "name", "more"][:2 + len(columns)])
+                [pa.array([s for s, _, _ in self.parts], pa.int32()), pa.array([of] * len(self.parts), pa.int64()), cut(name), cut(more),
+                 pa.array([key] * len(self.parts), pa.binary())], names=["slot", "slice", "name", "more", "key"])
 
     def answers(self, got: list[dict] | None, kind: type) -> np.ndarray:
         """What came back for each name, in their order (0 where nothing did)."""
@@ -170,14 +203,14 @@ class Dealt:
         return out
 
 
-SENT = "slot int, slice long, name binary, more binary"
+SENT = "slot int, slice long, name binary, more binary, key binary"
 ANSWER = "slot int, slice long, answer binary"
 
 
 def _meeting(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Names of all slices of the table in order: the order, where each name's group begins, the group of each, row ends."""
     name = np.frombuffer(b"".join(x["name"]), np.uint64)
-    order = np.argsort(name, kind="stable")
+    order = np.argsort(name)
     first = np.r_[True, name[order][1:] != name[order][:-1]][:len(name)]
     group = np.empty(len(name), np.int64)
     group[order] = np.cumsum(first) - 1
@@ -213,7 +246,8 @@ def _rank(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
 def _least_ids(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
     """Whether another slice of the table holds the pair under a smaller id."""
     order, begin, group, ends = _meeting(x)
-    ident = np.frombuffer(b"".join(x["more"]), np.int64)
+    ident = [np.frombuffer(k, np.int64)[np.frombuffer(m, np.uint16)] for k, m in zip(x["key"], x["more"])]
+    ident = np.concatenate(ident) if ident else np.empty(0, np.int64)
     least = np.minimum.reduceat(ident[order], begin) if len(begin) else ident[:0]
     return _back(x, least[group] < ident, ends)
 
@@ -228,14 +262,15 @@ class Positions:
 
     def positions(self, s: Slice, live: list[dict] | None, at: int) -> np.ndarray:
         """Live positions of the slice whose first-round name is in range ``at``."""
-        name, _ = s.sampled()
-        chosen = Dealt(name, self.slots).answers(live, bool) & (_slot(name, self.slots) % self.ranges == at)
-        return s.live(name, chosen)
+        chosen = Dealt(s.name, self.slots).answers(live, bool) & (_slot(s.name, self.slots) % self.ranges == at)
+        return s.live(chosen)
 
     def pairs(self, s: Slice, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Positions that round two ranks (the live ones and their partners of round three), distinct pairs, pair of each."""
-        q = np.union1d(p, p + REST)
-        pair, of = np.unique(_pair(s.gram[q], s.gram[q + GRAM]), return_inverse=True)
+        # live positions are sorted: the partners that are not live end their runs
+        ends = p[np.r_[p[1:] != p[:-1] + 1, True][:len(p)]]
+        q = np.unique(np.concatenate([p, *(ends + k for k in range(1, REST + 1))]))
+        pair, of = _distinct(_pair(s.gram[q], s.gram[q + GRAM]))
         return q, pair, of
 
     def ranked(self, s: Slice, p: np.ndarray, ranks: list[dict] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -246,9 +281,9 @@ class Positions:
         a, b = rank[np.searchsorted(q, p)], rank[np.searchsorted(q, p + REST)]
         on = (a > 0) & (b > 0)
         p = p[on]
-        name, of = np.unique(_pair(a[on], b[on]), return_inverse=True)
+        name, of = _distinct(_pair(a[on], b[on]))
         least = np.full(len(name), 2**63 - 1)
-        np.minimum.at(least, of, s.ids[s.doc[p]])
+        np.minimum.at(least, of, s.of(p))
         return p, name, of, least
 
 
@@ -262,10 +297,11 @@ class Rounds:
         return staged(sent.groupBy("slot").applyInPandas(meet, ANSWER), name)
 
     def with_answers(self, **answers: DataFrame) -> DataFrame:
-        """Each slice with the answers it got: only these are moved, the slices stay in their buckets."""
+        """Each slice with the answers it got: only these are moved and hashed, the slices stay in their buckets unsorted."""
         x = self.table
         for name, df in answers.items():
-            x = x.join(df.groupBy("slice").agg(F.collect_list(F.struct("slot", "answer")).alias(name)), "slice", "left")
+            got = df.groupBy("slice").agg(F.collect_list(F.struct("slot", "answer")).alias(name))
+            x = x.join(got.hint("shuffle_hash"), "slice", "left")
         return x
 
     def first(self) -> DataFrame:
@@ -285,7 +321,7 @@ class Rounds:
             for of, s, (found,) in _slices(batches):
                 q, pair, number = own.pairs(s, own.positions(s, found, at))
                 if len(pair):
-                    ident = s.ids[np.searchsorted(s.ends, q, "right")]
+                    ident = s.of(q)
                     low, high = np.full(len(pair), 2**63 - 1), np.full(len(pair), -2**63)
                     np.minimum.at(low, number, ident)
                     np.maximum.at(high, number, ident)
@@ -299,7 +335,8 @@ class Rounds:
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for of, s, (found, places) in _slices(batches):
                 _, name, _, least = own.ranked(s, own.positions(s, found, at), places)
-                yield from Dealt(name, own.slots).sent(of, name, least)
+                ids, number = np.unique(least, return_inverse=True)
+                yield from Dealt(name, own.slots).sent(of, name, number.astype(np.uint16), ids)
 
         return self.exchange(self.with_answers(live=live, ranks=ranks).mapInArrow(send, SENT), _least_ids, "earlier")
 
@@ -311,7 +348,7 @@ class Rounds:
             for of, s, (found, places, early) in _slices(batches):
                 p, name, number, least = own.ranked(s, own.positions(s, found, at), places)
                 if len(p):
-                    p = p[(s.ids[s.doc[p]] > least[number]) | Dealt(name, own.slots).answers(early, bool)[number]]
+                    p = p[(s.of(p) > least[number]) | Dealt(name, own.slots).answers(early, bool)[number]]
                 if len(p):
                     low, high = _runs(p, p + SPAN)
                     yield pa.RecordBatch.from_arrays([pa.array([of], pa.int64()), pa.array([low.tobytes()]), pa.array([high.tobytes()])],
@@ -359,17 +396,6 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array([kept[x:y] for x, y in zip(at[:-1], at[1:])], pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-@contextmanager
-def shuffles_released(spark: SparkSession):
-    """Queries run inside give up their shuffle files when they end."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-
-
 @contextmanager
 def _bucketed(df: DataFrame, buckets: int):
     """``df`` written once in buckets of its slices, without a shuffle; table and files go afterwards."""
@@ -386,14 +412,24 @@ def _bucketed(df: DataFrame, buckets: int):
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_rows: int = 50_000,
-                     slice_bytes: int = 1 << 20, names_per_slice: int = 1_000_000, ranges: int = 3) -> DataFrame:
+                     slice_bytes: int = 1 << 19, names_per_slice: int = 2_000_000, ranges: int = 2) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept) of each row; ``kept`` is what is left, as bytes.
 
-    A null id is ``NULL_ID`` here.
+    A null id is ``NULL_ID`` here.  A slice holds at most ``slice_rows`` (under 65,536) rows.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b"").cast("binary"))
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), text.alias("text"))
+    # all strings of a whole copy are in the copy of the least id: the others are cut without being looked at
+    base = base.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(SPAN), "text"), "n_bytes": F.octet_length("text").cast("long")})
+    same = ["t1", "t2", "n_bytes"]
+    copied = base.filter(F.col("n_bytes") >= SPAN).groupBy(*same).agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    copied = staged(copied.filter("n > 1").drop("n"), "copied")
+    marked = base.join(copied, same, "left")
+    copy = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
+    base = marked.filter(~copy).select("id", "text")
+    cut = marked.filter(copy).select("id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"),
+                                     F.lit(b"").cast("binary").alias("kept"))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     slots = ranges * max(1, -(-total // (8 * names_per_slice * ranges)))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-total // (16 * slice_bytes)), 100_000))
@@ -411,8 +447,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for df in covered[1:]:
             every = every.unionByName(df)
         runs = every.groupBy("slice").agg(F.collect_list(F.struct("low", "high")).alias("found"))
-        out = staged(table.join(runs, "slice", "left").mapInArrow(
-            _cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary"), "kept")
+        out = staged(table.join(runs.hint("shuffle_hash"), "slice", "left").mapInArrow(
+            _cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary").unionByName(cut), "kept")
         for df in covered:
             release(spark, df)
     return out
