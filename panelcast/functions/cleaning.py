@@ -27,20 +27,24 @@ STRIP_CHARS = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\
 
 
 def _strip(c: Column) -> Column:
-    """Without white space at both ends.  Few cells have any, and looking a
-    character up among all kinds of it is slow: cells that begin and end with a
-    visible ASCII character are handed on as they are."""
-    first, last = F.substring(c, 1, 1), F.substring(c, -1, 1)
-    visible = (first > " ") & (first <= "~") & (last > " ") & (last <= "~")
-    return F.when(visible, c).otherwise(F.trim(c, F.lit(STRIP_CHARS)))
+    """Without white space at both ends.
+
+    Looking every character up among all kinds of white space is slow, so it is done only where
+    a cell, without the usual kinds, still begins or ends with other than visible ASCII.
+    """
+    t = F.trim(c, F.lit(" \t\n\r\x0b\x0c"))
+    # as products, not conjunctions, both tests are always evaluated: generated code then works the text out once
+    visible = lambda x: (F.floor((F.ascii(x) - 33) / 94) == 0).cast("int")
+    return F.when(visible(t) * visible(F.substring(t, -1, 1)) == 1, t).otherwise(F.trim(t, F.lit(STRIP_CHARS)))
 
 
 def _to_number(s: Column) -> Column:
-    v = s.try_cast("double")
-    # a number too large for a double is unparseable, not infinite; as a product both tests are
-    # always evaluated, so that generated code computes the text and its value once
-    is_number = s.rlike(NUMBER_PATTERN).cast("int") * (F.abs(v) < float("inf")).cast("int")
-    return F.coalesce(F.when(is_number == 1, v), F.lit(0.0))
+    """The text as a double, 0 where it is none.  Only numbers are cast, as a cast that fails throws
+    and catches an exception per cell."""
+    is_number = s.rlike(NUMBER_PATTERN).cast("int") * (F.length(s) > 0).cast("int")
+    v = F.coalesce(F.when(is_number == 1, s.try_cast("double")), F.lit(0.0))
+    # a number too large for a double is unparseable, not infinite: infinite less itself is not a number
+    return F.nanvl(v + (v - v), F.lit(0.0))
 
 
 def clean_currency(c, decimal: str = ".") -> Column:
