@@ -10,7 +10,7 @@ comparison is then one aggregation per pair.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exact import SUM_TYPE, sdiv, xsum
@@ -149,24 +149,57 @@ def elasticity_summary(df: DataFrame) -> DataFrame:
 def suggested_saturation(df: DataFrame, default: float = 0.85) -> DataFrame:
     """L3: whole-year sales change over spend change for the last two years,
     clipped to [0.6, 1.0] when spend grew more than 5 %, else ``default``."""
-    a = annual_totals(df)
     w = Window.partitionBy("series_id").orderBy(F.desc("iso_year"))
-    ranked = a.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= 2)
-    last2 = ranked.groupBy("series_id").agg(
-        F.max(F.when(F.col("rn") == 1, F.col("iso_year"))).alias("last_year"),
-        F.max(F.when(F.col("rn") == 2, F.col("iso_year"))).alias("prev_year"),
-        F.max(F.when(F.col("rn") == 1, F.col("ad_spend"))).alias("spend_last"),
-        F.max(F.when(F.col("rn") == 2, F.col("ad_spend"))).alias("spend_prev"),
-        F.max(F.when(F.col("rn") == 1, F.col("net_sales"))).alias("sales_last"),
-        F.max(F.when(F.col("rn") == 2, F.col("net_sales"))).alias("sales_prev"),
-    )
+    last2 = annual_totals(df).withColumn("rn", F.row_number().over(w)).groupBy("series_id").agg(*_last_two_years())
+    return _saturation(last2, default).select("series_id", "last_year", "prev_year", "d_spend", "d_rev", "saturation")
+
+
+def _last_two_years() -> list[Column]:
+    """Years, spends and sales of a series' last two years, from its years ranked newest first."""
+    pick = lambda k, c: F.max(F.when(F.col("rn") == k, F.col(c)))
+    return [pick(1, "iso_year").alias("last_year"), pick(2, "iso_year").alias("prev_year"),
+            pick(1, "ad_spend").alias("spend_last"), pick(2, "ad_spend").alias("spend_prev"),
+            pick(1, "net_sales").alias("sales_last"), pick(2, "net_sales").alias("sales_prev")]
+
+
+def _saturation(last2: DataFrame, default: float) -> DataFrame:
     d_spend = sdiv(F.col("spend_last") - F.col("spend_prev"), F.col("spend_prev"))
     d_rev = sdiv(F.col("sales_last") - F.col("sales_prev"), F.col("sales_prev"))
     out = last2.withColumns({"d_spend": d_spend, "d_rev": d_rev})
     raw = sdiv(F.col("d_rev"), F.col("d_spend"))
     sat = F.when(F.col("d_spend") > 0.05, F.least(F.greatest(raw, F.lit(0.6)), F.lit(1.0)))
-    return out.select("series_id", "last_year", "prev_year", "d_spend", "d_rev",
-                      F.coalesce(sat, F.lit(default)).alias("saturation"))
+    return out.withColumn("saturation", F.coalesce(sat, F.lit(default)))
+
+
+def growth_and_saturation(df: DataFrame, default: float = 0.85) -> DataFrame:
+    """A3 and L3 together: (series_id, last_week, growth_rate, saturation) of each series.
+
+    The rows move once, by series: years and series are then aggregated where they lie, and the
+    trailing windows are exact sums of what their years hold of them.
+    """
+    by_series = Window.partitionBy("series_id")
+    d = df.withColumn("last_week", F.max("week_start").over(by_series))
+    in_ly, in_py = _trailing_windows()
+    sales = F.col("net_sales").cast(SUM_TYPE)
+    years = d.groupBy("series_id", "iso_year").agg(
+        F.max("last_week").alias("last_week"), F.sum(F.when(in_ly, sales)).alias("ly"), F.sum(F.when(in_py, sales)).alias("py"),
+        F.coalesce(xsum("ad_spend"), F.lit(0.0)).alias("ad_spend"), F.coalesce(xsum("net_sales"), F.lit(0.0)).alias("net_sales"))
+    years = years.withColumn("rn", F.row_number().over(by_series.orderBy(F.desc("iso_year"))))
+    total = lambda c: F.coalesce(F.sum(c).cast("double"), F.lit(0.0))
+    out = years.groupBy("series_id").agg(F.max("last_week").alias("last_week"), total("ly").alias("sales_ly"),
+                                         total("py").alias("sales_py"), *_last_two_years())
+    return _saturation(out, default).select("series_id", "last_week", _growth_rate().alias("growth_rate"), "saturation")
+
+
+def _trailing_windows() -> tuple[Column, Column]:
+    """Whether a week is among the 52 up to the last one, and among the 52 before those."""
+    start_ly, start_py = F.date_sub(F.col("last_week"), 364), F.date_sub(F.col("last_week"), 728)
+    return ((F.col("week_start") > start_ly) & (F.col("week_start") <= F.col("last_week")),
+            (F.col("week_start") > start_py) & (F.col("week_start") <= start_ly))
+
+
+def _growth_rate() -> Column:
+    return F.when(F.col("sales_py") > 0, (F.col("sales_ly") - F.col("sales_py")) / F.col("sales_py")).otherwise(F.lit(0.0))
 
 
 def trailing_growth(df: DataFrame) -> DataFrame:
@@ -174,17 +207,13 @@ def trailing_growth(df: DataFrame) -> DataFrame:
     0 when the earlier window is not positive."""
     w = Window.partitionBy("series_id")
     d = df.withColumn("last_week", F.max("week_start").over(w))
-    start_ly = F.date_sub(F.col("last_week"), 364)
-    start_py = F.date_sub(F.col("last_week"), 728)
-    in_ly = (F.col("week_start") > start_ly) & (F.col("week_start") <= F.col("last_week"))
-    in_py = (F.col("week_start") > start_py) & (F.col("week_start") <= start_ly)
+    in_ly, in_py = _trailing_windows()
     agg = d.groupBy("series_id").agg(
         F.max("last_week").alias("last_week"),
         F.coalesce(F.sum(F.when(in_ly, F.col("net_sales").cast(SUM_TYPE))).cast("double"), F.lit(0.0)).alias("sales_ly"),
         F.coalesce(F.sum(F.when(in_py, F.col("net_sales").cast(SUM_TYPE))).cast("double"), F.lit(0.0)).alias("sales_py"),
     )
-    return agg.withColumn("growth_rate", F.when(
-        F.col("sales_py") > 0, (F.col("sales_ly") - F.col("sales_py")) / F.col("sales_py")).otherwise(F.lit(0.0)))
+    return agg.withColumn("growth_rate", _growth_rate())
 
 
 def weekly_yoy_detail(df: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from ..functions.cleaning import iso_week, week_range_label
 from ..functions.economics import AUTO, PRESETS, TABLE_ECONOMICS, Economics, economics_columns, \
     scenario_struct_array
 from ..functions.exact import SUM_TYPE, xavg
-from .lfl import suggested_saturation, trailing_growth
+from .lfl import growth_and_saturation, suggested_saturation
 
 WEEKS_PER_MONTH = 4.34
 PROFILE_COLS = ("net_sales", "spend_a", "spend_b", "orders")
@@ -50,9 +50,7 @@ def scenario_grid(df: DataFrame, scenarios=PRESETS + (AUTO,)) -> DataFrame:
 
     Horizon = int(months * 4.34) Mondays after the series' last week.
     """
-    tg = trailing_growth(df).select("series_id", "last_week", "growth_rate")
-    sat = suggested_saturation(df).select("series_id", F.col("saturation").alias("suggested_saturation"))
-    base = tg.join(sat, "series_id", "left")
+    base = growth_and_saturation(df).withColumnRenamed("saturation", "suggested_saturation")
     grid = base.select("*", F.explode(scenario_struct_array(scenarios)).alias("sc")).select(
         "series_id", "last_week", "growth_rate", "suggested_saturation", "sc.*")
     grid = grid.withColumns({

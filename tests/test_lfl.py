@@ -73,3 +73,19 @@ def test_year_pairs_adjacent_available(spark):
     assert got == [(2021, 2019), (2022, 2021)]
     common = sorted((r.year, r.prev_year, r.iso_week) for r in lfl.common_weeks(_weekly(spark, rows)).collect())
     assert common == [(2021, 2019, 1), (2022, 2021, 1)]
+
+
+def test_growth_and_saturation_together(spark):
+    """One pass gives what the two operators give, and moves the rows once."""
+    from conftest import SF001
+    from panelcast.operators import lfl
+    from panelcast.operators.prepare import weekly_panel
+
+    wf = weekly_panel(spark, SF001, "nation")
+    both = lfl.growth_and_saturation(wf)
+    assert both._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    growth = {r.series_id: (r.last_week, r.growth_rate) for r in lfl.trailing_growth(wf).collect()}
+    saturation = {r.series_id: r.saturation for r in lfl.suggested_saturation(wf).collect()}
+    rows = both.collect()
+    assert len(rows) == len(growth) > 20
+    assert all((r.last_week, r.growth_rate) == growth[r.series_id] and r.saturation == saturation[r.series_id] for r in rows)
