@@ -54,7 +54,7 @@ REST = SPAN - 2 * GRAM
 PRIME, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 LOW = np.uint64(0xFFFFFFFF)
 #: Positions named at once: what fits into a core's cache.
-AT_ONCE = 1 << 14
+AT_ONCE = 1 << 13
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -75,15 +75,20 @@ def _words(b: np.ndarray) -> np.ndarray:
 def names(b: np.ndarray, n: int) -> np.ndarray:
     """64-bit names of the n-byte strings at each position."""
     words, size = _words(b), max(len(b) - n + 1, 0)
-    out = np.empty(size, np.uint64)
+    out, spare = np.empty(size, np.uint64), np.empty(AT_ONCE, np.uint64)
     for low in range(0, size, AT_ONCE):
-        high, name = min(low + AT_ONCE, size), None
-        for k in range(0, n, 8):
-            part = words[low + k:high + k]
-            if n - k < 8:
-                part = part & np.uint64(2 ** (8 * (n - k)) - 1)
-            name = _mix(part * PRIME + np.uint64(n)) if name is None else _mix(name * PRIME + part)
-        out[low:high] = name
+        name = out[low:low + AT_ONCE]
+        high = spare[:len(name)]
+        name[:] = n
+        for k in range(0, n, 8):  # eight more bytes: added, and their bits spread over all others
+            part = words[low + k:low + k + len(name)]
+            name += part if n - k >= 8 else part & np.uint64(2 ** (8 * (n - k)) - 1)
+            name *= MIX
+            np.right_shift(name, np.uint64(32), out=high)
+            name ^= high
+        name *= MIX
+        np.right_shift(name, np.uint64(29), out=high)
+        name ^= high
     return out
 
 
