@@ -97,8 +97,9 @@ def test_rows_that_share_an_id_leave_room_for_every_language(spark, documents):
     from pyspark.sql import functions as F
 
     rows = documents.select("doc_id", "text", "lang")
-    hot = spark.range(3000).select(F.lit(6).cast("long").alias("doc_id"), F.lit("una frase sola ripetuta qui").alias("text"), F.lit("it").alias("lang"))
-    model = L.fit(rows.filter("doc_id <> 6").unionByName(hot), sample_rows=150)
+    own = next(k for k in range(10**6, 10**6 + 9) if zlib.crc32(str(k).encode()) % 3 != 1)  # may be learned from
+    hot = spark.range(3000).select(F.lit(own).cast("long").alias("doc_id"), F.lit("una frase sola ripetuta qui").alias("text"), F.lit("it").alias("lang"))
+    model = L.fit(rows.unionByName(hot), sample_rows=150)
     known = {r.lang for r in rows.select("lang").distinct().collect() if r.lang}
     assert set(model.langs) == known | {"it"}
     out = L.with_language(rows, model).filter(S.held_out(F.col("doc_id"))).collect()
