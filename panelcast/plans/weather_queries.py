@@ -28,10 +28,9 @@ def weather_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     (city + 2 * day) mod 23 is 0; ``day`` counts from 1970.
     """
     days = load(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("date")).distinct()
-    days = days.agg(F.sort_array(F.collect_list("date")).alias("dates"))  # one row, one entry a day of the calendar
+    days = days.agg(F.sort_array(F.collect_list("date")).alias("dates"))  # one value, an entry a day of the calendar
     city = load(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").cast("long").alias("k"), F.initcap("n_name").alias("city"),
-        F.lit(1).alias("all")).join(F.broadcast(days.withColumn("all", F.lit(1))), "all")
+        F.col("n_nationkey").cast("long").alias("k"), F.initcap("n_name").alias("city"), days.scalar().alias("dates"))
     day = lambda d: F.datediff(d, F.lit("1970-01-01").cast("date")).cast("long")
     k = F.col("k")
     temp = lambda d: F.when((k + day(d)) % 19 != 0, ((37 * k + 13 * day(d)) % 430 - 60).cast("double") / 10.0)
