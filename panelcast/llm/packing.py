@@ -40,12 +40,38 @@ from .common import staged
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a Python worker keeps, about 30 MB.
-CACHED_WORDS = 150_000
+#: Words whose ids a Python worker keeps, about 30 MB as Arrow and numpy arrays.
+CACHED_WORDS = 600_000
 CACHED_CHARS = 48
 _CACHES: dict[str, tuple] = {}
 
 
+class _Words:
+    """Known words and their ids; the words least recently asked for go first."""
+
+    def __init__(self):
+        self.words, self.ids = pa.array([], pa.string()), np.empty(0, "<u4")
+        self.first, self.size, self.used = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.calls = 0
+
+    def add(self, words: pa.Array, ids: np.ndarray, size: np.ndarray) -> None:
+        self.first = np.r_[self.first, len(self.ids) + np.cumsum(size) - size]
+        self.words, self.ids = pa.concat_arrays([self.words, words]), np.r_[self.ids, ids]
+        self.size, self.used = np.r_[self.size, size], np.r_[self.used, np.full(len(size), self.calls)]
+
+    def shrink(self, n: int, most: int) -> None:
+        """Keep the first ``n`` words, or if those are more than ``most`` half as many, the last used ones."""
+        if n == len(self.words) and n <= most:
+            return
+        keep = np.arange(n)
+        if n > most:
+            keep = np.sort(np.argsort(-self.used[:n], kind="stable")[:most // 2])
+        size = self.size[keep]
+        first = np.cumsum(size) - size
+        self.ids = self.ids[np.repeat(self.first[keep] - first, size) + np.arange(size.sum())]
+        self.words, self.first, self.size, self.used = self.words.take(pa.array(keep)), first, size, self.used[keep]
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -53,31 +79,36 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 # -- pieces ---------------------------------------------------------------------
-def _tokens(path: str, words: list[str]) -> list[bytes]:
-    """Ids of each word as little-endian unsigned 32-bit bytes; each distinct word is encoded once."""
+def _tokens(path: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids in a row, and where each word's begin and how many they are; each new word is encoded once."""
     if path not in _CACHES:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _CACHES[path] = (Tokenizer.from_file(path), {})
-    tokenizer, cache = _CACHES[path]
-    out = list(map(cache.get, words))
-    new = [w for w, ids in zip(words, out) if ids is None]
-    if new:
-        own = {}
+        _CACHES[path] = (Tokenizer.from_file(path), _Words())
+    tokenizer, known = _CACHES[path]
+    known.calls += 1
+    at = pc.fill_null(pc.index_in(words, value_set=known.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    new = np.flatnonzero(at < 0)
+    # words too long to be kept come last
+    long = pc.greater(pc.binary_length(words), CACHED_CHARS).to_numpy(zero_copy_only=False)[new]
+    new = new[np.argsort(long, kind="stable")]
+    kept = len(known.words) + len(new) - int(long.sum())
+    if len(new):
+        fresh = words.take(pa.array(new))
+        ids, sizes = [], []
         for k in range(0, len(new), 2000):  # encoded in one string, cut where the words end
-            part = new[k:k + 2000]
+            part = fresh.slice(k, 2000).to_pylist()
             coded = tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(coded.ids, "<u4").tobytes()
+            ids.append(np.array(coded.ids, "<u4"))
             begin = np.array(coded.offsets, np.int64).reshape(-1, 2)[:, 0]
-            cut = 4 * np.searchsorted(begin, np.cumsum([len(w) + 1 for w in part]))
-            own.update((w, ids[a:b]) for w, a, b in zip(part, np.r_[0, cut[:-1]].tolist(), cut.tolist()))
-        out = [own[w] if ids is None else ids for w, ids in zip(words, out)]
-        if len(cache) + len(own) > CACHED_WORDS:
-            cache.clear()
-        if len(own) <= CACHED_WORDS:
-            cache.update(x for x in own.items() if len(x[0]) <= CACHED_CHARS)
-    return out
+            sizes.append(np.diff(np.searchsorted(begin, np.cumsum([len(w) + 1 for w in part])), prepend=0))
+        at[new] = len(known.words) + np.arange(len(new))
+        known.add(fresh, np.concatenate(ids), np.concatenate(sizes))
+    known.used[at] = known.calls
+    found = known.ids, known.first[at], known.size[at]
+    known.shrink(kept, CACHED_WORDS)
+    return found
 
 
 def encoded(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,12 +124,9 @@ def encoded(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
     lists = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, r"([a-z0-9])([.,])(\s|$)", r"\1 \2\3"))
     words = lists.flatten().dictionary_encode()
-    parts = _tokens(path, words.dictionary.to_pylist())
-    flat = np.frombuffer(b"".join(parts), "<u4")
-    size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    flat, first, size = _tokens(path, words.dictionary.cast(pa.string()))
     word = words.indices.to_numpy(zero_copy_only=False)
-    first = (np.cumsum(size) - size)[word]
-    size = size[word]
+    first, size = first[word], size[word]
     end = np.r_[0, np.cumsum(size)]
     ids = flat[np.repeat(first - end[:-1], size) + np.arange(end[-1])]
     offsets = lists.offsets.to_numpy()

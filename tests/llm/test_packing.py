@@ -79,3 +79,30 @@ def test_odd_rows_and_hot_lengths(spark, odd, empty):
     assert P.op3_packing(empty).collect() == []
     same = spark.range(500).selectExpr("id as doc_id", "repeat('same words ', 300) as text")
     assert check_places(P.pack(same, rows_per_slice=7).collect()) == math.ceil(500 / (4096 // 601))
+
+
+def test_frequent_words_stay_known(monkeypatch):
+    """Rare words push each other out, not the words of every text; ids stay those of the whole text."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    import tokenizers
+
+    from panelcast.llm import packing
+
+    path = packing.tokenizer_path()
+    real, coded = tokenizers.Tokenizer.from_file(path), []
+
+    def encode(text, add_special_tokens):
+        coded.extend(text.split(" "))
+        return real.encode(text, add_special_tokens=add_special_tokens)
+
+    monkeypatch.setattr(packing, "_CACHES", {})
+    monkeypatch.setattr(packing, "CACHED_WORDS", 100)
+    monkeypatch.setattr(tokenizers, "Tokenizer", SimpleNamespace(from_file=lambda _: SimpleNamespace(encode=encode)))
+    for k in range(20):
+        texts = ["the sea " + " ".join(f"rare{k}x{j}" for j in range(30)) + " " + "long" * 20, f"The sea, {k}."]
+        ids, first = packing.encoded(path, pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [
+            real.encode(t, add_special_tokens=False).ids for t in texts]
+    assert coded.count("the") == coded.count("sea") == 1
