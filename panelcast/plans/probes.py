@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import clean_currency, clean_number, clean_percentage, parse_iso_week
-from ..functions.exact import SUM_TYPE
+from ..functions.exact import xsum_cells
 from ..operators.prepare import BASE_MEASURES, RATIO_MEASURES, weekly_panel, with_orders
 from ..session import checkpoint_dir
 from ..sources.tables import load
@@ -89,13 +89,10 @@ def clean_currency_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "shape", clean_currency("raw").alias("us"), clean_currency("raw", decimal=",").alias("eu"),
         clean_percentage("raw").alias("pct"), clean_number("raw").alias("num"))
 
-    def tot(c):
-        return F.sum(F.col(c).cast(SUM_TYPE)).cast("double")
-
     return t.groupBy("shape").agg(
         F.count(F.lit(1)).alias("n"),
-        tot("us").alias("total_us"), tot("eu").alias("total_eu"),
-        tot("pct").alias("total_pct"), tot("num").alias("total_num"),
+        xsum_cells("us").alias("total_us"), xsum_cells("eu").alias("total_eu"),
+        xsum_cells("pct").alias("total_pct"), xsum_cells("num").alias("total_num"),
         F.count(F.when(F.col("us") == 0, 1)).alias("n_zero"),
     )
 

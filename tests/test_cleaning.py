@@ -64,3 +64,20 @@ def test_weather_band_and_money(spark):
     assert _eval(spark, [0.0, 5.0, 12.0, 20.0, 28.0, None], C.weather_band, "double") == \
         ["freezing", "cold", "mild", "warm", "hot", None]
     assert _eval(spark, [2_500_000.0, 45_000.0], C.compact_money, "double") == ["€ 2.5M", "€ 45k"]
+
+
+def test_sums_of_cells_are_the_exact_sums(spark):
+    from panelcast.functions.exact import xsum, xsum_cells
+
+    values = [None, 0.0, -0.0, 1234.56, -1234.56, 0.1 + 0.2, 5e-7, -5e-7, 1.0000005, 123456789.123456, 1e15 + 0.25, -3e15,
+              987654321.987654, 1e20, 33554431.999999, -33554432.000001]
+    df = spark.createDataFrame([(k % 3, v) for k, v in enumerate(values * 4)] + [(9, None)], "g int, v double")
+    for x in (df, *(df.filter(df.v == v) for v in values if v is not None)):
+        for r in x.groupBy("g").agg(xsum("v").alias("want"), xsum_cells("v").alias("got")).collect():
+            assert r.got == r.want, r
+
+
+def test_blanks_of_any_kind_are_trimmed(spark):
+    cells = [f"{a}1,5{b}" for a in ("", " ", "\t", "\xa0 \t", "€ ", "€ ") for b in ("", "\n ", " 　", "€", "d")]
+    want = [0.0 if c.endswith("d") else 1.5 for c in cells]
+    assert _eval(spark, cells, lambda c: C.clean_currency(c, decimal=",")) == want
