@@ -37,8 +37,8 @@ from ..functions.cleaning import iso_year
 from ..functions.economics import TABLE_ECONOMICS, Economics
 from ..operators.prepare import derive_metrics, fill_zero, table_files, with_sessions
 from ..session import discard
-from .tables import (LINE_COLS, RETURNING_PRIORITY, SEGMENT_K, line_totals, series_of_customers, spend_multiplier,
-                     weekly_from_orders)
+from .tables import (RETURNING_PRIORITY, SEGMENT_K, line_rows, order_sums, series_of_customers, spend_multiplier,
+                     weekly_from_sums)
 
 DIMENSIONS = ("customer", "nation", "events")
 ORDER_FACTS = ("custkey", "week_start", "urgent")
@@ -148,7 +148,7 @@ class IncrementalPanel:
         return x.join(F.broadcast(numbers.withColumn("at", same(F.col("at")))), "at").drop("at")
 
     def _placed(self, lines: DataFrame, orders: DataFrame) -> DataFrame:
-        x = lines.drop(*ORDER_FACTS, "iso_year").join(orders.drop("source"), "orderkey", "left")
+        x = lines.drop(*ORDER_FACTS, "iso_year").join(orders.drop("source").hint("shuffle_hash"), "orderkey", "left")
         return x.withColumn("iso_year", F.coalesce(iso_year("week_start"), F.lit(0))).select(
             *[F.col(f.name).cast(f.dataType) for f in self.spark.createDataFrame([], LINES).schema])
 
@@ -190,8 +190,9 @@ class IncrementalPanel:
             waiting = self._lines(m).filter("iso_year = 0")
             due |= self._add(m, self._placed(waiting, self._orders(m)), [{**x, "waiting": False} for x in m.lines])
         if fresh["lineitem"]:
-            x = self._read("lineitem", fresh["lineitem"], m).select("source", *LINE_COLS)
-            due |= self._add(m, self._placed(line_totals(x, "source"), self._orders(m)), m.lines)
+            # dealt by order as narrow lines: the sums per file and order, and their orders, then meet in place
+            x = line_rows(self._read("lineitem", fresh["lineitem"], m), "source").repartition("orderkey")
+            due |= self._add(m, self._placed(order_sums(x, "source"), self._orders(m)), m.lines)
 
         m.dimensions, m.due = dimensions, sorted(due - {0})
         self.store.save(m)
@@ -213,11 +214,11 @@ class IncrementalPanel:
     def _fact(self, m: Manifest, years: list[int]) -> DataFrame:
         """The weekly fact of some years, from the states alone."""
         x = self._lines(m).filter(F.col("iso_year").isin(years))
-        # lines of one order may have come in several files
-        orders = x.groupBy("orderkey", *ORDER_FACTS).agg(*[F.sum(c).alias(c) for c in SUMS])
-        orders = orders.join(series_of_customers(self.spark, self.sf_dir, self.grain), "custkey").withColumn(
-            "k", spend_multiplier("segment", self.multipliers, self.default))
-        weeks = with_sessions(self.spark, self.sf_dir, weekly_from_orders(orders), self.grain)
+        series = series_of_customers(self.spark, self.sf_dir, self.grain).hint("shuffle_hash")
+        rows = x.join(series, "custkey").withColumn("k", spend_multiplier("segment", self.multipliers, self.default))
+        # lines of one order may have come in several files: it is counted once, its sums add up from them
+        orders = x.groupBy("orderkey", *ORDER_FACTS).agg(F.max(F.col("lines_b") > 0).alias("has_b")).join(series, "custkey")
+        weeks = with_sessions(self.spark, self.sf_dir, weekly_from_sums(rows, orders), self.grain)
         return derive_metrics(fill_zero(weeks), self.econ)
 
     def _write_years(self, m: Manifest) -> None:
