@@ -6,8 +6,9 @@ the list of its nearest centroid and is coded as the signs of its rotated
 residual, packed to bits, with two scalars: the residual's norm and its inner
 product with the code's unit vector.  From those the inner product with any
 query is estimated without bias, with an error bound; within a list, the rows
-whose upper bound reaches the k-th best lower bound are reranked on the
-original vectors in double precision.
+whose upper bound reaches the k-th best lower bound are rated on the original
+vectors by one matrix product, and those that its rounding cannot part from the
+k best are reranked by sums in order, in double precision.
 
 A query first probes the ``probes`` lists whose centroids have the largest inner
 product with it.  Its k-th best score then excludes every list whose bound,
@@ -102,6 +103,18 @@ def search_block(query_id: np.ndarray, q: np.ndarray, vec_id: np.ndarray, x: np.
     if low.shape[1] > k:
         bar = np.maximum(least, np.partition(low, low.shape[1] - k, axis=1)[:, -k])
     keep = (high >= bar[:, None]) & ~own
+    # one matrix product rates what the codes leave; only what its rounding cannot part from the best k is summed in order
+    some = np.flatnonzero(keep.any(axis=0))
+    with np.errstate(all="ignore"):
+        rated = np.where(keep[:, some], q @ x[some].T, -np.inf)
+        size = np.linalg.norm(x[some], axis=1).max(initial=0.0)
+        off = 4 * q.shape[1] * np.finfo(float).eps * size * np.linalg.norm(q, axis=1) + np.finfo(float).tiny
+        group = np.flatnonzero(np.r_[True, vec_id[some][1:] != vec_id[some][:-1]][:len(some)])
+        bar = least
+        if len(group) > k:
+            of_id = np.maximum.reduceat(rated, group, axis=1)
+            bar = np.maximum(least, np.partition(of_id, len(group) - k, axis=1)[:, -k])
+        keep[:, some] &= ~(rated < (bar - 2 * off)[:, None])  # not a number: left to the sums
     out = []
     for i in np.flatnonzero(keep.any(axis=1)):
         at = np.flatnonzero(keep[i])

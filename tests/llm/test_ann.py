@@ -99,3 +99,33 @@ def test_rows_that_share_an_id(spark, kind):
     assert digest(A.op1_ann(df).collect()) == want
     asked = df.filter("vec_id % 20 = 0")
     assert digest(A.neighbours(df, asked, probes=1, list_rows=100, row_block=64, query_block=16).collect()) == want
+
+
+def block(x, q, ids, asked, k=20, least=None):
+    centres, rotate = x.mean(axis=0, keepdims=True), A.rotation(x.shape[1])
+    _, code, norm, fit = A.encode(x, centres, rotate)
+    least = np.full(len(q), -np.inf) if least is None else least
+    return A.search_block(asked, q, ids, x, code, norm, fit, centres[0], rotate, k, least)
+
+
+def test_only_the_best_are_summed_in_order(monkeypatch):
+    """Codes of far vectors part little; a matrix product parts the rest before rows are summed one by one."""
+    x = np.random.default_rng(3).normal(size=(2000, 64))
+    summed, exact = [], A.exact
+    monkeypatch.setattr(A, "exact", lambda a, b: summed.append(len(a)) or exact(a, b))
+    asked = np.arange(0, 2000, 20)
+    query_id, vec_id, score = block(x, x[asked], np.arange(2000), asked)
+    assert max(summed) <= 30
+    for q, want in brute(list(range(2000)), x).items():
+        assert [(r + 1, v, s) for r, (v, s) in enumerate(zip(vec_id[query_id == q], score[query_id == q]))] == want
+
+
+@pytest.mark.parametrize("size", [1e-38, 1e-3, 1e37])
+def test_sizes_that_a_product_rounds_away(size):
+    """Ties and sums that only their order parts come back as the sums in order have them."""
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(40, 16)), 5, axis=0) * (1 + 1e-16 * rng.integers(0, 3, (200, 16))) * size
+    asked = np.arange(0, 200, 20)
+    query_id, vec_id, score = block(x, x[asked], np.arange(200), asked)
+    for q, want in brute(list(range(200)), x).items():
+        assert [(r + 1, v, s) for r, (v, s) in enumerate(zip(vec_id[query_id == q], score[query_id == q]))] == want
