@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import subwords as S
-from .common import fresh, staged
+from .common import bound_batches, fresh, staged
 
 LOW, HIGH = 1, 4
 NONE = "und"
@@ -110,6 +110,7 @@ def sample_of_languages(rows: DataFrame, sample_rows: int) -> DataFrame:
 
 def fit(docs: DataFrame, sample_rows: int = 2000, sample_chars: int = 4000) -> LangModel | None:
     """Learn from text and non-null lang of the documents that may be learned from."""
+    bound_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", "lang").filter(
         S.learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     ids = sample_of_languages(rows, sample_rows)
@@ -129,6 +130,7 @@ def fit(docs: DataFrame, sample_rows: int = 2000, sample_chars: int = 4000) -> L
 def with_language(docs: DataFrame, model: LangModel | None) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``rejected`` added (underscores
     go before a name that ``docs`` already has)."""
+    bound_batches(docs.sparkSession)
     names = fresh(docs, "lang_pred", "score", "rejected")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

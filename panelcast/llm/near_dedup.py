@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, fresh, shuffles_released, staged
+from .common import NULL_ID, bound_batches, fresh, shuffles_released, staged
 
 ROWS, BANDS = 5, 26
 #: Similarity at which the pipeline's stage links documents; the query op9 links at 85.
@@ -191,6 +191,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Every step is written and read back, and gives its shuffle files up at once: the disk in
     use is that of the largest step, not of all of them.
     """
+    bound_batches(docs.sparkSession)
     with shuffles_released(docs.sparkSession):
         return _near_duplicates(docs, id_col, text_col, width, percent)
 

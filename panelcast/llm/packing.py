@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import bound_batches, staged
 
 CAPACITY = 4096
 END_ID = 1
@@ -144,6 +144,7 @@ def _slices(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[pa.RecordB
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID,
            with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document."""
+    bound_batches(docs.sparkSession)
     end = np.array([end_id], "<u4")
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
               ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids

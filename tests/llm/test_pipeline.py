@@ -51,3 +51,21 @@ def test_empty(spark, documents):
         out = stage(spark, docs, SF001)
         assert out.count() == 0
         docs = docs if "sequence_id" in out.columns else out
+
+
+def test_stages_bound_the_bytes_of_a_batch(spark, documents):
+    """A batch of 10,000 rows is as large as its texts; the stages with Python workers bound its bytes, and keep a bound that is set."""
+    from panelcast.llm.common import BATCH, BATCH_BYTES
+    from panelcast.llm import lang_id, near_dedup, packing
+
+    before = spark.conf.get(BATCH_BYTES, None)
+    try:
+        for stage in (lang_id.lang_id_stage, near_dedup.near_dedup_stage, lambda d: packing.pack(d.select("doc_id", "text"))):
+            spark.conf.unset(BATCH_BYTES)
+            stage(documents)
+            assert spark.conf.get(BATCH_BYTES, None) == str(BATCH)
+        spark.conf.set(BATCH_BYTES, "1000000")
+        lang_id.lang_id_stage(documents)
+        assert spark.conf.get(BATCH_BYTES) == "1000000"
+    finally:
+        spark.conf.unset(BATCH_BYTES) if before is None else spark.conf.set(BATCH_BYTES, before)
