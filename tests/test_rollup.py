@@ -74,3 +74,24 @@ def test_states_are_summed_by_week_alone(spark, folder, tmp_path):
         tables.weekly_rollup(spark, folder).filter("week_start is not null").na.fill(0.0).select(
             "series_id", "week_start", "total_sales", "spend_b", "frequency_b"))
     assert wide(panel._fact(panel.store.manifest(), [2024])) == []
+
+
+def test_customer_rows_are_dealt_by_series_once(spark, folder):
+    """Above the narrow rows of lines, orders and sessions no wide week is shuffled or joined, and the rows are the same."""
+    from panelcast.operators import prepare
+
+    fact = prepare.weekly_fact(spark, folder, "customer")
+    plan = fact._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("Union")]
+    assert "Join" not in above and "Exchange" not in above
+    joined = prepare.with_sessions(spark, folder, tables.weekly_rollup(spark, folder, "customer"), "customer")
+    want = prepare.derive_metrics(prepare.fill_zero(joined))
+    assert fact.schema == want.schema and rows(fact) == rows(want)
+    assert not fact.filter("sessions > 0").isEmpty() and not fact.filter("week_start is null").isEmpty()
+
+
+def test_a_bucketed_panel_has_a_file_a_bucket(spark, folder):
+    from panelcast.operators import prepare
+
+    panel = prepare.weekly_panel(spark, folder, "customer")
+    assert 0 < len(panel.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
