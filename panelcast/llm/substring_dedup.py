@@ -181,19 +181,32 @@ def _slot(name: np.ndarray, slots: int) -> np.ndarray:
     return ((name & LOW) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
 
 
-class Dealt:
-    """Sorted distinct names, dealt over the slices of the names."""
+def _pair_slot(pair: np.ndarray, slots: int) -> np.ndarray:
+    """The slice of the names of a pair; by its high bits, so that sorted pairs lie in the order of their slices."""
+    return _slot(pair >> np.uint64(32), slots)
+
 
-    def __init__(self, name: np.ndarray, slots: int):
-        slot = _slot(name, slots)
-        self.order = np.argsort(slot.astype(np.uint16) if slots < 65_536 else slot, kind="stable")
-        used, begin = np.unique(slot[self.order], return_index=True)
-        self.parts = list(zip(used.tolist(), begin.tolist(), [*begin[1:].tolist(), len(name)]))
+class Dealt:
+    """Sorted distinct names, or pairs of them, dealt over the slices of the names."""
+
+    def __init__(self, name: np.ndarray, slots: int, pairs: bool = False):
+        self.size, self.order = len(name), None
+        if pairs:
+            slot = _pair_slot(name, slots)
+        else:
+            slot = _slot(name, slots)
+            self.order = np.argsort(slot.astype(np.uint16) if slots < 65_536 else slot, kind="stable")
+            slot = slot[self.order]
+        begin = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]][:len(slot)])
+        self.parts = list(zip(slot[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(name)]))
+
+    def _at(self, a: int, b: int):
+        return slice(a, b) if self.order is None else self.order[a:b]
 
     def sent(self, of: int, name: np.ndarray, more: np.ndarray, key: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         """A row per slice of the names: names, what goes with each, and what that refers to (whole in every row)."""
         if self.parts:
-            cut = lambda c: pa.array([c[self.order[a:b]].tobytes() for _, a, b in self.parts], pa.binary())
+            cut = lambda c: pa.array([c[self._at(a, b)].tobytes() for _, a, b in self.parts], pa.binary())
             key = b"" if key is None else key.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([s for s, _, _ in self.parts], pa.int32()), pa.array([of] * len(self.parts), pa.int64()), cut(name), cut(more),
@@ -201,10 +214,10 @@ class Dealt:
 
     def answers(self, got: list[dict] | None, kind: type) -> np.ndarray:
         """What came back for each name, in their order (0 where nothing did)."""
-        out, by = np.zeros(len(self.order), kind), {x["slot"]: x["answer"] for x in got or ()}
+        out, by = np.zeros(self.size, kind), {x["slot"]: x["answer"] for x in got or ()}
         for s, a, b in self.parts:
             if s in by:
-                out[self.order[a:b]] = np.frombuffer(by[s], kind)
+                out[self._at(a, b)] = np.frombuffer(by[s], kind)
         return out
 
 
@@ -270,20 +283,22 @@ class Positions:
         chosen = Dealt(s.name, self.slots).answers(live, bool) & (_slot(s.name, self.slots) % self.ranges == at)
         return s.live(chosen)
 
-    def pairs(self, s: Slice, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions that round two ranks (the live ones and their partners of round three), distinct pairs, pair of each."""
-        # live positions are sorted: the partners that are not live end their runs
-        ends = p[np.r_[p[1:] != p[:-1] + 1, True][:len(p)]]
-        q = np.unique(np.concatenate([p, *(ends + k for k in range(1, REST + 1))]))
+    def pairs(self, s: Slice, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Positions that round two ranks (the live ones and their partners of round three), distinct pairs, pair of each,
+        and how many such positions lie before each position of the slice."""
+        ranked = np.zeros(len(s.gram), bool)
+        for k in range(REST + 1):
+            ranked[p + k] = True
+        q = np.flatnonzero(ranked)
         pair, of = _distinct(_pair(s.gram[q], s.gram[q + GRAM]))
-        return q, pair, of
+        return q, pair, of, np.cumsum(ranked) - ranked
 
     def ranked(self, s: Slice, p: np.ndarray, ranks: list[dict] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Positions still live, distinct pairs of their ranks, pair of each, least id of each pair in the slice."""
-        q, pair, number = self.pairs(s, p)
-        place = Dealt(pair, self.slots).answers(ranks, np.uint32).astype(np.uint64)
-        rank = np.where(place > 0, (_slot(pair, self.slots).astype(np.uint64) << np.uint64(32)) | place, np.uint64(0))[number]
-        a, b = rank[np.searchsorted(q, p)], rank[np.searchsorted(q, p + REST)]
+        q, pair, number, before = self.pairs(s, p)
+        place = Dealt(pair, self.slots, True).answers(ranks, np.uint32).astype(np.uint64)
+        rank = np.where(place > 0, (_pair_slot(pair, self.slots).astype(np.uint64) << np.uint64(32)) | place, np.uint64(0))[number]
+        a, b = rank[before[p]], rank[before[p + REST]]
         on = (a > 0) & (b > 0)
         p = p[on]
         name, of = _distinct(_pair(a[on], b[on]))
@@ -324,13 +339,13 @@ class Rounds:
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for of, s, (found,) in _slices(batches):
-                q, pair, number = own.pairs(s, own.positions(s, found, at))
+                q, pair, number, _ = own.pairs(s, own.positions(s, found, at))
                 if len(pair):
                     ident = s.of(q)
                     low, high = np.full(len(pair), 2**63 - 1), np.full(len(pair), -2**63)
                     np.minimum.at(low, number, ident)
                     np.maximum.at(high, number, ident)
-                    yield from Dealt(pair, own.slots).sent(of, pair, low != high)
+                    yield from Dealt(pair, own.slots, True).sent(of, pair, low != high)
 
         return self.exchange(self.with_answers(live=live).mapInArrow(send, SENT), _rank, "ranks")
 
@@ -340,8 +355,9 @@ class Rounds:
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for of, s, (found, places) in _slices(batches):
                 _, name, _, least = own.ranked(s, own.positions(s, found, at), places)
-                ids, number = np.unique(least, return_inverse=True)
-                yield from Dealt(name, own.slots).sent(of, name, number.astype(np.uint16), ids)
+                ids = np.unique(s.ids)
+                number = np.searchsorted(ids, least)
+                yield from Dealt(name, own.slots, True).sent(of, name, number.astype(np.uint16), ids)
 
         return self.exchange(self.with_answers(live=live, ranks=ranks).mapInArrow(send, SENT), _least_ids, "earlier")
 
@@ -353,7 +369,7 @@ class Rounds:
             for of, s, (found, places, early) in _slices(batches):
                 p, name, number, least = own.ranked(s, own.positions(s, found, at), places)
                 if len(p):
-                    p = p[(s.of(p) > least[number]) | Dealt(name, own.slots).answers(early, bool)[number]]
+                    p = p[(s.of(p) > least[number]) | Dealt(name, own.slots, True).answers(early, bool)[number]]
                 if len(p):
                     low, high = _runs(p, p + SPAN)
                     yield pa.RecordBatch.from_arrays([pa.array([of], pa.int64()), pa.array([low.tobytes()]), pa.array([high.tobytes()])],

@@ -54,3 +54,26 @@ def test_odd_rows(spark, odd, empty):
                           (4, 80, 0, 0), (5, 82, 82, 1), (6, 49, 0, 0), (7, 49, 0, 0), (8, 0, 0, 0)], key=str)
     assert D.op4_substring_dedup(empty).collect() == []
     assert D.op4_substring_dedup(odd).count() == odd.count()
+
+
+def test_pairs_are_sent_in_their_own_order():
+    """Sorted pairs lie in the order of their slices of the names; what is asked for them comes back in place."""
+    pair = np.unique(D._mix(np.arange(1, 5000, dtype=np.uint64)))
+    dealt = D.Dealt(pair, 26, True)
+    assert dealt.order is None and [a for _, a, _ in dealt.parts[1:]] == [b for _, _, b in dealt.parts[:-1]]
+    assert len(dealt.parts) == 26 and max(b - a for _, a, b in dealt.parts) < 2 * 5000 / 26
+    sent = next(dealt.sent(7, pair, np.arange(len(pair)) % 2 == 0))
+    assert b"".join(sent.column(2).to_pylist()) == pair.tobytes()
+    got = [{"slot": s, "answer": m} for s, m in zip(sent.column(0).to_pylist(), sent.column(3).to_pylist())]
+    assert (dealt.answers(got, bool) == (np.arange(len(pair)) % 2 == 0)).all()
+    assert D.Dealt(pair[:0], 26, True).parts == [] and len(D.Dealt(pair[:0], 26, True).answers(None, bool)) == 0
+
+
+def test_ranked_positions_are_live_ones_and_their_partners():
+    text = bytes(range(256)) * 3
+    s = D.Slice(np.array([1], np.int64).tobytes(), np.array([len(text)], np.int64).tobytes(), text)
+    p = np.r_[np.arange(5, 9), 10, 700, len(text) - D.SPAN]
+    q, pair, number, before = D.Positions(4, 2).pairs(s, p)
+    assert q.tolist() == sorted({int(x) + k for x in p for k in range(D.REST + 1)})
+    assert (q[before[p]] == p).all() and (q[before[p + D.REST]] == p + D.REST).all()
+    assert (pair[number] == D._pair(s.gram[q], s.gram[q + D.GRAM])).all()
